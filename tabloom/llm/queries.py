@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from tabloom.llm import line_dedup, quality_rules, sharding, url_rules
+from tabloom.llm import decontam, langid, line_dedup, quality_rules, sharding, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1_url_rules,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_language_id": langid.op5_language_id,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_sharding": sharding.op7_sharding,
+    "op10_decontamination": decontam.op10_decontamination,
 }
 
 ORACLE_SQL = {
     "op1_url_rules": url_rules.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op6_quality_rules": quality_rules.SQL,
+    "op10_decontamination": decontam.SQL,
 }
