@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabloom.llm import decontam, langid, line_dedup, packing, quality_rules, sharding, token_codes, url_rules
+from tabloom.llm import decontam, jaccard_join, langid, line_dedup, packing, quality_rules, sharding, token_codes, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1_url_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_sharding": sharding.op7_sharding,
     "op8_token_codes": token_codes.op8_token_codes,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_decontamination": decontam.op10_decontamination,
 }
 
