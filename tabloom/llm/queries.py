@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tabloom.llm import decontam, jaccard_join, langid, line_dedup, packing, quality_rules, sharding, token_codes, url_rules
+from tabloom.llm import decontam, jaccard_join, langid, license_scan, line_dedup, packing, quality_rules, sharding, token_codes, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1_url_rules,
     "op2_packing": packing.op2_packing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_license_scan": license_scan.op4_license_scan,
     "op5_language_id": langid.op5_language_id,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_sharding": sharding.op7_sharding,
