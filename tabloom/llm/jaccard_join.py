@@ -245,14 +245,16 @@ def _distance() -> Column:
 def _regions(points: DataFrame, sets: _Sets, percent: int) -> tuple[DataFrame, DataFrame]:
     """(links (a, b), homes (x, p, d) of the points that joined a pivot's region), by rounds of elections."""
     spark = points.sparkSession
-    standing = points.select("id", "keys")
+    standing = points.select("id", "n", "keys")
     links, homes = [], []
     for _ in range(_ROUNDS):
-        ballots = standing.select("id", F.explode("keys").alias("key"))
-        elected = saved(
-            ballots.groupBy("key").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "p"), "elected"
-        )
-        pairs = saved(ballots.join(elected, "key").where("id <> p").select(F.col("id").alias("x"), "p").distinct(), "pivot-pairs")
+        ballots = standing.select("id", "n", F.explode("keys").alias("key"))
+        heads = ballots.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        elected = saved(heads.select("key", F.col("m.id").alias("p"), F.col("m.n").alias("np")), "elected")
+        # sizes that differ more can't link, and a lone common hash out of several seldom means a near copy
+        met = ballots.join(elected, "key").where(f"id <> p AND n * 100 >= np * {percent} AND np * 100 >= n * {percent}")
+        met = met.groupBy(F.col("id").alias("x"), "p", "n").agg(F.count(F.lit(1)).alias("c"))
+        pairs = saved(met.where(F.col("c") >= F.least(F.lit(2), F.col("n"))).select("x", "p"), "pivot-pairs")
         if pairs.isEmpty():
             break
         near = saved(sets.distances(pairs).where(_linked(percent)).withColumn("d", _distance()).select("x", "p", "d"), "pivot-links")

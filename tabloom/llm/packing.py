@@ -31,7 +31,7 @@ SENTENCE_PENALTY, INSIDE_PENALTY = 8, 64
 _GRID = 256
 #: Tokens that are solved at once.
 _STRETCH = 1 << 18
-_CHUNK = 500
+_CHUNK = 2000
 
 PIECES = T.StructType(
     [
@@ -180,11 +180,15 @@ def pack(
             keep = whole.schema
             for at in range(0, whole.num_rows, _CHUNK):
                 batch = whole.slice(at, _CHUNK)
-                texts = batch.column(keep.get_field_index(text_col)).to_pylist()
-                rows = batch.drop_columns([text_col]).to_pylist() if kept else [{}] * len(texts)
-                for row, (ids, stops) in zip(rows, encode(texts), strict=True):
+                ids, ends, stops = encode(batch.column(keep.get_field_index(text_col)))
+                begins = np.concatenate(([0], ends[:-1])).tolist()
+                cuts = np.searchsorted(stops, ends, "right").tolist()
+                rows = batch.drop_columns([text_col]).to_pylist() if kept else [{}] * batch.num_rows
+                seen = 0
+                for row, a, b, cut in zip(rows, begins, ends.tolist(), cuts, strict=True):
                     open_rows[n] = row
-                    stream.add(n, np.append(ids, np.uint16(end_id)), stops)
+                    stream.add(n, np.append(ids[a:b], np.uint16(end_id)), stops[seen:cut] - a)
+                    seen = cut
                     n += 1
                     if stream.tokens >= _STRETCH:
                         yield out(False)

@@ -27,7 +27,7 @@ from tabloom.llm.tokens import encoder
 _BLOCK = 512
 #: Ids after which a segment is closed at the next document end.
 _SEGMENT = 1 << 18
-_CHUNK = 500
+_CHUNK = 2000
 
 _LEVEL = pa.struct([("chunks", pa.binary()), ("marks", pa.binary()), ("ranks", pa.binary())])
 
@@ -133,9 +133,11 @@ def write_codes(
             kind = whole.schema.field(0).type
             for at in range(0, whole.num_rows, _CHUNK):
                 batch = whole.slice(at, _CHUNK)
-                for k, e in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                ids, ends, _ = encode(batch.column(1))
+                begins = np.concatenate(([0], ends[:-1])).tolist()
+                for k, a, b in zip(batch.column(0).to_pylist(), begins, ends.tolist(), strict=True):
                     keys.append(k)
-                    parts.append(np.append(e.ids, np.uint16(end_id)))
+                    parts.append(np.append(ids[a:b], np.uint16(end_id)))
                     size += len(parts[-1])
                     if size >= _SEGMENT:
                         yield out()
@@ -146,26 +148,18 @@ def write_codes(
     ordered.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
 
 
-def read_codes(spark: SparkSession, path: str) -> DataFrame:
-    """The segments at ``path``, each with ``base``: the number of ids before it."""
+def read_codes(spark: SparkSession, path: str, key_name: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """One row for each document of the segments at ``path``: its key, ``start`` (the number of ids of all documents
+    before it), ``n_tokens``, ``ids_crc32`` and ``ids`` (or null).  Segments are decoded where they lie; only the
+    narrow result is joined to the segments' running totals."""
     segments = spark.read.parquet(path)
-    # one row for each written partition, then one window for each of them
-    parts = segments.groupBy("part").agg(F.sum("n_ids").alias("_n"))
-    order = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_part_base"))
-    within = W.partitionBy("part").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
-    bases = segments.select("part", "segment", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("_in_part"))
-    bases = bases.join(parts, "part").select("part", "segment", (F.col("_in_part") + F.col("_part_base")).alias("base"))
-    return segments.join(bases, ["part", "segment"])
-
-
-def read_documents(segments: DataFrame, key_name: str = "doc_id", with_ids: bool = True) -> DataFrame:
-    """One row for each document of the segments: its key, ``start``, ``n_tokens``, ``ids_crc32`` and ``ids`` (or null)."""
     key = segments.schema["keys"].dataType.elementType
     schema = T.StructType(
         [
+            T.StructField("part", T.IntegerType()),
+            T.StructField("segment", T.LongType()),
             T.StructField(key_name, key),
-            T.StructField("start", T.LongType()),
+            T.StructField("_at", T.LongType()),
             T.StructField("n_tokens", T.LongType()),
             T.StructField("ids_crc32", T.LongType()),
             T.StructField("ids", T.ArrayType(T.LongType())),
@@ -175,21 +169,31 @@ def read_documents(segments: DataFrame, key_name: str = "doc_id", with_ids: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(whole.num_rows):
-                batch = whole.slice(at, 1)
-                sizes, base = batch.column(2)[0].as_py(), batch.column(0)[0].as_py()
-                codes = Codes(batch.column(3)[0].as_py())
+                part, segment, keys, sizes, levels = (c[at] for c in whole.columns)
+                sizes, codes = sizes.as_py(), Codes(levels.as_py())
                 starts = (np.cumsum(sizes) - sizes).tolist()
                 found = [codes.range(a, a + n) for a, n in zip(starts, sizes, strict=True)]
                 columns = [
-                    batch.column(1)[0].values,
-                    pa.array([base + a for a in starts], pa.int64()),
+                    pa.array([part.as_py()] * len(sizes), pa.int32()),
+                    pa.array([segment.as_py()] * len(sizes), pa.int64()),
+                    keys.values,
+                    pa.array(starts, pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64()),
                     pa.array(found if with_ids else [None] * len(found), pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return segments.select("base", "keys", "sizes", "levels").mapInArrow(run, schema)
+    # one row for each written partition, then a window inside each of them
+    sums = segments.select("part", "segment", "n_ids")
+    parts = sums.groupBy("part").agg(F.sum("n_ids").alias("_n"))
+    order = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
+    within = W.partitionBy("part").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select("part", "segment", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("_base")).join(parts, "part")
+    found = segments.select("part", "segment", "keys", "sizes", "levels").mapInArrow(run, schema)
+    out = found.join(bases, ["part", "segment"])
+    return out.select(key_name, (F.col("_before") + F.col("_base") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
 def byte_vocabulary() -> str:
@@ -202,4 +206,4 @@ def op8_token_codes(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = f"{shared_folder(spark)}/codes-{uuid.uuid4().hex}"
     write_codes(docs, byte_vocabulary(), path)
-    return read_documents(read_codes(spark, path), with_ids=False).drop("ids")
+    return read_codes(spark, path, with_ids=False).drop("ids")

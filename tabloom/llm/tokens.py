@@ -1,8 +1,8 @@
 """Whole-text tokenisation with the tokenizers library, a chunk at a time.
 
 Both kinds of vocabulary cut texts at white space before anything else, so a text's ids are those of its chunks in a
-row.  A chunk is encoded once in a worker and then looked up.  Texts whose white space does not allow the cut are
-encoded whole.
+row.  Arrow splits a batch of texts into chunks and finds the different ones; a chunk is encoded once in a worker and
+then looked up.  Texts whose white space does not allow the cut are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,16 +13,20 @@ from functools import cache
 from typing import NamedTuple
 
 import numpy as np
-
-_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: A full stop, comma or mark that stands alone between an ASCII letter and white space is a piece of its own.
-_MARK_WORDS = re.compile(rb"(?<=[a-z])[.,!?](?=\s|\Z)")
-_MARK_BYTES = re.compile(rb"(?<=[A-Za-z])[.,!?](?= |\Z)")
-#: What keeps a text from being cut for a byte-level vocabulary, which joins white space to what follows.
-_WHOLE = re.compile(r"\s\s|\A\s|\s\Z|[\x00\x01]")
-_EDGE = re.compile(rb"\A\s|\s\Z")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: What keeps a text from being cut for a byte-level vocabulary, which joins white space to what follows: runs of
+#: white space, white space at an end, rarer white space, and the two bytes that mark chunks.
+_WHOLE = (
+    r"[ \n][ \n]|^[ \n]|[ \n]$"
+    r"|[\x00\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+_EDGE = re.compile(r"\A\s|\s\Z")
 #: Chunks that a worker remembers before it starts anew (about 150 MB).
 _REMEMBERED = 800_000
+#: Words joined to one string when they are learnt.
+_JOINED = 2000
 
 
 @cache
@@ -35,9 +39,29 @@ def _load(path: str):
     return tokenizer
 
 
+@cache
+def _load_plain(path: str):
+    """The same vocabulary for lower-case ASCII words, which need no normaliser and no pattern to part them."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.normalizer = None
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    ends = np.zeros(1 << 16, bool)
+    for token, i in tokenizer.get_vocab().items():
+        ends[i] = token.endswith("</w>")
+    return tokenizer, ends
+
+
 class Encoded(NamedTuple):
+    """The ids of a batch of texts in a row."""
+
     ids: np.ndarray  # uint16
-    #: Where (counted in ids) a sentence ends inside or at the end of the text, ascending.
+    #: Where each text ends.
+    ends: np.ndarray
+    #: Where sentences end, ascending; ends of texts are not among them unless a sentence ends there.
     stops: np.ndarray
 
 
@@ -45,14 +69,14 @@ class _Table:
     """The ids of the known chunks, in one array."""
 
     def __init__(self) -> None:
-        self.code: dict[bytes, int] = {}
+        self.code: dict[str, int] = {}
         self.ids = np.empty(1 << 20, np.uint16)
         self.start = np.zeros(1 << 18, np.int64)
         self.size = np.zeros(1 << 18, np.int64)
         self.stop = np.zeros(1 << 18, bool)
         self.used = 0
 
-    def add(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         k, n = len(self.code), len(chunks)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
@@ -63,7 +87,7 @@ class _Table:
         self.ids[self.used : self.used + len(ids)] = ids
         self.size[k : k + n] = sizes
         self.start[k : k + n] = self.used + np.cumsum(sizes) - sizes
-        self.stop[k : k + n] = [c[-1:] in b".!?" and c != b"" for c in chunks]
+        self.stop[k : k + n] = [c.endswith((".", "!", "?")) for c in chunks]
         self.used += len(ids)
         self.code.update(zip(chunks, range(k, k + n), strict=True))
 
@@ -76,55 +100,82 @@ class Encoder:
     """
 
     def __init__(self, path: str, words: bool) -> None:
-        self.tokenizer, self.words, self.table = _load(path), words, _Table()
+        self.path, self.tokenizer, self.words, self.table = path, _load(path), words, _Table()
 
-    def _chunks(self, text: str) -> list[bytes] | None:
+    def _chunks(self, texts: pa.Array) -> pa.ListArray:
+        # a mark that stands alone between an ASCII letter and white space is a piece of its own
+        if self.words:
+            low = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,!?])(\s|$)", r"\1 \2\3")
+            return pc.ascii_split_whitespace(low)
+        raw = pc.replace_substring(texts, "\n", " \x01\n \x01")
+        raw = pc.replace_substring_regex(raw, r"([A-Za-z])([.,!?])( |$)", "\\1 \x01\\2\\3")
+        return pc.split_pattern(pc.binary_join_element_wise("\x01", raw, ""), " ")
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Chunks that white space may part are encoded in long strings, the rest one by one."""
+        add = self.table.add
         if self.words:
-            return _MARK_WORDS.sub(rb" \g<0>", text.encode("utf-8").translate(_LOWER)).split()
-        if _WHOLE.search(text):
-            return None
-        raw = b"\x01" + text.encode("utf-8").replace(b"\n", b" \x01\n \x01")
-        return _MARK_BYTES.sub(b" \x01\\g<0>", raw).split(b" ")
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Chunks that white space may part are encoded in one string, the rest one by one."""
-        alone = [c for c in chunks if not self.words and (c[:1] == b"\x01" or _EDGE.search(c) or not c)]
+            plain = [c for c in chunks if c.isascii() and c.isalpha()]
+            chunks = [c for c in chunks if not (c.isascii() and c.isalpha())]
+            alone = [c for c in chunks if not c]
+            tokenizer, last = _load_plain(self.path)
+            groups = [plain[at : at + _JOINED] for at in range(0, len(plain), _JOINED)]
+            for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint16)
+                end = np.flatnonzero(last[ids]) + 1
+                add(group, ids, np.diff(end, prepend=0))
+        else:
+            alone = [c for c in chunks if c[:1] == "\x01" or not c or _EDGE.search(c)]
         if alone:
             one = set(alone)
             chunks = [c for c in chunks if c not in one]
-            texts = [c[1:].decode("utf-8") if c[:1] == b"\x01" else " " + c.decode("utf-8") for c in alone]
+            texts = [c[1:] if c[:1] == "\x01" else "" if self.words else " " + c for c in alone]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            self.table.add(alone, np.array([i for x in ids for i in x], np.uint16), np.array([len(x) for x in ids], np.int64))
-        for at in range(0, len(chunks), 20_000):
-            some = [c.decode("utf-8") for c in chunks[at : at + 20_000]]
+            add(alone, np.array([i for x in ids for i in x], np.uint16), np.array([len(x) for x in ids], np.int64))
+        for at in range(0, len(chunks), _JOINED):
+            some = chunks[at : at + _JOINED]
             found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
             # a chunk begins with the space before it, which may be a token of its own
             begin = np.cumsum([1 + len(c) for c in some]) - [1 + len(c) for c in some]
             offsets = np.fromiter((o[1] for o in found.offsets), np.int64, len(found.ids)) - 1
-            sizes = np.bincount(np.searchsorted(begin, offsets, "right") - 1, minlength=len(some))
-            self.table.add(chunks[at : at + 20_000], np.array(found.ids, np.uint16), sizes)
+            add(some, np.array(found.ids, np.uint16), np.bincount(np.searchsorted(begin, offsets, "right") - 1, minlength=len(some)))
 
-    def encode(self, texts: list[str | None]) -> list[Encoded]:
-        """The ids of each text (null: none)."""
+    def encode(self, texts: pa.Array) -> Encoded:
+        """The ids of all texts (null: none)."""
         if len(self.table.code) > _REMEMBERED:
             self.table = _Table()
-        cut = [self._chunks(t) if t else [] for t in texts]
+        # a copy of its own: Arrow's ascii_lower goes wrong on slices
+        texts = pc.fill_null(pa.concat_arrays([texts.cast(pa.string()), pa.array([], pa.string())]), "")
+        whole: list[int] = []
+        if not self.words:
+            mask = pc.match_substring_regex(texts, _WHOLE)
+            whole = np.flatnonzero(mask.to_numpy(zero_copy_only=False)).tolist()
+            own = [texts[k].as_py() for k in whole]
+            texts = pc.if_else(mask, "", texts)
+        chunks = self._chunks(texts)
+        coded = chunks.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
         get = self.table.code.get
-        new = {c for chunks in cut if chunks for c in chunks if get(c) is None}
+        new = [c for c in names if get(c) is None]
         if new:
-            self._learn(list(new))
-        table, out = self.table, []
-        for text, chunks in zip(texts, cut, strict=True):
-            if chunks is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(Encoded(np.array(ids, np.uint16), np.zeros(0, np.int64)))
-                continue
-            code = np.fromiter(map(get, chunks), np.int64, len(chunks))
-            size = table.size[code]
-            end = np.cumsum(size)
-            at = np.repeat(table.start[code] - end + size, size) + np.arange(end[-1] if len(end) else 0)
-            out.append(Encoded(table.ids[at], end[table.stop[code]]))
-        return out
+            self._learn(new)
+        table = self.table
+        code = np.fromiter(map(self.table.code.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        size = table.size[code]
+        end = np.cumsum(size)
+        ids = table.ids[np.repeat(table.start[code] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+        stops = end[table.stop[code]]
+        last = chunks.offsets.to_numpy()[1:] - chunks.offsets[0].as_py()
+        ends = np.concatenate(([0], end))[last]
+        if whole:
+            parts, shift, at = [], np.zeros(len(ends), np.int64), 0
+            for k, text in zip(whole, own, strict=True):
+                found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
+                parts += [ids[at : ends[k]], found]
+                at = ends[k]
+                shift[k:] += len(found)
+            ids, ends, stops = np.concatenate([*parts, ids[at:]]), ends + shift, np.zeros(0, np.int64)
+        return Encoded(ids, ends, stops)
 
 
 @cache
