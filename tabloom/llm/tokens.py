@@ -8,8 +8,8 @@ then looked up.  Texts whose white space does not allow the cut are encoded whol
 from __future__ import annotations
 
 import os
-import re
 from functools import cache
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -22,9 +22,8 @@ _WHOLE = (
     r"[ \n][ \n]|^[ \n]|[ \n]$"
     r"|[\x00\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-_EDGE = re.compile(r"\A\s|\s\Z")
-#: Chunks that a worker remembers before it starts anew (about 150 MB).
-_REMEMBERED = 800_000
+#: Chunks that a worker remembers (about 120 MB); beyond it, those that were met only once are forgotten.
+_REMEMBERED = 600_000
 #: Words joined to one string when they are learnt.
 _JOINED = 2000
 
@@ -40,19 +39,24 @@ def _load(path: str):
 
 
 @cache
-def _load_plain(path: str):
-    """The same vocabulary for lower-case ASCII words, which need no normaliser and no pattern to part them."""
+def _load_plain(path: str, words: bool):
+    """The same vocabulary for chunks of letters only, and which ids end (``words``) or begin such a chunk.
+
+    Lower-case ASCII words of a vocabulary of words need neither its normaliser nor its pattern.
+    """
     from tokenizers import Tokenizer, pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.normalizer = None
-    tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
-        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-    )
-    ends = np.zeros(1 << 16, bool)
+    tokenizer = _load(path)
+    if words:
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.normalizer = None
+        tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+    edge = np.zeros(1 << 16, bool)
     for token, i in tokenizer.get_vocab().items():
-        ends[i] = token.endswith("</w>")
-    return tokenizer, ends
+        edge[i] = token.endswith("</w>") if words else token.startswith("\u0120")
+    return tokenizer, edge
 
 
 class Encoded(NamedTuple):
@@ -74,6 +78,7 @@ class _Table:
         self.start = np.zeros(1 << 18, np.int64)
         self.size = np.zeros(1 << 18, np.int64)
         self.stop = np.zeros(1 << 18, bool)
+        self.again = np.zeros(1 << 18, bool)  # met again after it was learnt
         self.used = 0
 
     def add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -81,7 +86,7 @@ class _Table:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while k + n > len(self.start):
-            for name in ("start", "size", "stop"):
+            for name in ("start", "size", "stop", "again"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         self.ids[self.used : self.used + len(ids)] = ids
@@ -113,37 +118,48 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Chunks that white space may part are encoded in long strings, the rest one by one."""
-        add = self.table.add
-        if self.words:
-            plain = [c for c in chunks if c.isascii() and c.isalpha()]
-            chunks = [c for c in chunks if not (c.isascii() and c.isalpha())]
-            alone = [c for c in chunks if not c]
-            tokenizer, last = _load_plain(self.path)
-            groups = [plain[at : at + _JOINED] for at in range(0, len(plain), _JOINED)]
-            for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, np.uint16)
-                end = np.flatnonzero(last[ids]) + 1
-                add(group, ids, np.diff(end, prepend=0))
-        else:
-            alone = [c for c in chunks if c[:1] == "\x01" or not c or _EDGE.search(c)]
+        add, words = self.table.add, self.words
+        plain, mixed, alone = [], [], []
+        for c in chunks:
+            if c.isalpha() and (c.isascii() or not words):
+                plain.append(c)
+            elif not c or (not words and (c[0] == "\x01" or c[0].isspace() or c[-1].isspace())):
+                alone.append(c)
+            else:
+                mixed.append(c)
+        tokenizer, edge = _load_plain(self.path, words)
+        groups = [plain[at : at + _JOINED] for at in range(0, len(plain), _JOINED)]
+        joined = [("" if words else " ") + " ".join(g) for g in groups]
+        for group, e in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint16)
+            at = np.flatnonzero(edge[ids])
+            add(group, ids, np.diff(at + 1, prepend=0) if words else np.diff(at, append=len(ids)))
         if alone:
-            one = set(alone)
-            chunks = [c for c in chunks if c not in one]
-            texts = [c[1:] if c[:1] == "\x01" else "" if self.words else " " + c for c in alone]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            add(alone, np.array([i for x in ids for i in x], np.uint16), np.array([len(x) for x in ids], np.int64))
-        for at in range(0, len(chunks), _JOINED):
-            some = chunks[at : at + _JOINED]
+            texts = [c[1:] if c[:1] == "\x01" else "" if words else " " + c for c in alone]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            add(alone, np.array([i for x in found for i in x], np.uint16), np.array([len(x) for x in found], np.int64))
+        for at in range(0, len(mixed), _JOINED):
+            some = mixed[at : at + _JOINED]
             found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
             # a chunk begins with the space before it, which may be a token of its own
             begin = np.cumsum([1 + len(c) for c in some]) - [1 + len(c) for c in some]
             offsets = np.fromiter((o[1] for o in found.offsets), np.int64, len(found.ids)) - 1
             add(some, np.array(found.ids, np.uint16), np.bincount(np.searchsorted(begin, offsets, "right") - 1, minlength=len(some)))
 
+    def _forget(self) -> None:
+        """A new table of the chunks that were met again."""
+        old, new = self.table, _Table()
+        kept = [c for c, again in zip(old.code, old.again.tolist(), strict=False) if again]
+        code = np.flatnonzero(old.again[: len(old.code)])
+        size = old.size[code]
+        end = np.cumsum(size)
+        new.add(kept, old.ids[np.repeat(old.start[code] - end + size, size) + np.arange(end[-1] if len(end) else 0)], size)
+        self.table = new
+
     def encode(self, texts: pa.Array) -> Encoded:
         """The ids of all texts (null: none)."""
         if len(self.table.code) > _REMEMBERED:
-            self.table = _Table()
+            self._forget()
         # a copy of its own: Arrow's ascii_lower goes wrong on slices
         texts = pc.fill_null(pa.concat_arrays([texts.cast(pa.string()), pa.array([], pa.string())]), "")
         whole: list[int] = []
@@ -155,12 +171,15 @@ class Encoder:
         chunks = self._chunks(texts)
         coded = chunks.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
-        get = self.table.code.get
-        new = [c for c in names if get(c) is None]
-        if new:
-            self._learn(new)
         table = self.table
-        code = np.fromiter(map(self.table.code.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        code = np.fromiter(map(table.code.get, names, repeat(-1)), np.int64, len(names))
+        table.again[code[code >= 0]] = True
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            fresh = [names[k] for k in new.tolist()]
+            self._learn(fresh)
+            code[new] = np.fromiter(map(table.code.__getitem__, fresh), np.int64, len(fresh))
+        code = code[coded.indices.to_numpy()]
         size = table.size[code]
         end = np.cumsum(size)
         ids = table.ids[np.repeat(table.start[code] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
