@@ -44,3 +44,8 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
         F.translate(text, UPPER, LOWER)
     )
+
+
+def packed(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """``df`` in at most as many partitions as ``rows`` rows of it need, so that small tables take few tasks."""
+    return df.coalesce(max(1, -(-rows // each)))

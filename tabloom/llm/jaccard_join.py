@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import saved
+from tabloom.llm.common import packed, saved
 from tabloom.llm.components import components
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -41,7 +41,7 @@ _WORDS, _SLOT_BITS, _ID_BITS = 1 << 15, 20, 23
 #: Shingles that are counted at once, and the count in such a stretch from which one counts as frequent.
 _STRETCH, _OFTEN = 1 << 21, 3
 #: Least hashes by which a point meets others in an election, and rounds of elections.
-_KEYS, _ROUNDS = 4, 3
+_KEYS, _ROUNDS = 4, 2
 #: Points that one task compares with a pivot or a block before the group is dealt to more tasks.
 _BLOCK = 128
 
@@ -200,11 +200,12 @@ class _Sets:
 
     def distances(self, pairs: DataFrame) -> DataFrame:
         """(x, p, common, nx, np) of each row of ``pairs`` (x, p); a p with many x is dealt to several tasks."""
+        n = pairs.count()
         salts = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("long").alias("salts"))
-        salts = saved(salts, "pivot-salts")
+        salts = saved(packed(salts, n), "pivot-salts")
         asks = pairs.join(salts, "p").select(F.col("x").alias("id"), "p", F.pmod(F.xxhash64("x"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"))
         gives = salts.select(F.col("p").alias("id"), "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
-        requests = saved(asks.union(gives), "set-requests")
+        requests = saved(packed(asks.union(gives), 2 * n), "set-requests")
         rows = self.for_requests(requests).select("p", "salt", "kind", "id", "shingles")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +223,7 @@ class _Sets:
                 columns = [pa.array([r[c] for r in out], pa.int64()) for c in range(5)]
                 yield pa.RecordBatch.from_arrays(columns, ["x", "p", "common", "nx", "np"])
 
-        dealt = rows.repartition("p", "salt").sortWithinPartitions("p", "salt", "kind")
+        dealt = packed(rows.repartition("p", "salt"), 2 * n, 1000).sortWithinPartitions("p", "salt", "kind")
         return dealt.mapInArrow(run, "x long, p long, common long, nx long, np long")
 
 
@@ -246,15 +247,16 @@ def _regions(points: DataFrame, sets: _Sets, percent: int) -> tuple[DataFrame, D
     """(links (a, b), homes (x, p, d) of the points that joined a pivot's region), by rounds of elections."""
     spark = points.sparkSession
     standing = points.select("id", "n", "keys")
+    count = points.count()
     links, homes = [], []
     for _ in range(_ROUNDS):
         ballots = standing.select("id", "n", F.explode("keys").alias("key"))
         heads = ballots.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        elected = saved(heads.select("key", F.col("m.id").alias("p"), F.col("m.n").alias("np")), "elected")
+        elected = saved(packed(heads.select("key", F.col("m.id").alias("p"), F.col("m.n").alias("np")), count), "elected")
         # sizes that differ more can't link, and a lone common hash out of several seldom means a near copy
         met = ballots.join(elected, "key").where(f"id <> p AND n * 100 >= np * {percent} AND np * 100 >= n * {percent}")
         met = met.groupBy(F.col("id").alias("x"), "p", "n").agg(F.count(F.lit(1)).alias("c"))
-        pairs = saved(met.where(F.col("c") >= F.least(F.lit(2), F.col("n"))).select("x", "p"), "pivot-pairs")
+        pairs = saved(packed(met.where(F.col("c") >= F.least(F.lit(2), F.col("n"))).select("x", "p"), count), "pivot-pairs")
         if pairs.isEmpty():
             break
         near = saved(sets.distances(pairs).where(_linked(percent)).withColumn("d", _distance()).select("x", "p", "d"), "pivot-links")
@@ -262,10 +264,10 @@ def _regions(points: DataFrame, sets: _Sets, percent: int) -> tuple[DataFrame, D
         # a pivot is the centre of its own region, so it joins no other
         pivots = elected.select(F.col("p").alias("x")).distinct()
         joined = near.groupBy("x").agg(F.min(F.struct("d", "p")).alias("m")).select("x", "m.p", "m.d")
-        home = saved(joined.join(pivots, "x", "left_anti"), "homes")
+        home = saved(packed(joined.join(pivots, "x", "left_anti"), count), "homes")
         homes.append(home)
-        settled = saved(home.select(F.col("x").alias("id")).union(pivots.select(F.col("x").alias("id"))), "settled")
-        standing = saved(standing.join(settled, "id", "left_anti"), "standing")
+        settled = saved(packed(home.select(F.col("x").alias("id")).union(pivots.select(F.col("x").alias("id"))), count), "settled")
+        standing = saved(packed(standing.join(settled, "id", "left_anti"), count), "standing")
     empty_links = spark.createDataFrame([], "a long, b long")
     empty_homes = spark.createDataFrame([], "x long, p long, d double")
     for part in links:
@@ -342,7 +344,7 @@ def _meetings(placed: DataFrame) -> DataFrame:
 def _join_regions(near: DataFrame, homes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     """Links (a, b), one at least for each pair of regions that holds any, of region pairs a distance did not settle.
 
-    ``near``: a, b, ra, rb (centres and covering radii).  Boundary documents, those within the other radius and r of
+    ``near``: a, b, ra, rb, dab (centres, covering radii, their distance).  Boundary documents, those within the other radius and r of
     the other centre, are dealt in blocks to tasks, which compare what the distances to both centres allow.
     """
     r = 1 - percent / 100 + 1e-9
@@ -353,9 +355,10 @@ def _join_regions(near: DataFrame, homes: DataFrame, sets: _Sets, percent: int)
         ),
         "region-members",
     )
-    a_side = near.join(members, near["a"] == members["region"]).select("a", "b", "x", F.lit(0).alias("side"), F.col("b").alias("other"), F.col("rb").alias("reach"), F.col("d").alias("own"))
-    b_side = near.join(members, near["b"] == members["region"]).select("a", "b", "x", F.lit(1).alias("side"), F.col("a").alias("other"), F.col("ra").alias("reach"), F.col("d").alias("own"))
-    sides = saved(a_side.union(b_side), "region-sides")
+    a_side = near.join(members, near["a"] == members["region"]).select("a", "b", "x", F.lit(0).alias("side"), F.col("b").alias("other"), F.col("rb").alias("reach"), F.col("d").alias("own"), F.col("dab").alias("apart"))
+    b_side = near.join(members, near["b"] == members["region"]).select("a", "b", "x", F.lit(1).alias("side"), F.col("a").alias("other"), F.col("ra").alias("reach"), F.col("d").alias("own"), F.col("dab").alias("apart"))
+    # a document nearer to its own centre than that is further from the other centre than its region reaches
+    sides = saved(a_side.union(b_side).where(F.col("apart") - F.col("own") <= F.col("reach") + r), "region-sides")
     far = saved(sets.distances(sides.select("x", F.col("other").alias("p")).distinct()).withColumn("d", _distance()).select("x", F.col("p").alias("other"), "d"), "region-distances")
     edge = saved(sides.join(far, ["x", "other"]).where(F.col("d") <= F.col("reach") + r), "region-boundaries")
     sizes = edge.groupBy("a", "b").agg(
@@ -407,17 +410,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = _Sets(docs, id_col, text_col, k)
     equal = saved(points.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "equal-sets")
     narrow = points.select("id", "n", "f1", "f2", "keys").join(equal, ["f1", "f2"], "left")
-    narrow = saved(narrow.withColumn("rep", F.coalesce("rep", "id")).drop("f1", "f2"), "representatives")
+    narrow = narrow.withColumn("rep", F.coalesce("rep", "id")).drop("f1", "f2")
+    narrow = saved(packed(narrow, all_points.count()), "representatives")
     links, homes = _regions(narrow.where("id = rep"), sets, percent)
     label = components(links)
 
     placed = narrow.where("id = rep").select("id", "n").distinct().join(homes.withColumnRenamed("x", "id"), "id", "left").join(label, "id", "left")
-    placed = saved(placed.select("id", "n", F.coalesce("p", "id").alias("region"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("label", "id").alias("label")), "placed")
-    region = saved(
-        placed.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("d").alias("radius")), "regions"
-    )
+    placed = placed.select("id", "n", F.coalesce("p", "id").alias("region"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("label", "id").alias("label"))
+    count = narrow.count()
+    placed = saved(packed(placed, count), "placed")
+    region = placed.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("d").alias("radius"))
+    region = saved(packed(region, count), "regions")
     crowded = saved(region.where("size > 1").select("region"), "crowded").withColumn("many", F.lit(True))
-    where = saved(placed.select("id", "region", "label").distinct().join(crowded, "region", "left").withColumn("many", F.coalesce("many", F.lit(False))), "homes-of-points")
+    where = placed.select("id", "region", "label").distinct().join(crowded, "region", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    where = saved(packed(where, count), "homes-of-points")
     windows = points.select("id", "window").join(where, "id")
     met = saved(_meetings(windows), "meetings")
 
@@ -433,12 +439,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = links.union(centres.where("link").select(F.col("x").alias("a"), F.col("p").alias("b")))
         apart = met.where("wide").join(centres.where("NOT link").select(F.col("x").alias("a"), F.col("p").alias("b"), "d"), ["a", "b"])
         reach = 1 - percent / 100 + 1e-9
-        near = saved(apart.where(F.col("d") <= F.col("ra") + F.col("rb") + reach).select("a", "b", "ra", "rb"), "near-regions")
+        near = saved(apart.where(F.col("d") <= F.col("ra") + F.col("rb") + reach).select("a", "b", "ra", "rb", F.col("d").alias("dab")), "near-regions")
         if not near.isEmpty():
             links = links.union(saved(_join_regions(near, homes, sets, percent), "boundary-links"))
         label = components(links)
     out = narrow.select("id", "rep").distinct().join(label.withColumnRenamed("id", "rep"), "rep", "left")
-    out = saved(out.groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("component_id")), "components")
+    out = saved(packed(out.groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("component_id")), count), "components")
     out = all_points.select("id", "n").join(out, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
