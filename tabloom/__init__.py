@@ -1,0 +1 @@
+"""Table-cleaning analytics on Spark DataFrames."""
