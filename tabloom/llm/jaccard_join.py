@@ -277,11 +277,27 @@ def _regions(points: DataFrame, sets: _Sets, percent: int) -> tuple[DataFrame, D
     return saved(empty_links, "links"), saved(empty_homes, "region-homes")
 
 
-def _meetings(placed: DataFrame) -> DataFrame:
+def _meetings(points: DataFrame, where: DataFrame, moved: DataFrame) -> DataFrame:
     """(a, b, cells): pairs of regions of different components that share window shingles, and how many.
 
-    ``placed``: region, label, many (whether the region has several points), window.
+    ``points``: id, window; ``where``: id, region, label, many (whether the region has several points); ``moved``: the
+    ids for which region and label are not the id itself.  Only their windows are joined to ``where``: a fixed table of
+    hash slots tells them from the others, and an id that shares a slot by chance is joined for nothing.
     """
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << _ID_BITS))
+    wanted = np.packbits(_bitmap(moved.select(slot.alias("slot")), _ID_BITS))
+
+    def choose(take_moved: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.unpackbits(wanted).astype(bool)
+            for batch in batches:
+                found = bits[batch.column(2).to_numpy()]
+                yield batch.filter(pa.array(found if take_moved else ~found)).select(["id", "window"])
+
+        return points.select("id", "window", slot.alias("slot")).mapInArrow(run, "id long, window binary")
+
+    still = choose(False).select(F.col("id").alias("region"), F.col("id").alias("label"), F.lit(False).alias("many"), "window")
+    joined = choose(True).join(where, "id").select("region", "label", "many", "window")
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -336,7 +352,8 @@ def _meetings(placed: DataFrame) -> DataFrame:
             rest = rows[:, cut:]
         yield from pairs(rest)
 
-    cells = placed.select("region", "label", "many", "window").mapInArrow(scatter, "s long, region long, label long")
+    kind = "s long, region long, label long"
+    cells = still.mapInArrow(scatter, kind).union(joined.mapInArrow(scatter, kind))
     met = cells.repartition("s").sortWithinPartitions("s", "region").mapInArrow(meet, "a long, b long")
     return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("cells"))
 
@@ -400,8 +417,8 @@ def _join_regions(near: DataFrame, homes: DataFrame, sets: _Sets, percent: int)
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) for each row: its set size and the least id it is linked to over any path.
 
-    Two documents link when 100 * common >= percent * union.  Ids are long integers; rows that share an id are one
-    document with several texts.  Null and blank texts have empty sets and link with nothing.  A row with a null id
+    Two documents link when 100 * common >= percent * union.  Ids are long integers, meant to be
+    unique; of rows that share an id each gets the least component found for any of them.  Null and blank texts have empty sets and link with nothing.  A row with a null id
     keeps its set size and has a null component.  Other columns of the input are not looked at.
     """
     often = frequent_slots(docs, text_col, k)
@@ -424,8 +441,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     crowded = saved(region.where("size > 1").select("region"), "crowded").withColumn("many", F.lit(True))
     where = placed.select("id", "region", "label").distinct().join(crowded, "region", "left").withColumn("many", F.coalesce("many", F.lit(False)))
     where = saved(packed(where, count), "homes-of-points")
-    windows = points.select("id", "window").join(where, "id")
-    met = saved(_meetings(windows), "meetings")
+    moved = narrow.where("id <> rep").select("id").union(where.where("region <> id OR label <> id").select("id"))
+    met = saved(_meetings(points, where, moved), "meetings")
 
     a, b = (region.select(*[F.col(c).alias(c + side) for c in region.columns]) for side in ("_a", "_b"))
     met = met.join(a, F.col("a") == F.col("region_a")).join(b, F.col("b") == F.col("region_b"))
