@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import LOWER, UPPER, WHITE, lower_ascii
+from tabloom.llm.common import LOWER, UPPER, WHITE, lower_ascii, saved
 
 
 def lines_of(text: Column) -> Column:
@@ -46,6 +46,8 @@ def dedup_lines(
     )
     seen = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(hashes)).alias("_h"))
     frequent = seen.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("_h")
+    # read back, it has a shuffle of its own or is broadcast by its size; either way Spark can split a very common line
+    frequent = saved(frequent, "frequent-lines")
     per_doc = seen.join(frequent, "_h").groupBy("_id").agg(F.collect_set("_h").alias("_hot"))
     marked = docs.join(per_doc, docs[id_col].eqNullSafe(per_doc["_id"]), "left").drop("_id")
     marked = marked.withColumn("_lines", lines_of(F.col(text_col)))

@@ -29,7 +29,7 @@ def _prefix(key: str, bits: int) -> Column:
     return F.shiftright(F.col(key), 64 - bits)
 
 
-def find_splitters(keys: DataFrame, n_shards: int, tolerance: float = 0.01) -> list[tuple[int, int]]:
+def find_splitters(keys: DataFrame, n_shards: int, tolerance: float = 0.005) -> list[tuple[int, int]]:
     """The ``n_shards - 1`` lower bounds (h, g) of the shards after the first.
 
     ``keys`` has the columns h, g (64-bit keys) and size.  A splitter is settled when the bytes below it are within
@@ -92,7 +92,7 @@ def shard_by_bytes(
     n_shards: int = 40,
     id_col: str = "doc_id",
     text_col: str = "text",
-    tolerance: float = 0.01,
+    tolerance: float = 0.005,
 ) -> DataFrame:
     """Put every row into one of ``n_shards`` shards of nearly equal bytes.
 
