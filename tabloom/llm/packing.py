@@ -23,7 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
+from tabloom.llm.common import saved
 from tabloom.llm.tokens import encoder
 
 SENTENCE_PENALTY, INSIDE_PENALTY = 8, 64
@@ -101,8 +103,8 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, limit: int) -> tuple[list[int
 class _Stream:
     """The open stretch of one range of documents."""
 
-    def __init__(self, limit: int, first_sequence: int, with_ids: bool) -> None:
-        self.limit, self.sequence, self.with_ids = limit, first_sequence, with_ids
+    def __init__(self, limit: int, with_ids: bool) -> None:
+        self.limit, self.sequence, self.with_ids = limit, 0, with_ids
         self.docs: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []  # row, position in it, its tokens, ids, stops
         self.tokens = 0
 
@@ -152,7 +154,7 @@ def pack(
     A document is its ids and ``end_id``; a null text is empty, so every row has a piece.  Returns one row for each
     piece: the input columns without the text, and ``start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``
     (little-endian unsigned 32-bit; null unless wanted).  Rows of equal order keep the order of their texts' hashes.
-    Sequence ids ascend in document order and have gaps between ranges.  Input columns of these names are replaced.
+    Sequence ids ascend in document order, gapless from 0.  The pieces are written to the shared folder once.  Input columns of these names are replaced.
     """
     docs = docs.drop(*[c for c in PIECES.names if c != order_col])
     kept = [f for f in docs.schema.fields if f.name != text_col]
@@ -161,7 +163,8 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, True).encode
         context = TaskContext.get()
-        stream = _Stream(limit, (context.partitionId() if context else 0) << 33, with_ids)
+        part = context.partitionId() if context else 0
+        stream = _Stream(limit, with_ids)
         open_rows: dict[int, dict] = {}
         n = 0
 
@@ -173,7 +176,8 @@ def pack(
             types = [pa.int64()] * 6 + [pa.binary()]
             own = [pa.array([p[k + 1] for p in pieces], types[k]) for k in range(7)]
             other = [pa.array([r[f.name] for r in rows], keep.field(f.name).type) for f in kept]
-            return pa.RecordBatch.from_arrays([*other, *own], [*(f.name for f in kept), *PIECES.names])
+            parts = pa.array([part] * len(pieces), pa.int32())
+            return pa.RecordBatch.from_arrays([*other, *own, parts], [*(f.name for f in kept), *PIECES.names, "_part"])
 
         keep = None
         for whole in batches:
@@ -195,7 +199,14 @@ def pack(
         if stream.docs:
             yield out(True)
 
-    return ordered.mapInArrow(run, T.StructType([*kept, *PIECES.fields]))
+    schema = T.StructType([*kept, *PIECES.fields, T.StructField("_part", T.IntegerType())])
+    pieces = saved(ordered.mapInArrow(run, schema), "pieces")
+    # one row for each range: the sequences of the ranges before it
+    counts = pieces.groupBy("_part").agg((F.max("sequence_id") + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = pieces.join(counts.select("_part", before.alias("_before")), "_part")
+    placed = placed.withColumn("sequence_id", F.col("sequence_id") + F.col("_before"))
+    return placed.select(*[f.name for f in kept], *PIECES.names)
 
 
 def word_vocabulary() -> str:

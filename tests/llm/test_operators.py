@@ -196,6 +196,7 @@ def test_packing(spark, monkeypatch):
             assert [a for a, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1].tolist()] and sum(n for _, n in spans) == len(want[i])
         pad = 0
         order = []
+        assert sorted(by_seq) == list(range(len(by_seq)))
         for k in sorted(by_seq):
             pieces = sorted(by_seq[k])
             n = sum(p[1] for p in pieces)
