@@ -196,7 +196,9 @@ class _Sets:
                     made = [shingle_hashes(t, k).tobytes() for t in _texts(batch, 1)]
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "shingles"])
 
-        return requests.join(self.docs.select("id", "text", self._slot("id")).mapInArrow(run, "id long, shingles binary"), "id")
+        made = self.docs.select("id", "text", self._slot("id")).mapInArrow(run, "id long, shingles binary")
+        # dealt out by id at every size, so that the tasks that make sets do not also compare them
+        return requests.join(made.repartition("id"), "id")
 
     def distances(self, pairs: DataFrame) -> DataFrame:
         """(x, p, common, nx, np) of each row of ``pairs`` (x, p); a p with many x is dealt to several tasks."""
@@ -287,17 +289,24 @@ def _meetings(points: DataFrame, where: DataFrame, moved: DataFrame) -> DataFram
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << _ID_BITS))
     wanted = np.packbits(_bitmap(moved.select(slot.alias("slot")), _ID_BITS))
 
-    def choose(take_moved: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(wanted).astype(bool)
-            for batch in batches:
-                found = bits[batch.column(2).to_numpy()]
-                yield batch.filter(pa.array(found if take_moved else ~found)).select(["id", "window"])
+    slotted = points.select("id", "window", slot.alias("slot"))
 
-        return points.select("id", "window", slot.alias("slot")).mapInArrow(run, "id long, window binary")
+    def moved_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(wanted).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[batch.column(2).to_numpy()])).select(["id", "window"])
+
+    def scatter_still(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The window shingles of the points that are their own region and label."""
+        bits = np.unpackbits(wanted).astype(bool)
+        for batch in _small(batches):
+            batch = batch.filter(pa.array(~bits[batch.column(2).to_numpy()]))
+            if batch.num_rows:
+                windows = [np.frombuffer(w, np.int64) for w in batch.column(1).to_pylist()]
+                s, ids = np.concatenate(windows), np.repeat(batch.column(0).to_numpy(), [len(w) for w in windows])
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(ids), pa.array(ids)], ["s", "region", "label"])
 
-    still = choose(False).select(F.col("id").alias("region"), F.col("id").alias("label"), F.lit(False).alias("many"), "window")
-    joined = choose(True).join(where, "id").select("region", "label", "many", "window")
+    joined = slotted.mapInArrow(moved_only, "id long, window binary").repartition("id").join(where, "id")
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -353,7 +362,7 @@ def _meetings(points: DataFrame, where: DataFrame, moved: DataFrame) -> DataFram
         yield from pairs(rest)
 
     kind = "s long, region long, label long"
-    cells = still.mapInArrow(scatter, kind).union(joined.mapInArrow(scatter, kind))
+    cells = slotted.mapInArrow(scatter_still, kind).union(joined.select("region", "label", "many", "window").mapInArrow(scatter, kind))
     met = cells.repartition("s").sortWithinPartitions("s", "region").mapInArrow(meet, "a long, b long")
     return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("cells"))
 

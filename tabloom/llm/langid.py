@@ -25,7 +25,7 @@ PER_LANG = 400
 _BLANK = bytes(0x20 if b < 0x41 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 _ASCII_LETTER = re.compile("[A-Za-z]")
 #: Bytes of text that are hashed at once.
-_STEP = 1 << 20
+_STEP = 1 << 17
 
 
 def has_letter(text: str | None) -> bool:

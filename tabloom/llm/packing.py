@@ -33,7 +33,7 @@ SENTENCE_PENALTY, INSIDE_PENALTY = 8, 64
 _GRID = 256
 #: Tokens that are solved at once.
 _STRETCH = 1 << 18
-_CHUNK = 2000
+_CHUNK = 1000
 
 PIECES = T.StructType(
     [

@@ -27,7 +27,7 @@ from tabloom.llm.tokens import encoder
 _BLOCK = 512
 #: Ids after which a segment is closed at the next document end.
 _SEGMENT = 1 << 18
-_CHUNK = 2000
+_CHUNK = 1000
 
 _LEVEL = pa.struct([("chunks", pa.binary()), ("marks", pa.binary()), ("ranks", pa.binary())])
 

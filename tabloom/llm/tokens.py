@@ -22,8 +22,8 @@ _WHOLE = (
     r"[ \n][ \n]|^[ \n]|[ \n]$"
     r"|[\x00\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-#: Chunks that a worker remembers (about 120 MB); beyond it, those that were met only once are forgotten.
-_REMEMBERED = 600_000
+#: Chunks that a worker remembers (about 80 MB); beyond it, those that were met only once are forgotten.
+_REMEMBERED = 400_000
 #: Words joined to one string when they are learnt.
 _JOINED = 2000
 
