@@ -14,7 +14,6 @@ solved a bounded stretch at a time, and the open sequence at a stretch's end is
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +30,8 @@ from tabloom.llm.tokens import encoder
 SENTENCE_PENALTY, INSIDE_PENALTY = 8, 64
 #: Distance of cut positions inside a sentence that is longer than this.
 _GRID = 256
+#: The shortest unpadded sequence inside a stream, a power of two.
+_SHORT = 256
 #: Tokens that are solved at once.
 _STRETCH = 1 << 18
 _CHUNK = 1000
@@ -65,29 +66,37 @@ def candidates(ends: np.ndarray, stops: np.ndarray, last: bool, limit: int) -> t
     return at.astype(np.int64), penalty
 
 
-def best_cuts(at: np.ndarray, penalty: np.ndarray, limit: int) -> tuple[list[int], int]:
-    """The cuts of least cost from the first to the last candidate, both included, and that cost."""
+def best_cuts(at: np.ndarray, penalty: np.ndarray, limit: int, least_power: int = 1) -> tuple[list[int], int]:
+    """The cuts of least cost from the first to the last candidate, both included, and that cost.
+
+    Unpadded sequences of a power of two are tried from ``least_power`` tokens on.
+    """
     n = len(at)
     exact: dict[int, list[int]] = {}
-    power = 1
-    while power <= limit:
+    power = least_power
+    while power < limit:
         i = np.searchsorted(at, at - power)
         for j in np.flatnonzero((at >= power) & (at[np.minimum(i, n - 1)] == at - power)).tolist():
             exact.setdefault(j, []).append(int(i[j]))
         power *= 2
     c, pen = at.tolist(), penalty.tolist()
     f, before = [0] * n, [0] * n
-    queue: deque[int] = deque()
+    # the monotone queue: candidates by ascending f + c from `head` on
+    queue: list[int] = []
+    worth: list[int] = []
+    head = 0
     for j in range(1, n):
         new = f[j - 1] + c[j - 1]
-        while queue and f[queue[-1]] + c[queue[-1]] >= new:
+        while len(worth) > head and worth[-1] >= new:
+            worth.pop()
             queue.pop()
+        worth.append(new)
         queue.append(j - 1)
         low = c[j] - limit
-        while c[queue[0]] < low:
-            queue.popleft()
-        i = queue[0]
-        cost = f[i] + c[i] + limit - c[j]
+        while c[queue[head]] < low:
+            head += 1
+        i = queue[head]
+        cost = worth[head] - low
         if j in exact:
             for k in exact[j]:
                 if f[k] < cost:
@@ -119,7 +128,8 @@ class _Stream:
         begin = end - size
         ids = np.concatenate([d[3] for d in self.docs])
         stops = np.concatenate([d[4] + b for d, b in zip(self.docs, begin.tolist(), strict=True)])
-        cuts, _ = best_cuts(*candidates(end, stops, last, self.limit), self.limit)
+        # short sequences are worth trying only where the stream ends
+        cuts, _ = best_cuts(*candidates(end, stops, last, self.limit), self.limit, 1 if last else _SHORT)
         if not last:
             cuts = cuts[:-1]
         done = cuts[-1]
