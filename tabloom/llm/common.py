@@ -49,3 +49,10 @@ def lower_ascii(text: Column) -> Column:
 def packed(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
     """``df`` in at most as many partitions as ``rows`` rows of it need, so that small tables take few tasks."""
     return df.coalesce(max(1, -(-rows // each)))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows from here on: rows hold whole texts, and a batch is held several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > 1000:
+        spark.conf.set(key, "1000")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import LOWER, UPPER
+from tabloom.llm.common import LOWER, UPPER, small_batches
 
 #: Words of items in one automaton (about 100 MB in a task).
 MAX_WORDS = 300_000
@@ -179,6 +179,7 @@ def find_contamination(
     spans; null for a null text, or if not wanted).  A window is ``window`` consecutive words of an item; a shorter
     item is one window, an item without words none.  Null texts have no words.  Columns of these names are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(*_OWN)
     size = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
     parts = max(1, -(-size // (max_words * 4)))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import packed, saved
+from tabloom.llm.common import packed, saved, small_batches
 from tabloom.llm.components import components
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -430,6 +430,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     unique; of rows that share an id each gets the least component found for any of them.  Null and blank texts have empty sets and link with nothing.  A row with a null id
     keeps its set size and has a null component.  Other columns of the input are not looked at.
     """
+    small_batches(docs.sparkSession)
     often = frequent_slots(docs, text_col, k)
     all_points = saved(_points(docs, id_col, text_col, k, percent, often), "points")
     points = all_points.where("id IS NOT NULL AND n > 0")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tabloom.llm.common import saved
+from tabloom.llm.common import saved, small_batches
 from tabloom.llm.tokens import encoder
 
 SENTENCE_PENALTY, INSIDE_PENALTY = 8, 64
@@ -166,6 +166,7 @@ def pack(
     (little-endian unsigned 32-bit; null unless wanted).  Rows of equal order keep the order of their texts' hashes.
     Sequence ids ascend in document order, gapless from 0.  The pieces are written to the shared folder once.  Input columns of these names are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in PIECES.names if c != order_col])
     kept = [f for f in docs.schema.fields if f.name != text_col]
     ordered = docs.repartitionByRange(order_col).sortWithinPartitions(order_col, F.xxhash64(text_col))

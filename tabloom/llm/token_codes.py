@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tabloom.llm.common import shared_folder
+from tabloom.llm.common import shared_folder, small_batches
 from tabloom.llm.tokens import encoder
 
 _BLOCK = 512
@@ -93,6 +93,7 @@ def write_codes(
 
     A null text is empty.  Rows of equal order are ordered by their texts' hashes.  An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     key = docs.schema[order_col]
     schema = T.StructType(
         [
