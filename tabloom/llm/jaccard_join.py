@@ -184,8 +184,8 @@ class _Sets:
     def _slot(c: str) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(1 << _ID_BITS))
 
-    def for_requests(self, requests: DataFrame) -> DataFrame:
-        """``requests`` (with a column id) and the set of each id as ``shingles``."""
+    def for_requests(self, requests: DataFrame, rows: int) -> DataFrame:
+        """``requests`` (with a column id; so many rows) and the set of each id as ``shingles``."""
         wanted, k = np.packbits(_bitmap(requests.select(self._slot("id").alias("slot")), _ID_BITS)), self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ class _Sets:
 
         made = self.docs.select("id", "text", self._slot("id")).mapInArrow(run, "id long, shingles binary")
         # dealt out by id at every size, so that the tasks that make sets do not also compare them
-        return requests.join(made.repartition("id"), "id")
+        return packed(requests.join(made.repartition("id"), "id"), rows, 1000)
 
     def distances(self, pairs: DataFrame) -> DataFrame:
         """(x, p, common, nx, np) of each row of ``pairs`` (x, p); a p with many x is dealt to several tasks."""
@@ -208,7 +208,7 @@ class _Sets:
         asks = pairs.join(salts, "p").select(F.col("x").alias("id"), "p", F.pmod(F.xxhash64("x"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"))
         gives = salts.select(F.col("p").alias("id"), "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
         requests = saved(packed(asks.union(gives), 2 * n), "set-requests")
-        rows = self.for_requests(requests).select("p", "salt", "kind", "id", "shingles")
+        rows = self.for_requests(requests, 2 * n).select("p", "salt", "kind", "id", "shingles")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, pivots = None, []
@@ -395,7 +395,7 @@ def _join_regions(near: DataFrame, homes: DataFrame, sets: _Sets, percent: int)
     left = edge.where("side = 0").select("a", "b", F.pmod(F.xxhash64("x"), F.col("na")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"), "side", F.col("x").alias("id"), F.col("own").alias("da"), F.col("d").alias("db"))
     right = edge.where("side = 1").select("a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("i"), F.pmod(F.xxhash64("x"), F.col("nb")).alias("j"), "side", F.col("x").alias("id"), F.col("d").alias("da"), F.col("own").alias("db"))
     requests = saved(left.union(right), "block-requests")
-    rows = sets.for_requests(requests).select("a", "b", "i", "j", "side", "id", "da", "db", "shingles")
+    rows = sets.for_requests(requests, requests.count()).select("a", "b", "i", "j", "side", "id", "da", "db", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, done = None, [], False
