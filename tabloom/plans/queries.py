@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabloom.functions import reversal, text
-from tabloom.model import fit_width, from_wide
+from tabloom.model import fit_width, from_wide, to_rows
 from tabloom.operators import columns, fold, labels, lookup, merge, quality, rows, segment
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -328,13 +328,28 @@ def _(spark, d):
     return spark.createDataFrame([(n, i + 1) for i, n in enumerate(ordered)], "n_name string, pos int")
 
 
+def _orders_by_status(nation: DataFrame, orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """(n_name, status, n): the orders of each nation in each status, as dense rows of sparse counts."""
+    status = F.array(*map(F.lit, "FOP"))
+    o = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("col_idx", F.array_position(status, F.col("o_orderstatus")).cast("int") - 1)
+    n = o.where("col_idx >= 0").groupBy(F.col("c_nationkey").alias("row_idx"), "col_idx").agg(F.count(F.lit(1)).cast("string").alias("value"))
+    dense = to_rows(n.select(F.lit("orders").alias("table_id"), F.lit(1).alias("page"), "row_idx", "col_idx", "value"), 3).select("row_idx", "cells")
+    # a nation without a cell has no row
+    held = nation.join(dense, F.col("n_nationkey") == F.col("row_idx"), "left").withColumn("cells", fit_width(F.coalesce("cells", F.array().cast("array<string>")), 3))
+    cells = held.select("n_name", F.posexplode("cells").alias("col_idx", "value"))
+    return cells.select("n_name", F.get(status, F.col("col_idx")).alias("status"), F.coalesce(F.col("value").try_cast("long"), F.lit(0)).alias("n"))
+
+
 @query("sparse_to_dense", """SELECT n_name, s AS status, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = n_nationkey AND o_orderstatus = s AND o_orderkey % 50 = 1) AS n
   FROM nation, (VALUES ('F'), ('O'), ('P')) t(s)""")
 def _(spark, d):
-    nation = _t(spark, d, "nation").select("n_nationkey", "n_name", F.explode(F.array(*map(F.lit, "FOP"))).alias("status"))
-    o = _t(spark, d, "orders").where("o_orderkey % 50 = 1").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    n = o.groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-    return nation.join(n, ["n_nationkey", "status"], "left").select("n_name", "status", F.coalesce("n", F.lit(0)).alias("n"))
+    return _orders_by_status(_t(spark, d, "nation"), _t(spark, d, "orders").where("o_orderkey % 50 = 1"), _t(spark, d, "customer"))
+
+
+@query("sparse_to_dense_all", """SELECT n_name, s AS status, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = n_nationkey AND o_orderstatus = s) AS n
+  FROM nation, (VALUES ('F'), ('O'), ('P')) t(s)""")
+def _(spark, d):
+    return _orders_by_status(_t(spark, d, "nation"), _t(spark, d, "orders"), _t(spark, d, "customer"))
 
 
 @query("clean_text", r"""SELECT conv_id, turn, CASE WHEN lower(coalesce(text, '')) IN ('nan', 'none', 'null', 'undefined') THEN '' ELSE trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) END AS text FROM conversations""")
@@ -432,6 +447,13 @@ def _(spark, d):
     return merge.symmetric_difference(a, _t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).distinct())
 
 
+@query("set_symdiff_all", """WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier)
+  (SELECT k, 'left' AS side FROM (SELECT k FROM a EXCEPT SELECT k FROM b)) UNION ALL (SELECT k, 'right' FROM (SELECT k FROM b EXCEPT SELECT k FROM a))""")
+def _(spark, d):
+    a = _t(spark, d, "customer").join(_t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.col("c_nationkey").alias("k")).distinct()
+    return merge.symmetric_difference(a, _t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).distinct())
+
+
 @query("paginate", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 25 AS page FROM orders")
 def _(spark, d):
     return merge.paginate(_t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 25)
