@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabloom.functions.text import epics
+from tabloom.operators.labels import _checked
 
 
 def gap_clusters(df: DataFrame, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:
@@ -71,10 +72,10 @@ def lines_by_number(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("page", "block_num", "line_num").agg(text.alias("text"), F.min("y").alias("y"), F.avg("confidence").alias("confidence"))
 
 
-def column_extents(boxes: DataFrame, row_keys: Sequence[str]) -> DataFrame:
-    """(rank, lo, hi): the extents of the n-th boxes of all rows."""
-    rank = F.row_number().over(W.partitionBy(*row_keys).orderBy("x")) - 1
-    return boxes.withColumn("rank", rank).groupBy("rank").agg(F.min("x").alias("lo"), F.max(F.col("x") + F.col("width")).alias("hi"))
+def column_extents(boxes: DataFrame, row_keys: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, rank, lo, hi): the extents of the n-th boxes of all rows, or of the rows of each of ``keys`` (doc_id, page)."""
+    rank = F.row_number().over(W.partitionBy(*dict.fromkeys((*keys, *row_keys))).orderBy("x")) - 1
+    return boxes.withColumn("rank", rank).groupBy(*keys, "rank").agg(F.min("x").alias("lo"), F.max(F.col("x") + F.col("width")).alias("hi"))
 
 
 def blocks(lines: DataFrame, keys: Sequence[str], order: str, is_start: Column, drop_before_first: bool = False) -> DataFrame:
@@ -172,14 +173,22 @@ def deleted_cards(cards: DataFrame, stamps: DataFrame) -> DataFrame:
 
 
 def box_columns(boxes: DataFrame, extents: DataFrame) -> DataFrame:
-    """Each box with the column that holds its middle, else the next one to the right, else the last."""
+    """Each box with the column that holds its middle, else the next one to the right, else the last.
+
+    Extents meet the boxes of their own doc_id and page, as far as both tables have these columns.  All rows stay,
+    repeated ones too; where no extents are known, the column is null.
+    """
+    keys = [c for c in ("doc_id", "page") if c in boxes.columns and c in extents.columns]
+    # the extents of one page are one row, so boxes are neither multiplied nor grouped
+    listed = _checked(extents.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "rank")).alias("_e")))
     cx = F.col("x") + F.col("width") / 2
-    pairs = boxes.withColumn("_cx", cx).join(F.broadcast(extents.limit(1000)), F.lit(True))
-    inside = (F.col("_cx") >= F.col("lo")) & (F.col("_cx") <= F.col("hi"))
-    rank = F.when(inside, 0).when(F.col("lo") > F.col("_cx"), 1).otherwise(2)
-    place = F.when(rank == 2, -F.col("rank")).otherwise(F.col("rank"))
-    best = pairs.groupBy(*boxes.columns).agg(F.min_by("rank", F.struct(rank, place)).alias("column"))
-    return best
+
+    def place(e: Column) -> Column:
+        kind = F.when((cx >= e["lo"]) & (cx <= e["hi"]), 0).when(e["lo"] > cx, 1).otherwise(2)
+        return F.struct(kind.alias("kind"), F.when(kind == 2, -e["rank"]).otherwise(e["rank"]).alias("place"), e["rank"].alias("rank"))
+
+    pairs = boxes.join(listed, keys, "left") if keys else boxes.join(listed, F.lit(True), "left")
+    return pairs.select(*[boxes[c] for c in boxes.columns], F.array_min(F.transform("_e", place))["rank"].alias("column"))
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, width: float, right_order: str) -> DataFrame:
