@@ -1,13 +1,15 @@
 """Licence scanning with DataFrame functions and Spark's linear models.
 
-Paragraphs (lines) with a licence cue become sparse counts of word 1-, 2- and 3-grams; a multinomial logistic
-regression, fitted on fragments of licence notices and of ordinary sentences, names a family.  A threshold calibrated
-on fragments that a first fit does not see turns unsure predictions into ``unknown``, and a prediction is confirmed
-only if enough of the paragraph's word grams stand in the family's own templates.
+Candidates are the stretches of a paragraph's joined lines whose word pairs stand in the templates, wherever in a line
+they begin and end, and windows of words around each licence cue.  They become sparse counts of word 1-, 2- and
+3-grams; a multinomial logistic regression, fitted on fragments of licence notices and of ordinary sentences, names a
+family.  A threshold calibrated on fragments that a first fit does not see turns unsure predictions into ``unknown``,
+and a prediction is confirmed only if enough of the candidate's word pairs stand in the family's own templates.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -16,6 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.llm.common import saved
+
 #: Fixed licence notices, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit": (
@@ -127,13 +131,29 @@ CUES = (
     "licens", "licenc", "copyright", "permission", "warrant", "redistribut", "public domain", "rights reserved",
     "creative commons", "spdx", "cc by", "cc0", "gpl", "proprietary",
 )
+#: What a text with a cue holds at least, even where a line end parts the words of a cue.
+_TRACES = (*(c for c in CUES if " " not in c), "domain", "reserved", "commons")
+#: Families whose templates hold those of others: a part of one is no notice of another.
+_RELATED = (("gpl", "lgpl", "agpl"), ("cc-by", "cc-by-sa", "cc-by-nc"))
+#: Words of a window around a cue, pairs of foreign words that may stand inside a notice, and least words of a notice.
+_AROUND, _GAP, _LEAST = 12, 2, 3
 _SPLIT = "[^a-z0-9]+"
+#: The end of a sentence, and what stands for it: no notice goes beyond it.
+_END, _STOP = "[.!?;]+(\\s|$)", " | | | "
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
 
 
+def _cued(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(c) for c in CUES])
+
+
+def _traced(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(c) for c in _TRACES]) | (text.contains("cc") & text.rlike("cc[^a-z0-9]+by"))
+
+
 def _grams(words: Column, n: int) -> Column:
     last = F.size(words) - n
     return F.when(
@@ -204,27 +224,126 @@ class LicenseModel:
         return rows.select(*paragraphs.columns, "family", "probability", "confirmed")
 
 
+def _template_pairs() -> list[str]:
+    """The word pairs of all templates."""
+    pairs = set()
+    for text in (t for ts in TEMPLATES.values() for t in ts):
+        for sentence in re.split(_END, text.lower()):
+            words = [w for w in re.split(_SPLIT, sentence or "") if w]
+            pairs.update(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
+    return sorted(pairs)
+
+
+def _stretches(paragraphs: DataFrame) -> DataFrame:
+    """(_id, par, line, first, kind, paragraph): the stretches of template pairs in each paragraph that hold a cue.
+
+    ``kind`` 0: a stretch with up to ``_GAP`` foreign pairs between its own, from the word ``first``; 1: one without any
+    inside such a stretch.  ``line`` is the line on which it begins.
+    """
+    # words and their lines stay arrays of their own: a field of an array of structs would be taken out anew for each word
+    words = F.transform(F.split(F.lower("text"), "\n"), lambda t: F.filter(F.split(F.regexp_replace(t, _END, _STOP), "[^a-z0-9|]+"), lambda w: w != ""))
+    rows = paragraphs.select("_id", "par", words.alias("_s"))
+    rows = rows.select("_id", "par", F.flatten("_s").alias("_w"), F.flatten(F.transform("_s", lambda ws, i: F.array_repeat(i, F.size(ws)))).alias("_l"))
+    rows = rows.where(F.size("_w") >= _LEAST)
+    known = _template_pairs()
+    rows = rows.withColumn("_own", F.transform(F.slice("_w", 1, F.size("_w") - 1), lambda w, i: F.concat(w, F.lit(" "), F.get("_w", i + 1)).isin(known)))
+
+    def runs(gap: int) -> Column:
+        """(first, last): pairs that no own pair precedes, or follows, within ``gap`` foreign ones."""
+
+        def edge(sign: int) -> Column:
+            def lone(i: Column) -> Column:
+                near = reduce(lambda a, b: a | b, [F.coalesce(F.get("_own", i + sign * g), F.lit(False)) for g in range(1, gap + 2)])
+                return F.get("_own", i) & ~near
+
+            return F.filter(F.sequence(F.lit(0), F.size("_own") - 1), lone)
+
+        return F.arrays_zip(edge(-1).alias("first"), edge(1).alias("last"))
+
+    def both(kind: int, gap: int) -> Column:
+        long = F.filter(runs(gap), lambda r: r["last"] - r["first"] + 2 >= _LEAST)
+        return F.transform(long, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.lit(kind).alias("kind")))
+
+    found = rows.select("_id", "par", "_w", "_l", F.explode(F.concat(both(0, _GAP), both(1, 0))).alias("_r")).withColumn("kind", F.col("_r.kind"))
+    out = found.select(
+        "_id", "par", F.get("_l", F.col("_r.first")).alias("line"), F.get("_l", F.col("_r.last") + 1).alias("line_to"), F.col("_r.first").alias("first"), F.col("_r.last").alias("last"), "kind",
+        F.array_join(F.slice("_w", F.col("_r.first") + 1, F.col("_r.last") - F.col("_r.first") + 2), " ").alias("paragraph"),
+    )
+    return out.where(_cued(F.col("paragraph")))
+
+
+def _windows(paragraphs: DataFrame) -> DataFrame:
+    """(_id, par, line, paragraph): each line with a cue; of longer lines the windows of words around each cue."""
+    lines = paragraphs.select("_id", "par", F.posexplode(F.split("text", "\n")).alias("line", "_text")).where(_cued(F.lower("_text")))
+    lines = lines.select("_id", "par", "line", "_text", _words(F.col("_text")).alias("_w"))
+    starts = [c.split(" ") for c in CUES]
+
+    def at(i: Column) -> Column:
+        """Whether a cue begins in the word ``i``."""
+        hits = []
+        for first, *more in starts:
+            hit = F.get("_w", i).contains(first) if not more else F.get("_w", i).endswith(first)
+            for n, w in enumerate(more, 1):
+                hit = hit & F.coalesce(F.get("_w", i + n).startswith(w), F.lit(False))
+            hits.append(hit)
+        return reduce(lambda a, b: a | b, hits)
+
+    hits = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), at)
+    around = F.transform(hits, lambda i: F.array_join(F.slice("_w", F.greatest(i - _AROUND // 2, F.lit(0)) + 1, _AROUND), " "))
+    short = F.size("_w") <= _AROUND
+    return lines.select("_id", "par", "line", F.explode(F.when(short | (F.size("_w") == 0), F.array("_text")).otherwise(F.array_distinct(around))).alias("paragraph"))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LicenseModel | None = None) -> DataFrame:
     """(id, n_candidates, n_licenses, families, n_unknown, best_probability) of every whole text.
 
-    ``n_candidates``: lines with a cue; ``families``: the confirmed families, sorted; ``n_licenses``: the confirmed
-    lines; ``n_unknown``: candidates that look like no known family but are not ordinary either.  Texts that are null
-    or have no cue have zeros and an empty array.  Rows that share an id are counted as one document; one row for each id.
+    A notice may be a part of a line or go over several lines of a paragraph (lines without a blank one between).
+    ``n_candidates``: lines that hold a cue or begin a notice; ``families``: the confirmed families, sorted;
+    ``n_licenses``: the confirmed notices, of one family once for a line; ``n_unknown``: candidates outside all
+    confirmed notices that are not ordinary.  Texts that are null or have no cue have zeros and an empty array.  Rows
+    that share an id are counted as one document; one row for each id.
     """
     model = model or LicenseModel(docs.sparkSession)
+    kept = docs.where(_traced(F.lower(text_col))).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    # rows that share an id keep paragraphs of their own
+    paragraphs = kept.select("_id", F.xxhash64("_text").alias("_doc"), F.posexplode(F.split("_text", "\n[ \t\r]*\n")).alias("_n", "text"))
+    paragraphs = paragraphs.select("_id", F.struct("_doc", "_n").alias("par"), "text").where(_traced(F.lower("text")))
+    # the few paragraphs with a cue are read more than once
+    paragraphs = saved(paragraphs, "license-paragraphs")
+    no = F.lit(None).cast("int")
+    stretches = _stretches(paragraphs)
+    windows = _windows(paragraphs).select("_id", "par", "line", F.col("line").alias("line_to"), no.alias("first"), no.alias("last"), F.lit(2).alias("kind"), "paragraph")
+    found = model.predict(stretches.unionByName(windows))
+    found = found.withColumn("licensed", F.col("confirmed") & ~F.col("family").isin(NONE, "unknown"))
+    notice = F.struct("kind", "first", "last", "line", "line_to", "family", "probability")
+    grouped = found.groupBy("_id", "par").agg(
+        F.collect_list(F.when(F.col("licensed"), notice)).alias("_all"),
+        F.collect_list(F.when(F.col("kind") == 2, F.struct("line", "family"))).alias("_cues"),
+    )
+    related = [F.array(*map(F.lit, r)) for r in _RELATED]
+
+    def inside(part: Column, whole: Column) -> Column:
+        """Whether a confirmed stretch, or window, is told by one that holds it."""
+        kin = reduce(lambda a, b: a | b, [F.array_contains(r, part["family"]) & F.array_contains(r, whole["family"]) for r in related])
+        within = F.when(part["kind"] == 1, (part["first"] >= whole["first"]) & (part["last"] <= whole["last"])).otherwise(
+            (part["line"] >= whole["line"]) & (part["line"] <= whole["line_to"])
+        )
+        return (whole["kind"] < part["kind"]) & within & (kin | (part["family"] == whole["family"]) | (part["kind"] == 2))
 
-    def cued(text: Column) -> Column:
-        return reduce(lambda a, b: a | b, [text.contains(c) for c in CUES])
-
-    lines = docs.where(cued(F.lower(text_col))).select(F.col(id_col).alias("_id"), F.explode(F.split(text_col, "\n")).alias("paragraph"))
-    found = model.predict(lines.where(cued(F.lower("paragraph"))))
-    is_license = F.col("confirmed") & ~F.col("family").isin(NONE, "unknown")
-    sums = found.groupBy("_id").agg(
-        F.count(F.lit(1)).alias("n_candidates"),
-        F.count_if(is_license).alias("n_licenses"),
-        F.array_sort(F.collect_set(F.when(is_license, F.col("family")))).alias("families"),
-        F.count_if(F.col("family") == "unknown").alias("n_unknown"),
-        F.max(F.when(is_license, F.col("probability"))).alias("best_probability"),
+    told = grouped.withColumn("_own", F.filter("_all", lambda p: ~F.exists("_all", lambda w: inside(p, w))))
+    told = told.withColumn("_own", F.array_distinct(F.transform("_own", lambda p: F.struct(p["line"].alias("line"), p["family"].alias("family")))))
+    spare = F.filter("_cues", lambda c: (c["family"] != NONE) & ~F.exists("_all", lambda w: (c["line"] >= w["line"]) & (c["line"] <= w["line_to"])))
+    lines = F.array_union(F.transform("_cues", lambda c: c["line"]), F.transform("_own", lambda c: c["line"]))
+    told = told.select(
+        "_id", F.size(lines).alias("_c"), F.size("_own").alias("_n"), F.col("_own.family").alias("_f"),
+        F.size(F.array_distinct(F.transform(spare, lambda c: c["line"]))).alias("_u"), F.array_max(F.col("_all.probability")).alias("_p"),
+    )
+    sums = told.groupBy("_id").agg(
+        F.sum("_c").alias("n_candidates"),
+        F.sum("_n").alias("n_licenses"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_f")))).alias("families"),
+        F.sum("_u").alias("n_unknown"),
+        F.max("_p").alias("best_probability"),
     )
     ids = docs.select(id_col).distinct()
     out = ids.join(sums, ids[id_col].eqNullSafe(sums["_id"]), "left").drop("_id")
