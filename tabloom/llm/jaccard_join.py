@@ -13,8 +13,10 @@ Distance 1 - J is a metric.  The join partitions the documents by it:
 4.  Where it does not settle them, the boundary documents - those near enough to the other centre - are replicated
     into a join of the two regions, in blocks, again behind the triangle inequality on both centres.
 
-All distances are computed exactly on whole sets (of 63-bit shingle hashes).  Links inside one component need no
-further look, so large groups of near copies cost one distance a document, not one a pair.  The order puts shingles
+All distances are computed exactly on whole sets (of 63-bit shingle hashes).  ``jaccard_links`` gives every link: it
+also joins each region with itself and regions of one component.  Where components alone are asked for, links inside
+one component need no further look, so large groups of near copies cost one distance a document, not one a pair.
+Regions are elected in a fixed number of rounds and joined in flat blocks; they are not divided recursively.  The order puts shingles
 that repeat within a stretch of the corpus last, which keeps windows selective; it decides cost, never results.
 """
 
@@ -367,9 +369,11 @@ def _meetings(points: DataFrame, where: DataFrame, moved: DataFrame) -> DataFram
     return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("cells"))
 
 
-def _join_regions(near: DataFrame, homes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+def _join_regions(near: DataFrame, homes: DataFrame, sets: _Sets, percent: int, every: bool = False) -> DataFrame:
     """Links (a, b), one at least for each pair of regions that holds any, of region pairs a distance did not settle.
 
+    With ``every`` all links of the pairs; a pair of a region with itself holds the links inside it.
+
     ``near``: a, b, ra, rb, dab (centres, covering radii, their distance).  Boundary documents, those within the other radius and r of
     the other centre, are dealt in blocks to tasks, which compare what the distances to both centres allow.
     """
@@ -411,26 +415,26 @@ def _join_regions(near: DataFrame, homes: DataFrame, sets: _Sets, percent: int)
                     held.append((x, da, db, s))
                     continue
                 for y, ya, yb, t in held:
-                    if abs(da - ya) <= r and abs(db - yb) <= r:
+                    if (a != b or y < x) and abs(da - ya) <= r and abs(db - yb) <= r:
                         common = _common(s, t)
                         if common * 100 >= (len(s) + len(t) - common) * percent:
                             out.append((y, x))
-                            done = True  # the two regions are one component now
-                            break
+                            if not every:
+                                done = True  # the two regions are one component now
+                                break
             yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in range(2)], ["a", "b"])
 
     keys = ["a", "b", "i", "j"]
     return rows.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id) for each row: its set size and the least id it is linked to over any path.
+def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(points, members (id, rep), links (a, b) between representatives, number of members).
 
-    Two documents link when 100 * common >= percent * union.  Ids are long integers, meant to be
-    unique; of rows that share an id each gets the least component found for any of them.  Null and blank texts have empty sets and link with nothing.  A row with a null id
-    keeps its set size and has a null component.  Other columns of the input are not looked at.
+    With ``every`` all links, else as many as make the components.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     often = frequent_slots(docs, text_col, k)
     all_points = saved(_points(docs, id_col, text_col, k, percent, often), "points")
     points = all_points.where("id IS NOT NULL AND n > 0")
@@ -440,10 +444,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     narrow = narrow.withColumn("rep", F.coalesce("rep", "id")).drop("f1", "f2")
     narrow = saved(packed(narrow, all_points.count()), "representatives")
     links, homes = _regions(narrow.where("id = rep"), sets, percent)
-    label = components(links)
+    # regions of one component need no further look where components alone are asked for
+    label = spark.createDataFrame([], "id long, label long") if every else components(links)
 
     placed = narrow.where("id = rep").select("id", "n").distinct().join(homes.withColumnRenamed("x", "id"), "id", "left").join(label, "id", "left")
-    placed = placed.select("id", "n", F.coalesce("p", "id").alias("region"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("label", "id").alias("label"))
+    placed = placed.select("id", "n", F.coalesce("p", "id").alias("region"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("label", "p" if every else "id", "id").alias("label"))
     count = narrow.count()
     placed = saved(packed(placed, count), "placed")
     region = placed.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("d").alias("radius"))
@@ -461,16 +466,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     beyond = [m - F.floor(m * (100 - percent) / 100) - 1 for m in (most_a, most_b)]
     met = met.where((least_a * percent <= most_b * 100) & (least_b * percent <= most_a * 100) & (F.col("cells") >= need - F.greatest(*beyond)))
     met = saved(met.select("a", "b", F.col("radius_a").alias("ra"), F.col("radius_b").alias("rb"), (F.col("size_a") + F.col("size_b") > 2).alias("wide")), "region-pairs")
+    near = spark.createDataFrame([], "a long, b long, ra double, rb double, dab double")
+    if every:
+        radius = F.col("radius")
+        near = region.where("size > 1").select(F.col("region").alias("a"), F.col("region").alias("b"), radius.alias("ra"), radius.alias("rb"), F.lit(0.0).alias("dab"))
     if not met.isEmpty():
         centres = saved(sets.distances(met.select(F.col("a").alias("x"), F.col("b").alias("p"))).withColumn("link", _linked(percent)).withColumn("d", _distance()), "centre-distances")
         links = links.union(centres.where("link").select(F.col("x").alias("a"), F.col("p").alias("b")))
-        apart = met.where("wide").join(centres.where("NOT link").select(F.col("x").alias("a"), F.col("p").alias("b"), "d"), ["a", "b"])
+        open_ = centres if every else centres.where("NOT link")
+        apart = met.where("wide").join(open_.select(F.col("x").alias("a"), F.col("p").alias("b"), "d"), ["a", "b"])
         reach = 1 - percent / 100 + 1e-9
-        near = saved(apart.where(F.col("d") <= F.col("ra") + F.col("rb") + reach).select("a", "b", "ra", "rb", F.col("d").alias("dab")), "near-regions")
-        if not near.isEmpty():
-            links = links.union(saved(_join_regions(near, homes, sets, percent), "boundary-links"))
-        label = components(links)
-    out = narrow.select("id", "rep").distinct().join(label.withColumnRenamed("id", "rep"), "rep", "left")
+        near = near.union(apart.where(F.col("d") <= F.col("ra") + F.col("rb") + reach).select("a", "b", "ra", "rb", F.col("d").alias("dab")))
+    near = saved(near, "near-regions")
+    if not near.isEmpty():
+        links = links.union(saved(_join_regions(near, homes, sets, percent, every), "boundary-links"))
+    links = saved(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
+    return all_points, narrow.select("id", "rep").distinct(), links, count
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b), members (id, rep)): every pair a < b of different sets with 100 * common >= percent * union.
+
+    A set stands for all documents that have it, under the least of their ids: ``rep`` of each ``id``.  Documents link
+    if they have one ``rep`` or their ``rep``s link.  Ids are unique; null ids and empty sets are in neither table.
+    """
+    _, members, links, _ = _join(docs, id_col, text_col, k, percent, every=True)
+    return links, members
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, every: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) for each row: its set size and the least id it is linked to over any path.
+
+    Two documents link when 100 * common >= percent * union.  Ids are long integers, meant to be
+    unique; of rows that share an id each gets the least component found for any of them.  Null and blank texts have empty sets and link with nothing.  A row with a null id
+    keeps its set size and has a null component.  Other columns of the input are not looked at.  With ``every`` the
+    components come from all links, as ``jaccard_links`` gives them; they are the same.
+    """
+    all_points, members, links, count = _join(docs, id_col, text_col, k, percent, every)
+    label = components(links)
+    out = members.join(label.withColumnRenamed("id", "rep"), "rep", "left")
     out = saved(packed(out.groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("component_id")), count), "components")
     out = all_points.select("id", "n").join(out, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
@@ -484,4 +518,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op9_jaccard_join(spark, sf_dir):
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), every=True)
