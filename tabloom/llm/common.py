@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 _own: dict[str, str] = {}
+_kept: list[list[str]] = []
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,24 +25,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is named."""
+    """The folder ``spark.checkpoint.dir`` names; where it is unset, a folder of our own, on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tabloom-")
     return "file://" + _own[app]
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage durably."""
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage durably.
+
+    Within ``scratch`` the table is removed at its end, but for those to ``keep``.
+
+    While it writes, Arrow batches hold at most 1000 rows: rows hold whole texts, and a batch is held several times.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(was), 1000)) if int(was) > 0 else "1000")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, was)
+    if _kept and not keep:
+        _kept[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are ``saved`` within are removed at the end, so that one run holds no disk for the next."""
+    _kept.append([])
+    try:
+        yield
+    finally:
+        removed(spark, _kept.pop())
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; texts of ASCII only take Spark's quicker ``lower``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
@@ -49,10 +83,3 @@ def lower_ascii(text: Column) -> Column:
 def packed(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
     """``df`` in at most as many partitions as ``rows`` rows of it need, so that small tables take few tasks."""
     return df.coalesce(max(1, -(-rows // each)))
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1000 rows from here on: rows hold whole texts, and a batch is held several times."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 1000:
-        spark.conf.set(key, "1000")

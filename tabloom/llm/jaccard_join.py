@@ -1,23 +1,25 @@
 """Exact Jaccard self-join of word n-gram sets in their metric space.
 
-Distance 1 - J is a metric.  The join partitions the documents by it:
+Distance d = 1 - J is a metric, and two sets within r of each other share one of the first floor(r n) + 1 shingles of
+each, whatever order of shingles is fixed.  Two proofs of "further apart than r" follow from that, and the join uses both:
 
 1.  Equal sets become one point.
-2.  Pivots are elected in rounds: the points that share one of their least shingle hashes elect the least id; every
-    other point of the group measures its distance to it.  A point within the radius joins the nearest such pivot:
-    the Voronoi regions, each with its covering radius.  Points that no pivot reaches stand for the next round, and at
-    last are regions of their own.
-3.  Regions meet in windows.  Shingles have one global order; two points within radius r share one of the first
-    floor(r n) + 1 of each, so only regions with a common window shingle can hold a link.  The triangle inequality
-    then settles most of those by one distance: centres further apart than both radii and r hold none.
-4.  Where it does not settle them, the boundary documents - those near enough to the other centre - are replicated
-    into a join of the two regions, in blocks, again behind the triangle inequality on both centres.
-
-All distances are computed exactly on whole sets (of 63-bit shingle hashes).  ``jaccard_links`` gives every link: it
-also joins each region with itself and regions of one component.  Where components alone are asked for, links inside
-one component need no further look, so large groups of near copies cost one distance a document, not one a pair.
-Regions are elected in a fixed number of rounds and joined in flat blocks; they are not divided recursively.  The order puts shingles
-that repeat within a stretch of the corpus last, which keeps windows selective; it decides cost, never results.
+2.  Meeting.  Every point shows the least hashes of its set, a little more than floor(r n) + 1 of them, without the very
+    frequent shingles.  Points that meet in a shingle of at most ``_CROWD`` points become a pair that is measured.  In a
+    crowded shingle no pairs are made; each point is only told so.  A point with floor(r n) + 1 uncrowded shingles is
+    settled: whatever lies within r of it met it there.  The others, the crowd, show their whole sets: to the settled
+    points' shingles, and to each other, where the same rule settles most of them.
+3.  Voronoi regions.  What stays crowded lies in large groups of near copies.  Points that share least hashes elect the
+    least id as pivot; a point within the radius joins the nearest pivot.  Each region has its covering radius.
+4.  Recursion.  The pivots, and points that no pivot reached, are joined by the same steps with the radius
+    r + R + R'; while they stay crowded, pivots of a doubled radius are elected among them, and so on.
+5.  Windows.  Where two centres are no further apart than r + R + R', the boundary documents - those that the triangle
+    inequality cannot keep from the other region - are replicated into a join of the two regions, in bounded blocks.
+
+All distances are computed exactly on whole sets (of 63-bit shingle hashes).  Pairs are made only in shingles of at most
+``_CROWD`` points, so their number grows with the rows; a group of near copies costs one distance a document, and only
+where all its links are asked for is it compared block by block, which leaves one count a document and block.
+The table of very frequent shingles and the one of the crowd's shingles have a fixed size.  They decide cost, never results.
 """
 
 from __future__ import annotations
@@ -27,25 +29,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabloom.llm.common import packed, saved, small_batches
+from tabloom.llm.common import packed, saved, scratch
 from tabloom.llm.components import components
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-#: Words that are hashed at once, bits of the table of frequent shingles, and of the table of wanted ids.
-_WORDS, _SLOT_BITS, _ID_BITS = 1 << 15, 20, 23
-#: Shingles that are counted at once, and the count in such a stretch from which one counts as frequent.
-_STRETCH, _OFTEN = 1 << 21, 3
+#: Words that are hashed at once, bits of the table of frequent shingles, and of the table of the crowd's shingles.
+_WORDS, _SLOT_BITS, _CROWD_BITS = 1 << 15, 20, 24
+#: Shingles that are counted at once, and the count in such a stretch from which one counts as frequent there; a shingle
+#: is frequent if that is so in one of ``_PART`` stretches.
+_STRETCH, _OFTEN, _PART = 1 << 21, 4, 8
+#: Points of one shingle from which it is crowded.
+_CROWD = 24
 #: Least hashes by which a point meets others in an election, and rounds of elections.
 _KEYS, _ROUNDS = 4, 2
-#: Points that one task compares with a pivot or a block before the group is dealt to more tasks.
-_BLOCK = 128
+#: Points that are compared in blocks at once, without more steps.
+_LEAF = 1024
+#: Points and shingles of one side of a block, and points that one task compares with one pivot.
+_BLOCK, _BLOCK_SHINGLES = 128, 1 << 20
 
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
@@ -101,7 +107,7 @@ def _small(batches: Iterator[pa.RecordBatch], n: int = 500) -> Iterator[pa.Recor
             yield batch.slice(at, n)
 
 
-def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+def _table(slots: DataFrame, bits: int) -> np.ndarray:
     """Which of 2**bits slots occur in the column ``slot``; at most 2**bits / 32768 rows of 4 KB reach the driver."""
     one = F.col("slot") + 1  # Spark's positions begin at 1
     rows = slots.groupBy(F.bitmap_bucket_number(one).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("m"))
@@ -112,8 +118,12 @@ def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(63 - bits)).astype(np.int64)
+
+
 def frequent_slots(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """A table of hash slots that hold a shingle found in several documents of one stretch; all texts are read."""
+    """A table of hash slots that hold a shingle found in several documents of many stretches; all texts are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -121,8 +131,8 @@ def frequent_slots(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
 
         def out() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            slots = np.unique(values[counts >= _OFTEN] >> np.uint64(63 - _SLOT_BITS)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(slots)], ["slot"])
+            slots = np.unique(_slots(values[counts >= _OFTEN], _SLOT_BITS))
+            return pa.RecordBatch.from_arrays([pa.array(np.append(slots, -1))], ["slot"])  # -1 counts the stretch
 
         for batch in _small(batches):
             for text in _texts(batch, 0):
@@ -134,354 +144,483 @@ def frequent_slots(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
         if held:
             yield out()
 
-    return _bitmap(docs.select(text_col).mapInArrow(run, "slot long"), _SLOT_BITS)
-
-
-def _ordered(h: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """Hashes in the global order: the frequent ones, marked by the top bit, come last."""
-    hot = often[(h >> np.uint64(63 - _SLOT_BITS)).astype(np.int64)]
-    return np.concatenate((h[~hot], h[hot] | np.uint64(1 << 63)))
+    counts = saved(docs.select(text_col).mapInArrow(run, "slot long").groupBy("slot").count(), "frequent-slots")
+    stretches = counts.where("slot = -1").agg(F.sum("count")).first()[0] or 0
+    return _table(counts.where((F.col("slot") >= 0) & (F.col("count") * _PART >= stretches)), _SLOT_BITS)
 
 
-def _points(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, often: np.ndarray) -> DataFrame:
-    """(id, n, f1, f2, keys, window) of each document: set size, fingerprint, least hashes, window (8 bytes each)."""
-    schema = "id long, n long, f1 long, f2 long, keys array<long>, window binary"
+def _points(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
+    """(id, n, f1, f2, shown, window) of each (id, text): set size, fingerprint, and the hashes that it shows to others."""
+    schema = "id long, n int, f1 long, f2 long, shown int, window binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            n, f1, f2, keys, window = [], [], [], [], []
+            n, f1, f2, shown, window = [], [], [], [], []
             for text in _texts(batch, 1):
                 h = shingle_hashes(text, k)
                 n.append(len(h))
                 if not len(h):
-                    for c in (f1, f2, keys, window):
+                    for c in (f1, f2, shown, window):
                         c.append(None)
                     continue
                 f = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
                 f1.append(int(f[0]))
                 f2.append(int(f[1]))
-                keys.append(h[:_KEYS].view(np.int64).tolist())
-                window.append(_ordered(h, often)[: len(h) * (100 - percent) // 100 + 1].tobytes())
-            columns = [
-                batch.column(0).cast(pa.int64()),
-                pa.array(n, pa.int64()),
-                pa.array(f1, pa.int64()),
-                pa.array(f2, pa.int64()),
-                pa.array(keys, pa.list_(pa.int64())),
-                pa.array(window, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "f1", "f2", "keys", "window"])
-
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
-
-
-class _Sets:
-    """Whole shingle sets of the documents, made anew for those that are asked for."""
-
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int) -> None:
-        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-        self.k = k
-
-    @staticmethod
-    def _slot(c: str) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(1 << _ID_BITS))
-
-    def for_requests(self, requests: DataFrame, rows: int) -> DataFrame:
-        """``requests`` (with a column id; so many rows) and the set of each id as ``shingles``."""
-        wanted, k = np.packbits(_bitmap(requests.select(self._slot("id").alias("slot")), _ID_BITS)), self.k
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(wanted).astype(bool)
-            for batch in _small(batches):
-                batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()]))
-                if batch.num_rows:
-                    made = [shingle_hashes(t, k).tobytes() for t in _texts(batch, 1)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "shingles"])
-
-        made = self.docs.select("id", "text", self._slot("id")).mapInArrow(run, "id long, shingles binary")
-        # dealt out by id at every size, so that the tasks that make sets do not also compare them
-        return packed(requests.join(made.repartition("id"), "id"), rows, 1000)
-
-    def distances(self, pairs: DataFrame) -> DataFrame:
-        """(x, p, common, nx, np) of each row of ``pairs`` (x, p); a p with many x is dealt to several tasks."""
-        n = pairs.count()
-        salts = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("long").alias("salts"))
-        salts = saved(packed(salts, n), "pivot-salts")
-        asks = pairs.join(salts, "p").select(F.col("x").alias("id"), "p", F.pmod(F.xxhash64("x"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"))
-        gives = salts.select(F.col("p").alias("id"), "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
-        requests = saved(packed(asks.union(gives), 2 * n), "set-requests")
-        rows = self.for_requests(requests, 2 * n).select("p", "salt", "kind", "id", "shingles")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, pivots = None, []
-            for batch in _small(batches, 2000):
-                out = []
-                for p, salt, kind, x, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if at != (p, salt):
-                        at, pivots = (p, salt), []
-                    s = np.frombuffer(raw, np.uint64)
-                    if kind == 0:
-                        pivots.append(s)
-                    else:
-                        out += [(x, p, _common(s, q), len(s), len(q)) for q in pivots]
-                columns = [pa.array([r[c] for r in out], pa.int64()) for c in range(5)]
-                yield pa.RecordBatch.from_arrays(columns, ["x", "p", "common", "nx", "np"])
-
-        dealt = packed(rows.repartition("p", "salt"), 2 * n, 1000).sortWithinPartitions("p", "salt", "kind")
-        return dealt.mapInArrow(run, "x long, p long, common long, nx long, np long")
+                h = h[~often[_slots(h, _SLOT_BITS)]][: n[-1] * (100 - percent) // 100 + n[-1] // 20 + 2]
+                shown.append(len(h))
+                window.append(h.tobytes())
+            columns = [batch.column(0), *(pa.array(c, t) for c, t in ((n, pa.int32()), (f1, pa.int64()), (f2, pa.int64()), (shown, pa.int32()), (window, pa.binary())))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "f1", "f2", "shown", "window"])
 
+    return docs.mapInArrow(run, schema)
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0
 
+def _sets(docs: DataFrame, wanted: DataFrame, k: int, often: np.ndarray) -> DataFrame:
+    """(id, n, hot, keys, shingles) of the ``wanted`` ids: size, frequent shingles, least hashes, the whole set."""
 
-def _linked(percent: int) -> Column:
-    return F.col("common") * 100 >= (F.col("nx") + F.col("np") - F.col("common")) * percent
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            made = [shingle_hashes(t, k) for t in _texts(batch, 1)]
+            hot = [int(often[_slots(h, _SLOT_BITS)].sum()) for h in made]
+            keys = pa.array([h[:_KEYS].view(np.int64).tolist() for h in made], pa.list_(pa.int64()))
+            columns = [batch.column(0), pa.array([len(h) for h in made], pa.int32()), pa.array(hot, pa.int32()), keys, pa.array([h.tobytes() for h in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "hot", "keys", "shingles"])
 
+    chosen = docs.join(wanted, "id", "left_semi").select("id", "text")
+    return chosen.mapInArrow(run, "id long, n int, hot int, keys array<long>, shingles binary").where("n > 0")
 
-def _distance() -> Column:
-    return 1 - F.col("common") / (F.col("nx") + F.col("np") - F.col("common"))
-
-
-def _regions(points: DataFrame, sets: _Sets, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), homes (x, p, d) of the points that joined a pivot's region), by rounds of elections."""
-    spark = points.sparkSession
-    standing = points.select("id", "n", "keys")
-    count = points.count()
-    links, homes = [], []
-    for _ in range(_ROUNDS):
-        ballots = standing.select("id", "n", F.explode("keys").alias("key"))
-        heads = ballots.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        elected = saved(packed(heads.select("key", F.col("m.id").alias("p"), F.col("m.n").alias("np")), count), "elected")
-        # sizes that differ more can't link, and a lone common hash out of several seldom means a near copy
-        met = ballots.join(elected, "key").where(f"id <> p AND n * 100 >= np * {percent} AND np * 100 >= n * {percent}")
-        met = met.groupBy(F.col("id").alias("x"), "p", "n").agg(F.count(F.lit(1)).alias("c"))
-        pairs = saved(packed(met.where(F.col("c") >= F.least(F.lit(2), F.col("n"))).select("x", "p"), count), "pivot-pairs")
-        if pairs.isEmpty():
-            break
-        near = saved(sets.distances(pairs).where(_linked(percent)).withColumn("d", _distance()).select("x", "p", "d"), "pivot-links")
-        links.append(near.select(F.col("x").alias("a"), F.col("p").alias("b")))
-        # a pivot is the centre of its own region, so it joins no other
-        pivots = elected.select(F.col("p").alias("x")).distinct()
-        joined = near.groupBy("x").agg(F.min(F.struct("d", "p")).alias("m")).select("x", "m.p", "m.d")
-        home = saved(packed(joined.join(pivots, "x", "left_anti"), count), "homes")
-        homes.append(home)
-        settled = saved(packed(home.select(F.col("x").alias("id")).union(pivots.select(F.col("x").alias("id"))), count), "settled")
-        standing = saved(packed(standing.join(settled, "id", "left_anti"), count), "standing")
-    empty_links = spark.createDataFrame([], "a long, b long")
-    empty_homes = spark.createDataFrame([], "x long, p long, d double")
-    for part in links:
-        empty_links = empty_links.union(part)
-    for part in homes:
-        empty_homes = empty_homes.union(part)
-    return saved(empty_links, "links"), saved(empty_homes, "region-homes")
-
-
-def _meetings(points: DataFrame, where: DataFrame, moved: DataFrame) -> DataFrame:
-    """(a, b, cells): pairs of regions of different components that share window shingles, and how many.
-
-    ``points``: id, window; ``where``: id, region, label, many (whether the region has several points); ``moved``: the
-    ids for which region and label are not the id itself.  Only their windows are joined to ``where``: a fixed table of
-    hash slots tells them from the others, and an id that shares a slot by chance is joined for nothing.
-    """
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << _ID_BITS))
-    wanted = np.packbits(_bitmap(moved.select(slot.alias("slot")), _ID_BITS))
 
-    slotted = points.select("id", "window", slot.alias("slot"))
+def _rows(points: DataFrame, skip: np.ndarray | None = None, only: np.ndarray | None = None) -> DataFrame:
+    """(s, id, n): a row for each hash in the binary column of ``points`` (id, n, hashes), but for slots in ``skip``."""
+    only = None if only is None else np.packbits(only)
 
-    def moved_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(wanted).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(bits[batch.column(2).to_numpy()])).select(["id", "window"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if only is None else np.unpackbits(only).astype(bool)
+        for batch in _small(batches, 200):
+            sets = [np.frombuffer(w, np.uint64) for w in batch.column(2).to_pylist()]
+            size = [len(h) for h in sets]
+            s = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            ids, n = (np.repeat(batch.column(c).to_numpy(), size) for c in (0, 1))
+            keep = np.ones(len(s), bool) if skip is None else ~skip[_slots(s, _SLOT_BITS)]
+            if wanted is not None:
+                keep &= wanted[_slots(s, _CROWD_BITS)]
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(ids[keep]), pa.array(n[keep])], ["s", "id", "n"])
 
-    def scatter_still(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The window shingles of the points that are their own region and label."""
-        bits = np.unpackbits(wanted).astype(bool)
-        for batch in _small(batches):
-            batch = batch.filter(pa.array(~bits[batch.column(2).to_numpy()]))
-            if batch.num_rows:
-                windows = [np.frombuffer(w, np.int64) for w in batch.column(1).to_pylist()]
-                s, ids = np.concatenate(windows), np.repeat(batch.column(0).to_numpy(), [len(w) for w in windows])
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(ids), pa.array(ids)], ["s", "region", "label"])
+    return points.mapInArrow(run, "s long, id long, n int")
 
-    joined = slotted.mapInArrow(moved_only, "id long, window binary").repartition("id").join(where, "id")
 
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+def _counted(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(x))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first]), pa.array(count)], ["a", "b", "c"])
 
-        def rows(s: np.ndarray, region: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(region), pa.array(label)], ["s", "region", "label"])
 
-        def out() -> pa.RecordBatch:
-            # the points of one region in this task need only one row for a shingle
-            all_ = np.unique(np.concatenate(held), axis=0)
-            return rows(all_[:, 0].copy(), all_[:, 1].copy(), all_[:, 2].copy())
+def _alike(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Whether sizes allow a similarity of ``least``."""
+    return np.minimum(n, m) >= np.maximum(n, m) * least - 1e-6
 
-        for batch in _small(batches):
-            region, label = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            many = batch.column(2).to_pylist()
-            windows = [np.frombuffer(w, np.int64) for w in batch.column(3).to_pylist()]
-            n = np.array([len(w) for w in windows])
-            single = np.flatnonzero(~np.array(many, bool))
-            if len(single):
-                s = np.concatenate([windows[i] for i in single])
-                yield rows(s, np.repeat(region[single], n[single]), np.repeat(label[single], n[single]))
-            for i in np.flatnonzero(np.array(many, bool)):
-                held.append(np.stack((windows[i], np.full(n[i], region[i]), np.full(n[i], label[i])), axis=1))
-                size += int(n[i])
-            if size >= _STRETCH // 4:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((3, 0), np.int64)
-
-        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            s, region, label = rows
-            fresh = np.ones(len(s), bool)
-            fresh[1:] = (s[1:] != s[:-1]) | (region[1:] != region[:-1])
-            s, region, label = s[fresh], region[fresh], label[fresh]
-            for step in range(1, len(s)):
-                same = s[step:] == s[:-step]
-                if not same.any():
-                    return
-                at = np.flatnonzero(same & (label[step:] != label[:-step]))
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(region[at]), pa.array(region[at + step])], ["a", "b"])
+def _meet(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, c): pairs that share c uncrowded shingles and may be as similar as ``least``; (a, null, c): a is in c crowded ones."""
+    most = _CROWD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, open_ = np.zeros((3, 0), np.int64), -1
+
+        def told(ids: np.ndarray) -> pa.RecordBatch:
+            values, counts = np.unique(ids, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(values), pa.nulls(len(values), pa.int64()), pa.array(counts.astype(np.int32))], ["a", "b", "c"])
+
+        def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            s, ids, n = rows
+            if not len(s):
+                return
+            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            size = np.diff(np.append(first, len(s)))
+            crowded = np.repeat(size > most, size)
+            if crowded.any():
+                yield told(ids[crowded])
+            keep = ~crowded & np.repeat(size > 1, size)
+            s, ids, n = s[keep], ids[keep], n[keep]
+            a, b = [], []
+            for step in range(1, min(most, len(s))):
+                at = np.flatnonzero(s[step:] == s[:-step])
+                if not len(at):
+                    break
+                x, y = ids[at], ids[at + step]
+                ok = _alike(n[at], n[at + step], least) & (x != y)
+                a.append(np.minimum(x, y)[ok])
+                b.append(np.maximum(x, y)[ok])
+            if a:
+                yield _counted(a, b)
 
         for batch in batches:
-            rows = np.concatenate((rest, np.stack([c.to_numpy() for c in batch.columns])), axis=1)
+            rows = np.concatenate((rest, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])), axis=1)
+            if not rows.shape[1]:
+                continue
+            goes_on = np.searchsorted(rows[0], open_, "right")
+            if goes_on:
+                yield told(rows[1, :goes_on])
+                rows = rows[:, goes_on:]
             cut = np.searchsorted(rows[0], rows[0, -1]) if rows.shape[1] else 0
-            yield from pairs(rows[:, :cut])
+            yield from settle(rows[:, :cut])
             rest = rows[:, cut:]
-        yield from pairs(rest)
+            if rest.shape[1] > most:  # a crowded shingle is not held, however many points it has
+                yield told(rest[1])
+                rest, open_ = rest[:, :0], int(rest[0, 0])
+        yield from settle(rest)
 
-    kind = "s long, region long, label long"
-    cells = slotted.mapInArrow(scatter_still, kind).union(joined.select("region", "label", "many", "window").mapInArrow(scatter, kind))
-    met = cells.repartition("s").sortWithinPartitions("s", "region").mapInArrow(meet, "a long, b long")
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("cells"))
+    return rows.repartition("s").sortWithinPartitions("s").mapInArrow(run, "a long, b long, c int")
 
 
-def _join_regions(near: DataFrame, homes: DataFrame, sets: _Sets, percent: int, every: bool = False) -> DataFrame:
-    """Links (a, b), one at least for each pair of regions that holds any, of region pairs a distance did not settle.
+def _meet_two(shown: DataFrame, whole: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of a point of ``shown`` and one of ``whole`` (s, id, n) that share a shingle of few of ``shown``."""
+    most = _CROWD
 
-    With ``every`` all links of the pairs; a pair of a region with itself holds the links inside it.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((4, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate((rest, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])), axis=1)
+            if not rows.shape[1]:
+                continue
+            side = rows[3] == 0
+            (s, x, n, _), (t, y, m, _) = rows[:, side], rows[:, ~side]
+            start = np.searchsorted(s, t)
+            count = np.searchsorted(s, t, "right") - start
+            count[count > most] = 0
+            a, b = [], []
+            for step in range(count.max(initial=0)):
+                at = np.flatnonzero(count > step)
+                to = start[at] + step
+                ok = _alike(n[to], m[at], least) & (x[to] != y[at])
+                a.append(np.minimum(x[to], y[at])[ok])
+                b.append(np.maximum(x[to], y[at])[ok])
+            if a:
+                yield _counted(a, b).select(["a", "b"])
+            rest = rows[:, side & (rows[0] == rows[0, -1])][:, : most + 1]
+
+    both = shown.withColumn("side", F.lit(0)).union(whole.withColumn("side", F.lit(1)))
+    return both.repartition("s").sortWithinPartitions("s", "side").mapInArrow(run, "a long, b long")
 
-    ``near``: a, b, ra, rb, dab (centres, covering radii, their distance).  Boundary documents, those within the other radius and r of
-    the other centre, are dealt in blocks to tasks, which compare what the distances to both centres allow.
-    """
-    r = 1 - percent / 100 + 1e-9
-    centre = near.select("a", "b").select(F.explode(F.array("a", "b")).alias("p")).distinct()
-    members = saved(
-        homes.join(centre, "p", "left_semi").select(F.col("p").alias("region"), "x", "d").union(
-            centre.select(F.col("p").alias("region"), F.col("p").alias("x"), F.lit(0.0).alias("d"))
-        ),
-        "region-members",
-    )
-    a_side = near.join(members, near["a"] == members["region"]).select("a", "b", "x", F.lit(0).alias("side"), F.col("b").alias("other"), F.col("rb").alias("reach"), F.col("d").alias("own"), F.col("dab").alias("apart"))
-    b_side = near.join(members, near["b"] == members["region"]).select("a", "b", "x", F.lit(1).alias("side"), F.col("a").alias("other"), F.col("ra").alias("reach"), F.col("d").alias("own"), F.col("dab").alias("apart"))
-    # a document nearer to its own centre than that is further from the other centre than its region reaches
-    sides = saved(a_side.union(b_side).where(F.col("apart") - F.col("own") <= F.col("reach") + r), "region-sides")
-    far = saved(sets.distances(sides.select("x", F.col("other").alias("p")).distinct()).withColumn("d", _distance()).select("x", F.col("p").alias("other"), "d"), "region-distances")
-    edge = saved(sides.join(far, ["x", "other"]).where(F.col("d") <= F.col("reach") + r), "region-boundaries")
-    sizes = edge.groupBy("a", "b").agg(
-        F.ceil(F.sum((F.col("side") == 0).cast("int")) / _BLOCK).cast("long").alias("na"),
-        F.ceil(F.sum((F.col("side") == 1).cast("int")) / _BLOCK).cast("long").alias("nb"),
-    ).where("na > 0 AND nb > 0")
-    edge = edge.join(sizes, ["a", "b"])
-    left = edge.where("side = 0").select("a", "b", F.pmod(F.xxhash64("x"), F.col("na")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"), "side", F.col("x").alias("id"), F.col("own").alias("da"), F.col("d").alias("db"))
-    right = edge.where("side = 1").select("a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("i"), F.pmod(F.xxhash64("x"), F.col("nb")).alias("j"), "side", F.col("x").alias("id"), F.col("d").alias("da"), F.col("own").alias("db"))
-    requests = saved(left.union(right), "block-requests")
-    rows = sets.for_requests(requests, requests.count()).select("a", "b", "i", "j", "side", "id", "da", "db", "shingles")
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum()) if len(b) else 0
+
+
+def _linked(percent: int) -> Column:
+    return F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent
+
+
+def _distance() -> Column:
+    return 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common, na, nb) of each row of ``pairs`` (a, b); a b with many a is dealt to several tasks."""
+    n = pairs.count()
+    salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("long").alias("salts"))
+    salts = saved(packed(salts, n), "pivot-salts")
+    asks = pairs.join(salts, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"))
+    gives = salts.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
+    requests = saved(packed(asks.union(gives), 2 * n), "set-requests")
+    rows = requests.join(sets.select("id", "shingles"), "id").select("b", "salt", "kind", "id", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, done = None, [], False
+        at, pivots = None, []
         for batch in _small(batches, 2000):
             out = []
-            for a, b, i, j, side, x, da, db, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (a, b, i, j):
-                    at, held, done = (a, b, i, j), [], False
-                if done:
-                    continue
+            for p, salt, kind, x, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (p, salt):
+                    at, pivots = (p, salt), []
                 s = np.frombuffer(raw, np.uint64)
-                if side == 0:
-                    held.append((x, da, db, s))
-                    continue
-                for y, ya, yb, t in held:
-                    if (a != b or y < x) and abs(da - ya) <= r and abs(db - yb) <= r:
-                        common = _common(s, t)
-                        if common * 100 >= (len(s) + len(t) - common) * percent:
-                            out.append((y, x))
-                            if not every:
-                                done = True  # the two regions are one component now
-                                break
-            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in range(2)], ["a", "b"])
-
+                if kind == 0:
+                    pivots.append(s)
+                else:
+                    out += [(x, p, _common(s, q), len(s), len(q)) for q in pivots]
+            columns = [pa.array([r[c] for r in out], pa.int64()) for c in range(5)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "common", "na", "nb"])
+
+    dealt = packed(rows.repartition("b", "salt"), 2 * n, 1000).sortWithinPartitions("b", "salt", "kind")
+    return dealt.mapInArrow(run, "a long, b long, common long, na long, nb long")
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of ``left`` has in common with each of ``right``, by products of 0/1 matrices."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(both), 1 << 13):
+        part = both[at : at + (1 << 13)]
+        sides = []
+        for sets in (left, right):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+                to = np.searchsorted(part, s)
+                m[i, to[part[to] == s]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least id that each row and column of a link matrix is joined to within it."""
+    left, right = left.copy(), right.copy()
+    top = np.iinfo(np.int64).max
+    while True:
+        new_left = np.minimum(left, np.where(linked, right[None, :], top).min(axis=1))
+        new_right = np.minimum(right, np.where(linked, new_left[:, None], top).min(axis=0))
+        if (new_left == left).all() and (new_right == right).all():
+            return left, right
+        left, right = new_left, new_right
+
+
+def _blocks(edge: DataFrame, sets: DataFrame, percent: int, tally: bool) -> DataFrame:
+    """Joins the two sides of each (a, b) of ``edge`` (a, b, side, id, n, radius) in blocks of bounded size.
+
+    Two points are near where their distance is at most r and both their radii; a = b joins a table with itself, each
+    pair once.  With ``tally`` (id, label, links): a row for each point and block in which it is near any, with the
+    least id it is joined to there and how many; else the near pairs, as (id, label, links) with id < label.
+    """
+    side_of = lambda c, k: F.when(F.col("side") == k, c)
+    blocks = lambda k: F.ceil(F.greatest(F.count(side_of(F.lit(1), k)) / _BLOCK, F.sum(side_of(F.col("n").cast("long"), k)) / _BLOCK_SHINGLES)).cast("long")
+    sizes = saved(edge.groupBy("a", "b").agg(blocks(0).alias("na"), blocks(1).alias("nb")).where("na > 0 AND nb > 0"), "block-sizes")
+    edge = edge.join(sizes, ["a", "b"])
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    left = edge.where("side = 0").select("a", "b", own("na").alias("i"), upto("nb").alias("j"), "side", "id", "radius")
+    right = edge.where("side = 1").select("a", "b", upto("na").alias("i"), own("nb").alias("j"), "side", "id", "radius")
     keys = ["a", "b", "i", "j"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "a long, b long")
+    # within one table the block (j, i) would repeat (i, j)
+    requests = saved(left.union(right).where("a <> b OR i <= j"), "block-requests")
+    n = requests.count()
+    rows = requests.join(sets.select("id", "shingles"), "id").select(*keys, "side", "id", "radius", "shingles")
+    r = 1 - percent / 100
+
+    def compare(at: tuple, sides: list[list[tuple]]) -> Iterator[tuple]:
+        if not sides[0] or not sides[1]:
+            return
+        (x, rx, left), (y, ry, right) = (zip(*side, strict=True) for side in sides)
+        x, y, rx, ry = np.array(x), np.array(y), np.array(rx), np.array(ry)
+        common = _overlaps(left, right)
+        union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - common
+        near = common * 100 >= union * percent
+        if rx.any() or ry.any():
+            near |= 1 - common / union <= r + rx[:, None] + ry[None, :] + 1e-9
+        near &= x[:, None] != y[None, :]
+        if at[0] == at[1] and at[2] == at[3]:
+            near &= x[:, None] < y[None, :]
+        if not tally:
+            for i, j in np.argwhere(near).tolist():
+                yield int(min(x[i], y[j])), int(max(x[i], y[j])), 1
+            return
+        to_x, to_y = _labels(near, x, y)
+        for ids, to, links in ((x, to_x, near.sum(axis=1)), (y, to_y, near.sum(axis=0))):
+            for i in np.flatnonzero(links).tolist():
+                yield int(ids[i]), int(to[i]), int(links[i])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides = None, [[], []]
 
-def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(points, members (id, rep), links (a, b) between representatives, number of members).
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in range(3)], ["id", "label", "links"])
 
-    With ``every`` all links, else as many as make the components.
+        for batch in _small(batches, 500):
+            for a, b, i, j, side, x, radius, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (a, b, i, j):
+                    if at:
+                        yield batch_of(list(compare(at, sides)))
+                    at, sides = (a, b, i, j), [[], []]
+                sides[side].append((x, radius, np.frombuffer(raw, np.uint64)))
+        if at:
+            yield batch_of(list(compare(at, sides)))
+
+    dealt = packed(rows.repartition(*keys), n, 1000).sortWithinPartitions(*keys, "side")
+    return dealt.mapInArrow(run, "id long, label long, links long")
+
+
+def _none(spark: SparkSession, *columns: str) -> DataFrame:
+    """No rows of long columns, or of other columns with an expression."""
+    return spark.range(0).where("false").selectExpr(*[c if " " in c else f"id AS {c}" for c in columns])
+
+
+class _Crowd:
+    """The join of points that show their whole sets, by meeting, Voronoi regions and recursion on their centres."""
+
+    def __init__(self, sets: DataFrame, percent: int, often: np.ndarray, mode: str) -> None:
+        self.sets, self.percent, self.often, self.mode = sets, percent, often, mode
+        self.r = 1 - percent / 100
+        self.spark = sets.sparkSession
+
+    def elect(self, points: DataFrame, radius: float) -> DataFrame:
+        """(x, p, d) of the points that joined a pivot's region, by rounds of elections."""
+        share = 1 - radius
+        standing = points.select("id", "n", "keys")
+        homes = _none(self.spark, "x", "p", "CAST(NULL AS DOUBLE) d")
+        for _ in range(_ROUNDS):
+            ballots = standing.select("id", "n", F.explode("keys").alias("key"))
+            heads = ballots.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
+            elected = saved(heads.select("key", F.col("m.id").alias("p"), F.col("m.n").alias("np")), "elected")
+            met = ballots.join(elected, "key").where("id <> p").where(F.least("n", "np") >= F.greatest("n", "np") * share - 1e-6)
+            pairs = saved(met.select(F.col("id").alias("a"), F.col("p").alias("b")).distinct(), "pivot-pairs")
+            if pairs.isEmpty():
+                break
+            near = saved(_measured(pairs, self.sets).withColumn("d", _distance()).where(F.col("d") <= radius + 1e-9).select("a", "b", "d"), "pivot-distances")
+            # a pivot is the centre of its own region, so it joins no other
+            pivots = elected.select(F.col("p").alias("a")).distinct()
+            joined = near.join(pivots, "a", "left_anti").groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
+            home = saved(joined.select(F.col("a").alias("x"), F.col("m.b").alias("p"), F.col("m.d").alias("d")), "homes")
+            homes = homes.union(home)
+            settled = home.select(F.col("x").alias("id")).union(home.select(F.col("p").alias("id"))).distinct()
+            standing = saved(standing.join(settled, "id", "left_anti"), "standing")
+        return saved(homes, "region-homes")
+
+    def near(self, points: DataFrame, level: int = 0) -> tuple[DataFrame, DataFrame]:
+        """``points``: id, n, hot, keys, shingles, radius.  All pairs with d <= r + both radii, each once: in the first
+        table (a, b, common, na, nb), or, at level 0 only, within the tallies (id, label, links) of the second."""
+        pairs, tallies = _none(self.spark, "a", "b", "common", "na", "nb"), _none(self.spark, "id", "label", "links")
+        widest = points.agg(F.max("radius")).first()[0]
+        if widest is None:
+            return pairs, tallies
+        reach = self.r + 2 * widest
+        if reach >= 1 - 1e-6 or points.count() <= _LEAF:
+            return self.flat(points, level, pairs, tallies)
+        rows = _rows(points.select("id", "n", "shingles"), skip=self.often)
+        met = saved(_meet(rows, 1 - reach), "crowd-meetings")
+        told = met.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("told"))
+        info = points.select("id", "n", "hot", "radius").join(told, "id", "left")
+        info = info.select("id", "n", "radius", (F.col("hot") + F.coalesce("told", F.lit(0))).alias("hidden"))
+        unsettled = F.col("n") - F.col("hidden") <= F.floor((self.r + F.col("radius") + widest) * F.col("n") + 1e-6)
+        info = saved(info.withColumn("dense", unsettled), "crowd-points")
+        a, b = (info.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in info.columns[1:]]) for side in ("a", "b"))
+        need = 1 - self.r - F.col("radius_a") - F.col("radius_b")
+        need = need / (1 + need) * (F.col("n_a") + F.col("n_b")) - 1e-6
+        counted = met.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("c").alias("c")).join(a, "a").join(b, "b")
+        # pairs of two dense points come from the steps below
+        counted = counted.where((F.col("c") + F.least("hidden_a", "hidden_b") >= need) & ~(F.col("dense_a") & F.col("dense_b")))
+        chosen = saved(counted.select("a", "b", (F.col("radius_a") + F.col("radius_b")).alias("apart")).distinct(), "crowd-pairs")
+        pairs = pairs.union(self.within(chosen))
+        dense = saved(info.where("dense").select("id").distinct(), "crowded")
+        if dense.isEmpty():
+            return pairs, tallies
+        crowd = saved(points.join(dense, "id", "left_semi"), "crowded-points")
+        if crowd.count() <= _LEAF or (homes := self.elect(crowd, self.r * 2**level)).isEmpty():
+            return self.flat(crowd, level, pairs, tallies)
+        covers = homes.join(crowd.select(F.col("id").alias("x"), "radius"), "x").groupBy(F.col("p").alias("id")).agg(F.max(F.col("d") + F.col("radius")).alias("covers"))
+        centres = crowd.join(homes.select(F.col("x").alias("id")).distinct(), "id", "left_anti").join(covers, "id", "left")
+        centres = saved(centres.withColumn("many", F.col("covers").isNotNull()).withColumn("radius", F.greatest("radius", F.coalesce("covers", F.lit(0.0)))).drop("covers"), "centres")
+        apart, _ = self.near(centres.drop("many"), level + 1)
+        return self.members(crowd, homes, centres, apart, level, pairs, tallies)
+
+    def within(self, chosen: DataFrame) -> DataFrame:
+        """Pairs of ``chosen`` (a, b, apart) with d <= r + apart, measured."""
+        got = saved(_measured(chosen.select("a", "b").distinct(), self.sets), "pair-distances")
+        near = F.when(F.col("apart") > 0, _distance() <= self.r + F.col("apart") + 1e-9).otherwise(_linked(self.percent))
+        return got.join(chosen, ["a", "b"]).where(near).drop("apart")
+
+    def joined(self, edge: DataFrame, level: int, pairs: DataFrame, tallies: DataFrame) -> tuple[DataFrame, DataFrame]:
+        tally = level == 0 and self.mode != "pairs"
+        got = saved(_blocks(edge, self.sets, self.percent, tally), "block-links")
+        if tally:
+            return pairs, tallies.union(got)
+        found = got.select(F.col("id").alias("a"), F.col("label").alias("b")).distinct()
+        if level == 0:  # links already, whatever their distance
+            return pairs.union(found.select("a", "b", *[F.lit(None).cast("long")] * 3)), tallies
+        return pairs.union(saved(_measured(found, self.sets), "block-distances")), tallies
+
+    def flat(self, points: DataFrame, level: int, pairs: DataFrame, tallies: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All against all in bounded blocks, for what neither shingles nor pivots part."""
+        zero = F.lit(0).cast("long")
+        edge = points.select(zero.alias("a"), zero.alias("b"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "id", "n", "radius")
+        return self.joined(edge, level, pairs, tallies)
+
+    def members(self, crowd: DataFrame, homes: DataFrame, centres: DataFrame, apart: DataFrame, level: int, pairs: DataFrame, tallies: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """From near centres (``apart``) to near members: boundary documents of both regions, joined in blocks."""
+        of = centres.select("id", "radius", "many").distinct()
+        at = [of.select(*[F.col(c).alias(f"{c}_{side}") for c in of.columns]) for side in ("a", "b")]
+        apart = apart.withColumn("d", F.coalesce(_distance(), F.lit(0.0))).join(at[0], F.col("a") == F.col("id_a")).join(at[1], F.col("b") == F.col("id_b"))
+        apart = saved(apart.select("a", "b", "common", "na", "nb", "d", "radius_a", "radius_b", (F.col("many_a") | F.col("many_b")).alias("many")), "near-centres")
+        lone = apart.where("NOT many")
+        if level == 0:
+            lone = lone.where(_linked(self.percent))
+        pairs = pairs.union(lone.select("a", "b", "common", "na", "nb"))
+        wide = apart.where("many").select("a", "b", "d", F.col("radius_a").alias("ra"), F.col("radius_b").alias("rb"))
+        if level == 0 and self.mode == "components":
+            # the links inside a region and of regions that are one component already add nothing
+            links = homes.select(F.col("x").alias("a"), F.col("p").alias("b")).union(apart.where(_linked(self.percent)).select("a", "b"))
+            label = components(links)
+            label_a, label_b = (label.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b"))
+            wide = wide.join(label_a, "a", "left").join(label_b, "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b", "d", "ra", "rb")
+            tallies = tallies.union(links.select("a", "b", F.lit(0).cast("long")))
+        else:
+            wide = wide.union(of.where("many").select(F.col("id"), F.col("id"), F.lit(0.0), "radius", "radius"))
+        wide = saved(wide, "near-regions")
+        if wide.isEmpty():
+            return pairs, tallies
+        size = crowd.select(F.col("id").alias("x"), "n", "radius").distinct()
+        inside = homes.select("x", "p", "d").union(of.select("id", "id", F.lit(0.0))).join(size, "x")
+        inside = saved(inside.select(F.col("x").alias("id"), F.col("p").alias("region"), F.col("d").alias("own"), "n", "radius"), "region-members")
+        sides = []
+        for k, (mine, other, cover) in enumerate((("a", "b", "rb"), ("b", "a", "ra"))):
+            met = wide.join(inside, F.col(mine) == F.col("region"))
+            sides.append(met.select("a", "b", F.lit(k).alias("side"), "id", "n", "radius", F.col(other).alias("other"), (F.col(cover) + self.r + F.col("radius") + 1e-9).alias("reach"), "own", "d"))
+        # a document nearer to its own centre than that is further from the other centre than its region reaches
+        sides = saved(sides[0].union(sides[1]).where(F.col("d") - F.col("own") <= F.col("reach")), "region-sides")
+        ask = sides.where("a <> b").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+        far = saved(_measured(ask, self.sets).select(F.col("a").alias("id"), F.col("b").alias("other"), _distance().alias("far")).groupBy("id", "other").agg(F.min("far").alias("far")), "region-distances")
+        edge = sides.join(far, ["id", "other"], "left").where("a = b OR far <= reach").select("a", "b", "side", "id", "n", "radius")
+        return self.joined(saved(edge, "region-boundaries"), level, pairs, tallies)
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mode: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(points (id, n), members (id, rep), links (a, b) between representatives, tallies (id, label, links)).
+
+    ``mode``: "pairs": ``links`` are all links and there are no tallies; "tallies": every link is in ``links`` or in the
+    tallies, never in both; "components": as many as make the components.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    often = frequent_slots(docs, text_col, k)
-    all_points = saved(_points(docs, id_col, text_col, k, percent, often), "points")
-    points = all_points.where("id IS NOT NULL AND n > 0")
-    sets = _Sets(docs, id_col, text_col, k)
-    equal = saved(points.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "equal-sets")
-    narrow = points.select("id", "n", "f1", "f2", "keys").join(equal, ["f1", "f2"], "left")
-    narrow = narrow.withColumn("rep", F.coalesce("rep", "id")).drop("f1", "f2")
-    narrow = saved(packed(narrow, all_points.count()), "representatives")
-    links, homes = _regions(narrow.where("id = rep"), sets, percent)
-    # regions of one component need no further look where components alone are asked for
-    label = spark.createDataFrame([], "id long, label long") if every else components(links)
-
-    placed = narrow.where("id = rep").select("id", "n").distinct().join(homes.withColumnRenamed("x", "id"), "id", "left").join(label, "id", "left")
-    placed = placed.select("id", "n", F.coalesce("p", "id").alias("region"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("label", "p" if every else "id", "id").alias("label"))
-    count = narrow.count()
-    placed = saved(packed(placed, count), "placed")
-    region = placed.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("d").alias("radius"))
-    region = saved(packed(region, count), "regions")
-    crowded = saved(region.where("size > 1").select("region"), "crowded").withColumn("many", F.lit(True))
-    where = placed.select("id", "region", "label").distinct().join(crowded, "region", "left").withColumn("many", F.coalesce("many", F.lit(False)))
-    where = saved(packed(where, count), "homes-of-points")
-    moved = narrow.where("id <> rep").select("id").union(where.where("region <> id OR label <> id").select("id"))
-    met = saved(_meetings(points, where, moved), "meetings")
-
-    a, b = (region.select(*[F.col(c).alias(c + side) for c in region.columns]) for side in ("_a", "_b"))
-    met = met.join(a, F.col("a") == F.col("region_a")).join(b, F.col("b") == F.col("region_b"))
-    least_a, most_a, least_b, most_b = (F.col(c) for c in ("least_a", "most_a", "least_b", "most_b"))
-    need = F.ceil((least_a + least_b) * percent / F.lit(100.0 + percent) - 1e-6)
-    beyond = [m - F.floor(m * (100 - percent) / 100) - 1 for m in (most_a, most_b)]
-    met = met.where((least_a * percent <= most_b * 100) & (least_b * percent <= most_a * 100) & (F.col("cells") >= need - F.greatest(*beyond)))
-    met = saved(met.select("a", "b", F.col("radius_a").alias("ra"), F.col("radius_b").alias("rb"), (F.col("size_a") + F.col("size_b") > 2).alias("wide")), "region-pairs")
-    near = spark.createDataFrame([], "a long, b long, ra double, rb double, dab double")
-    if every:
-        radius = F.col("radius")
-        near = region.where("size > 1").select(F.col("region").alias("a"), F.col("region").alias("b"), radius.alias("ra"), radius.alias("rb"), F.lit(0.0).alias("dab"))
-    if not met.isEmpty():
-        centres = saved(sets.distances(met.select(F.col("a").alias("x"), F.col("b").alias("p"))).withColumn("link", _linked(percent)).withColumn("d", _distance()), "centre-distances")
-        links = links.union(centres.where("link").select(F.col("x").alias("a"), F.col("p").alias("b")))
-        open_ = centres if every else centres.where("NOT link")
-        apart = met.where("wide").join(open_.select(F.col("x").alias("a"), F.col("p").alias("b"), "d"), ["a", "b"])
-        reach = 1 - percent / 100 + 1e-9
-        near = near.union(apart.where(F.col("d") <= F.col("ra") + F.col("rb") + reach).select("a", "b", "ra", "rb", F.col("d").alias("dab")))
-    near = saved(near, "near-regions")
-    if not near.isEmpty():
-        links = links.union(saved(_join_regions(near, homes, sets, percent, every), "boundary-links"))
-    links = saved(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
-    return all_points, narrow.select("id", "rep").distinct(), links, count
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    often = frequent_slots(docs, "text", k)
+    points = saved(_points(docs, k, percent, often), "points")
+    live = points.where("id IS NOT NULL AND n > 0")
+    equal = saved(live.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "equal-sets")
+    members = live.select("id", "n", "shown", "f1", "f2").join(equal, ["f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    members = saved(members, "members")
+    copies = saved(members.where("id <> rep").select("id", "f1", "f2").distinct(), "copies")
+    windows = live.join(copies, ["id", "f1", "f2"], "left_anti").select("id", "n", "window")
+    least = percent / 100
+    met = saved(_meet(_rows(windows), least), "meetings")
+    told = met.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("told"))
+    free = F.col("shown") - F.coalesce("told", F.lit(0))
+    crowd = members.where("id = rep").join(told, "id", "left").where(free <= F.floor(F.col("n") * (100 - percent) / 100)).select("id").distinct()
+    crowd = saved(crowd, "crowd")
+    pairs = met.where("b IS NOT NULL").select("a", "b").distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowd).distinct()
+    known = docs.where("id IS NOT NULL")
+    sets = saved(_sets(known, wanted, k, often), "sets")
+    crowded = saved(sets.join(crowd, "id", "left_semi").withColumn("radius", F.lit(0.0)), "crowd-sets")
+
+    if not crowd.isEmpty():
+        whole = _rows(crowded.select("id", "n", "shingles"), skip=often)
+        slots = _table(whole.select(F.shiftright("s", 63 - _CROWD_BITS).alias("slot")), _CROWD_BITS)
+        shown = _rows(windows.join(crowd, "id", "left_anti"), only=slots)
+        # pairs of two points of the crowd come from its own join
+        pairs = pairs.join(crowd.select(F.col("id").alias("a"), F.lit(True).alias("in_a")), "a", "left").join(crowd.select(F.col("id").alias("b"), F.lit(True).alias("in_b")), "b", "left")
+        pairs = pairs.where("in_a IS NULL OR in_b IS NULL").select("a", "b").union(_meet_two(shown, whole, least))
+    pairs = saved(pairs.distinct(), "pairs")
+    missing = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
+    missing = saved(missing, "missing")
+    if not missing.isEmpty():
+        sets = sets.union(saved(_sets(known, missing, k, often), "more-sets"))
+    links = saved(_measured(pairs, sets).where(_linked(percent)).select("a", "b"), "links")
+    near, tallies = _Crowd(crowded, percent, often, mode).near(crowded)
+    links = links.union(near.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return points.select("id", "n"), members.select("id", "rep").distinct(), links, tallies
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -489,33 +628,52 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A set stands for all documents that have it, under the least of their ids: ``rep`` of each ``id``.  Documents link
     if they have one ``rep`` or their ``rep``s link.  Ids are unique; null ids and empty sets are in neither table.
+    A group of g sets that are all near each other has g * g / 2 links; ``jaccard_join`` counts them without a row each.
     """
-    _, members, links, _ = _join(docs, id_col, text_col, k, percent, every=True)
-    return links, members
+    with scratch(docs.sparkSession):
+        _, members, links, _ = _join(docs, id_col, text_col, k, percent, "pairs")
+        return saved(links, "all-links", keep=True), saved(members, "all-members", keep=True)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, every: bool = False) -> DataFrame:
-    """(id, n_shingles, component_id) for each row: its set size and the least id it is linked to over any path.
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
+    """(id, n_shingles, component_id, n_links) for each row: its set size, the least id it is linked to over any path,
+    and the number of other sets that its set links to (rows with an equal set are in the same component, not counted).
 
-    Two documents link when 100 * common >= percent * union.  Ids are long integers, meant to be
-    unique; of rows that share an id each gets the least component found for any of them.  Null and blank texts have empty sets and link with nothing.  A row with a null id
-    keeps its set size and has a null component.  Other columns of the input are not looked at.  With ``every`` the
-    components come from all links, as ``jaccard_links`` gives them; they are the same.
+    Two documents link when 100 * common >= percent * union.  Ids are long integers, meant to be unique; of rows that
+    share an id each gets the least component found for any of them.  Null and blank texts have empty sets and link
+    with nothing.  A row with a null id keeps its set size and has a null component.  Repeated rows stay; texts of any
+    length are read whole; an empty table gives an empty one.  Other columns of the input are not looked at.  Without
+    ``count_links`` n_links is null, and links inside one component are not looked for.
     """
-    all_points, members, links, count = _join(docs, id_col, text_col, k, percent, every)
-    label = components(links)
-    out = members.join(label.withColumnRenamed("id", "rep"), "rep", "left")
-    out = saved(packed(out.groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("component_id")), count), "components")
-    out = all_points.select("id", "n").join(out, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    with scratch(docs.sparkSession):
+        points, members, links, tallies = _join(docs, id_col, text_col, k, percent, "tallies" if count_links else "components")
+        links, tallies = saved(links, "all-links"), saved(tallies, "all-tallies")
+        label = components(links.union(tallies.where("id <> label").select("id", "label")))
+        ends = links.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("links"))
+        counts = ends.union(tallies.select("id", "links")).groupBy("rep").agg(F.sum("links").alias("n_links"))
+        out = members.join(label.withColumnRenamed("id", "rep"), "rep", "left").join(counts, "rep", "left")
+        out = out.groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("component_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+        out = points.join(out, "id", "left")
+        n_links = F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None)
+        return saved(
+            out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), n_links.cast("long").alias("n_links")),
+            "jaccard-join",
+            keep=True,
+        )
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, every: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) of ``jaccard_join``; links inside components are looked for with ``every`` only."""
+    return jaccard_join(docs, id_col, text_col, k, percent, count_links=every).drop("n_links")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows whose id is the least of their component, with the input's columns; rows with a null id stay."""
     found = jaccard_components(docs, id_col, text_col, **options)
     gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(saved(gone, "near-copies"), F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
 
 
 def op9_jaccard_join(spark, sf_dir):
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), every=True)
+    """The classes of all ``documents``, from the join that finds and counts every link."""
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("n_links")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import small_batches
+
 
 BITS, DIM = 14, 16
 #: Bound of the labelled sample: so many documents for each label value.
@@ -173,7 +173,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     A null text or one without letters is ``und`` with score 0 and rejected; otherwise a learned language is named and
     rejected only when its calibrated probability is below the model's threshold.  Columns of these names are replaced.
     """
-    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "rejected")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
