@@ -1,13 +1,11 @@
 """Whole jobs that the first round's operators did only in part."""
 
 import os
-import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabloom import model
-from tabloom.llm import jaccard_join, license_scan
 from tabloom.operators import segment
 from tabloom.plans import queries
 
@@ -35,47 +33,3 @@ def test_box_columns(spark):
     extents = segment.column_extents(pages.where("page = 1"), ["doc_id", "page", "row"], ["doc_id", "page"])
     got = {(r["doc_id"], r["page"], r["x"]): r["column"] for r in segment.box_columns(pages, extents).collect()}
     assert got == {("a", 1, 1.0): 0, ("a", 1, 11.0): 1, ("b", 1, 11.0): 0, ("b", 1, 31.0): 1, ("b", 2, 5.0): None}
-
-
-def test_licenses_inside_lines(spark):
-    plain = "the river ran past the old mill and the children of the village played on its banks "
-    texts = [
-        "Copyright 2019 Jane Doe and contributors. Released under the MIT License.",
-        plain * 40 + "this text was released under the MIT License by its authors and " + plain * 40,
-        "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\ndocumentation files, to deal in the Software without restriction",
-        "This work is in the public\ndomain.",
-        "Licensed under the GNU Lesser General Public License, version 2.1, or the MIT License.",
-        "You need written permission from the council to build a garage.",
-        plain * 40 + "She renewed her driving license at the town hall in the morning. " + plain * 40,
-    ]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_licenses"], r["families"]) for r in license_scan.scan_licenses(docs).collect()}
-    assert got == {0: (1, ["mit"]), 1: (1, ["mit"]), 2: (1, ["mit"]), 3: (1, ["public-domain"]), 4: (2, ["lgpl", "mit"]), 5: (0, []), 6: (0, [])}
-
-
-def test_jaccard_links(spark, monkeypatch):
-    rng = random.Random(11)
-    words = [f"w{i}" for i in range(200)]
-    texts = []
-    for _ in range(2):
-        base = [rng.choice(words) for _ in range(100)]
-        for n in range(24):
-            w = list(base)
-            for _ in range(n % 3):
-                w[rng.randrange(100)] = rng.choice(words)
-            texts.append(" ".join(w))
-            if n % 12 == 11:
-                base[rng.randrange(100)] = rng.choice(words)
-    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
-    rep = [sets.index(s) for s in sets]
-    want = {(a, b) for b in set(rep) for a in set(rep) if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(jaccard_join, "_BLOCK", 5)
-    links, members = jaccard_join.jaccard_links(docs)
-    got = [tuple(r) for r in links.collect()]
-    assert len(want) > len(set(rep))
-    assert len(got) == len(set(got))
-    assert set(got) == want
-    assert {r["id"]: r["rep"] for r in members.collect()} == dict(enumerate(rep))
-    some, all_ = (jaccard_join.jaccard_components(docs, every=e).collect() for e in (False, True))
-    assert sorted(some) == sorted(all_)
