@@ -45,7 +45,7 @@ _WORDS, _SLOT_BITS, _CROWD_BITS = 1 << 15, 20, 24
 #: is frequent if that is so in one of ``_PART`` stretches.
 _STRETCH, _OFTEN, _PART = 1 << 21, 4, 8
 #: Points of one shingle from which it is crowded.
-_CROWD = 24
+_CROWD = 12
 #: Least hashes by which a point meets others in an election, and rounds of elections.
 _KEYS, _ROUNDS = 4, 2
 #: Points that are compared in blocks at once, without more steps.
@@ -277,7 +277,7 @@ def _meet(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _meet_two(shown: DataFrame, whole: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs of a point of ``shown`` and one of ``whole`` (s, id, n) that share a shingle of few of ``shown``."""
+    """(a, b, c): a point of ``shown`` and one of ``whole`` (s, id, n) that share c shingles of few of ``shown`` each."""
     most = _CROWD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,14 +296,14 @@ def _meet_two(shown: DataFrame, whole: DataFrame, least: float) -> DataFrame:
                 at = np.flatnonzero(count > step)
                 to = start[at] + step
                 ok = _alike(n[to], m[at], least) & (x[to] != y[at])
-                a.append(np.minimum(x[to], y[at])[ok])
-                b.append(np.maximum(x[to], y[at])[ok])
+                a.append(x[to][ok])
+                b.append(y[at][ok])
             if a:
-                yield _counted(a, b).select(["a", "b"])
+                yield _counted(a, b)
             rest = rows[:, side & (rows[0] == rows[0, -1])][:, : most + 1]
 
     both = shown.withColumn("side", F.lit(0)).union(whole.withColumn("side", F.lit(1)))
-    return both.repartition("s").sortWithinPartitions("s", "side").mapInArrow(run, "a long, b long")
+    return both.repartition("s").sortWithinPartitions("s", "side").mapInArrow(run, "a long, b long, c int")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -596,10 +596,20 @@ def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mod
     least = percent / 100
     met = saved(_meet(_rows(windows), least), "meetings")
     told = met.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("told"))
-    free = F.col("shown") - F.coalesce("told", F.lit(0))
-    crowd = members.where("id = rep").join(told, "id", "left").where(free <= F.floor(F.col("n") * (100 - percent) / 100)).select("id").distinct()
-    crowd = saved(crowd, "crowd")
-    pairs = met.where("b IS NOT NULL").select("a", "b").distinct()
+    reps = members.where("id = rep").select("id", "n", "shown").join(told, "id", "left").withColumn("told", F.coalesce("told", F.lit(0)))
+    reps = saved(reps.distinct().withColumn("dense", F.col("shown") - F.col("told") <= F.floor(F.col("n") * (100 - percent) / 100)), "shown-points")
+    crowd = saved(reps.where("dense").select("id").distinct(), "crowd")
+    a, b = (reps.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in reps.columns[1:]]) for side in ("a", "b"))
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-6)
+
+    def likely(met: DataFrame, beyond: Column) -> DataFrame:
+        """Pairs that can link with c common shingles seen and at most ``beyond`` unseen."""
+        counted = met.groupBy("a", "b").agg(F.sum("c").alias("c")).join(a, "a").join(b, "b")
+        return counted.where((F.col("c") + beyond >= need) & ~(F.col("dense_a") & F.col("dense_b"))).select("a", "b").distinct()
+
+    # hashes up to the lesser end of the two windows were seen, but for crowded ones; pairs within the crowd come later
+    tails = F.greatest(F.col("n_a") - F.col("shown_a"), F.col("n_b") - F.col("shown_b"))
+    pairs = saved(likely(met.where("b IS NOT NULL"), F.least("told_a", "told_b") + tails), "window-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowd).distinct()
     known = docs.where("id IS NOT NULL")
     sets = saved(_sets(known, wanted, k, often), "sets")
@@ -609,9 +619,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mod
         whole = _rows(crowded.select("id", "n", "shingles"), skip=often)
         slots = _table(whole.select(F.shiftright("s", 63 - _CROWD_BITS).alias("slot")), _CROWD_BITS)
         shown = _rows(windows.join(crowd, "id", "left_anti"), only=slots)
-        # pairs of two points of the crowd come from its own join
-        pairs = pairs.join(crowd.select(F.col("id").alias("a"), F.lit(True).alias("in_a")), "a", "left").join(crowd.select(F.col("id").alias("b"), F.lit(True).alias("in_b")), "b", "left")
-        pairs = pairs.where("in_a IS NULL OR in_b IS NULL").select("a", "b").union(_meet_two(shown, whole, least))
+        pairs = pairs.union(likely(_meet_two(shown, whole, least), F.col("told_a") + F.col("n_a") - F.col("shown_a")))
     pairs = saved(pairs.distinct(), "pairs")
     missing = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
     missing = saved(missing, "missing")
