@@ -107,19 +107,35 @@ def carry_header(pages: DataFrame) -> DataFrame:
     return pages.withColumn("headers", F.first("headers", ignorenulls=True).over(w))
 
 
+def _range_of(key: Column, bounds: list[Column], wide: int) -> Column:
+    """How many of the ascending ``bounds`` are at most ``key``, looked up in two steps of ``wide``."""
+    below = lambda of: F.size(F.filter(of, lambda b: b <= key))
+    groups = [bounds[at : at + wide] for at in range(0, len(bounds), wide)]
+    group = below(F.array(*[g[0] for g in groups]))
+    return F.when(group == 0, 0).otherwise((group - 1) * wide + below(F.element_at(F.array(*[F.array(*g) for g in groups]), F.greatest(group, F.lit(1)))))
+
+
 def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "serial", start: int = 1) -> DataFrame:
-    """Consecutive numbers over the whole table in a total order, without gathering it.
+    """Consecutive numbers over the whole table in a total order (nulls first), without gathering it.
 
-    The table is dealt out by ranges of the order; each partition is numbered by itself and moved by the rows before
-    it, which is one small row for each partition.
+    A uniform sample of the order's values, 64 for each shuffle partition, gives fixed bounds of ranges.  A row's range
+    follows from its values alone, so the counts of the ranges and the numbers within them agree however Spark deals
+    the rows out.  The order's columns are of plain types.
     """
+    spark = df.sparkSession
     names = [f"_o{i}" for i in range(len(order))]
     keyed = df.withColumns({n: F.col(c) if isinstance(c, str) else c for n, c in zip(names, order, strict=True)})
-    dealt = keyed.repartitionByRange(*names).withColumn("_part", F.spark_partition_id())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = keyed.select(*names).orderBy(F.rand(7)).limit(64 * parts).orderBy(*names).collect()
+    types = [keyed.schema[n].dataType for n in names]
+    cuts = dict.fromkeys(sample[64 * i] for i in range(1, parts) if 64 * i < len(sample))
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(r, types, names, strict=True)]) for r in cuts]
+    part = _range_of(F.struct(*names), bounds, max(1, round(len(bounds) ** 0.5))) if bounds else F.lit(0)
+    dealt = keyed.withColumn("_part", part)
     numbered = dealt.withColumn("_in_part", F.row_number().over(W.partitionBy("_part").orderBy(*names)))
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
     before = F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))  # one row for each partition
+    offsets = sizes.select("_part", before.alias("_before"))  # one row for each range
     out = numbered.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_in_part") + F.col("_before") + (start - 1)).cast("long"))
     return out.drop("_part", "_in_part", "_before", *names)
 

@@ -340,10 +340,10 @@ def _orders_by_status(nation: DataFrame, orders: DataFrame, customer: DataFrame)
     return cells.select("n_name", F.get(status, F.col("col_idx")).alias("status"), F.coalesce(F.col("value").try_cast("long"), F.lit(0)).alias("n"))
 
 
-@query("sparse_to_dense", """SELECT n_name, s AS status, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = n_nationkey AND o_orderstatus = s AND o_orderkey % 50 = 1) AS n
+@query("sparse_to_dense", """SELECT n_name, s AS status, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = n_nationkey AND o_orderstatus = s) AS n
   FROM nation, (VALUES ('F'), ('O'), ('P')) t(s)""")
 def _(spark, d):
-    return _orders_by_status(_t(spark, d, "nation"), _t(spark, d, "orders").where("o_orderkey % 50 = 1"), _t(spark, d, "customer"))
+    return _orders_by_status(_t(spark, d, "nation"), _t(spark, d, "orders"), _t(spark, d, "customer"))
 
 
 @query("sparse_to_dense_all", """SELECT n_name, s AS status, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = n_nationkey AND o_orderstatus = s) AS n
@@ -440,11 +440,11 @@ def _(spark, d):
     return merge.union_tables([c, s])
 
 
-@query("set_symdiff", """(SELECT k, 'left' AS side FROM (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 5 = 0 EXCEPT SELECT s_nationkey FROM supplier))
-  UNION ALL (SELECT k, 'right' FROM (SELECT DISTINCT s_nationkey AS k FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey % 5 = 0))""")
+@query("set_symdiff", """WITH a AS (SELECT DISTINCT o_orderdate AS k FROM orders), b AS (SELECT DISTINCT l_shipdate AS k FROM lineitem)
+  (SELECT k, 'left' AS side FROM (SELECT k FROM a EXCEPT SELECT k FROM b)) UNION ALL (SELECT k, 'right' FROM (SELECT k FROM b EXCEPT SELECT k FROM a))""")
 def _(spark, d):
-    a = _t(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_nationkey").alias("k")).distinct()
-    return merge.symmetric_difference(a, _t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).distinct())
+    a, b = (_t(spark, d, name).select(F.col(c).alias("k")).distinct() for name, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate")))
+    return merge.symmetric_difference(a, b)
 
 
 @query("set_symdiff_all", """WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier)

@@ -205,3 +205,22 @@ def test_streaming(spark, tmp_path):
     spark.createDataFrame([(2, "a")], "n int, k string").write.mode("append").json(src)
     arrivals.drain(stream, out, ck).awaitTermination()
     assert sorted(r["n"] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_number_rows_over_many_partitions(spark, tmp_path):
+    """Every serial once, in order, where counts and numbers are computed from different plans of a wide table."""
+    n = 600_000
+    wide = spark.range(n).select((F.col("id") * 7 % n).alias("k"), F.col("id").alias("j"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 4).alias("pad"))
+    wide.repartition(9).write.parquet(f"file://{tmp_path}/wide")
+    rows = spark.read.parquet(f"file://{tmp_path}/wide")
+    merge.number_rows(rows, ["k"]).write.parquet(f"file://{tmp_path}/numbered")
+    got = spark.read.parquet(f"file://{tmp_path}/numbered")
+    assert got.where("serial <> k + 1").count() == 0 and got.count() == n
+    assert merge.paginate(rows, ["k"], 1000).groupBy("page").count().where("count = 1000").count() == 600
+
+
+def test_number_rows_with_nulls_and_ties(spark):
+    rows = spark.createDataFrame([(None, 1), ("b", 2), ("a", 3), (None, 4), ("a", 5)], "s string, i int")
+    got = {r["i"]: r["serial"] for r in merge.number_rows(rows, ["s", "i"]).collect()}
+    assert got == {1: 1, 4: 2, 3: 3, 5: 4, 2: 5}
+    assert merge.number_rows(rows.limit(0), ["s"]).count() == 0
