@@ -201,7 +201,7 @@ def pack(
                 seen = 0
                 for row, a, b, cut in zip(rows, begins, ends.tolist(), cuts, strict=True):
                     open_rows[n] = row
-                    stream.add(n, np.append(ids[a:b], np.uint16(end_id)), stops[seen:cut] - a)
+                    stream.add(n, np.append(ids[a:b], np.uint32(end_id)), stops[seen:cut] - a)
                     seen = cut
                     n += 1
                     if stream.tokens >= _STRETCH:

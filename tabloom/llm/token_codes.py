@@ -137,7 +137,7 @@ def write_codes(
                 begins = np.concatenate(([0], ends[:-1])).tolist()
                 for k, a, b in zip(batch.column(0).to_pylist(), begins, ends.tolist(), strict=True):
                     keys.append(k)
-                    parts.append(np.append(ids[a:b], np.uint16(end_id)))
+                    parts.append(np.append(ids[a:b], np.uint32(end_id)))
                     size += len(parts[-1])
                     if size >= _SEGMENT:
                         yield out()

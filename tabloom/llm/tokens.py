@@ -2,12 +2,13 @@
 
 Both kinds of vocabulary cut texts at white space before anything else, so a text's ids are those of its chunks in a
 row.  Arrow splits a batch of texts into chunks and finds the different ones; a chunk is encoded once in a worker and
-then looked up.  Texts whose white space does not allow the cut are encoded whole.
+then looked up.  Texts whose white space does not allow the cut, and those with a special token's string, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
 from itertools import repeat
 from typing import NamedTuple
@@ -33,9 +34,13 @@ def _load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+@cache
+def _special(path: str) -> str:
+    """A pattern of the strings that the vocabulary keeps as single tokens wherever they stand in a text."""
+    return "|".join(re.escape(t.content) for t in _load(path).get_added_tokens_decoder().values()) or r"[^\x00-\x{10FFFF}]"
 
 
 @cache
@@ -53,7 +58,7 @@ def _load_plain(path: str, words: bool):
         tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-    edge = np.zeros(1 << 16, bool)
+    edge = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
     for token, i in tokenizer.get_vocab().items():
         edge[i] = token.endswith("</w>") if words else token.startswith("\u0120")
     return tokenizer, edge
@@ -62,7 +67,7 @@ def _load_plain(path: str, words: bool):
 class Encoded(NamedTuple):
     """The ids of a batch of texts in a row."""
 
-    ids: np.ndarray  # uint16
+    ids: np.ndarray  # uint32
     #: Where each text ends.
     ends: np.ndarray
     #: Where sentences end, ascending; ends of texts are not among them unless a sentence ends there.
@@ -74,7 +79,7 @@ class _Table:
 
     def __init__(self) -> None:
         self.code: dict[str, int] = {}
-        self.ids = np.empty(1 << 20, np.uint16)
+        self.ids = np.empty(1 << 20, np.uint32)
         self.start = np.zeros(1 << 18, np.int64)
         self.size = np.zeros(1 << 18, np.int64)
         self.stop = np.zeros(1 << 18, bool)
@@ -98,7 +103,7 @@ class _Table:
 
 
 class Encoder:
-    """Encodes texts with a vocabulary of at most 65,536 ids.
+    """Encodes texts with a vocabulary, to the ids that the library gives each text by itself.
 
     ``words``: the vocabulary lower-cases, drops white space and ends words; else it is byte-level and keeps it all.
     Of a byte-level vocabulary, chunks have lost their leading space, and those that had none begin with byte 1.
@@ -131,20 +136,20 @@ class Encoder:
         groups = [plain[at : at + _JOINED] for at in range(0, len(plain), _JOINED)]
         joined = [("" if words else " ") + " ".join(g) for g in groups]
         for group, e in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint16)
+            ids = np.array(e.ids, np.uint32)
             at = np.flatnonzero(edge[ids])
             add(group, ids, np.diff(at + 1, prepend=0) if words else np.diff(at, append=len(ids)))
         if alone:
             texts = [c[1:] if c[:1] == "\x01" else "" if words else " " + c for c in alone]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            add(alone, np.array([i for x in found for i in x], np.uint16), np.array([len(x) for x in found], np.int64))
+            add(alone, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
         for at in range(0, len(mixed), _JOINED):
             some = mixed[at : at + _JOINED]
             found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
             # a chunk begins with the space before it, which may be a token of its own
             begin = np.cumsum([1 + len(c) for c in some]) - [1 + len(c) for c in some]
             offsets = np.fromiter((o[1] for o in found.offsets), np.int64, len(found.ids)) - 1
-            add(some, np.array(found.ids, np.uint16), np.bincount(np.searchsorted(begin, offsets, "right") - 1, minlength=len(some)))
+            add(some, np.array(found.ids, np.uint32), np.bincount(np.searchsorted(begin, offsets, "right") - 1, minlength=len(some)))
 
     def _forget(self) -> None:
         """A new table of the chunks that were met again."""
@@ -162,10 +167,11 @@ class Encoder:
             self._forget()
         # a copy of its own: Arrow's ascii_lower goes wrong on slices
         texts = pc.fill_null(pa.concat_arrays([texts.cast(pa.string()), pa.array([], pa.string())]), "")
-        whole: list[int] = []
+        mask = pc.match_substring_regex(texts, _special(self.path), ignore_case=True)
         if not self.words:
-            mask = pc.match_substring_regex(texts, _WHOLE)
-            whole = np.flatnonzero(mask.to_numpy(zero_copy_only=False)).tolist()
+            mask = pc.or_(mask, pc.match_substring_regex(texts, _WHOLE))
+        whole = np.flatnonzero(mask.to_numpy(zero_copy_only=False)).tolist()
+        if whole:
             own = [texts[k].as_py() for k in whole]
             texts = pc.if_else(mask, "", texts)
         chunks = self._chunks(texts)
@@ -189,11 +195,12 @@ class Encoder:
         if whole:
             parts, shift, at = [], np.zeros(len(ends), np.int64), 0
             for k, text in zip(whole, own, strict=True):
-                found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
+                found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 parts += [ids[at : ends[k]], found]
                 at = ends[k]
                 shift[k:] += len(found)
-            ids, ends, stops = np.concatenate([*parts, ids[at:]]), ends + shift, np.zeros(0, np.int64)
+            stops = stops + shift[np.searchsorted(ends, stops)]
+            ids, ends = np.concatenate([*parts, ids[at:]]), ends + shift
         return Encoded(ids, ends, stops)
 
 

@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
-from tabloom.llm import jaccard_join, license_scan
+from tabloom.llm import jaccard_join, license_scan, packing, token_codes, tokens
 
 
 def test_licenses_inside_lines(spark):
@@ -84,3 +86,16 @@ def test_jaccard_join_recursion(spark, monkeypatch, crowd, leaf, block):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_join(docs).collect()}
     assert got == {i: (label[r], sum(r in p for p in links)) for i, r in enumerate(rep)}
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_ids_as_the_library_gives_them(words):
+    """Special strings in a text are special tokens; the expected ids come from a plain tokenizer."""
+    path = packing.word_vocabulary() if words else token_codes.byte_vocabulary()
+    texts = ["<|endoftext|> b", "a<|endoftext|>", "x <|startoftext|> y. z", "<|ENDOFTEXT|> b", None, "", "plain. words here!", "<|endoftext|><|endoftext|>", "one. two. three <|endoftext|> four. five."]
+    plain = Tokenizer.from_file(path)
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    got = tokens.Encoder(path, words).encode(pa.array(texts))
+    begin = [0, *got.ends[:-1].tolist()]
+    assert [got.ids[a:b].tolist() for a, b in zip(begin, got.ends.tolist(), strict=True)] == want
+    assert got.stops.tolist() == sorted(got.stops.tolist())
