@@ -4,20 +4,20 @@ Distance d = 1 - J is a metric, and two sets within r of each other share one of
 each, whatever order of shingles is fixed.  Two proofs of "further apart than r" follow from that, and the join uses both:
 
 1.  Equal sets become one point.
-2.  Meeting.  Every point shows the least hashes of its set, a little more than floor(r n) + 1 of them, without the very
-    frequent shingles.  Points that meet in a shingle of at most ``_CROWD`` points become a pair that is measured.  In a
-    crowded shingle no pairs are made; each point is only told so.  A point with floor(r n) + 1 uncrowded shingles is
-    settled: whatever lies within r of it met it there.  The others, the crowd, show their whole sets: to the settled
-    points' shingles, and to each other, where the same rule settles most of them.
-3.  Voronoi regions.  What stays crowded lies in large groups of near copies.  Points that share least hashes elect the
-    least id as pivot; a point within the radius joins the nearest pivot.  Each region has its covering radius.
-4.  Recursion.  The pivots, and points that no pivot reached, are joined by the same steps with the radius
-    r + R + R'; while they stay crowded, pivots of a doubled radius are elected among them, and so on.
+2.  Voronoi regions.  Points that share least hashes elect the least id as pivot; a point within r joins the nearest
+    pivot.  Each region has its covering radius R; a point that no pivot reached is a region of its own.
+3.  Meeting.  Every point shows the least hashes of its set, a little more than floor(r n) + 1 of them, without the very
+    frequent shingles.  Regions that meet in a shingle of at most ``_CROWD`` regions become a pair, which goes on if the
+    shingles they share allow a link.  In a crowded shingle no pairs are made; each region is only told so.  A region
+    whose points all keep floor(r n) + 1 uncrowded shingles is settled: whatever lies within r of it met it there.  The
+    others, the crowd, show their whole sets to the settled regions.
+4.  Recursion.  The centres of the crowd are joined by the same steps with the radius r + R + R'; while they stay
+    crowded, pivots of a doubled radius are elected among them, and so on.
 5.  Windows.  Where two centres are no further apart than r + R + R', the boundary documents - those that the triangle
     inequality cannot keep from the other region - are replicated into a join of the two regions, in bounded blocks.
 
 All distances are computed exactly on whole sets (of 63-bit shingle hashes).  Pairs are made only in shingles of at most
-``_CROWD`` points, so their number grows with the rows; a group of near copies costs one distance a document, and only
+``_CROWD`` regions, so their number grows with the rows; a group of near copies costs one distance a document, and only
 where all its links are asked for is it compared block by block, which leaves one count a document and block.
 The table of very frequent shingles and the one of the crowd's shingles have a fixed size.  They decide cost, never results.
 """
@@ -44,7 +44,7 @@ _WORDS, _SLOT_BITS, _CROWD_BITS = 1 << 15, 20, 24
 #: Shingles that are counted at once, and the count in such a stretch from which one counts as frequent there; a shingle
 #: is frequent if that is so in one of ``_PART`` stretches.
 _STRETCH, _OFTEN, _PART = 1 << 21, 4, 8
-#: Points of one shingle from which it is crowded.
+#: Regions of one shingle beyond which it is crowded.
 _CROWD = 12
 #: Least hashes by which a point meets others in an election, and rounds of elections.
 _KEYS, _ROUNDS = 4, 2
@@ -150,27 +150,29 @@ def frequent_slots(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
 
 
 def _points(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
-    """(id, n, f1, f2, shown, window) of each (id, text): set size, fingerprint, and the hashes that it shows to others."""
-    schema = "id long, n int, f1 long, f2 long, shown int, window binary"
+    """(id, n, f1, f2, keys, shown, window) of each (id, text): size, fingerprint, keys of elections, hashes shown to others."""
+    schema = "id long, n int, f1 long, f2 long, keys array<long>, shown int, window binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            n, f1, f2, shown, window = [], [], [], [], []
+            n, f1, f2, keys, shown, window = [], [], [], [], [], []
             for text in _texts(batch, 1):
                 h = shingle_hashes(text, k)
                 n.append(len(h))
                 if not len(h):
-                    for c in (f1, f2, shown, window):
+                    for c in (f1, f2, keys, shown, window):
                         c.append(None)
                     continue
                 f = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
                 f1.append(int(f[0]))
                 f2.append(int(f[1]))
-                h = h[~often[_slots(h, _SLOT_BITS)]][: n[-1] * (100 - percent) // 100 + n[-1] // 20 + 2]
+                rare = h[~often[_slots(h, _SLOT_BITS)]]
+                keys.append((rare if len(rare) else h)[:_KEYS].view(np.int64).tolist())
+                h = rare[: n[-1] * (100 - percent) // 100 + n[-1] // 20 + 2]
                 shown.append(len(h))
                 window.append(h.tobytes())
-            columns = [batch.column(0), *(pa.array(c, t) for c, t in ((n, pa.int32()), (f1, pa.int64()), (f2, pa.int64()), (shown, pa.int32()), (window, pa.binary())))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "f1", "f2", "shown", "window"])
+            columns = [batch.column(0), *(pa.array(c, t) for c, t in ((n, pa.int32()), (f1, pa.int64()), (f2, pa.int64()), (keys, pa.list_(pa.int64())), (shown, pa.int32()), (window, pa.binary())))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "f1", "f2", "keys", "shown", "window"])
 
     return docs.mapInArrow(run, schema)
 
@@ -190,6 +192,24 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, often: np.ndarray) -> Data
     return chosen.mapInArrow(run, "id long, n int, hot int, keys array<long>, shingles binary").where("n > 0")
 
 
+class _Sets:
+    """The whole sets of the documents that were asked for, each made once."""
+
+    def __init__(self, docs: DataFrame, k: int, often: np.ndarray) -> None:
+        self.docs, self.k, self.often = docs, k, often
+        self.have = _none(docs.sparkSession, "id", "CAST(NULL AS INT) n", "CAST(NULL AS INT) hot", "CAST(NULL AS ARRAY<BIGINT>) keys", "CAST(NULL AS BINARY) shingles")
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        missing = saved(ids.distinct().join(self.have.select("id"), "id", "left_anti"), "missing-sets")
+        if not missing.isEmpty():
+            self.have = self.have.union(saved(_sets(self.docs, missing, self.k, self.often), "sets"))
+        return self.have
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
 def _rows(points: DataFrame, skip: np.ndarray | None = None, only: np.ndarray | None = None) -> DataFrame:
     """(s, id, n): a row for each hash in the binary column of ``points`` (id, n, hashes), but for slots in ``skip``."""
     only = None if only is None else np.packbits(only)
@@ -219,10 +239,18 @@ def _counted(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _alike(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
-    """Whether sizes allow a similarity of ``least``."""
+    """Whether sizes allow a similarity of ``least``; a negative size is one of a region of points that are as similar to its centre."""
+    least = least ** (1.0 + (n < 0) + (m < 0))
+    n, m = np.abs(n), np.abs(m)
     return np.minimum(n, m) >= np.maximum(n, m) * least - 1e-6
 
 
+def _once(rows: np.ndarray) -> np.ndarray:
+    """Sorted rows without those that repeat the hash and the region (and side) of the row before."""
+    kept = rows[[k for k in range(len(rows)) if k != 2]]
+    return rows[:, np.concatenate(([True], (kept[:, 1:] != kept[:, :-1]).any(axis=0)))] if rows.shape[1] else rows
+
+
 def _meet(rows: DataFrame, least: float) -> DataFrame:
     """(a, b, c): pairs that share c uncrowded shingles and may be as similar as ``least``; (a, null, c): a is in c crowded ones."""
     most = _CROWD
@@ -258,7 +286,7 @@ def _meet(rows: DataFrame, least: float) -> DataFrame:
                 yield _counted(a, b)
 
         for batch in batches:
-            rows = np.concatenate((rest, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])), axis=1)
+            rows = _once(np.concatenate((rest, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])), axis=1))
             if not rows.shape[1]:
                 continue
             goes_on = np.searchsorted(rows[0], open_, "right")
@@ -273,7 +301,7 @@ def _meet(rows: DataFrame, least: float) -> DataFrame:
                 rest, open_ = rest[:, :0], int(rest[0, 0])
         yield from settle(rest)
 
-    return rows.repartition("s").sortWithinPartitions("s").mapInArrow(run, "a long, b long, c int")
+    return rows.repartition("s").sortWithinPartitions("s", "id").mapInArrow(run, "a long, b long, c int")
 
 
 def _meet_two(shown: DataFrame, whole: DataFrame, least: float) -> DataFrame:
@@ -283,7 +311,7 @@ def _meet_two(shown: DataFrame, whole: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((4, 0), np.int64)
         for batch in batches:
-            rows = np.concatenate((rest, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])), axis=1)
+            rows = _once(np.concatenate((rest, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])), axis=1))
             if not rows.shape[1]:
                 continue
             side = rows[3] == 0
@@ -303,7 +331,7 @@ def _meet_two(shown: DataFrame, whole: DataFrame, least: float) -> DataFrame:
             rest = rows[:, side & (rows[0] == rows[0, -1])][:, : most + 1]
 
     both = shown.withColumn("side", F.lit(0)).union(whole.withColumn("side", F.lit(1)))
-    return both.repartition("s").sortWithinPartitions("s", "side").mapInArrow(run, "a long, b long, c int")
+    return both.repartition("s").sortWithinPartitions("s", "side", "id").mapInArrow(run, "a long, b long, c int")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -453,10 +481,10 @@ def _none(spark: SparkSession, *columns: str) -> DataFrame:
 class _Crowd:
     """The join of points that show their whole sets, by meeting, Voronoi regions and recursion on their centres."""
 
-    def __init__(self, sets: DataFrame, percent: int, often: np.ndarray, mode: str) -> None:
+    def __init__(self, sets: _Sets, percent: int, often: np.ndarray, mode: str) -> None:
         self.sets, self.percent, self.often, self.mode = sets, percent, often, mode
         self.r = 1 - percent / 100
-        self.spark = sets.sparkSession
+        self.spark = sets.docs.sparkSession
 
     def elect(self, points: DataFrame, radius: float) -> DataFrame:
         """(x, p, d) of the points that joined a pivot's region, by rounds of elections."""
@@ -468,10 +496,12 @@ class _Crowd:
             heads = ballots.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
             elected = saved(heads.select("key", F.col("m.id").alias("p"), F.col("m.n").alias("np")), "elected")
             met = ballots.join(elected, "key").where("id <> p").where(F.least("n", "np") >= F.greatest("n", "np") * share - 1e-6)
-            pairs = saved(met.select(F.col("id").alias("a"), F.col("p").alias("b")).distinct(), "pivot-pairs")
+            # one common hash out of several seldom means a near copy
+            met = met.groupBy(F.col("id").alias("a"), F.col("p").alias("b"), "n").agg(F.count(F.lit(1)).alias("c"))
+            pairs = saved(met.where(F.col("c") >= F.least(F.lit(2), F.col("n"))).select("a", "b").distinct(), "pivot-pairs")
             if pairs.isEmpty():
                 break
-            near = saved(_measured(pairs, self.sets).withColumn("d", _distance()).where(F.col("d") <= radius + 1e-9).select("a", "b", "d"), "pivot-distances")
+            near = saved(_measured(pairs, self.sets.of(_ends(pairs))).withColumn("d", _distance()).where(F.col("d") <= radius + 1e-9).select("a", "b", "d"), "pivot-distances")
             # a pivot is the centre of its own region, so it joins no other
             pivots = elected.select(F.col("p").alias("a")).distinct()
             joined = near.join(pivots, "a", "left_anti").groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
@@ -520,19 +550,19 @@ class _Crowd:
 
     def within(self, chosen: DataFrame) -> DataFrame:
         """Pairs of ``chosen`` (a, b, apart) with d <= r + apart, measured."""
-        got = saved(_measured(chosen.select("a", "b").distinct(), self.sets), "pair-distances")
+        got = saved(_measured(chosen.select("a", "b").distinct(), self.sets.of(_ends(chosen))), "pair-distances")
         near = F.when(F.col("apart") > 0, _distance() <= self.r + F.col("apart") + 1e-9).otherwise(_linked(self.percent))
         return got.join(chosen, ["a", "b"]).where(near).drop("apart")
 
     def joined(self, edge: DataFrame, level: int, pairs: DataFrame, tallies: DataFrame) -> tuple[DataFrame, DataFrame]:
         tally = level == 0 and self.mode != "pairs"
-        got = saved(_blocks(edge, self.sets, self.percent, tally), "block-links")
+        got = saved(_blocks(edge, self.sets.of(edge.select("id")), self.percent, tally), "block-links")
         if tally:
             return pairs, tallies.union(got)
         found = got.select(F.col("id").alias("a"), F.col("label").alias("b")).distinct()
         if level == 0:  # links already, whatever their distance
             return pairs.union(found.select("a", "b", *[F.lit(None).cast("long")] * 3)), tallies
-        return pairs.union(saved(_measured(found, self.sets), "block-distances")), tallies
+        return pairs.union(saved(_measured(found, self.sets.of(_ends(found))), "block-distances")), tallies
 
     def flat(self, points: DataFrame, level: int, pairs: DataFrame, tallies: DataFrame) -> tuple[DataFrame, DataFrame]:
         """All against all in bounded blocks, for what neither shingles nor pivots part."""
@@ -573,7 +603,7 @@ class _Crowd:
         # a document nearer to its own centre than that is further from the other centre than its region reaches
         sides = saved(sides[0].union(sides[1]).where(F.col("d") - F.col("own") <= F.col("reach")), "region-sides")
         ask = sides.where("a <> b").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-        far = saved(_measured(ask, self.sets).select(F.col("a").alias("id"), F.col("b").alias("other"), _distance().alias("far")).groupBy("id", "other").agg(F.min("far").alias("far")), "region-distances")
+        far = saved(_measured(ask, self.sets.of(_ends(ask))).select(F.col("a").alias("id"), F.col("b").alias("other"), _distance().alias("far")).groupBy("id", "other").agg(F.min("far").alias("far")), "region-distances")
         edge = sides.join(far, ["id", "other"], "left").where("a = b OR far <= reach").select("a", "b", "side", "id", "n", "radius")
         return self.joined(saved(edge, "region-boundaries"), level, pairs, tallies)
 
@@ -589,45 +619,59 @@ def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mod
     points = saved(_points(docs, k, percent, often), "points")
     live = points.where("id IS NOT NULL AND n > 0")
     equal = saved(live.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "equal-sets")
-    members = live.select("id", "n", "shown", "f1", "f2").join(equal, ["f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    members = live.select("id", "n", "shown", "keys", "f1", "f2").join(equal, ["f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     members = saved(members, "members")
     copies = saved(members.where("id <> rep").select("id", "f1", "f2").distinct(), "copies")
-    windows = live.join(copies, ["id", "f1", "f2"], "left_anti").select("id", "n", "window")
+    reps = saved(members.where("id = rep").select("id", "n", "shown", "keys", F.lit(0.0).alias("radius")).distinct(), "representatives")
+    sets = _Sets(docs.where("id IS NOT NULL"), k, often)
+    crowd_join = _Crowd(sets, percent, often, mode)
+    homes = crowd_join.elect(reps, 1 - percent / 100)
+
+    # tail: hashes that no point of the region leaves unshown more of; margin: uncrowded hashes that all can spare
+    placed = reps.join(homes.withColumnRenamed("x", "id"), "id", "left").withColumn("region", F.coalesce("p", "id"))
+    tail, margin = F.col("n") - F.col("shown"), F.col("shown") - F.floor(F.col("n") * (100 - percent) / 100)
+    regions = placed.groupBy(F.col("region").alias("id")).agg(
+        F.count_distinct("id").alias("size"), F.coalesce(F.max("d"), F.lit(0.0)).alias("radius"), F.min("n").alias("least"), F.max(tail).alias("tail"), F.min(margin).alias("margin")
+    )
+    regions = saved(regions.withColumn("many", F.col("size") > 1), "regions")
+    moved = homes.select(F.col("x").alias("id"), F.col("p").alias("region")).union(homes.select(F.col("p").alias("id"), F.col("p").alias("region"))).distinct()
+    moved = saved(moved, "moved")
+    by_region = lambda df, hashes: df.join(moved, "id", "left").select(
+        F.coalesce("region", "id").alias("id"), F.when(F.col("region").isNotNull(), -F.col("n")).otherwise(F.col("n")).alias("n"), hashes
+    )
+    windows = by_region(live.join(copies, ["id", "f1", "f2"], "left_anti").select("id", "n", "window"), "window")
     least = percent / 100
     met = saved(_meet(_rows(windows), least), "meetings")
     told = met.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("told"))
-    reps = members.where("id = rep").select("id", "n", "shown").join(told, "id", "left").withColumn("told", F.coalesce("told", F.lit(0)))
-    reps = saved(reps.distinct().withColumn("dense", F.col("shown") - F.col("told") <= F.floor(F.col("n") * (100 - percent) / 100)), "shown-points")
-    crowd = saved(reps.where("dense").select("id").distinct(), "crowd")
-    a, b = (reps.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in reps.columns[1:]]) for side in ("a", "b"))
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-6)
+    regions = regions.join(told, "id", "left").withColumn("told", F.coalesce("told", F.lit(0)))
+    regions = saved(regions.withColumn("dense", F.col("margin") <= F.col("told")), "told-regions")
+    crowd = saved(regions.where("dense").select("id"), "crowd")
+    a, b = (regions.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in regions.columns[1:]]) for side in ("a", "b"))
+    need = F.ceil((F.col("least_a") + F.col("least_b")) * percent / F.lit(100.0 + percent) - 1e-6)
 
     def likely(met: DataFrame, beyond: Column) -> DataFrame:
-        """Pairs that can link with c common shingles seen and at most ``beyond`` unseen."""
+        """Pairs of regions that can hold a link with c common shingles seen and at most ``beyond`` unseen."""
         counted = met.groupBy("a", "b").agg(F.sum("c").alias("c")).join(a, "a").join(b, "b")
-        return counted.where((F.col("c") + beyond >= need) & ~(F.col("dense_a") & F.col("dense_b"))).select("a", "b").distinct()
-
-    # hashes up to the lesser end of the two windows were seen, but for crowded ones; pairs within the crowd come later
-    tails = F.greatest(F.col("n_a") - F.col("shown_a"), F.col("n_b") - F.col("shown_b"))
-    pairs = saved(likely(met.where("b IS NOT NULL"), F.least("told_a", "told_b") + tails), "window-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowd).distinct()
-    known = docs.where("id IS NOT NULL")
-    sets = saved(_sets(known, wanted, k, often), "sets")
-    crowded = saved(sets.join(crowd, "id", "left_semi").withColumn("radius", F.lit(0.0)), "crowd-sets")
+        counted = counted.where((F.col("c") + beyond >= need) & ~(F.col("dense_a") & F.col("dense_b")))
+        return counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("radius_a") + F.col("radius_b")).alias("apart"))
 
+    # hashes up to the lesser end of two windows were seen, but for crowded ones; pairs within the crowd come later
+    pairs = likely(met.where("b IS NOT NULL"), F.least("told_a", "told_b") + F.greatest("tail_a", "tail_b"))
+    crowded = None
     if not crowd.isEmpty():
-        whole = _rows(crowded.select("id", "n", "shingles"), skip=often)
+        inside = saved(placed.join(crowd.withColumnRenamed("id", "region"), "region", "left_semi").select("id").distinct(), "crowd-members")
+        have = sets.of(inside).join(inside, "id", "left_semi")
+        whole = _rows(by_region(have.select("id", "n", "shingles"), "shingles"), skip=often)
         slots = _table(whole.select(F.shiftright("s", 63 - _CROWD_BITS).alias("slot")), _CROWD_BITS)
         shown = _rows(windows.join(crowd, "id", "left_anti"), only=slots)
-        pairs = pairs.union(likely(_meet_two(shown, whole, least), F.col("told_a") + F.col("n_a") - F.col("shown_a")))
-    pairs = saved(pairs.distinct(), "pairs")
-    missing = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
-    missing = saved(missing, "missing")
-    if not missing.isEmpty():
-        sets = sets.union(saved(_sets(known, missing, k, often), "more-sets"))
-    links = saved(_measured(pairs, sets).where(_linked(percent)).select("a", "b"), "links")
-    near, tallies = _Crowd(crowded, percent, often, mode).near(crowded)
-    links = links.union(near.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = saved(pairs, "window-pairs").union(likely(_meet_two(shown, whole, least), F.col("told_a") + F.col("tail_a")))
+        crowded = saved(have.join(crowd, "id", "left_semi").join(regions.select("id", "radius"), "id"), "crowd-centres")
+    near = crowd_join.within(saved(pairs.distinct(), "pairs"))
+    if crowded is not None:
+        near = near.union(crowd_join.near(crowded, 1)[0])
+    none = _none(docs.sparkSession, "a", "b", "common", "na", "nb"), _none(docs.sparkSession, "id", "label", "links")
+    near, tallies = crowd_join.members(reps, homes, regions.select("id", "radius", "many"), near, 0, *none)
+    links = near.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return points.select("id", "n"), members.select("id", "rep").distinct(), links, tallies
 
 

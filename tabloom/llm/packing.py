@@ -168,7 +168,7 @@ def pack(
     """
     docs = docs.drop(*[c for c in PIECES.names if c != order_col])
     kept = [f for f in docs.schema.fields if f.name != text_col]
-    ordered = docs.repartitionByRange(order_col).sortWithinPartitions(order_col, F.xxhash64(text_col))
+    ordered = docs.repartitionByRange(order_col, F.xxhash64(text_col)).sortWithinPartitions(order_col, F.xxhash64(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, True).encode
@@ -227,4 +227,4 @@ def word_vocabulary() -> str:
 
 def op2_packing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack(docs, word_vocabulary(), with_ids=False).drop("ids")
+    return pack(docs, word_vocabulary()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -108,7 +108,7 @@ def write_codes(
         ]
     )
     rows = docs.select(order_col, text_col)
-    ordered = rows.repartitionByRange(order_col).sortWithinPartitions(order_col, F.xxhash64(text_col))
+    ordered = rows.repartitionByRange(order_col, F.xxhash64(text_col)).sortWithinPartitions(order_col, F.xxhash64(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, False).encode
