@@ -167,7 +167,7 @@ def _points(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFra
                 f1.append(int(f[0]))
                 f2.append(int(f[1]))
                 rare = h[~often[_slots(h, _SLOT_BITS)]]
-                keys.append((rare if len(rare) else h)[:_KEYS].view(np.int64).tolist())
+                keys.append(h[:_KEYS].view(np.int64).tolist())
                 h = rare[: n[-1] * (100 - percent) // 100 + n[-1] // 20 + 2]
                 shown.append(len(h))
                 window.append(h.tobytes())
@@ -596,15 +596,22 @@ class _Crowd:
         size = crowd.select(F.col("id").alias("x"), "n", "radius").distinct()
         inside = homes.select("x", "p", "d").union(of.select("id", "id", F.lit(0.0))).join(size, "x")
         inside = saved(inside.select(F.col("x").alias("id"), F.col("p").alias("region"), F.col("d").alias("own"), "n", "radius"), "region-members")
-        sides = []
-        for k, (mine, other, cover) in enumerate((("a", "b", "rb"), ("b", "a", "ra"))):
-            met = wide.join(inside, F.col(mine) == F.col("region"))
-            sides.append(met.select("a", "b", F.lit(k).alias("side"), "id", "n", "radius", F.col(other).alias("other"), (F.col(cover) + self.r + F.col("radius") + 1e-9).alias("reach"), "own", "d"))
-        # a document nearer to its own centre than that is further from the other centre than its region reaches
-        sides = saved(sides[0].union(sides[1]).where(F.col("d") - F.col("own") <= F.col("reach")), "region-sides")
-        ask = sides.where("a <> b").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-        far = saved(_measured(ask, self.sets.of(_ends(ask))).select(F.col("a").alias("id"), F.col("b").alias("other"), _distance().alias("far")).groupBy("id", "other").agg(F.min("far").alias("far")), "region-distances")
-        edge = sides.join(far, ["id", "other"], "left").where("a = b OR far <= reach").select("a", "b", "side", "id", "n", "radius")
+        row = ["a", "b", "side", "id", "n", "radius"]
+        # a region is joined with itself, and with all the smaller regions near it at once
+        itself = inside.join(wide.where("a = b"), F.col("region") == F.col("a")).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select(*row)
+        sizes = inside.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+        size_a, size_b = (sizes.select(F.col("region").alias(c), F.col("size").alias(f"size_{c}")) for c in ("a", "b"))
+        pair = wide.where("a <> b").join(size_a, "a").join(size_b, "b").withColumn("first", F.col("size_a") >= F.col("size_b"))
+        either = lambda x, y: F.when(F.col("first"), F.col(x)).otherwise(F.col(y))
+        pair = saved(pair.select(either("a", "b").alias("a"), either("b", "a").alias("small"), "d", either("ra", "rb").alias("ra"), either("rb", "ra").alias("rb")), "oriented-regions")
+        # documents nearer to their own centre are further from all of the other region than r
+        beyond = self.r + F.col("radius") + 1e-9
+        right = pair.join(inside, F.col("small") == F.col("region")).where(F.col("d") - F.col("own") <= F.col("ra") + beyond)
+        least = pair.groupBy("a").agg(F.min(F.col("d") - F.col("rb")).alias("least"))
+        left = least.join(inside, F.col("a") == F.col("region")).where(F.col("least") - F.col("own") <= beyond)
+        edge = itself
+        for k, side in enumerate((left, right)):
+            edge = edge.union(side.select("a", F.bitwise_not("a").alias("b"), F.lit(k).alias("side"), "id", "n", "radius").distinct())
         return self.joined(saved(edge, "region-boundaries"), level, pairs, tallies)
 
 
