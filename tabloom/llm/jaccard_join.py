@@ -521,8 +521,9 @@ class _Crowd:
         reach = self.r + 2 * widest
         if reach >= 1 - 1e-6 or points.count() <= _LEAF:
             return self.flat(points, level, pairs, tallies)
-        rows = _rows(points.select("id", "n", "shingles"), skip=self.often)
-        met = saved(_meet(rows, 1 - reach), "crowd-meetings")
+        size = F.when(F.col("radius") > 0, -F.col("n")).otherwise(F.col("n")).cast("int").alias("n")
+        rows = _rows(points.select("id", size, "shingles"), skip=self.often)
+        met = saved(_meet(rows, 1 - self.r if widest <= self.r + 1e-9 else 1 - reach), "crowd-meetings")
         told = met.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("told"))
         info = points.select("id", "n", "hot", "radius").join(told, "id", "left")
         info = info.select("id", "n", "radius", (F.col("hot") + F.coalesce("told", F.lit(0))).alias("hidden"))
