@@ -27,6 +27,13 @@ def ask(values: DataFrame, column: str, connector: Connector, known: DataFrame |
     if pause:
         asked = asked.coalesce(1)  # a rate limit is one lane by its nature
 
+    def alone(value: str) -> str | None:
+        time.sleep(pause)
+        try:
+            return pd.Series(connector(pd.Series([value]))).iloc[0]
+        except Exception:
+            return value if keep_on_error else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             answer = None
@@ -36,8 +43,8 @@ def ask(values: DataFrame, column: str, connector: Connector, known: DataFrame |
                     break
                 except Exception:
                     time.sleep(pause * (n + 1))
-            if answer is None:
-                answer = batch["value"] if keep_on_error else pd.Series([None] * len(batch))
+            if answer is None:  # one bad value does not take the answers of the others
+                answer = pd.Series([alone(v) for v in batch["value"]], dtype=object)
             time.sleep(pause)
             yield pd.DataFrame({"value": batch["value"].values, "answer": pd.Series(answer).values})
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from tabloom.functions.reversal import title_case
 from tabloom.functions.text import initials_first, strip_titles
 from tabloom.operators.labels import _checked
+from tabloom.operators.merge import COPIES, counted, repeated
 
 #: Parties that need no lookup, headers that are no candidates, and the number ranges of sections.
 KNOWN_PARTIES = ("DMK", "AIADMK", "BJP", "INC", "PMK", "NTK", "VCK", "CPI", "CPI(M)", "DMDK", "MDMK", "TMC(M)", "AMMK", "IUML", "IND")
@@ -30,6 +32,18 @@ SECTIONS = (
     (240, 265, "Thirumanur West"), (165, 167, "Thirumanur East"), (186, 239, "Thirumanur East"),
     (266, 277, "Jayankondam ALU"), (278, 330, "T Palur West"),
 )
+#: Names that several candidates bear, with marks in the text or a constituency (neither: always), and
+#: the party; the first that fits counts.
+SHARED_NAMES = (
+    ("annadurai", ("c. n.", "c.n."), "tiruvannamalai", "DMK"),
+    ("annadurai", (), "", "PMK"),
+    ("senthilnathan", ("v. v.", "v.v."), "karur", "BJP"),
+    ("senthilnathan", ("p.",), "tiruchirappalli", "AMMK"),
+    ("venkatesan", ("jothi",), "kancheepuram", "PMK"),
+    ("venkatesan", ("su.",), "madurai", "CPI(M)"),
+    ("mani", ("a. mani",), "dharmapuri", "DMK"),
+    ("mani", ("tamil mani",), "namakkal", "AIADMK"),
+)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -39,35 +53,27 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def collision(text: Column, constituency: Column) -> Column:
-    """The party of names that several candidates bear, by initials or constituency; null if there is no rule."""
+    """The party of names that several candidates bear, by the first of ``SHARED_NAMES`` that fits; null if none does."""
     t, c = F.lower(text), F.lower(F.coalesce(constituency, F.lit("")))
-
-    def has(*parts: str) -> Column:
-        hit = F.lit(False)
-        for p in parts:
-            hit = hit | t.contains(p)
-        return hit
-
-    return (
-        F.when(has("annadurai"), F.when(has("c. n.", "c.n.") | c.contains("tiruvannamalai"), "DMK").otherwise("PMK"))
-        .when(has("senthilnathan") & (has("v. v.", "v.v.") | c.contains("karur")), "BJP")
-        .when(has("senthilnathan") & (has("p.") | c.contains("tiruchirappalli")), "AMMK")
-        .when(has("venkatesan") & (has("jothi") | c.contains("kancheepuram")), "PMK")
-        .when(has("venkatesan") & (has("su.") | c.contains("madurai")), "CPI(M)")
-        .when(has("mani") & (has("a. mani") | c.contains("dharmapuri")), "DMK")
-        .when(has("mani") & (has("tamil mani") | c.contains("namakkal")), "AIADMK")
-    )
+    rules = []
+    for name, marks, place, party in SHARED_NAMES:
+        signs = [t.contains(m) for m in marks] + ([c.contains(place)] if place else [])
+        rules.append(F.when(reduce(Column.__or__, signs, F.lit(not signs)) & t.contains(name), party))
+    return F.coalesce(*rules)
 
 
 def close_match(left: DataFrame, right: DataFrame, a: str, b: str, block: list[str], cutoff: float) -> DataFrame:
-    """``left`` with the closest ``b`` of the same block and its ``score``; equals go to the larger string."""
-    keys = [c for c in left.columns]
+    """``left`` with the closest ``b`` of the same block and its ``score``; equals go to the larger string.
+
+    Repeated rows of ``left`` stay; rows without a close ``b`` are left out.
+    """
+    keys = left.columns
     # a ratio r needs lengths within 2/r - 1 of each other, which spares most comparisons
     near = F.length(a) * (2 / cutoff - 1) >= F.length(b)
     near = near & (F.length(b) * (2 / cutoff - 1) >= F.length(a))
-    pairs = left.join(right, block).where(near).withColumn("score", ratio(F.col(a), F.col(b))).where(F.col("score") >= cutoff)
-    best = pairs.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in right.columns if c not in block]), F.struct("score", b)).alias("m"), F.max("score").alias("score"))
-    return best.select(*keys, "m.*", "score")
+    pairs = counted(left).join(right, block).where(near).withColumn("score", ratio(F.col(a), F.col(b))).where(F.col("score") >= cutoff)
+    best = pairs.groupBy(*keys, COPIES).agg(F.max_by(F.struct(*[c for c in right.columns if c not in block]), F.struct("score", b)).alias("m"), F.max("score").alias("score"))
+    return repeated(best.select(*keys, COPIES, "m.*", "score"))
 
 
 def candidates_in_constituency(headers: DataFrame, candidates: DataFrame, cutoff: float = 0.75) -> DataFrame:
@@ -141,12 +147,15 @@ def last_wins(lookup: DataFrame, key: str, value: str, pos: str) -> DataFrame:
 
 
 def nearest(left: DataFrame, right: DataFrame, block: str, a: str, b: str, reach: float, right_id: str) -> DataFrame:
-    """The right row of the same block nearest in value and within reach; the smaller id of equals."""
-    pairs = left.join(right, block).where(F.abs(F.col(a) - F.col(b)) < reach)
+    """The right row of the same block nearest in value and within reach; the smaller id of equals.
+
+    Repeated rows of ``left`` stay; rows with nothing in reach are left out.
+    """
+    pairs = counted(left).join(right, block).where(F.abs(F.col(a) - F.col(b)) < reach)
     keys = left.columns
     cols = [c for c in right.columns if c != block]
-    best = pairs.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct(F.abs(F.col(a) - F.col(b)), right_id)).alias("m"))
-    return best.select(*keys, "m.*")
+    best = pairs.groupBy(*keys, COPIES).agg(F.min_by(F.struct(*cols), F.struct(F.abs(F.col(a) - F.col(b)), right_id)).alias("m"))
+    return repeated(best.select(*keys, COPIES, "m.*"))
 
 
 def positional_zip(left: DataFrame, right: DataFrame, block: str, left_order: str, right_order: str) -> DataFrame:

@@ -21,6 +21,20 @@ def keep_first(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str]
     return keyed.groupBy(*names).agg(F.min_by(row, F.struct(*order)).alias("_r")).select("_r.*")
 
 
+#: The column that holds how often a row of ``counted`` occurs.
+COPIES = "_copies"
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """Each row once with its number of ``COPIES``, so that later groups of whole rows can be ``repeated``."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPIES))
+
+
+def repeated(df: DataFrame) -> DataFrame:
+    """The rows of ``counted`` as often as they were, without the count."""
+    return df.withColumn(COPIES, F.explode(F.sequence(F.lit(1).cast("long"), COPIES))).drop(COPIES)
+
+
 def page_key(cells: Column) -> Column:
     """The key of page merging: the non-empty ones of the first three cells, else the whole row."""
     first = F.filter(F.slice(cells, 1, 3), lambda c: F.trim(F.coalesce(c, F.lit(""))) != "")

@@ -132,7 +132,7 @@ def polling_row(cells: Column) -> Column:
     def at(i: int) -> Column:
         return F.trim(F.coalesce(F.get(cells, F.lit(i)), F.lit("")))
 
-    text = F.array_join(F.slice(cells, 3, 100), " ")
+    text = F.array_join(F.slice(cells, 3, F.greatest(F.size(cells), F.lit(0))), " ")
     return F.struct(
         at(0).try_cast("int").alias("serial_num"), F.regexp_extract(at(1), "([0-9]+)", 1).try_cast("int").alias("id_num"),
         location_part(text).alias("location"), areas(text).alias("areas"), F.array_join(areas(text), " | ").alias("areas_text"),

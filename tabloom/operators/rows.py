@@ -60,7 +60,7 @@ def is_structured_data_row(cells: Column) -> Column:
     """A station id (``1``, ``1A``, ``1(A)``) in the first two cells, two integers after it, no header word."""
     c = F.transform(cells, lambda x: F.trim(F.coalesce(x, F.lit(""))))
     station = F.exists(F.slice(c, 1, 2), lambda x: x.rlike("^[1-9][0-9]{0,3}\\s*(\\(?[A-Za-z]\\)?)?$"))
-    counts = F.size(F.filter(F.slice(c, 2, 1000), lambda x: F.replace(x, F.lit(","), F.lit("")).rlike("^[0-9]+$")))
+    counts = F.size(F.filter(F.slice(c, 2, F.greatest(F.size(c), F.lit(0))), lambda x: F.replace(x, F.lit(","), F.lit("")).rlike("^[0-9]+$")))
     return station & (counts >= 2) & ~has_header_word(cells)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from tabloom.functions.text import epics
 from tabloom.operators.labels import _checked
+from tabloom.operators.merge import COPIES, counted, repeated
 
 
 def gap_clusters(df: DataFrame, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:
@@ -192,11 +193,14 @@ def box_columns(boxes: DataFrame, extents: DataFrame) -> DataFrame:
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, width: float, right_order: str) -> DataFrame:
-    """The first right row, in order, of those within ``width`` of each left row."""
-    near = left.join(right, list(keys)).where(F.abs(F.col(a) - F.col(b)) < width)
+    """The first right row, in order, of those within ``width`` of each left row.
+
+    Repeated left rows stay; left rows with nothing in reach are left out.
+    """
+    near = counted(left).join(right, list(keys)).where(F.abs(F.col(a) - F.col(b)) < width)
     cols = [c for c in right.columns if c not in keys]
-    best = near.groupBy(*left.columns).agg(F.min_by(F.struct(*cols), right_order).alias("_m"))
-    return best.select(*left.columns, "_m.*")
+    best = near.groupBy(*left.columns, COPIES).agg(F.min_by(F.struct(*cols), right_order).alias("_m"))
+    return repeated(best.select(*left.columns, COPIES, "_m.*"))
 
 
 def greedy_nearest(voters: DataFrame, ids: DataFrame, side: float = 20.0, reach: float = 100.0) -> DataFrame:
