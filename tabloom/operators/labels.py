@@ -15,60 +15,60 @@ from tabloom.functions.text import column_normal_form, jaccard, match_form, reve
 MAX_DICTIONARY = 10_000
 
 #: Parties in order of trust, with abbreviations and names.
-PARTIES: tuple[tuple[str, str, str], ...] = (
-    ("DMK Votes", "DMK", "DRAVIDA MUNNETRA KAZHAGAM|D M K"),
-    ("AIADMK Votes", "AIADMK", "ALL INDIA ANNA DRAVIDA MUNNETRA KAZHAGAM|ANNA DRAVIDA MUNNETRA KAZHAGAM|A I A D M K"),
-    ("BJP Votes", "BJP", "BHARATIYA JANATA PARTY|BHARATIHA JANATA PARTY|JANATA PARTY|B J P"),
-    ("NCP Votes", "NCP", "NATIONALIST CONGRESS PARTY|N C P"),
-    ("CONGRESS Votes", "CONGRESS|INC", "INDIAN NATIONAL CONGRESS|CONGRESS|I N C"),
-    ("PMK Votes", "PMK", "PATTALI MAKKAL KATCHI"),
-    ("VCK Votes", "VCK", "VIDUTHALAI CHIRUTHAIGAL KATCHI"),
-    ("NTK Votes", "NTK", "NAAM TAMILAR KATCHI|NAAM TAMIZHAR KATCHI"),
-    ("DMDK Votes", "DMDK", "DESIYA MURPOKKU DRAVIDA KAZHAGAM|MURPOKKU DRAVIDA KAZHAGAM"),
-    ("MDMK Votes", "MDMK", "MARUMALARCHI DRAVIDA MUNNETRA KAZHAGAM"),
-    ("AMMK Votes", "AMMK", "AMMA MAKKAL MUNNETRA KAZHAGAM"),
-    ("NDK Votes", "NDK", "NAADAALUM MAKKAL KATCHI"),
-    ("CPI(M) Votes", "CPIM|CPI(M)|CPM", "COMMUNIST PARTY OF INDIA MARXIST"),
-    ("CPI Votes", "CPI", "COMMUNIST PARTY OF INDIA"),
-    ("TMC(M) Votes", "TMC|TMCM|TMC(M)", "TAMIL MAANILA CONGRESS|TAMIL MAANILA CONGRESS MOOPANAR"),
-    ("IUML Votes", "IUML", "INDIAN UNION MUSLIM LEAGUE"),
-    ("AIFB Votes", "AIFB", "ALL INDIA FORWARD BLOC"),
-    ("RPI(A) Votes", "RPIA|RPI(A)|RPI", "REPUBLICAN PARTY OF INDIA ATHAWALE|REPUBLICAN PARTY OF INDIA"),
-    ("BSP Votes", "BSP", "BAHUJAN SAMAJ PARTY"),
-    ("MNM Votes", "MNM", "MAKKAL NEEDHI MAIAM"),
-    ("IJK Votes", "IJK", "INDIA JANANAYAKA KATCHI|INDIYA JANANAYAKA KATCHI|INDIA JANAYAKA KATCHI|INDIYA JANAYAKA KATCHI"),
-    ("KMDK Votes", "KMDK", "KONGUNADU MAKKAL DESIA KATCHI|KONGUNADU MAKKAL DESIYA KATCHI"),
-    ("MMK Votes", "MMK", "MANITHANEYA MAKKAL KATCHI"),
-    ("SDPI Votes", "SDPI", "SOCIAL DEMOCRATIC PARTY OF INDIA"),
-    ("PT Votes", "PT", "PUTHIYA TAMILAGAM"),
-    ("AIMIM Votes", "AIMIM", "ALL INDIA MAJLIS E ITTEHADUL MUSLIMEEN|MAJLIS E ITTEHADUL MUSLIMEEN"),
-    ("TMK Votes", "TMK", "TAMILAGA MAKKAL KATCHI"),
-    ("IND Votes", "IND|INDEPENDENT", "INDEPENDENT"),
-    ("NOTA Votes", "NOTA", "NONE OF THE ABOVE"),
-)
+PARTIES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
+    ("DMK Votes", ("DMK",), ("DRAVIDA MUNNETRA KAZHAGAM", "D M K")),
+    ("AIADMK Votes", ("AIADMK",), ("ALL INDIA ANNA DRAVIDA MUNNETRA KAZHAGAM", "ANNA DRAVIDA MUNNETRA KAZHAGAM", "A I A D M K")),
+    ("BJP Votes", ("BJP",), ("BHARATIYA JANATA PARTY", "BHARATIHA JANATA PARTY", "JANATA PARTY", "B J P")),
+    ("NCP Votes", ("NCP",), ("NATIONALIST CONGRESS PARTY", "N C P")),
+    ("CONGRESS Votes", ("CONGRESS", "INC"), ("INDIAN NATIONAL CONGRESS", "CONGRESS", "I N C")),
+    ("PMK Votes", ("PMK",), ("PATTALI MAKKAL KATCHI",)),
+    ("VCK Votes", ("VCK",), ("VIDUTHALAI CHIRUTHAIGAL KATCHI",)),
+    ("NTK Votes", ("NTK",), ("NAAM TAMILAR KATCHI", "NAAM TAMIZHAR KATCHI")),
+    ("DMDK Votes", ("DMDK",), ("DESIYA MURPOKKU DRAVIDA KAZHAGAM", "MURPOKKU DRAVIDA KAZHAGAM")),
+    ("MDMK Votes", ("MDMK",), ("MARUMALARCHI DRAVIDA MUNNETRA KAZHAGAM",)),
+    ("AMMK Votes", ("AMMK",), ("AMMA MAKKAL MUNNETRA KAZHAGAM",)),
+    ("NDK Votes", ("NDK",), ("NAADAALUM MAKKAL KATCHI",)),
+    ("CPI(M) Votes", ("CPIM", "CPI(M)", "CPM"), ("COMMUNIST PARTY OF INDIA MARXIST",)),
+    ("CPI Votes", ("CPI",), ("COMMUNIST PARTY OF INDIA",)),
+    ("TMC(M) Votes", ("TMC", "TMCM", "TMC(M)"), ("TAMIL MAANILA CONGRESS", "TAMIL MAANILA CONGRESS MOOPANAR")),
+    ("IUML Votes", ("IUML",), ("INDIAN UNION MUSLIM LEAGUE",)),
+    ("AIFB Votes", ("AIFB",), ("ALL INDIA FORWARD BLOC",)),
+    ("RPI(A) Votes", ("RPIA", "RPI(A)", "RPI"), ("REPUBLICAN PARTY OF INDIA ATHAWALE", "REPUBLICAN PARTY OF INDIA")),
+    ("BSP Votes", ("BSP",), ("BAHUJAN SAMAJ PARTY",)),
+    ("MNM Votes", ("MNM",), ("MAKKAL NEEDHI MAIAM",)),
+    ("IJK Votes", ("IJK",), ("INDIA JANANAYAKA KATCHI", "INDIYA JANANAYAKA KATCHI", "INDIA JANAYAKA KATCHI", "INDIYA JANAYAKA KATCHI")),
+    ("KMDK Votes", ("KMDK",), ("KONGUNADU MAKKAL DESIA KATCHI", "KONGUNADU MAKKAL DESIYA KATCHI")),
+    ("MMK Votes", ("MMK",), ("MANITHANEYA MAKKAL KATCHI",)),
+    ("SDPI Votes", ("SDPI",), ("SOCIAL DEMOCRATIC PARTY OF INDIA",)),
+    ("PT Votes", ("PT",), ("PUTHIYA TAMILAGAM",)),
+    ("AIMIM Votes", ("AIMIM",), ("ALL INDIA MAJLIS E ITTEHADUL MUSLIMEEN", "MAJLIS E ITTEHADUL MUSLIMEEN")),
+    ("TMK Votes", ("TMK",), ("TAMILAGA MAKKAL KATCHI",)),
+    ("IND Votes", ("IND", "INDEPENDENT"), ("INDEPENDENT",)),
+    ("NOTA Votes", ("NOTA",), ("NONE OF THE ABOVE",)),
+)
 #: Fixed labels that need a score of 0.90; the others need 0.85.
 MAJOR = ("DMK Votes", "AIADMK Votes", "BJP Votes", "CONGRESS Votes", "PMK Votes", "VCK Votes", "NTK Votes", "AMMK Votes", "DMDK Votes")
 #: Administrative columns, their role, abbreviations and names.
-ADMIN: tuple[tuple[str, str, str, str], ...] = (
-    ("Polling Station No.", "identifier", "PSNO|PS NO", "POLLING STATION NO|POLLING STATION NUMBER|PS NO|PSNO|P S NO|BOOTH NO|BOOTH NUMBER|BOOTH|POLLING BOOTH NO|POLLING BOOTH NUMBER|POLLING BOOTH|STATION NO|STATION NUMBER|STN NO"),
-    ("Polling Station Name", "location", "", "POLLING STATION NAME|POLLING STATION LOCATION|PS NAME|STATION NAME|BOOTH NAME|BOOTH LOCATION|POLLING BOOTH NAME|LOCATION|BUILDING NAME|NAME OF POLLING STATION|NAME OF THE POLLING STATION"),
-    ("SL. NO.", "identifier", "SLNO|SL NO", "SL NO|S NO|SERIAL NO|SERIAL NUMBER|SR NO"),
-    ("AC NO.", "identifier", "ACNO|AC NO", "AC NO|A C NO|ASSEMBLY CONSTITUENCY NO|ASSEMBLY CONSTITUENCY NUMBER|CONSTITUENCY NO|CONSTITUENCY NUMBER"),
-    ("Total Valid Votes", "count", "", "TOTAL VALID VOTES|TOTAL VOTES|TOTAL VALID VOTES POLLED|TOTAL VOTES POLLED|VALID VOTES|VOTES POLLED|TOTAL"),
-    ("Rejected Votes", "count", "", "REJECTED VOTES|REJECTED|INVALID VOTES|REJECTED BALLOT|REJECTED BALLOTS|NO OF REJECTED VOTES"),
-    ("Tendered Votes", "count", "", "TENDERED VOTES|TENDERED|NO OF TENDERED VOTES"),
-    ("Total Electors", "count", "", "TOTAL ELECTORS|ELECTORS|NO OF ELECTORS|TOTAL VOTERS|VOTERS|REGISTERED VOTERS"),
+ADMIN: tuple[tuple[str, str, tuple[str, ...], tuple[str, ...]], ...] = (
+    ("Polling Station No.", "identifier", ("PSNO", "PS NO"), ("POLLING STATION NO", "POLLING STATION NUMBER", "PS NO", "PSNO", "P S NO", "BOOTH NO", "BOOTH NUMBER", "BOOTH", "POLLING BOOTH NO", "POLLING BOOTH NUMBER", "POLLING BOOTH", "STATION NO", "STATION NUMBER", "STN NO")),
+    ("Polling Station Name", "location", (), ("POLLING STATION NAME", "POLLING STATION LOCATION", "PS NAME", "STATION NAME", "BOOTH NAME", "BOOTH LOCATION", "POLLING BOOTH NAME", "LOCATION", "BUILDING NAME", "NAME OF POLLING STATION", "NAME OF THE POLLING STATION")),
+    ("SL. NO.", "identifier", ("SLNO", "SL NO"), ("SL NO", "S NO", "SERIAL NO", "SERIAL NUMBER", "SR NO")),
+    ("AC NO.", "identifier", ("ACNO", "AC NO"), ("AC NO", "A C NO", "ASSEMBLY CONSTITUENCY NO", "ASSEMBLY CONSTITUENCY NUMBER", "CONSTITUENCY NO", "CONSTITUENCY NUMBER")),
+    ("Total Valid Votes", "count", (), ("TOTAL VALID VOTES", "TOTAL VOTES", "TOTAL VALID VOTES POLLED", "TOTAL VOTES POLLED", "VALID VOTES", "VOTES POLLED", "TOTAL")),
+    ("Rejected Votes", "count", (), ("REJECTED VOTES", "REJECTED", "INVALID VOTES", "REJECTED BALLOT", "REJECTED BALLOTS", "NO OF REJECTED VOTES")),
+    ("Tendered Votes", "count", (), ("TENDERED VOTES", "TENDERED", "NO OF TENDERED VOTES")),
+    ("Total Electors", "count", (), ("TOTAL ELECTORS", "ELECTORS", "NO OF ELECTORS", "TOTAL VOTERS", "VOTERS", "REGISTERED VOTERS")),
 )
 _DICTIONARY = "pos int, label string, kind string, variants array<string>, abbreviations array<string>"
 
 
 def party_dictionary(spark: SparkSession) -> DataFrame:
-    rows = [(i, label, "party", v.split("|"), a.split("|")) for i, (label, a, v) in enumerate(PARTIES)]
+    rows = [(i, label, "party", [*v], [*a]) for i, (label, a, v) in enumerate(PARTIES)]
     return spark.createDataFrame(rows, _DICTIONARY)
 
 
 def admin_dictionary(spark: SparkSession) -> DataFrame:
-    rows = [(i, label, kind, v.split("|"), [x for x in a.split("|") if x]) for i, (label, kind, a, v) in enumerate(ADMIN)]
+    rows = [(i, label, kind, [*v], [*a]) for i, (label, kind, a, v) in enumerate(ADMIN)]
     return spark.createDataFrame(rows, _DICTIONARY)
 
 
