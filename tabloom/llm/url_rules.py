@@ -97,7 +97,7 @@ def mine_rules(
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """(url, best rule) of every different URL that a rule matches: the most confident, then most frequent, then first."""
+    """(url, best rule) of every different URL that a rule matches: the most confident, then most frequent, then last by name."""
     single = rules.select(F.explode("tokens").alias("_key"), "n_pages").groupBy("_key").agg(F.min("n_pages").alias("_seen"))
     rarest = rules.select("*", F.explode("tokens").alias("_key")).join(single, "_key")
     index = rarest.groupBy("tokens", "confidence", "n_bad").agg(F.min(F.struct("_seen", "_key"))["_key"].alias("_key"))
@@ -127,12 +127,15 @@ def filter_urls(
     ``labels`` has ``label_id, quality, toxic``; a page is bad when its label says quality 0 or toxic 1, and pages
     without a label (or with null marks) teach nothing.  Returns the input columns with ``host, path, rule, verdict,
     mined_rule, mined_confidence``; columns of these names are replaced.  A null URL has empty host and path, no
-    tokens and is allowed.
+    tokens and is allowed.  Other columns may bear any other name (``bad``, ``tokens``, ``confidence``).  Repeated pages
+    and repeated labels stay, and each pair of them counts as a labelled page.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "mined_rule", "mined_confidence")
     marks = labels.select(F.col(label_id).alias("_label_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    taught = pages.join(marks.where("bad IS NOT NULL"), F.col(id_col) == F.col("_label_id")).select(
-        url_tokens(F.col(url_col)).alias("tokens"), "bad"
+    # other columns of the pages may bear any name, so only the two that are needed meet the labels
+    known = pages.select(F.col(id_col).alias("_page_id"), F.col(url_col).alias("_page_url"))
+    taught = known.join(marks.where("bad IS NOT NULL"), F.col("_page_id") == F.col("_label_id")).select(
+        url_tokens(F.col("_page_url")).alias("tokens"), "bad"
     )
     mined = match_rules(pages, mine_rules(taught, **mining), url_col)
     out = pages.join(mined.withColumnRenamed(url_col, "_url"), pages[url_col] == F.col("_url"), "left").drop("_url")

@@ -112,6 +112,20 @@ def test_urls(spark):
     assert url_rules.filter_urls(pages.limit(0), labels).count() == 0
 
 
+def test_urls_with_clashing_columns(spark):
+    pages = spark.createDataFrame(
+        [(i, f"https://a.example/{'spam/casino' if i % 2 else 'news/item'}/{i}") for i in range(40)] * 2, "page_id long, url string"
+    )
+    labels = spark.createDataFrame([(i, i % 2 ^ 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    clashing = pages.withColumns({c: F.lit(c) for c in ("bad", "tokens", "doc_id", "quality", "_label_id", "confidence", "n_bad", "_key")})
+    out = url_rules.filter_urls(clashing, labels)
+    assert set(clashing.columns) < set(out.columns)
+    rows = out.collect()
+    assert len(rows) == 80 and all(r["bad"] == "bad" and (r["verdict"] == "block") == bool(r["page_id"] % 2) for r in rows)
+    plain = {(r["page_id"], r["mined_rule"]) for r in url_rules.filter_urls(pages, labels).collect()}
+    assert plain == {(r["page_id"], r["mined_rule"]) for r in rows}
+
+
 def test_licenses(spark):
     texts = ["Released under the MIT License.\nmore text", "All rights reserved.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "She renewed her driving license at the town hall in the morning.", None, "", "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License."]
     got = {r["doc_id"]: r["families"] for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
