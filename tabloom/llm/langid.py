@@ -147,15 +147,16 @@ def fit(sample: list[tuple[str, str]], epochs: int = 6, rate: float = 2.0, false
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG) -> Model:
-    """Fit on at most ``per_lang`` rows for each language, those of the lowest id hashes.
+    """Fit on at most ``per_lang`` rows for each language, those of the lowest hashes of id and text.
 
     The rows are found by a hash threshold computed from each language's count, so no group is sorted or gathered.
+    Rows that share an id, or have none, are drawn apart by their texts; rows that repeat both are drawn together.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return fit([])
-    rank = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 30))
+    rank = F.pmod(F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)), F.lit(1 << 30))
     limit = F.lit(0)
     for y, n in counts.items():
         limit = F.when(F.col(lang_col) == y, int(min(1.0, 1.2 * per_lang / n) * (1 << 30))).otherwise(limit)

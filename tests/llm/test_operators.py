@@ -151,6 +151,14 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_language_sample_of_shared_ids(spark, monkeypatch):
+    taken = Counter()
+    monkeypatch.setattr(langid, "fit", lambda pairs: taken.update(y for _, y in pairs))
+    rows = [(i, f"text {k}", y) for i, y in ((None, "en"), (7, "de"), (8, "fr")) for k in range(2000)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=100)
+    assert set(taken) == {"en", "de", "fr"} and all(60 < n <= 100 for n in taken.values())
+
+
 def test_best_cuts_is_optimal():
     rng = random.Random(4)
     for _ in range(60):
