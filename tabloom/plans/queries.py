@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from tabloom.functions import reversal, text
 from tabloom.model import fit_width, from_wide, to_rows
-from tabloom.operators import columns, fold, labels, lookup, merge, quality, rows, segment
+from tabloom.operators import columns, connect, fold, labels, lookup, merge, quality, rows, segment
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -280,10 +280,9 @@ def _(spark, d):
 
 @query("distinct_translate_join", """SELECT event_id, CASE event_type WHEN 'click' THEN 'Klick' WHEN 'purchase' THEN 'Kauf' ELSE event_type END AS event_type FROM events""")
 def _(spark, d):
-    e = _t(spark, d, "events").select("event_id", "event_type")
-    words = spark.createDataFrame([("click", "Klick"), ("purchase", "Kauf")], "value string, answer string")
-    known = e.select(F.col("event_type").alias("value")).distinct().join(words, "value", "left")
-    return e.join(known, e["event_type"] == known["value"], "left").select("event_id", F.coalesce("answer", "event_type").alias("event_type"))
+    words = {"click": "Klick", "purchase": "Kauf"}
+    cells = _t(spark, d, "events").select("event_id", F.col("event_type").alias("value"))
+    return connect.translate(cells, lambda texts: texts.map(lambda t: words.get(t, t))).withColumnRenamed("value", "event_type")
 
 
 @query("apply_by_index", "SELECT d.doc_id, d.lang, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
