@@ -17,6 +17,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 _own: dict[str, str] = {}
 _kept: list[list[str]] = []
+_named: dict[str, str] = {}
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -37,10 +38,12 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
-def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def saved(df: DataFrame, name: str, keep: bool = False, key: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage durably.
 
-    Within ``scratch`` the table is removed at its end, but for those to ``keep``.
+    Within ``scratch`` the table is removed at its end, but for those to ``keep``.  With a ``key`` it is bucketed by that
+    column into ``spark.sql.shuffle.partitions`` buckets, so that joins on the key alone need not shuffle it again; such
+    a table has an entry in the session's catalog until it is removed.
 
     While it writes, Arrow batches hold at most 1000 rows: rows hold whole texts, and a batch is held several times.
     """
@@ -49,16 +52,26 @@ def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     was = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(min(int(was), 1000)) if int(was) > 0 else "1000")
     try:
-        df.write.parquet(path)
+        if key:
+            _named[path] = f"tabloom_{name}_{uuid.uuid4().hex}".replace("-", "_")
+            df.write.format("parquet").bucketBy(buckets(spark), key).option("path", path).saveAsTable(_named[path])
+        else:
+            df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH, was)
-    if _kept and not keep:
-        _kept[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+        if _kept and not keep:
+            _kept[-1].append(path)
+    return spark.table(_named[path]) if key else spark.read.schema(df.schema).parquet(path)
+
+
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def removed(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
+        if path in _named:
+            spark.sql(f"DROP TABLE IF EXISTS {_named.pop(path)}")
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

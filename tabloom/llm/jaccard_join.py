@@ -25,6 +25,7 @@ The table of very frequent shingles and the one of the crowd's shingles have a f
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import packed, saved, scratch
+from tabloom.llm.common import buckets, packed, saved, scratch
 from tabloom.llm.components import components
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -53,6 +54,9 @@ _LEAF = 1024
 #: Points and shingles of one side of a block, and points that one task compares with one pivot.
 _BLOCK, _BLOCK_SHINGLES = 128, 1 << 20
 
+#: Columns of a set but for its id, as no rows have them.
+_SET_COLUMNS = ("CAST(NULL AS INT) n", "CAST(NULL AS INT) hot", "CAST(NULL AS ARRAY<BIGINT>) keys", "CAST(NULL AS BINARY) shingles")
+
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -150,8 +154,8 @@ def frequent_slots(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
 
 
 def _points(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
-    """(id, n, f1, f2, keys, shown, window) of each (id, text): size, fingerprint, keys of elections, hashes shown to others."""
-    schema = "id long, n int, f1 long, f2 long, keys array<long>, shown int, window binary"
+    """(id, text, n, f1, f2, keys, shown, window) of each (id, text): size, fingerprint, keys of elections, hashes shown to others."""
+    schema = "id long, text string, n int, f1 long, f2 long, keys array<long>, shown int, window binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
@@ -171,8 +175,8 @@ def _points(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFra
                 h = rare[: n[-1] * (100 - percent) // 100 + n[-1] // 20 + 2]
                 shown.append(len(h))
                 window.append(h.tobytes())
-            columns = [batch.column(0), *(pa.array(c, t) for c, t in ((n, pa.int32()), (f1, pa.int64()), (f2, pa.int64()), (keys, pa.list_(pa.int64())), (shown, pa.int32()), (window, pa.binary())))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "f1", "f2", "keys", "shown", "window"])
+            columns = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in ((n, pa.int32()), (f1, pa.int64()), (f2, pa.int64()), (keys, pa.list_(pa.int64())), (shown, pa.int32()), (window, pa.binary())))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text", "n", "f1", "f2", "keys", "shown", "window"])
 
     return docs.mapInArrow(run, schema)
 
@@ -193,17 +197,27 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, often: np.ndarray) -> Data
 
 
 class _Sets:
-    """The whole sets of the documents that were asked for, each made once."""
+    """The whole sets of the documents that were asked for, each made once.
+
+    Texts (``docs``) and sets are bucketed by id: what asks for them is shuffled, they are not.
+    """
 
     def __init__(self, docs: DataFrame, k: int, often: np.ndarray) -> None:
         self.docs, self.k, self.often = docs, k, often
-        self.have = _none(docs.sparkSession, "id", "CAST(NULL AS INT) n", "CAST(NULL AS INT) hot", "CAST(NULL AS ARRAY<BIGINT>) keys", "CAST(NULL AS BINARY) shingles")
+        self.asked, self.parts = _none(docs.sparkSession, "id"), []
 
-    def of(self, ids: DataFrame) -> DataFrame:
-        missing = saved(ids.distinct().join(self.have.select("id"), "id", "left_anti"), "missing-sets")
+    def of(self, ids: DataFrame) -> _Sets:
+        missing = saved(ids.distinct().join(self.asked, "id", "left_anti"), "missing-sets")
         if not missing.isEmpty():
-            self.have = self.have.union(saved(_sets(self.docs, missing, self.k, self.often), "sets"))
-        return self.have
+            self.asked = self.asked.union(missing)
+            self.parts.append(saved(_sets(self.docs, missing, self.k, self.often), "sets", key="id"))
+        return self
+
+    def beside(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """``rows`` with ``columns`` of the set of their ``id``."""
+        empty = _none(self.docs.sparkSession, "id", *_SET_COLUMNS)
+        joined = [rows.join(part.select("id", *columns), "id") for part in self.parts or [empty]]
+        return reduce(DataFrame.union, joined)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -350,7 +364,7 @@ def _distance() -> Column:
     return 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _measured(pairs: DataFrame, sets: _Sets) -> DataFrame:
     """(a, b, common, na, nb) of each row of ``pairs`` (a, b); a b with many a is dealt to several tasks."""
     n = pairs.count()
     salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("long").alias("salts"))
@@ -358,7 +372,7 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     asks = pairs.join(salts, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"))
     gives = salts.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
     requests = saved(packed(asks.union(gives), 2 * n), "set-requests")
-    rows = requests.join(sets.select("id", "shingles"), "id").select("b", "salt", "kind", "id", "shingles")
+    rows = sets.beside(requests, "shingles").select("b", "salt", "kind", "id", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, pivots = None, []
@@ -409,7 +423,7 @@ def _labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np
         left, right = new_left, new_right
 
 
-def _blocks(edge: DataFrame, sets: DataFrame, percent: int, tally: bool) -> DataFrame:
+def _blocks(edge: DataFrame, sets: _Sets, percent: int, tally: bool) -> DataFrame:
     """Joins the two sides of each (a, b) of ``edge`` (a, b, side, id, n, radius) in blocks of bounded size.
 
     Two points are near where their distance is at most r and both their radii; a = b joins a table with itself, each
@@ -428,7 +442,7 @@ def _blocks(edge: DataFrame, sets: DataFrame, percent: int, tally: bool) -> Data
     # within one table the block (j, i) would repeat (i, j)
     requests = saved(left.union(right).where("a <> b OR i <= j"), "block-requests")
     n = requests.count()
-    rows = requests.join(sets.select("id", "shingles"), "id").select(*keys, "side", "id", "radius", "shingles")
+    rows = sets.beside(requests, "shingles").select(*keys, "side", "id", "radius", "shingles")
     r = 1 - percent / 100
 
     def compare(at: tuple, sides: list[list[tuple]]) -> Iterator[tuple]:
@@ -624,14 +638,16 @@ def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mod
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     often = frequent_slots(docs, "text", k)
-    points = saved(_points(docs, k, percent, often), "points")
-    live = points.where("id IS NOT NULL AND n > 0")
+    # texts cross the network once, here; rows without an id take no part in the join
+    dealt = docs.where("id IS NOT NULL").repartition(buckets(docs.sparkSession), "id")
+    points = saved(_points(dealt, k, percent, often), "points", key="id")
+    live = points.where("n > 0")
     equal = saved(live.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "equal-sets")
     members = live.select("id", "n", "shown", "keys", "f1", "f2").join(equal, ["f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     members = saved(members, "members")
     copies = saved(members.where("id <> rep").select("id", "f1", "f2").distinct(), "copies")
     reps = saved(members.where("id = rep").select("id", "n", "shown", "keys", F.lit(0.0).alias("radius")).distinct(), "representatives")
-    sets = _Sets(docs.where("id IS NOT NULL"), k, often)
+    sets = _Sets(points.select("id", "text"), k, often)
     crowd_join = _Crowd(sets, percent, often, mode)
     homes = crowd_join.elect(reps, 1 - percent / 100)
 
@@ -647,7 +663,11 @@ def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mod
     by_region = lambda df, hashes: df.join(moved, "id", "left").select(
         F.coalesce("region", "id").alias("id"), F.when(F.col("region").isNotNull(), -F.col("n")).otherwise(F.col("n")).alias("n"), hashes
     )
-    windows = by_region(live.join(copies, ["id", "f1", "f2"], "left_anti").select("id", "n", "window"), "window")
+    copied = copies.select(F.col("id").alias("copy"), F.col("f1").alias("c1"), F.col("f2").alias("c2"))
+    # equal ids are the only join key, so that the buckets serve; equal fingerprints differ in no bit
+    same = F.col("f1").bitwiseXOR(F.col("c1")).bitwiseOR(F.col("f2").bitwiseXOR(F.col("c2"))) == 0
+    windows = live.join(copied, (F.col("id") == F.col("copy")) & same, "left_anti").select("id", "n", "window")
+    windows = by_region(windows, "window")
     least = percent / 100
     met = saved(_meet(_rows(windows), least), "meetings")
     told = met.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("told"))
@@ -668,7 +688,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mod
     crowded = None
     if not crowd.isEmpty():
         inside = saved(placed.join(crowd.withColumnRenamed("id", "region"), "region", "left_semi").select("id").distinct(), "crowd-members")
-        have = sets.of(inside).join(inside, "id", "left_semi")
+        have = sets.of(inside).beside(inside, "n", "hot", "keys", "shingles")
         whole = _rows(by_region(have.select("id", "n", "shingles"), "shingles"), skip=often)
         slots = _table(whole.select(F.shiftright("s", 63 - _CROWD_BITS).alias("slot")), _CROWD_BITS)
         shown = _rows(windows.join(crowd, "id", "left_anti"), only=slots)
@@ -680,7 +700,8 @@ def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mod
     none = _none(docs.sparkSession, "a", "b", "common", "na", "nb"), _none(docs.sparkSession, "id", "label", "links")
     near, tallies = crowd_join.members(reps, homes, regions.select("id", "radius", "many"), near, 0, *none)
     links = near.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return points.select("id", "n"), members.select("id", "rep").distinct(), links, tallies
+    nameless = _points(docs.where("id IS NULL"), k, percent, often)
+    return points.union(nameless).select("id", "n"), members.select("id", "rep").distinct(), links, tallies
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
