@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabloom.llm import alignment, decontam, jaccard_join, langid, license_scan, line_dedup, packing, quality_rules, sharding, token_codes, url_rules
+from tabloom.llm import alignment, decontam, importance, jaccard_join, langid, license_scan, line_dedup, packing, quality_rules, sharding, token_codes, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1_url_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_codes": token_codes.op8_token_codes,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_decontamination": decontam.op10_decontamination,
+    "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_token_alignment": alignment.op12_token_alignment,
 }
 
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op3_line_dedup": line_dedup.SQL,
     "op6_quality_rules": quality_rules.SQL,
     "op10_decontamination": decontam.SQL,
+    "op11_importance_resampling": importance.SQL,
 }
