@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabloom.llm import alignment, decontam, importance, jaccard_join, langid, license_scan, line_dedup, packing, quality_rules, sharding, token_codes, url_rules
+from tabloom.llm import alignment, decontam, importance, jaccard_join, langid, license_scan, line_dedup, packing, parsing, quality_rules, sharding, token_codes, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1_url_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontamination": decontam.op10_decontamination,
     "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_fingerprints": parsing.op13_fingerprints,
 }
 
 ORACLE_SQL = {
