@@ -499,3 +499,6 @@ def _(spark, d):
     table = li.select(F.concat(F.lit("t"), (F.col("l_suppkey") % 20).cast("string")).alias("table_id"), F.lit(1).alias("page"), F.col("l_orderkey").cast("int").alias("row_idx"), F.array(F.col("l_orderkey").cast("string"), F.col("l_quantity").cast("string"), F.col("l_returnflag")).alias("cells"))
     heads = table.select("table_id").distinct().withColumn("headers", F.array(F.lit("Polling Station No."), F.lit("DMK votes"), F.lit("NOTA")))
     return quality.validate(table, heads, heads.select("table_id", F.lit("ocr").alias("method")))[0]
+
+
+from tabloom.plans import forms  # noqa: E402, F401  (adds its queries to the tables above)
