@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.operators import cards
+from tabloom.operators import cards, sheets
 from tabloom.plans.queries import _t, query
 
 _GEOMETRY = """g AS (
@@ -127,3 +127,64 @@ def _(spark, d):
     epic = F.when((F.col("l_partkey") + r + k) % 3 > 0, F.concat(F.lit("E"), number))
     found = li.select((F.col("l_orderkey") % 97).cast("string").alias("doc_id"), F.col("l_orderkey").alias("page"), line.alias("card_idx"), "rung", "rank", epic.alias("epic"))
     return cards.id_ladder(found)
+
+
+@query("sheet_headers", """WITH n AS (
+  SELECT l_orderkey AS t, max(l_linenumber) AS n FROM lineitem GROUP BY 1
+), c AS (SELECT t, r, c, min(v) AS v FROM (
+  SELECT l_orderkey AS t, unnest([1, 2, 3, 4]) AS r, l_linenumber + 1 AS c,
+    unnest([l_returnflag, l_linestatus, 'S' || l_suppkey % 3, l_linenumber::VARCHAR]) AS v FROM lineitem
+  UNION ALL SELECT t, 1, 1, 'No' FROM n UNION ALL SELECT t, 4, 1, '17' FROM n) GROUP BY ALL
+), m AS (
+  SELECT t, 1 AS r0, 2 AS c0, 1 AS r1, n + 1 AS c1 FROM n
+  UNION ALL SELECT t, 1, 3, 2, 4 FROM n UNION ALL SELECT t, 1, 1, 3, 1 FROM n UNION ALL SELECT t, 2, 4, 3, 6 FROM n
+), hit AS (
+  SELECT r.t, r.r, k.c, m.r0, m.c0 FROM (SELECT DISTINCT t, r FROM c) r JOIN (SELECT DISTINCT t, c FROM c) k ON k.t = r.t
+  JOIN m ON m.t = r.t AND r.r BETWEEN r0 AND r1 AND k.c BETWEEN c0 AND c1
+  QUALIFY row_number() OVER (PARTITION BY r.t, r.r, k.c ORDER BY r0 DESC, c0 DESC, (r1 - r0 + 1) * (c1 - c0 + 1)) = 1
+), x AS (
+  SELECT coalesce(c.t, h.t) AS t, coalesce(c.r, h.r) AS r, coalesce(c.c, h.c) AS c, CASE WHEN h.t IS NULL THEN c.v ELSE s.v END AS v
+  FROM c FULL JOIN hit h ON h.t = c.t AND h.r = c.r AND h.c = c.c LEFT JOIN c s ON s.t = h.t AND s.r = h.r0 AND s.c = h.c0
+), filled AS (
+  SELECT * FROM x WHERE v IS NOT NULL
+), begun AS (
+  SELECT t, coalesce(min(r) FILTER (WHERE one AND n >= 2), 1) AS first
+  FROM (SELECT t, r, bool_or(c = 1) AS one, count(*) AS n FROM filled GROUP BY ALL) GROUP BY t
+), block AS (
+  SELECT b.t, first, coalesce(min(r), first + 1) AS data FROM begun b
+  LEFT JOIN filled f ON f.t = b.t AND c = 1 AND r BETWEEN first + 1 AND first + 9 AND regexp_matches(v, '^[0-9]+$') GROUP BY b.t, first
+), p AS (
+  SELECT t, c, list(v ORDER BY r) AS p FROM (SELECT *, lag(v) OVER (PARTITION BY t, c ORDER BY r) AS b FROM filled JOIN block USING (t) WHERE r >= first AND r < data)
+  WHERE b IS NULL OR b <> v GROUP BY ALL
+), w AS (
+  SELECT t, unnest(range(1, max(c) + 1)) AS c FROM filled GROUP BY t
+)
+SELECT t::VARCHAR AS table_id, c::INT AS col_idx, coalesce(array_to_string(p[-2:], ' - '), 'Column ' || c) AS header FROM w LEFT JOIN p USING (t, c)""")
+def _(spark, d):
+    li = _t(spark, d, "lineitem")
+    t = F.col("l_orderkey").cast("string").alias("table_id")
+    texts = F.array("l_returnflag", "l_linestatus", F.concat(F.lit("S"), F.col("l_suppkey") % 3), F.col("l_linenumber").cast("string"))
+    body = li.select(t, F.posexplode(texts).alias("row_idx", "value"), (F.col("l_linenumber") + 1).cast("int").alias("col_idx"))
+    n = li.groupBy(t).agg(F.max("l_linenumber").cast("int").alias("n"))
+    first = n.selectExpr("table_id", "1 AS col_idx", "inline(array(struct(0, 'No'), struct(3, '17'))) AS (row_idx, value)")
+    cells = body.unionByName(first).withColumn("row_idx", F.col("row_idx") + 1)
+    ranges = "inline(array(struct(1, 2, 1, n + 1), struct(1, 3, 2, 4), struct(1, 1, 3, 1), struct(2, 4, 3, 6))) AS (r0, c0, r1, c1)"
+    return sheets.header_paths(cells, n.selectExpr("table_id", ranges))
+
+
+@query("level_totals", """WITH r AS (
+  SELECT r_name, n_name, c_mktsegment, 3 - (grouping(r_name) + grouping(n_name) + grouping(c_mktsegment)) AS level, count(*) AS n_rows, sum(l_quantity) AS qty
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+  JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name, c_mktsegment)
+), g AS (
+  SELECT *, CASE WHEN level > 1 THEN r_name END AS a, CASE WHEN level > 2 THEN n_name END AS b FROM r
+)
+SELECT g.r_name, g.n_name, g.c_mktsegment, g.level::INT AS level, g.n_rows, g.qty, round(g.qty / u.qty, 9) AS qty_share,
+  rank() OVER (PARTITION BY g.level, g.a, g.b ORDER BY g.qty DESC)::INT AS qty_rank
+FROM g LEFT JOIN r u ON u.level = g.level - 1 AND u.r_name IS NOT DISTINCT FROM g.a AND u.n_name IS NOT DISTINCT FROM g.b""")
+def _(spark, d):
+    li, o, c, n, r = (_t(spark, d, x) for x in ("lineitem", "orders", "customer", "nation", "region"))
+    joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    joined = joined.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    out = sheets.level_totals(joined.withColumn("qty", F.col("l_quantity")), ["r_name", "n_name", "c_mktsegment"], ["qty"])
+    return out.withColumn("qty_share", F.round("qty_share", 9))
