@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.operators import cards, sheets
+from tabloom.functions import house
+from tabloom.operators import cards, sheets, voters
 from tabloom.plans.queries import _t, query
+from tabloom.streaming import expiry
 
 _GEOMETRY = """g AS (
   SELECT 'u' || user_id AS doc_id, (date_diff('day', DATE '2024-01-01', ts::DATE) // 7)::INT AS page, event_id AS k, value FROM events
@@ -188,3 +190,87 @@ def _(spark, d):
     joined = joined.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     out = sheets.level_totals(joined.withColumn("qty", F.col("l_quantity")), ["r_name", "n_name", "c_mktsegment"], ["qty"])
     return out.withColumn("qty_share", F.round("qty_share", 9))
+
+
+@query("idle_sessions", """SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n_rows FROM (
+  SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
+    SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 1 HOUR THEN 1 ELSE 0 END AS fresh FROM events))
+  GROUP BY user_id, s""")
+def _(spark, d):
+    return expiry.idle_sessions(_t(spark, d, "events"), ["user_id"], "ts")
+
+
+#: What follows the size of a part in its invented house number.
+_ENDINGS = ("l", "O", "S3", "/B", "-2lB", " Photo 6", " _- -", "&", " STREET", "B", "/l9l,SWETHAN", " - ")
+
+
+@query("house_numbers", f"""WITH raw AS (
+  SELECT p_partkey, lpad(p_size::VARCHAR, 3, '0') || [{", ".join(f"'{e}'" for e in _ENDINGS)}][(p_partkey % 12 + 1)::INT] AS raw FROM part
+), a AS (
+  SELECT *, regexp_replace(regexp_replace(raw, '^\\s+|\\s+$|[ .,;:]+$', '', 'g'), '^0+([0-9]+)$', '\\1') AS h FROM raw
+), b AS (
+  SELECT p_partkey, raw, replace(trim(regexp_replace(h, '(?i)\\s*Photo\\s+is.*$|\\s*Photo\\s*[0-9]*\\s*$', '', 'g')), '&', 'A') AS h FROM a
+), c AS (
+  SELECT p_partkey, raw, regexp_replace(regexp_replace(h, '[\\s_.;\\-]+$|^[\\s_.]+', '', 'g'), '\\s+[A-Za-z]{{3,}}.*$|,[A-Za-z]{{3,}}.*$', '', 'g') AS h FROM b
+), d AS (
+  SELECT *, regexp_extract_all(h, '[-/]|[^-/]+') AS p FROM c
+)
+SELECT p_partkey, raw, array_to_string(list_transform(p, lambda x, i: CASE
+  WHEN x IN ('-', '/') OR i > 1 AND regexp_matches(x, '^[A-Za-z]$') THEN x
+  WHEN i = len(p) AND regexp_matches(x, '[A-Z]$') AND NOT regexp_matches(x, '[{house.NO_SUFFIX}]$') AND regexp_matches(x[:-2], '[0-9{house.LOOK_ALIKE}]')
+    THEN translate(x[:-2], '{house.LOOK_ALIKE}', '{house.DIGITS}') || x[-1:]
+  ELSE translate(x, '{house.LOOK_ALIKE}', '{house.DIGITS}') END), '') AS house_no FROM d""")
+def _(spark, d):
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("p_partkey") % 12 + 1).cast("int"))
+    raw = _t(spark, d, "part").select("p_partkey", F.concat(F.lpad(F.col("p_size").cast("string"), 3, "0"), ending).alias("raw"))
+    return raw.withColumn("house_no", house.clean_house_number(F.col("raw")))
+
+
+@query("voter_blocks", """WITH RECURSIVE t AS (
+  SELECT conv_id, turn, (conv_id + turn) % 7 AS k, 'W' || upper(regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', '', 'g')) AS w FROM conversations
+), l AS (
+  SELECT conv_id, turn, k, CASE k WHEN 0 THEN w WHEN 1 THEN 'Name: ' || w WHEN 2 THEN 'Father''s Name: ' || w WHEN 3 THEN w
+    WHEN 4 THEN 'House No: ' || turn || 'lA' WHEN 5 THEN 'Age: ' || (10 + (conv_id * 7 + turn) % 95) || ' Gender: ' || ['Male', 'F', 'Other', 'x'][(turn % 4 + 1)::INT]
+    ELSE 'ABC' || lpad((conv_id * 100 + turn)::VARCHAR, 7, '0') END AS text,
+    sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS block FROM t
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id, block) AS n,
+    regexp_extract(text, '^Name: (.*)$', 1) AS nm, regexp_extract(text, '^Father''s Name: (.*)$', 1) AS rl, regexp_extract(text, '^House No: (.*)$', 1) AS hs,
+    regexp_extract(text, 'Age: ([0-9]+)', 1) AS ag, regexp_extract(text, 'Gender: (.*)$', 1) AS gd, regexp_extract(text, '[A-Z]{3}[0-9]{7}', 0) AS ep,
+    NOT contains(text, ':') AS bare FROM l
+), f(conv_id, block, i, n, serial, name, rel, house, age, gender, epic, loose, open) AS (
+  SELECT DISTINCT conv_id, block, 0::BIGINT, n, max(CASE WHEN k = 0 THEN turn::VARCHAR ELSE '' END) OVER (PARTITION BY conv_id, block), '', '', '', '', '', '', '', '' FROM n
+  UNION ALL
+  SELECT f.conv_id, f.block, n.i, f.n, serial,
+    CASE WHEN bare AND ep = '' AND open = 'name' THEN name || ' ' || text WHEN name = '' THEN nm ELSE name END,
+    CASE WHEN bare AND ep = '' AND open = 'rel' THEN rel || ' ' || text WHEN rel = '' THEN rl ELSE rel END,
+    CASE WHEN house = '' THEN hs ELSE house END, CASE WHEN age = '' THEN ag ELSE age END, CASE WHEN gender = '' THEN gd ELSE gender END,
+    CASE WHEN epic = '' THEN ep ELSE epic END,
+    CASE WHEN bare AND ep = '' AND open = '' AND loose = '' THEN text ELSE loose END,
+    CASE WHEN bare AND ep = '' THEN open WHEN nm <> '' AND name = '' THEN 'name' WHEN rl <> '' AND rel = '' THEN 'rel' ELSE '' END
+  FROM f JOIN n ON n.conv_id = f.conv_id AND n.block = f.block AND n.i = f.i + 1
+)
+SELECT conv_id, block, serial AS serial_no, CASE WHEN name = '' AND rel = '' THEN loose ELSE name END AS name, rel AS father_husband_name,
+  CASE WHEN rel <> '' THEN 'F' ELSE '' END AS relation_type, replace(house, 'l', '1') AS house_no,
+  CASE WHEN TRY_CAST(age AS INT) BETWEEN 18 AND 100 THEN age ELSE '' END AS age,
+  CASE gender WHEN 'Male' THEN 'Male' WHEN 'F' THEN 'Female' WHEN 'Other' THEN 'Other' ELSE '' END AS gender, epic AS voter_id
+FROM f WHERE i = n AND (name <> '' OR rel = '' AND loose <> '' OR epic <> '')""")
+def _(spark, d):
+    conv, turn = F.col("conv_id"), F.col("turn")
+    k = (conv + turn) % 7
+    w = F.concat(F.lit("W"), F.upper(F.regexp_replace(F.substring_index("text", " ", 1), "[^A-Za-z]", "")))
+    gender = F.element_at(F.array(*map(F.lit, ("Male", "F", "Other", "x"))), (turn % 4 + 1).cast("int"))
+    forms = (
+        F.concat_ws(" ", turn.cast("string"), w),
+        F.concat(F.lit("Name: "), w),
+        F.concat(F.lit("Father's Name: "), w),
+        w,
+        F.concat(F.lit("House No: "), turn, F.lit("lA")),
+        F.concat(F.lit("Age: "), 10 + (conv * 7 + turn) % 95, F.lit(" Gender: "), gender),
+        F.concat(F.lit("ABC"), F.lpad((conv * 100 + turn).cast("string"), 7, "0")),
+    )
+    text = forms[-1]
+    for i, form in enumerate(forms[:-1]):
+        text = F.when(k == i, form).otherwise(text)
+    lines = _t(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
+    return voters.voters_from_lines(lines, ["conv_id"], "turn")
