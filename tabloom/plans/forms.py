@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.functions import house
-from tabloom.operators import cards, sheets, voters
+from tabloom.operators import batches, cards, patterns, sheets, voters
 from tabloom.plans.queries import _t, query
 from tabloom.streaming import expiry
 
@@ -274,3 +274,80 @@ def _(spark, d):
         text = F.when(k == i, form).otherwise(text)
     lines = _t(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
     return voters.voters_from_lines(lines, ["conv_id"], "turn")
+
+
+_CELLS = "[p_brand, p_type, p_size::VARCHAR, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), {0}, {1}]"
+
+
+@query("pattern_rows", f"""WITH r AS (
+  SELECT 's' || l_suppkey AS table_id, l_orderkey AS row_idx, l_linenumber AS line, {_CELLS.format("l_returnflag", "l_linestatus")} AS c
+  FROM lineitem JOIN part ON p_partkey = l_partkey
+), p AS (
+  SELECT DISTINCT {_CELLS.format("'R'", "'F'")} AS p FROM part WHERE p_size <= 2
+), m AS (
+  SELECT c, p, unnest(range(1, 8)) AS i FROM (SELECT DISTINCT c FROM r), p
+), hit AS (
+  SELECT DISTINCT c FROM (SELECT c, p, count(*) AS n, count(*) FILTER (WHERE lower(c[i]) = lower(p[i])) AS same FROM m
+    WHERE (c[i] <> '' OR p[i] <> '') AND NOT regexp_matches(c[i], '^[0-9]+$') AND NOT regexp_matches(p[i], '^[0-9]+$') GROUP BY c, p) WHERE n >= 5 AND same >= 0.8 * n
+)
+SELECT table_id, row_idx, line FROM r ANTI JOIN hit USING (c)""")
+def _(spark, d):
+    part = _t(spark, d, "part")
+    word = lambda c, n: F.split_part(c, F.lit(" "), F.lit(n))
+    own = [F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string"), word(F.col("p_name"), 1), word(F.col("p_name"), 2)]
+    joined = _t(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = joined.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("table_id"), F.lit(1).alias("page"), F.col("l_orderkey").alias("row_idx"), F.col("l_linenumber").alias("line"), F.array(*own, "l_returnflag", "l_linestatus").alias("cells"))
+    heads = part.where("p_size <= 2").select(F.col("p_partkey").alias("pattern_id"), F.array(*own, F.lit("R"), F.lit("F")).alias("cells"))
+    return patterns.drop_pattern_rows(rows, heads).select("table_id", "row_idx", "line")
+
+
+@query("column_correction", """WITH c AS (
+  SELECT p_brand AS table_id, p_partkey AS row_idx, unnest([0, 1, 2, 3]) AS col_idx,
+    unnest([p_partkey::VARCHAR, replace(p_name, ' ', '  —  '), translate(p_size::VARCHAR, '01', 'Ol'), translate(p_size::VARCHAR, '158', 'ISB') || ' ']) AS v FROM part
+), k AS (
+  SELECT table_id, col_idx, avg((length(regexp_replace(v, '[^0-9]', '', 'g')) > length(v) * 0.5)::INT) > 0.5 OR col_idx = 3 AS num FROM c GROUP BY table_id, col_idx
+), n AS (
+  SELECT c.*, num OR length(regexp_replace(v, '[^0-9]', '', 'g')) > length(v) * 0.5 AS num FROM c JOIN k USING (table_id, col_idx)
+)
+SELECT table_id, row_idx, col_idx, num AS numeric, CASE WHEN num THEN CASE
+    WHEN regexp_matches(translate(trim(v), 'OoIlSBZG', '00115826'), '^[0-9,. ]*$') THEN replace(translate(trim(v), 'OoIlSBZG', '00115826'), ' ', '')
+    ELSE translate(trim(v), 'OoIlSBZG', '00115826') END
+  ELSE trim(regexp_replace(replace(v, '—', '-'), '\\s+', ' ', 'g')) END AS value FROM n""")
+def _(spark, d):
+    size = F.col("p_size").cast("string")
+    values = F.array(F.col("p_partkey").cast("string"), F.replace("p_name", F.lit(" "), F.lit("  —  ")), F.translate(size, "01", "Ol"), F.concat(F.translate(size, "158", "ISB"), F.lit(" ")))
+    cells = _t(spark, d, "part").select(F.col("p_brand").alias("table_id"), F.lit(1).alias("page"), F.col("p_partkey").alias("row_idx"), F.posexplode(values).alias("col_idx", "value"))
+    heads = cells.select("table_id").distinct().select("table_id", F.lit(3).alias("col_idx"), F.lit("Station").alias("header"))
+    return patterns.correct_by_column(cells, heads).drop("page")
+
+
+@query("sample_check", """WITH c AS (
+  SELECT o_orderpriority AS t, o_orderkey AS k, floor(o_totalprice)::BIGINT AS v, md5('|' || o_orderpriority || '|1|' || o_orderkey || '|0') AS h, o_custkey, o_orderstatus FROM orders
+), s AS (
+  SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY t, ('0x' || substr(h, 1, 8))::BIGINT % 64 ORDER BY h) = 1
+)
+SELECT t AS table_id, count(*) AS n_sampled, count(*) FILTER (WHERE o_orderstatus <> 'P' AND o_custkey % 5 > 0) AS n_equal,
+  count(*) FILTER (WHERE o_orderstatus <> 'P' AND o_custkey % 5 = 0) AS n_differ, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_missing,
+  count(*) FILTER (WHERE o_orderstatus <> 'P' AND o_custkey % 5 > 0) / count(*) AS accuracy FROM s GROUP BY t""")
+def _(spark, d):
+    o = _t(spark, d, "orders")
+    place = [F.col("o_orderpriority").alias("table_id"), F.lit(1).alias("page"), F.col("o_orderkey").alias("row_idx"), F.lit(0).alias("col_idx")]
+    value = F.floor("o_totalprice").cast("string")
+    source = o.where("o_orderstatus <> 'P'").select(*place, F.when(F.col("o_custkey") % 5 > 0, value).otherwise("?").alias("value"))
+    return patterns.sample_accuracy(o.select(*place, value.alias("value")), source)
+
+
+@query("deal_files", """WITH f AS (
+  SELECT doc_id, n_chars, CASE WHEN n_chars >= 1000 THEN 'text' ELSE 'scan' END AS kind, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 8)::INT AS lane FROM documents
+), c AS (
+  SELECT *, floor(coalesce(sum(n_chars) OVER (PARTITION BY lane, kind ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20000)::BIGINT AS cut FROM f
+)
+SELECT doc_id, kind, lane, cut + CASE WHEN kind = 'scan' THEN coalesce(max(CASE WHEN kind = 'text' THEN cut + 1 END) OVER (PARTITION BY lane), 0) ELSE 0 END AS task FROM c""")
+def _(spark, d):
+    files = _t(spark, d, "documents").select("doc_id", F.col("n_chars").alias("size"), F.when(F.col("n_chars") >= 1000, "text").otherwise("scan").alias("kind"))
+    return batches.deal_files(files, 20_000, lanes=8).drop("size")
+
+
+@query("chunked_calls", "SELECT DISTINCT text AS value, replace(text, 'e', '3') AS answer FROM conversations WHERE trim(text) <> ''")
+def _(spark, d):
+    return batches.ask_in_calls(_t(spark, d, "conversations"), "text", lambda text: text.replace("e", "3"), most=20_000)
