@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tabloom.functions import house
-from tabloom.operators import batches, cards, patterns, sheets, voters
+from tabloom.operators import batches, cards, chains, patterns, sheets, voters
 from tabloom.plans.queries import _t, query
 from tabloom.streaming import expiry
 
@@ -351,3 +352,100 @@ def _(spark, d):
 @query("chunked_calls", "SELECT DISTINCT text AS value, replace(text, 'e', '3') AS answer FROM conversations WHERE trim(text) <> ''")
 def _(spark, d):
     return batches.ask_in_calls(_t(spark, d, "conversations"), "text", lambda text: text.replace("e", "3"), most=20_000)
+
+
+_PAGES = """n AS (
+  SELECT o_orderpriority AS t, (o_custkey % 10)::INT AS page, o_orderkey AS k, o_custkey AS c, o_orderstatus AS s,
+    row_number() OVER (PARTITION BY o_orderpriority, o_custkey % 10 ORDER BY o_orderkey) AS row FROM orders
+), h AS (
+  SELECT t, page, unnest(names) AS name, generate_subscripts(names, 1) - 1 AS col FROM (SELECT DISTINCT t, page,
+    CASE page WHEN 3 THEN ['Polling Station', 'DMK Votes', 'Remarks', 'Total of valid votes', 'NOTA'] WHEN 5 THEN ['NOTA', 'Polling Station', 'Total of valid votes']
+      WHEN 8 THEN ['polling station', 'Total of valid votes', 'DMK Votes', 'NOTA'] ELSE ['Polling Station', 'DMK Votes', 'Total of valid votes', 'NOTA'] END AS names FROM n)
+), d AS (
+  SELECT h.t, h.page, row, h.col, CASE lower(name) WHEN 'polling station' THEN k WHEN 'dmk votes' THEN c WHEN 'nota' THEN 100 + c % 7 WHEN 'remarks' THEN 5 ELSE k + 1000 END::VARCHAR AS v, name
+  FROM n JOIN h ON h.t = n.t AND h.page = n.page
+)"""
+
+
+def _table_pages(spark, d):
+    """Tables of ten pages; each page has a header row, three of them with other columns, and then a row for each order."""
+    o = _t(spark, d, "orders").withColumns({"page": (F.col("o_custkey") % 10).cast("int"), "table_id": F.col("o_orderpriority")})
+    k, c, page = F.col("o_orderkey"), F.col("o_custkey"), F.col("page")
+    station, dmk, nota, total, remark = k, c, 100 + c % 7, k + 1000, F.lit(5)
+    names = ("Polling Station", "DMK Votes", "Total of valid votes", "NOTA")
+
+    def by_page(three, five, eight, other):
+        cell = lambda xs: F.array(*[x.cast("string") for x in xs])
+        return F.when(page == 3, cell(three)).when(page == 5, cell(five)).when(page == 8, cell(eight)).otherwise(cell(other))
+
+    lit = [F.lit(x) for x in names]
+    heads = by_page([lit[0], lit[1], F.lit("Remarks"), lit[2], lit[3]], [lit[3], lit[0], lit[2]], [F.lit("polling station"), lit[2], lit[1], lit[3]], lit)
+    body = by_page([station, dmk, remark, total, nota], [nota, station, total], [station, total, dmk, nota], [station, dmk, total, nota])
+    row = F.row_number().over(W.partitionBy("table_id", "page").orderBy("o_orderkey"))
+    first = o.select("table_id", "page").distinct().select("table_id", "page", F.lit(0).alias("row_idx"), heads.alias("cells"))
+    return first.union(o.select("table_id", "page", row.alias("row_idx"), body.alias("cells")))
+
+
+@query("table_chain", f"""WITH {_PAGES}, m AS (
+  SELECT t, any_value(name) AS name, row_number() OVER (PARTITION BY t ORDER BY avg(col), name) - 1 AS pos FROM h
+  GROUP BY t, name HAVING count(DISTINCT page) >= 5
+)
+SELECT r.t AS table_id, r.page, r.row::INT AS row_idx, m.pos::INT AS pos, m.name AS header, coalesce(d.v, '') AS value
+FROM (SELECT DISTINCT t, page, row FROM n) r JOIN m ON m.t = r.t LEFT JOIN d ON d.t = r.t AND d.page = r.page AND d.row = r.row AND lower(d.name) = lower(m.name)""")
+def _(spark, d):
+    master, rows = chains.merged_table(_table_pages(spark, d))
+    cells = rows.select("table_id", "page", "row_idx", F.posexplode("cells").alias("pos", "value"))
+    return cells.join(master.select("table_id", "pos", "header"), ["table_id", "pos"]).select("table_id", "page", "row_idx", "pos", "header", "value")
+
+
+@query("station_table", """SELECT o_orderpriority AS table_id, o_orderkey AS station, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_custkey + 9 + o_orderkey % 2 END AS stated,
+  o_custkey + 9 AS computed, o_orderstatus <> 'O' AND o_orderkey % 2 = 0 AS valid FROM orders""")
+def _(spark, d):
+    o = _t(spark, d, "orders")
+    stated = F.when(F.col("o_orderstatus") == "O", F.lit("n/a")).otherwise((F.col("o_custkey") + 9 + F.col("o_orderkey") % 2).cast("string"))
+    cells = F.array(F.lit("1"), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.lit("9"), F.lit("x"), F.lit("77"), stated)
+    body = o.select(F.col("o_orderpriority").alias("table_id"), F.lit(1).alias("page"), (F.col("o_orderkey") + 1).alias("row_idx"), cells.alias("cells"))
+    names = F.array(*map(F.lit, ("Sl. No.", "Polling  Station", "RAMAN (DMK)", "NOTA", "KUMAR (BJP)", "Rejected", "TOTAL VALID VOTES")))
+    rest = F.array(F.lit("TOTAL"), F.lit(""), F.lit("9"))
+    tables = body.select("table_id").distinct()
+    extra = tables.select("table_id", F.lit(0).alias("page"), F.lit(0).cast("long").alias("row_idx"), names.alias("cells")).union(tables.select("table_id", F.lit(9), F.lit(0).cast("long"), rest))
+    return chains.station_table(body.union(extra))[1].select("table_id", "station", "stated", "computed", "valid")
+
+
+@query("table_verification", """SELECT o_orderpriority AS table_id, 3 AS n_columns, count(*) AS n_rows, count(*) FILTER (WHERE o_orderkey % 10 = 0) AS n_wrong_width,
+  count(*) FILTER (WHERE o_orderstatus = 'P') AS n_header_like, count(*) FILTER (WHERE o_orderstatus <> 'P' AND o_custkey % 8 = 0) AS n_empty,
+  count(*) FILTER (WHERE o_orderkey % 10 = 0) + count(*) FILTER (WHERE o_orderstatus = 'P') AS n_errors,
+  CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'P') > 0 THEN 'warning' ELSE 'success' END AS status FROM orders GROUP BY 1""")
+def _(spark, d):
+    o = _t(spark, d, "orders")
+    first = F.when(F.col("o_orderstatus") == "P", "Polling Station").when(F.col("o_custkey") % 8 == 0, " ").otherwise(F.col("o_orderkey").cast("string"))
+    rest = F.when(F.col("o_orderkey") % 10 == 0, F.array(F.lit(""))).otherwise(F.array(F.lit(""), F.lit(None).cast("string")))
+    rows = o.select(F.col("o_orderpriority").alias("table_id"), F.concat(F.array(first), rest).alias("cells"))
+    heads = rows.select("table_id").distinct().withColumn("headers", F.array(*map(F.lit, ("a", "b", "c"))))
+    return chains.verification(rows, heads)
+
+
+@query("mapping_coverage", """WITH h AS (SELECT DISTINCT p_name AS h FROM part WHERE p_name <> ''), m AS (SELECT DISTINCT p_name AS h FROM part WHERE p_size > 25)
+SELECT count(*) AS n_headers, count(m.h) AS n_mapped, count(m.h) / count(*) AS coverage, least(count(m.h) / count(*), 0.95::DOUBLE) AS confidence FROM h LEFT JOIN m USING (h)""")
+def _(spark, d):
+    part = _t(spark, d, "part")
+    mapping = part.where("p_size > 25").select(F.col("p_brand").alias("standard"), F.col("p_name").alias("variant"))
+    return chains.mapping_coverage(part.select(F.col("p_name").alias("header")), mapping)
+
+
+@query("title_lines", """WITH w AS (
+  SELECT doc_id, string_split(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), chr(10))[1:13] AS l, doc_id % 3 AS k FROM documents
+), l AS (
+  SELECT doc_id, list_concat(['FORM 20', 'General  Election ' || doc_id], CASE WHEN k = 0 THEN ['Sl. No. Polling Station'] ELSE [] END, l) AS l FROM w
+), e AS (
+  SELECT doc_id, i, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS x FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM l) WHERE i <= 15
+), c AS (
+  SELECT *, coalesce(bool_or(regexp_matches(x, '(?i)sl\\.|polling station')) OVER (PARTITION BY doc_id ORDER BY i), false) AS over FROM e
+)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS line_no, x AS title FROM c
+WHERE NOT over AND regexp_matches(x, '(?i)form\\s*20|final\\s*result\\s*sheet|election|lok\\s*sabha|assembly|constituency|electors?|total\\s*no\\.?\\s*of')""")
+def _(spark, d):
+    docs = _t(spark, d, "documents")
+    head = F.concat(F.lit("FORM 20\nGeneral  Election "), F.col("doc_id"), F.when(F.col("doc_id") % 3 == 0, F.lit("\nSl. No. Polling Station")).otherwise(""), F.lit("\n"))
+    body = F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n"))
+    return chains.document_titles(docs.select("doc_id", F.lit(1).alias("page"), F.concat(head, body).alias("text")))
