@@ -76,6 +76,41 @@ def close_match(left: DataFrame, right: DataFrame, a: str, b: str, block: list[s
     return repeated(best.select(*keys, COPIES, "m.*", "score"))
 
 
+def _characters(text: Column) -> Column:
+    """array<string>: each character with how often it has come, so that common ones of two texts are counted as a multiset."""
+    chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+
+
+def close_match_anywhere(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
+    """``close_match`` without blocks: ``left`` with the closest ``b`` of all of ``right``, from an inverted index of characters.
+
+    Texts of lengths n and m with a ratio of ``cutoff`` have cutoff * (n + m) / 2 characters in common, and m is at least
+    n * cutoff / (2 - cutoff): so one of n has at least that many in common with any other.  With the characters in one
+    order, the rarest of ``right`` first, such texts share one of those that come before the last so many of each.  Only
+    texts that share one are compared, each pair once; there is no key that all rows have.
+    """
+    share = cutoff / (2 - cutoff)
+    mine, theirs = left.select(a).where(F.col(a) != "").distinct(), right.select(b).where(F.col(b) != "").distinct()
+    given = theirs.select(b, F.char_length(b).alias("_m"), F.explode(_characters(F.col(b))).alias("_t"))
+    counts = given.groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
+    asked = mine.select(a, F.char_length(a).alias("_l"), F.explode(_characters(F.col(a))).alias("_t"))
+
+    def shown(tokens: DataFrame, text: str, size: str) -> DataFrame:
+        least = F.ceil(F.col(size) * share - 1e-9).cast("int")
+        listed = tokens.join(counts, "_t").groupBy(text, size).agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_s"))
+        first = F.slice("_s", F.lit(1), F.greatest(F.size("_s") - least + 1, F.lit(0)))
+        return listed.select(text, size, F.explode(first).alias("_x")).select(text, size, "_x._t")
+
+    near = (F.col("_l") * (2 / cutoff - 1) >= F.col("_m")) & (F.col("_m") * (2 / cutoff - 1) >= F.col("_l"))
+    pairs = shown(asked, a, "_l").join(shown(given, b, "_m"), "_t").where(near).select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
+    scored = pairs.withColumn("score", ratio(F.col("_a"), F.col("_b"))).where(F.col("score") >= cutoff)
+    best = scored.groupBy("_a").agg(F.max(F.struct("score", "_b")).alias("_best")).select("_a", "_best.*")
+    # rows of ``right`` with one text: the one that sorts last
+    row = right.groupBy(F.col(b).alias("_b")).agg(F.max(F.struct(*right.columns)).alias("_m")).select("_b", "_m.*")
+    return left.join(best, left[a] == best["_a"]).join(row, "_b").select(*left.columns, *[row[c] for c in right.columns], "score")
+
+
 def candidates_in_constituency(headers: DataFrame, candidates: DataFrame, cutoff: float = 0.75) -> DataFrame:
     """(text, constituency, candidate, party, confidence, rung) of headers that name a candidate there.
 
@@ -112,14 +147,22 @@ def normalize_headers(headers: DataFrame, candidates: DataFrame, cutoff: float =
 
 def legacy_ladder(values: DataFrame, candidates: DataFrame) -> DataFrame:
     """Values (text, constituency) with ``party`` from all candidates: collisions, parties, exact, title case,
-    reversed, close when reversed (0.7), initials first (0.7), close (0.6), else unchanged."""
-    everywhere = candidates.withColumn("constituency", F.lit("*"))
-    asked = values.select("text").distinct().withColumn("constituency", F.lit("*"))
-    strict = candidates_in_constituency(asked, everywhere, 0.7)
-    left = asked.join(strict, "text", "left_anti").withColumn("title", title_case(F.trim("text"))).select("text", "constituency", "title")
-    loose = close_match(left, _checked(everywhere), "title", "candidate", ["constituency"], 0.6)
-    found = strict.select("text", "party").union(loose.select("text", "party")).withColumnRenamed("party", "_p")
-    joined = values.join(found, "text", "left")
+    reversed, close when reversed (0.7), initials first (0.7), close (0.7, then 0.6), else unchanged."""
+    asked = values.select("text").distinct().where("text IS NOT NULL").withColumn("t", F.trim("text"))
+    asked = asked.where((F.col("t") != "") & ~F.lower("t").isin(*NOT_CANDIDATES))
+    asked = asked.withColumn("title", title_case("t")).withColumn("back", title_case(F.reverse("t")))
+    asked = asked.withColumn("plain_back", strip_titles(F.col("back"))).withColumn("turned", initials_first(F.col("back")))
+    own = candidates.select("candidate", "party", strip_titles(F.col("candidate")).alias("plain"))
+    forms = asked.select("text", F.posexplode(F.array("t", "title", "back")).alias("rung", "candidate"))
+    exact = forms.join(own.select("candidate", "party"), "candidate").groupBy("text").agg(F.min(F.struct("rung", "party")).alias("m"))
+    found = exact.select("text", "m.party")
+    for mine, theirs, cutoff in (("plain_back", "plain", 0.7), ("turned", "candidate", 0.7), ("title", "candidate", 0.7), ("title", "candidate", 0.6)):
+        left = asked.join(found, "text", "left_anti").select("text", mine)
+        if mine == "turned":
+            left = left.where(F.col(mine).contains(" "))
+        near = close_match_anywhere(left, own.select(F.col(theirs).alias("_theirs"), "party"), mine, "_theirs", cutoff)
+        found = found.union(near.select("text", "party"))
+    joined = values.join(found.withColumnRenamed("party", "_p"), "text", "left")
     known = F.when(F.upper(F.trim("text")).isin(*KNOWN_PARTIES), F.upper(F.trim("text")))
     return joined.withColumn("party", F.coalesce(collision(F.col("text"), F.col("constituency")), known, F.col("_p"), F.col("text"))).drop("_p")
 

@@ -6,11 +6,13 @@ matching and card rows, both of one page at a time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tabloom.functions.text import epics
@@ -30,27 +32,34 @@ def cluster_means(df: DataFrame, keys: Sequence[str], value: str, tolerance: flo
 
 
 def anchored_rows(df: DataFrame, keys: Sequence[str], value: str, tolerance: float, items: Sequence[str]) -> DataFrame:
-    """(keys, row, anchor, values, items): a new row where a value is more than ``tolerance`` from its row's first.
+    """(keys, row, anchor, items): a new row where a value is more than ``tolerance`` from its row's first.
 
-    The rows of one page are folded in order inside an expression; each item goes along in a struct.
+    Rows are dealt by keys and sorted by Spark; one pass over each sorted partition keeps the last key, anchor and row number
+    and nothing else, so a page may have any number of rows.  ``items`` are structs of the value (``v``) and the
+    named columns, in order.  A null value is a row of its own, before the others.
     """
-    item = F.struct(F.col(value).cast("double").alias("v"), *items)
-    listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_l"))
-    empty = F.array().cast("array<struct<anchor:double,first:int,last:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc["rows"], F.lit(-1))
-        fits = (F.size(acc["rows"]) > 0) & (F.abs(x["v"] - last["anchor"]) <= tolerance)
-        grown = F.concat(
-            F.slice(acc["rows"], 1, F.greatest(F.size(acc["rows"]) - 1, F.lit(0))),
-            F.array(F.struct(last["anchor"].alias("anchor"), last["first"].alias("first"), (acc["n"] + 1).alias("last"))),
-        )
-        fresh = F.concat(acc["rows"], F.array(F.struct(x["v"].alias("anchor"), (acc["n"] + 1).alias("first"), (acc["n"] + 1).alias("last"))))
-        return F.struct((acc["n"] + 1).alias("n"), F.when(fits, grown).otherwise(fresh).alias("rows"))
-
-    folded = F.aggregate("_l", F.struct(F.lit(0).alias("n"), empty.alias("rows")), step)["rows"]
-    rows = listed.withColumn("_r", folded).select(*keys, "_l", F.posexplode("_r").alias("row", "_s"))
-    return rows.select(*keys, "row", F.col("_s.anchor").alias("anchor"), F.slice("_l", F.col("_s.first"), F.col("_s.last") - F.col("_s.first") + 1).alias("items"))
+    keyed = df.select(*keys, F.col(value).cast("double").alias("v"), *[c for c in items if c not in keys])
+    order = [F.asc_nulls_first(c) for c in dict.fromkeys((*keys, "v", *items))]
+    dealt = keyed.repartition(*keys).sortWithinPartitions(*order)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, anchor, row = None, None, 0
+        for batch in batches:
+            rows, anchors = [], []
+            own = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
+            for k, v in zip(own, batch.column("v").to_pylist(), strict=True):
+                if k != key:
+                    key, anchor, row = k, v, 0
+                elif v is None or anchor is None or not abs(v - anchor) <= tolerance:
+                    anchor, row = v, row + 1
+                rows.append(row)
+                anchors.append(anchor)
+            columns = [*batch.columns, pa.array(rows, pa.int32()), pa.array(anchors, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "row", "anchor"])
+
+    numbered = dealt.mapInArrow(number, T.StructType([*keyed.schema.fields, T.StructField("row", T.IntegerType()), T.StructField("anchor", T.DoubleType())]))
+    listed = F.array_sort(F.collect_list(F.struct("v", *items)))
+    return numbered.groupBy(*keys, "row").agg(F.first("anchor").alias("anchor"), listed.alias("items"))
 
 
 def words_to_lines(words: DataFrame, tolerance: float | None = None) -> DataFrame:

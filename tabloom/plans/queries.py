@@ -479,7 +479,13 @@ def _(spark, d):
     return _t(spark, d, "nation").select("n_nationkey", reversal.repaired(F.reverse(F.concat(F.lit("POLLING STATION "), "n_name"))).alias("text"))
 
 
-@query("anchored_rows")
+@query("anchored_rows", """WITH RECURSIVE a(user_id, row, anchor) AS (
+  SELECT user_id, 0, min(value) FROM events GROUP BY user_id
+  UNION ALL
+  SELECT a.user_id, a.row + 1, n.v FROM a, LATERAL (SELECT min(value) AS v FROM events e WHERE e.user_id = a.user_id AND abs(e.value - a.anchor) > 15 AND e.value > a.anchor) n
+  WHERE n.v IS NOT NULL
+)
+SELECT a.user_id, a.row, a.anchor, count(*)::INT AS n FROM a JOIN events e ON e.user_id = a.user_id AND e.value >= a.anchor AND abs(e.value - a.anchor) <= 15 GROUP BY ALL""")
 def _(spark, d):
     e = _t(spark, d, "events").select("user_id", "event_id", "value")
     return segment.anchored_rows(e, ["user_id"], "value", 15.0, ["event_id"]).select("user_id", "row", "anchor", F.size("items").alias("n"))

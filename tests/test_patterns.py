@@ -106,3 +106,23 @@ def test_calls_hold_so_many_characters(spark, tmp_path):
     assert got[texts[305]] == " ".join(p.upper() for p in batches.sentences(texts[305], 500)) and got[texts[305]].replace(" ", "") == texts[305].upper().replace(" ", "")
     calls = [p.read_text() for p in tmp_path.iterdir()]
     assert max(map(len, calls)) <= 500 and len(calls) < 120 and not any("known" in c for c in calls)
+
+
+def test_close_texts_anywhere_are_those_of_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    from tabloom.operators import lookup
+
+    rng = random.Random(5)
+    names = ["".join(rng.choice("aeiknrs. ") for _ in range(rng.randrange(1, 14))) for _ in range(150)]
+    near = ["".join(c if rng.random() < 0.8 else rng.choice("xyz") for c in rng.choice(names)) for _ in range(150)] + ["", "q", names[0], names[0]]
+    left = spark.createDataFrame(list(enumerate(near)) + [(999, None)], "i int, t string")
+    right = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "name string, party int")
+    for cutoff in (0.6, 0.75, 1.0):
+        got = {r["i"]: (round(r["score"], 9), r["name"], r["party"]) for r in lookup.close_match_anywhere(left, right, "t", "name", cutoff).collect()}
+        want = {}
+        for i, t in enumerate(near):
+            best = max(((round(SequenceMatcher(None, t, n).ratio(), 9), n, k) for k, n in enumerate(names) if t), default=(0,))
+            if best[0] >= cutoff:
+                want[i] = best
+        assert got == want and len(want) > 3
