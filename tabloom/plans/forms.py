@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabloom.functions import house
+from tabloom.functions import house, text
 from tabloom.operators import batches, cards, chains, patterns, sheets, voters
 from tabloom.plans.queries import _t, query
 from tabloom.streaming import expiry
@@ -449,3 +449,48 @@ def _(spark, d):
     head = F.concat(F.lit("FORM 20\nGeneral  Election "), F.col("doc_id"), F.when(F.col("doc_id") % 3 == 0, F.lit("\nSl. No. Polling Station")).otherwise(""), F.lit("\n"))
     body = F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n"))
     return chains.document_titles(docs.select("doc_id", F.lit(1).alias("page"), F.concat(head, body).alias("text")))
+
+
+#: What stands around a part's name in its invented header cell, and the words before it.
+_TAILS = (" (DMK)", " (CPI(M))", "", " votes", "  ( BJP )", " வாக்குகள்", ". (x) y")
+_HEADS = ("Dr. ", "Mr. Adv. ", "", "K. ", "s r ", "1,250 ", "-12.5", "ABC1234567 ")
+
+
+@query("cell_texts", f"""WITH c AS (
+  SELECT p_partkey, p_size, p_brand, p_name, [{", ".join(f"'{x}'" for x in _HEADS)}][(p_partkey % 8 + 1)::INT] || p_name || [{", ".join(f"'{x}'" for x in _TAILS)}][(p_partkey % 7 + 1)::INT] AS t,
+    [p_size::VARCHAR, p_size || ',' || lpad(p_partkey::VARCHAR, 3, '0'), p_size || '.50', p_name, '-' || p_size || '.0'][(p_partkey % 5 + 1)::INT] AS cell FROM part
+), x AS (
+  SELECT *, regexp_replace(t, '^(?i:(?:(?:{text.TITLES})\\.*(?:\\s+|$))+)', '') AS untitled, TRY_CAST(replace(cell, ',', '') AS DOUBLE) AS num,
+    list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '') AS words, length(regexp_replace(t, '[^\\p{{L}}\\p{{M}}]', '', 'g')) AS letters FROM c
+)
+SELECT p_partkey, t, cell,
+  CASE WHEN regexp_extract(t, '\\(([^()]+(?:\\([A-Z]\\))?)\\)\\s*$', 1) <> '' THEN trim(regexp_extract(t, '\\(([^()]+(?:\\([A-Z]\\))?)\\)\\s*$', 1)) END AS party,
+  trim(regexp_replace(regexp_replace(regexp_replace(upper(t), '\\bVOTES?\\b', '', 'g'), '[.]', '', 'g'), '\\s+', ' ', 'g')) AS party_form,
+  trim(regexp_replace(untitled, '(?i)(?:(?:^|\\s+)(?:{text.TITLES})\\.*)+$', '')) AS untitled,
+  array_to_string(list_filter(words, lambda w: length(replace(w, '.', '')) <= 1) || list_filter(words, lambda w: length(replace(w, '.', '')) > 1), ' ') AS turned,
+  regexp_matches(regexp_replace(upper(p_brand || t), '[^\\p{{L}}]', '', 'g'), '[B-DF-HJ-NP-TV-Z]{{4}}') AS cluster,
+  coalesce(TRY_CAST(regexp_extract(replace(t, ',', ''), '^\\s*([-+]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+))', 1) AS DOUBLE), 0) AS leading,
+  CASE WHEN num IS NULL THEN cell WHEN num = floor(num) THEN num::BIGINT::VARCHAR ELSE num::VARCHAR END AS typed,
+  left(regexp_replace(t || '[a]:b*?/', '[\\[\\]:*?/\\\\]', '_', 'g'), 31) AS sheet, md5(t || chr(31) || p_brand) AS cache_key,
+  CASE WHEN letters > 0 THEN (letters - length(regexp_replace(regexp_replace(t, '[^\\p{{L}}\\p{{M}}]', '', 'g'), '[\\x{{0B80}}-\\x{{0BFF}}]', '', 'g'))) / letters ELSE 0 END AS tamil,
+  regexp_matches(t, '\\p{{L}}') AS translate, [x for x in regexp_extract_all(t, '[A-Z]{{3}}[0-9]{{7}}')] AS epics,
+  CASE p_partkey % 3 WHEN 0 THEN 'H' WHEN 1 THEN 'F' END AS relation, CASE p_partkey % 4 WHEN 0 THEN 'M' WHEN 1 THEN 'F' WHEN 2 THEN '' ELSE 'O' END AS gender,
+  CASE WHEN p_partkey % 2 = 0 AND p_size IN (11, 22, 33, 44) THEN p_size // 11 ELSE p_size END::INT AS entry, p_name AS location,
+  ['[' || p_size % 3 || '] ' || p_name, '[' || (p_size % 3 + 1) || '] ' || p_brand] AS areas
+FROM x""")
+def _(spark, d):
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    part = _t(spark, d, "part")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (key % n + 1).cast("int"))
+    t = F.concat(pick(_HEADS, 8), "p_name", pick(_TAILS, 7))
+    cell = F.element_at(F.array(size, F.concat(size, F.lit(","), F.lpad(key.cast("string"), 3, "0")), F.concat(size, F.lit(".50")), F.col("p_name"), F.concat(F.lit("-"), size, F.lit(".0"))), (key % 5 + 1).cast("int"))
+    place = F.concat("p_name", F.lit(" ["), (F.col("p_size") % 3 + 1).cast("string"), F.lit("] - "), "p_brand", F.lit(" ; ["), (F.col("p_size") % 3).cast("string"), F.lit("]  "), "p_name")
+    label = pick(("Husband's Name", "Father Name", "Spouse"), 3)
+    rows = part.withColumns({"t": t, "cell": cell, "place": place})
+    return rows.select(
+        "p_partkey", "t", "cell", text.party_in_cell(F.col("t")).alias("party"), text.party_normal_form(F.col("t")).alias("party_form"), text.strip_titles(F.col("t")).alias("untitled"),
+        text.initials_first(F.col("t")).alias("turned"), text.consonant_cluster(F.concat("p_brand", "t")).alias("cluster"), text.leading_number(F.col("t")).alias("leading"),
+        text.typed_number(F.col("cell")).alias("typed"), text.sheet_name(F.concat("t", F.lit("[a]:b*?/"))).alias("sheet"), text.cache_key(F.col("t"), F.col("p_brand")).alias("cache_key"),
+        text.script_share(F.col("t")).alias("tamil"), text.should_translate(F.col("t")).alias("translate"), text.epics(F.col("t")).alias("epics"), text.relation_type(label).alias("relation"),
+        text.gender(pick((" male ", "F", "", "x"), 4)).alias("gender"), text.entry_number(size, key % 2 == 0).alias("entry"), text.location_part(F.col("place")).alias("location"), text.areas(F.col("place")).alias("areas"),
+    )
