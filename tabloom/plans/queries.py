@@ -499,12 +499,31 @@ def _(spark, d):
     return segment.greedy_nearest(base.where("event_type = 'click'").drop("event_type"), ids)
 
 
-@query("validation_report")
+@query("validation_report", """WITH r AS (
+  SELECT 't' || l_suppkey % 20 AS t, l_orderkey AS k, row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY l_orderkey) AS n FROM lineitem
+), g AS (
+  SELECT *, k - lag(k) OVER (PARTITION BY t ORDER BY n) AS gap, row_number() OVER (PARTITION BY t, k ORDER BY n) AS again FROM r
+), c AS (
+  SELECT t, count(*) AS n, count(*) FILTER (WHERE gap > 5) AS gaps, count(*) FILTER (WHERE again > 1) AS dups FROM g GROUP BY t
+), i AS (
+  SELECT t, 1 + (n < 30)::INT AS structure_warnings, (n > 500)::INT AS structure_infos, least(n, 10) + (n > 10)::INT AS type_errors,
+    (gaps > 3)::INT AS gap_warnings, CASE WHEN gaps <= 3 THEN gaps ELSE 0 END AS gap_infos, CASE WHEN dups <= 5 THEN dups ELSE 1 END AS dup_errors FROM c
+), s AS (
+  SELECT *, greatest(0, 1 - 0.02::DOUBLE * structure_warnings - 0.01::DOUBLE * structure_infos) AS structure, greatest(0, 1 - 0.08::DOUBLE * type_errors) AS types,
+    greatest(0, 1 - 0.02::DOUBLE * gap_warnings - 0.01::DOUBLE * gap_infos - 0.08::DOUBLE * dup_errors) AS consistency FROM i
+), f AS (
+  SELECT *, type_errors + dup_errors AS errors, 0.75::DOUBLE * 0.4 + (structure + types + consistency) / 3 * 0.4 + 0.5::DOUBLE * 0.2 AS confidence FROM s
+)
+SELECT t AS table_id, 'ocr' AS method, 0.0::DOUBLE AS empty_ratio, 0.5::DOUBLE AS type_consistency, round(structure, 6) AS structure, round(types, 6) AS types,
+  round(consistency, 6) AS consistency, 0 AS criticals, errors, structure_warnings + gap_warnings AS warnings, structure_infos + gap_infos AS infos, round(confidence, 6) AS confidence,
+  CASE WHEN confidence >= 0.95 AND errors = 0 THEN 'A' WHEN confidence >= 0.85 AND errors <= 1 THEN 'B' WHEN confidence >= 0.7 AND errors <= 3 THEN 'C' WHEN confidence >= 0.5 THEN 'D' ELSE 'F' END AS grade,
+  confidence >= 0.5 AS passed FROM f""")
 def _(spark, d):
     li = _t(spark, d, "lineitem")
     table = li.select(F.concat(F.lit("t"), (F.col("l_suppkey") % 20).cast("string")).alias("table_id"), F.lit(1).alias("page"), F.col("l_orderkey").cast("int").alias("row_idx"), F.array(F.col("l_orderkey").cast("string"), F.col("l_quantity").cast("string"), F.col("l_returnflag")).alias("cells"))
     heads = table.select("table_id").distinct().withColumn("headers", F.array(F.lit("Polling Station No."), F.lit("DMK votes"), F.lit("NOTA")))
-    return quality.validate(table, heads, heads.select("table_id", F.lit("ocr").alias("method")))[0]
+    report = quality.validate(table, heads, heads.select("table_id", F.lit("ocr").alias("method")))[0]
+    return report.withColumns({c: F.round(c, 6) for c in ("empty_ratio", "type_consistency", "structure", "types", "consistency", "confidence")})
 
 
 from tabloom.plans import forms  # noqa: E402, F401  (adds its queries to the tables above)
