@@ -24,6 +24,7 @@ The table of very frequent shingles and the one of the crowd's shingles have a f
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -243,13 +244,16 @@ def _rows(points: DataFrame, skip: np.ndarray | None = None, only: np.ndarray |
     return points.mapInArrow(run, "s long, id long, n int")
 
 
-def _counted(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+def _counted(a: list[np.ndarray], b: list[np.ndarray], times: list[np.ndarray] | None = None) -> pa.RecordBatch:
     x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
     first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, np.int64)
-    count = np.diff(np.append(first, len(x))).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first]), pa.array(count)], ["a", "b", "c"])
+    if times is None or not len(x):
+        count = np.diff(np.append(first, len(x)))
+    else:
+        count = np.add.reduceat(np.concatenate(times)[order], first)
+    return pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first]), pa.array(count.astype(np.int32))], ["a", "b", "c"])
 
 
 def _alike(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
@@ -266,7 +270,11 @@ def _once(rows: np.ndarray) -> np.ndarray:
 
 
 def _meet(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b, c): pairs that share c uncrowded shingles and may be as similar as ``least``; (a, null, c): a is in c crowded ones."""
+    """(a, b, c): pairs that share c uncrowded shingles and may be as similar as ``least``; (a, null, c): a is in c crowded ones.
+
+    A passage that several regions share is many shingles with the same regions.  Such shingles are counted together,
+    under the list of their regions, before any pairs are made, so a passage costs its pairs once and not for every shingle.
+    """
     most = _CROWD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +282,7 @@ def _meet(rows: DataFrame, least: float) -> DataFrame:
 
         def told(ids: np.ndarray) -> pa.RecordBatch:
             values, counts = np.unique(ids, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(values), pa.nulls(len(values), pa.int64()), pa.array(counts.astype(np.int32))], ["a", "b", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(values), pa.nulls(len(values), pa.binary()), pa.array(counts.astype(np.int32))], ["a", "g", "c"])
 
         def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             s, ids, n = rows
@@ -287,17 +295,20 @@ def _meet(rows: DataFrame, least: float) -> DataFrame:
                 yield told(ids[crowded])
             keep = ~crowded & np.repeat(size > 1, size)
             s, ids, n = s[keep], ids[keep], n[keep]
-            a, b = [], []
+            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+            size = np.diff(np.append(first, len(s)))
+            group = np.repeat(np.arange(len(first)), size)
+            alive = np.zeros(len(first), bool)
             for step in range(1, min(most, len(s))):
                 at = np.flatnonzero(s[step:] == s[:-step])
                 if not len(at):
                     break
-                x, y = ids[at], ids[at + step]
-                ok = _alike(n[at], n[at + step], least) & (x != y)
-                a.append(np.minimum(x, y)[ok])
-                b.append(np.maximum(x, y)[ok])
-            if a:
-                yield _counted(a, b)
+                ok = _alike(n[at], n[at + step], least) & (ids[at] != ids[at + step])
+                alive[group[at[ok]]] = True
+            raw = np.stack((ids, n), axis=1).tobytes()
+            lists = Counter(raw[16 * f : 16 * (f + k)] for f, k in zip(first[alive].tolist(), size[alive].tolist(), strict=True))
+            if lists:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(lists), pa.int64()), pa.array(list(lists), pa.binary()), pa.array(list(lists.values()), pa.int32())], ["a", "g", "c"])
 
         for batch in batches:
             rows = _once(np.concatenate((rest, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])), axis=1))
@@ -315,7 +326,25 @@ def _meet(rows: DataFrame, least: float) -> DataFrame:
                 rest, open_ = rest[:, :0], int(rest[0, 0])
         yield from settle(rest)
 
-    return rows.repartition("s").sortWithinPartitions("s", "id").mapInArrow(run, "a long, b long, c int")
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches, 20_000):
+            a, b, times = [], [], []
+            for raw, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, n = np.frombuffer(raw, np.int64).reshape(-1, 2).T
+                i, j = np.triu_indices(len(ids), 1)
+                ok = _alike(n[i], n[j], least) & (ids[i] != ids[j])
+                x, y = ids[i[ok]], ids[j[ok]]
+                a.append(np.minimum(x, y))
+                b.append(np.maximum(x, y))
+                times.append(np.full(len(x), c, np.int64))
+            if a:
+                yield _counted(a, b, times)
+
+    dealt = rows.repartition("s").sortWithinPartitions("s", "id")
+    met = saved(dealt.mapInArrow(run, "a long, g binary, c int"), "shared-shingles")
+    lists = met.where("g IS NOT NULL").groupBy("g").agg(F.sum("c").alias("c"))
+    crowded = met.where("g IS NULL").groupBy("a").agg(F.sum("c").cast("int").alias("c")).select("a", F.lit(None).cast("long").alias("b"), "c")
+    return lists.mapInArrow(pairs, "a long, b long, c int").union(crowded)
 
 
 def _meet_two(shown: DataFrame, whole: DataFrame, least: float) -> DataFrame:
