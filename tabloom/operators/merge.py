@@ -121,6 +121,10 @@ def carry_header(pages: DataFrame) -> DataFrame:
     return pages.withColumn("headers", F.first("headers", ignorenulls=True).over(w))
 
 
+#: Ranges of a global numbering; their bounds are constants of the plan.
+MOST_RANGES = 400
+
+
 def _range_of(key: Column, bounds: list[Column], wide: int) -> Column:
     """How many of the ascending ``bounds`` are at most ``key``, looked up in two steps of ``wide``."""
     below = lambda of: F.size(F.filter(of, lambda b: b <= key))
@@ -132,14 +136,16 @@ def _range_of(key: Column, bounds: list[Column], wide: int) -> Column:
 def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "serial", start: int = 1) -> DataFrame:
     """Consecutive numbers over the whole table in a total order (nulls first), without gathering it.
 
-    A uniform sample of the order's values, 64 for each shuffle partition, gives fixed bounds of ranges.  A row's range
-    follows from its values alone, so the counts of the ranges and the numbers within them agree however Spark deals
-    the rows out.  The order's columns are of plain types.
+    A uniform sample of the order's values, 64 for each range, gives fixed bounds of ranges.  A row's range follows from its
+    values alone, so the counts of the ranges and the numbers within them agree however Spark deals the rows out.  Rows
+    with equal values are ordered by a hash of the whole row (but for maps), so that many of them are several ranges.
+    There are as many ranges as shuffle partitions, at most ``MOST_RANGES``.  The order's columns are of plain types.
     """
     spark = df.sparkSession
-    names = [f"_o{i}" for i in range(len(order))]
-    keyed = df.withColumns({n: F.col(c) if isinstance(c, str) else c for n, c in zip(names, order, strict=True)})
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_o{i}" for i in range(len(order) + 1)]
+    tie = F.xxhash64(F.lit(0), *[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+    keyed = df.withColumns({n: F.col(c) if isinstance(c, str) else c for n, c in zip(names, (*order, tie), strict=True)})
+    parts = min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sample = keyed.select(*names).orderBy(F.rand(7)).limit(64 * parts).orderBy(*names).collect()
     types = [keyed.schema[n].dataType for n in names]
     cuts = dict.fromkeys(sample[64 * i] for i in range(1, parts) if 64 * i < len(sample))

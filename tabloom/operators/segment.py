@@ -252,15 +252,15 @@ def name_id_pairs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return firsts, all_ids.join(firsts, ["doc_id", "epic"], "left_anti")
 
 
-def card_rows(lines: DataFrame, per_row: int = 3) -> DataFrame:
-    """Card rows read across: a line of names starts a batch, later lines fill its slots from the left.
+def card_rows(lines: DataFrame) -> DataFrame:
+    """Card rows read across: a line of names starts a batch, later lines fill its slots from the left, as many as they have.
 
     ``lines``: doc_id, page, line_no, kind (name, relation, house, age, epic), values array<string>.  A batch is a
     running count of name lines, so filling is an aggregate over (batch, slot), not a loop.
     """
     w = W.partitionBy("doc_id", "page").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     marked = lines.withColumn("batch", F.sum((F.col("kind") == "name").cast("int")).over(w)).where("batch > 0")
-    slots = marked.select("doc_id", "page", "batch", "line_no", "kind", F.posexplode(F.slice("values", 1, per_row)).alias("slot", "value"))
+    slots = marked.select("doc_id", "page", "batch", "line_no", "kind", F.posexplode("values").alias("slot", "value"))
     kinds = ("name", "relation", "house", "age", "epic")
     aggs = [F.min_by(F.when(F.col("kind") == k, F.col("value")), F.when(F.col("kind") == k, F.col("line_no"))).alias(k) for k in kinds]
     return slots.groupBy("doc_id", "page", "batch", "slot").agg(*aggs)
