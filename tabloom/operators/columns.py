@@ -165,3 +165,8 @@ def standard_names(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 
 def row_sum(df: DataFrame, columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns], F.lit(0.0))
+
+
+def search_columns(headers: DataFrame, text: str) -> DataFrame:
+    """The headers (table_id, col_idx, header) that hold a text, without regard to case; an empty text finds all."""
+    return headers.where(F.contains(F.lower(F.coalesce("header", F.lit(""))), F.lit(text.strip().lower())))

@@ -32,6 +32,12 @@ SECTIONS = (
     (240, 265, "Thirumanur West"), (165, 167, "Thirumanur East"), (186, 239, "Thirumanur East"),
     (266, 277, "Jayankondam ALU"), (278, 330, "T Palur West"),
 )
+#: The sections' names in Tamil.
+SECTIONS_TAMIL = {
+    "Ariyalur North": "அரியலூர் வடக்கு", "Ariyalur South": "அரியலூர் தெற்கு", "Ariyalur Town": "அரியலூர் நகரம்",
+    "Thirumanur West": "திருமானூர் மேற்கு", "Thirumanur East": "திருமானூர் கிழக்கு",
+    "Jayankondam ALU": "ஜெயங்கொண்டம் ஏ.எல்.யு", "T Palur West": "டி பழூர் மேற்கு",
+}
 #: Names that several candidates bear, with marks in the text or a constituency (neither: always), and
 #: the party; the first that fits counts.
 SHARED_NAMES = (
@@ -176,7 +182,8 @@ def majority_constituency(headers: DataFrame, candidates: DataFrame) -> DataFram
 
 
 def section_ranges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([*SECTIONS], "lo int, hi int, section string")
+    """(lo, hi, section, section_tamil)."""
+    return spark.createDataFrame([(*s, SECTIONS_TAMIL[s[2]]) for s in SECTIONS], "lo int, hi int, section string, section_tamil string")
 
 
 def range_lookup(df: DataFrame, value: str, ranges: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabloom.functions import house, text
-from tabloom.operators import batches, cards, chains, patterns, sheets, voters
+from tabloom.operators import batches, cards, chains, lookup, patterns, rolls, sheets, voters
 from tabloom.plans.queries import _t, query
 from tabloom.streaming import expiry
 
@@ -494,3 +494,36 @@ def _(spark, d):
         text.script_share(F.col("t")).alias("tamil"), text.should_translate(F.col("t")).alias("translate"), text.epics(F.col("t")).alias("epics"), text.relation_type(label).alias("relation"),
         text.gender(pick((" male ", "F", "", "x"), 4)).alias("gender"), text.entry_number(size, key % 2 == 0).alias("entry"), text.location_part(F.col("place")).alias("location"), text.areas(F.col("place")).alias("areas"),
     )
+
+
+_SECTION_CASES = " ".join(f"WHEN part BETWEEN {lo} AND {hi} THEN ['{name}', '{lookup.SECTIONS_TAMIL[name]}']" for lo, hi, name in lookup.SECTIONS)
+
+
+@query("roll_merge", f"""WITH c AS (
+  SELECT *, c_nationkey AS file, c_custkey % 4 AS booth, c_nationkey * 4 + c_custkey % 4 + 60 AS part,
+    row_number() OVER (PARTITION BY c_nationkey, c_custkey % 4 ORDER BY c_custkey) + 6 AS row FROM customer
+), m AS (
+  SELECT *, CASE {_SECTION_CASES} ELSE ['', ''] END AS section, (140 + file % 3)::VARCHAR AS ac FROM c
+)
+SELECT row_number() OVER (ORDER BY ac::INT, part, file::VARCHAR, booth, row) AS "Serial No", c_name AS voter_name, c_name AS voter_name_tamil, c_mktsegment AS relation_name,
+  c_mktsegment AS relation_name_tamil, 'F' AS relation_type, 'ABC' || lpad(c_custkey::VARCHAR, 7, '0') AS epic_number, 'Male' AS gender, '' AS age, c_custkey || 'A' AS house_number,
+  '' AS street_name, section[1] AS section_name, section[2] AS section_name_tamil, part::VARCHAR AS part_number, ac AS ac_number, '' AS district_code FROM m""")
+def _(spark, d):
+    c = _t(spark, d, "customer")
+    file, booth = F.col("c_nationkey"), F.col("c_custkey") % 4
+    part, ac = (file * 4 + booth + 60).cast("string"), (140 + file % 3).cast("string")
+    # one way to tell the numbers for each kind of sheet: in the label's cell, beside the label, in the title
+    sheet = F.when(booth == 2, F.concat_ws("", F.lit("AC "), ac, F.lit(" - "), part)).otherwise(F.concat(F.lit("Booth "), booth.cast("string")))
+    c = c.withColumn("row", F.row_number().over(W.partitionBy("c_nationkey", booth).orderBy("c_custkey")) + 6)
+    row = F.col("row")
+    values = F.array(row.cast("string"), "c_name", "c_mktsegment", F.lit("F"), F.concat(F.col("c_custkey"), F.lit("A")), F.lit(None).cast("string"), F.lit("Male"), F.concat(F.lit("ABC"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")))
+    at = [file.cast("string").alias("table_id"), sheet.alias("sheet")]
+    body = c.select(*at, row.alias("row_idx"), F.posexplode(values).alias("col_idx", "value")).withColumn("col_idx", F.col("col_idx") + 1)
+    first = c.groupBy("c_nationkey", booth.alias("booth")).agg(F.first(sheet).alias("sheet"), F.first(part).alias("part"), F.first(ac).alias("ac"))
+    told = F.when(F.col("booth") < 2, F.concat(F.lit("AC No : "), "ac")).otherwise("Roll")
+    label = F.when(F.col("booth") == 0, F.concat(F.lit("Booth No: "), "part")).when(F.col("booth").isin(1, 3), F.lit("Booth No")).otherwise("x")
+    meta = F.array(F.struct(F.lit(1), F.lit(1), told), F.struct(F.lit(2), F.lit(1), label), F.struct(F.lit(2), F.lit(4), F.when(F.col("booth").isin(1, 3), F.col("part"))), F.struct(F.lit(3), F.lit(1), F.when(F.col("booth") == 3, "AC No")),
+                   F.struct(F.lit(3), F.lit(4), F.when(F.col("booth") == 3, F.col("ac"))), F.struct(F.lit(5), F.lit(1), F.lit("Serial No")), F.struct(F.lit(6), F.lit(1), F.lit("வ.எண்")))
+    heads = first.select(F.col("c_nationkey").cast("string").alias("table_id"), "sheet", F.inline(meta).alias("row_idx", "col_idx", "value"))
+    extra = first.select(F.col("c_nationkey").cast("string"), F.lit("Summary"), F.lit(9), F.lit(2), F.lit("no voter")).distinct()
+    return rolls.merge_rolls(body.union(heads).union(extra))

@@ -47,6 +47,25 @@ def read_sheets(content: bytes) -> Iterator[tuple[int, int, list[str]]]:
                     yield page, int(row.get("r", "1")) - 1, cells
 
 
+def sheet_names(content: bytes) -> list[str]:
+    """The names of the sheets of a workbook, in the order of ``read_sheets``."""
+    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        named = [(targets.get(s.get(rel), ""), s.get("name", "")) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_NS}sheet")]
+    numbered = [(re.search(r"sheet(\d+)\.xml$", target), name) for target, name in named]
+    return [name for _, name in sorted((int(m[1]), name) for m, name in numbered if m)]
+
+
+def read_named_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
+    """(sheet name, row and column number from 1, value) of every filled cell."""
+    names = sheet_names(content)
+    for page, row, cells in read_sheets(content):
+        for col, value in enumerate(cells, 1):
+            if value != "":
+                yield names[page - 1] if page <= len(names) else f"Sheet{page}", row + 1, col, value
+
+
 def _letters(i: int) -> str:
     out = ""
     i += 1
