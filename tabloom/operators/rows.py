@@ -116,11 +116,11 @@ def fingerprints(header_rows: DataFrame) -> DataFrame:
 
 
 def drop_repeated_headers(rows: DataFrame, header_rows: DataFrame, share: float = 0.5) -> DataFrame:
-    """Rows that neither equal a header row of their table nor share half of their cells with one."""
+    """Rows that neither equal a header row of their table nor, with three filled cells or more, share half of them with one."""
     prints = fingerprints(header_rows).groupBy("table_id").agg(F.collect_set("print").alias("_p"))
     low = F.transform(filled(F.col("cells")), lambda c: F.lower(c))
     joined = rows.join(prints, "table_id", "left")
-    same = F.exists("_p", lambda p: (p == F.array_join(low, "|")) | ((F.size(low) > 0) & (F.size(F.filter(low, lambda c: F.array_contains(F.split(p, "\\|"), c))) >= share * F.size(low))))
+    same = F.exists("_p", lambda p: (p == F.array_join(low, "|")) | ((F.size(low) >= 3) & (F.size(F.filter(low, lambda c: F.array_contains(F.split(p, "\\|"), c))) >= share * F.size(low))))
     return joined.where(F.col("_p").isNull() | ~same).drop("_p")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabloom.functions import house, text
-from tabloom.operators import batches, cards, chains, lookup, patterns, rolls, sheets, voters
+from tabloom.operators import batches, cards, chains, headers, lookup, patterns, rolls, sheets, voters
 from tabloom.plans.queries import _t, query
 from tabloom.streaming import expiry
 
@@ -527,3 +527,34 @@ def _(spark, d):
     heads = first.select(F.col("c_nationkey").cast("string").alias("table_id"), "sheet", F.inline(meta).alias("row_idx", "col_idx", "value"))
     extra = first.select(F.col("c_nationkey").cast("string"), F.lit("Summary"), F.lit(9), F.lit(2), F.lit("no voter")).distinct()
     return rolls.merge_rolls(body.union(heads).union(extra))
+
+
+@query("standard_headers", """WITH h AS (
+  SELECT p_brand AS t, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INT AS col, CASE p_partkey % 5 WHEN 0 THEN p_name || ' (IND)' WHEN 1 THEN p_name || ' ( dmk )'
+    WHEN 2 THEN p_name WHEN 3 THEN 'Total Votes' END AS header, p_partkey % 5 AS k FROM part
+)
+SELECT t AS table_id, col AS col_idx, CASE k WHEN 0 THEN 'IND_' || count(*) FILTER (WHERE k = 0) OVER (PARTITION BY t ORDER BY col) WHEN 1 THEN 'DMK' WHEN 2 THEN header
+  WHEN 3 THEN 'TOTAL VOTES' ELSE 'Column_' || col END AS standard, k < 2 AS is_party FROM h""")
+def _(spark, d):
+    part = _t(spark, d, "part")
+    at = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    k = F.col("p_partkey") % 5
+    name = F.when(k == 0, F.concat("p_name", F.lit(" (IND)"))).when(k == 1, F.concat("p_name", F.lit(" ( dmk )"))).when(k == 2, F.col("p_name")).when(k == 3, F.lit("Total Votes"))
+    named = part.select(F.col("p_brand").alias("table_id"), at.alias("col_idx"), name.alias("header"))
+    return headers.standard_headers(named).drop("header")
+
+
+@query("fold_positions", """WITH h AS (
+  SELECT c_nationkey AS t, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS col, c_name AS header, c_mktsegment AS party FROM customer
+), g AS (
+  SELECT *, CASE WHEN party IN ('BUILDING', 'MACHINERY') OR party = 'HOUSEHOLD' AND count(*) FILTER (WHERE party IN ('BUILDING', 'MACHINERY')) OVER (PARTITION BY t) > 0 THEN 'HOUSEHOLD' END AS grp FROM h
+), n AS (
+  SELECT *, min(CASE WHEN party = 'HOUSEHOLD' THEN col END) OVER (PARTITION BY t, grp) AS lead, CASE WHEN grp IS NULL THEN col ELSE min(col) OVER (PARTITION BY t, grp) END AS first FROM g
+)
+SELECT n.t::VARCHAR AS table_id, n.col AS col_idx, (dense_rank() OVER (PARTITION BY n.t ORDER BY n.grp IS NULL, n.first) - 1)::INT AS new_idx,
+  CASE WHEN n.grp IS NULL THEN n.header ELSE coalesce(m.header, 'HOUSEHOLD Votes') END AS new_header FROM n LEFT JOIN h m ON m.t = n.t AND m.col = n.lead AND n.grp IS NOT NULL""")
+def _(spark, d):
+    c = _t(spark, d, "customer")
+    at = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    named = c.select(F.col("c_nationkey").cast("string").alias("table_id"), at.alias("col_idx"), F.col("c_name").alias("header"), F.col("c_mktsegment").alias("party"))
+    return headers.fold_positions(named, spark.createDataFrame([("HOUSEHOLD", "BUILDING"), ("HOUSEHOLD", "MACHINERY")], "main string, ally string"))
