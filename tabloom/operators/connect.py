@@ -18,14 +18,18 @@ from tabloom.functions.text import clean_address, should_translate
 Connector = Callable[[pd.Series], pd.Series]
 
 
-def ask(values: DataFrame, column: str, connector: Connector, known: DataFrame | None = None, pause: float = 0.0, tries: int = 3, keep_on_error: bool = True) -> DataFrame:
-    """(value, answer) of the distinct values; ``pause`` seconds between calls need a single lane and repeat on errors
-    with linear backoff."""
+def ask(values: DataFrame, column: str, connector: Connector, known: DataFrame | None = None, pause: float = 0.0, tries: int = 3, keep_on_error: bool = True, lanes: int = 1) -> DataFrame:
+    """(value, answer) of the distinct values, with ``pause`` seconds between calls and, on errors, linear backoff.
+
+    A rate is kept over all ``lanes`` together: each of them pauses as many times as long, so calls that are slow
+    themselves need not wait for each other.  Without a pause every partition is a lane.
+    """
     asked = values.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
     if known is not None:
         asked = asked.join(known, "value", "left_anti")
     if pause:
-        asked = asked.coalesce(1)  # a rate limit is one lane by its nature
+        asked = asked.repartition(lanes) if lanes > 1 else asked.coalesce(1)
+        pause = pause * lanes
 
     def alone(value: str) -> str | None:
         time.sleep(pause)

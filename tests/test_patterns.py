@@ -126,3 +126,15 @@ def test_close_texts_anywhere_are_those_of_all_pairs(spark):
             if best[0] >= cutoff:
                 want[i] = best
         assert got == want and len(want) > 3
+
+
+def test_lanes_keep_the_rate_together(spark):
+    import time
+
+    from tabloom.operators import connect
+
+    df = spark.createDataFrame([(f"v{i}",) for i in range(40)], "t string").repartition(4)
+    began = time.time()
+    got = connect.ask(df, "t", lambda s: s.str.upper(), pause=0.2, lanes=4)
+    assert got.rdd.getNumPartitions() == 4 and {r["answer"] for r in got.collect()} == {f"V{i}" for i in range(40)}
+    assert time.time() - began >= 0.2 * 4
