@@ -46,8 +46,8 @@ _WORDS, _SLOT_BITS, _CROWD_BITS = 1 << 15, 20, 24
 #: Shingles that are counted at once, and the count in such a stretch from which one counts as frequent there; a shingle
 #: is frequent if that is so in one of ``_PART`` stretches.
 _STRETCH, _OFTEN, _PART = 1 << 21, 4, 8
-#: Regions of one shingle beyond which it is crowded.
-_CROWD = 12
+#: Regions of one shingle beyond which it is crowded, and regions of one list of a crowded shingle.
+_CROWD, _LISTED = 12, 64
 #: Least hashes by which a point meets others in an election, and rounds of elections.
 _KEYS, _ROUNDS = 4, 2
 #: Points that are compared in blocks at once, without more steps.
@@ -274,6 +274,7 @@ def _meet(rows: DataFrame, least: float) -> DataFrame:
 
     A passage that several regions share is many shingles with the same regions.  Such shingles are counted together,
     under the list of their regions, before any pairs are made, so a passage costs its pairs once and not for every shingle.
+    Regions of crowded shingles are told in the same way, by lists of at most ``_LISTED``.
     """
     most = _CROWD
 
@@ -282,7 +283,15 @@ def _meet(rows: DataFrame, least: float) -> DataFrame:
 
         def told(ids: np.ndarray) -> pa.RecordBatch:
             values, counts = np.unique(ids, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(values), pa.nulls(len(values), pa.binary()), pa.array(counts.astype(np.int32))], ["a", "g", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(values), pa.nulls(len(values), pa.binary()), pa.nulls(len(values), pa.bool_()), pa.array(counts.astype(np.int32))], ["a", "g", "many", "c"])
+
+        def listed(raw: bytes, first: np.ndarray, size: np.ndarray, wide: int, many: bool) -> pa.RecordBatch:
+            """Runs of ``wide`` bytes an entry, each list with how often it came."""
+            step = _LISTED if many else most
+            spans = ((f + at, f + min(at + step, k)) for f, k in zip(first.tolist(), size.tolist(), strict=True) for at in range(0, k, step))
+            lists = Counter(raw[wide * low : wide * high] for low, high in spans)
+            n = len(lists)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(list(lists), pa.binary()), pa.array([many] * n, pa.bool_()), pa.array(list(lists.values()), pa.int32())], ["a", "g", "many", "c"])
 
         def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             s, ids, n = rows
@@ -292,7 +301,7 @@ def _meet(rows: DataFrame, least: float) -> DataFrame:
             size = np.diff(np.append(first, len(s)))
             crowded = np.repeat(size > most, size)
             if crowded.any():
-                yield told(ids[crowded])
+                yield listed(ids.tobytes(), first[size > most], size[size > most], 8, True)
             keep = ~crowded & np.repeat(size > 1, size)
             s, ids, n = s[keep], ids[keep], n[keep]
             first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
@@ -305,10 +314,8 @@ def _meet(rows: DataFrame, least: float) -> DataFrame:
                     break
                 ok = _alike(n[at], n[at + step], least) & (ids[at] != ids[at + step])
                 alive[group[at[ok]]] = True
-            raw = np.stack((ids, n), axis=1).tobytes()
-            lists = Counter(raw[16 * f : 16 * (f + k)] for f, k in zip(first[alive].tolist(), size[alive].tolist(), strict=True))
-            if lists:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(lists), pa.int64()), pa.array(list(lists), pa.binary()), pa.array(list(lists.values()), pa.int32())], ["a", "g", "c"])
+            if alive.any():
+                yield listed(np.stack((ids, n), axis=1).tobytes(), first[alive], size[alive], 16, False)
 
         for batch in batches:
             rows = _once(np.concatenate((rest, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])), axis=1))
@@ -340,11 +347,20 @@ def _meet(rows: DataFrame, least: float) -> DataFrame:
             if a:
                 yield _counted(a, b, times)
 
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches, 20_000):
+            ids = [np.frombuffer(raw, np.int64) for raw in batch.column(0).to_pylist()]
+            if ids:
+                values, at = np.unique(np.concatenate(ids), return_inverse=True)
+                times = np.repeat(batch.column(1).to_numpy(), [len(x) for x in ids])
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.bincount(at, weights=times).astype(np.int32))], ["a", "c"])
+
     dealt = rows.repartition("s").sortWithinPartitions("s", "id")
-    met = saved(dealt.mapInArrow(run, "a long, g binary, c int"), "shared-shingles")
-    lists = met.where("g IS NOT NULL").groupBy("g").agg(F.sum("c").alias("c"))
-    crowded = met.where("g IS NULL").groupBy("a").agg(F.sum("c").cast("int").alias("c")).select("a", F.lit(None).cast("long").alias("b"), "c")
-    return lists.mapInArrow(pairs, "a long, b long, c int").union(crowded)
+    met = saved(dealt.mapInArrow(run, "a long, g binary, many boolean, c int"), "shared-shingles")
+    lists = met.where("g IS NOT NULL").groupBy("g", "many").agg(F.sum("c").alias("c"))
+    crowded = lists.where("many").select("g", "c").mapInArrow(regions, "a long, c int").union(met.where("g IS NULL").select("a", "c"))
+    crowded = crowded.select("a", F.lit(None).cast("long").alias("b"), "c")
+    return lists.where("NOT many").select("g", "c").mapInArrow(pairs, "a long, b long, c int").union(crowded)
 
 
 def _meet_two(shown: DataFrame, whole: DataFrame, least: float) -> DataFrame:
