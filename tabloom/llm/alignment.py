@@ -204,7 +204,8 @@ class _Aligner:
         self.con.register("a_in", a_in)
         self.con.register("b_in", b_in)
         self.con.execute(_SQL)
-        pairs = self.con.sql("SELECT doc, p, n FROM pair ORDER BY doc, p").to_arrow_table()
+        pairs = self.con.sql("SELECT doc, p, n FROM pair").to_arrow_table().combine_chunks()
+        pairs = pairs.take(pa.array(np.argsort(pairs["doc"].to_numpy(), kind="stable")))
         cuts = self.con.execute("SELECT e FROM cut ORDER BY g").fetchnumpy()["e"]
         self.con.unregister("a_in")
         self.con.unregister("b_in")
@@ -256,7 +257,8 @@ def _block(texts: pa.Array, coders: tuple[Bytes, Pieces], sizes: tuple[np.ndarra
     rows = []
     for k, text in enumerate(plain):
         space = b" " + text.encode()
-        if text and all(b"".join(map(c.spelt.__getitem__, ids[k].tolist())) == space for c, ids in zip(coders, found, strict=True)):
+        # ids of bytes spell what they encode, so their length tells; pieces may not
+        if text and sizes[0][found[0][k]].sum() == len(space) and b"".join(map(coders[1].spelt.__getitem__, found[1][k].tolist())) == space:
             rows.append(k)
     parts = []
     if rows:
