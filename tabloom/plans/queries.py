@@ -474,7 +474,7 @@ def _(spark, d):
     return lookup.candidates_in_constituency(asked, people)
 
 
-@query("reversal_repair")
+@query("reversal_repair", "SELECT n_nationkey, 'POLLING STATION ' || n_name AS text FROM nation")
 def _(spark, d):
     return _t(spark, d, "nation").select("n_nationkey", reversal.repaired(F.reverse(F.concat(F.lit("POLLING STATION "), "n_name"))).alias("text"))
 
