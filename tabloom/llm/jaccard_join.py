@@ -10,7 +10,10 @@ each, whatever order of shingles is fixed.  Two proofs of "further apart than r"
     frequent shingles.  Regions that meet in a shingle of at most ``_CROWD`` regions become a pair, which goes on if the
     shingles they share allow a link.  In a crowded shingle no pairs are made; each region is only told so.  A region
     whose points all keep floor(r n) + 1 uncrowded shingles is settled: whatever lies within r of it met it there.  The
-    others, the crowd, show their whole sets to the settled regions.
+    others show as many more hashes as they lack and meet in these by the same rule: those who showed a hash before are
+    crowded apart from those who show it now.  What is still not settled then is the crowd.  A set within r of another
+    has few hashes below the other's last one that the other lacks, so the crowd shows the settled regions its hashes up
+    to a bound, not whole sets.
 4.  Recursion.  The centres of the crowd are joined by the same steps with the radius r + R + R'; while they stay
     crowded, pivots of a doubled radius are elected among them, and so on.
 5.  Windows.  Where two centres are no further apart than r + R + R', the boundary documents - those that the triangle
@@ -25,7 +28,7 @@ The table of very frequent shingles and the one of the crowd's shingles have a f
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -173,7 +176,7 @@ def _points(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFra
                 f2.append(int(f[1]))
                 rare = h[~often[_slots(h, _SLOT_BITS)]]
                 keys.append(h[:_KEYS].view(np.int64).tolist())
-                h = rare[: n[-1] * (100 - percent) // 100 + n[-1] // 20 + 2]
+                h = rare[: _first_shown(n[-1], percent)]
                 shown.append(len(h))
                 window.append(h.tobytes())
             columns = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in ((n, pa.int32()), (f1, pa.int64()), (f2, pa.int64()), (keys, pa.list_(pa.int64())), (shown, pa.int32()), (window, pa.binary())))]
@@ -182,6 +185,43 @@ def _points(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFra
     return docs.mapInArrow(run, schema)
 
 
+def _first_shown(n: int, percent: int) -> int:
+    return n * (100 - percent) // 100 + n // 20 + 2
+
+
+def _far_enough(n: int, percent: int, times: int = 1) -> int:
+    """How many least hashes of a set of ``n`` reach past the last hash that any set within the distance shows.
+
+    A set of m hashes shows m * f + 2 at first, m is at most n * 100 / percent, and of the hashes up to that end the
+    other has at most the same ones and those that the first lacks, (100 - percent) / 100 of n.  ``times`` = 2: past what
+    those show who were allowed to show so many themselves.
+    """
+    q, f = percent / 100, (100 - percent) / 100 + 0.05
+    for _ in range(times):
+        f = f / q + 1 - q
+    return int(f * n) + 2 + 2 * times
+
+
+def _further(docs: DataFrame, wanted: DataFrame, k: int, percent: int, often: np.ndarray, times: int) -> DataFrame:
+    """(id, n, shown, window) of the ``wanted`` (id, seen, more): ``more`` hashes after the first ``seen`` (null: those
+    shown at first), up to the bound of ``times``, and how many are shown in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            n, shown, window = [], [], []
+            for text, seen, more in zip(_texts(batch, 1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                h = shingle_hashes(text, k)
+                n.append(len(h))
+                h = h[~often[_slots(h, _SLOT_BITS)]]
+                seen = _first_shown(n[-1], percent) if seen is None else seen
+                h = h[: max(seen, min(seen + more, _far_enough(n[-1], percent, times)))]
+                shown.append(len(h))
+                window.append(h[seen:].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(shown, pa.int32()), pa.array(window, pa.binary())], ["id", "n", "shown", "window"])
+
+    return docs.join(wanted, "id").select("id", "text", "seen", "more").mapInArrow(run, "id long, n int, shown int, window binary")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, often: np.ndarray) -> DataFrame:
     """(id, n, hot, keys, shingles) of the ``wanted`` ids: size, frequent shingles, least hashes, the whole set."""
 
@@ -363,34 +403,62 @@ def _meet(rows: DataFrame, least: float) -> DataFrame:
     return lists.where("NOT many").select("g", "c").mapInArrow(pairs, "a long, b long, c int").union(crowded)
 
 
-def _meet_two(shown: DataFrame, whole: DataFrame, least: float) -> DataFrame:
-    """(a, b, c): a point of ``shown`` and one of ``whole`` (s, id, n) that share c shingles of few of ``shown`` each."""
-    most = _CROWD
+def _meet_more(rounds: list[DataFrame], least: float) -> DataFrame:
+    """(a, b, c): regions of the last of ``rounds`` (s, id, n) and of any that share c uncrowded shingles.
+
+    Each round is crowded by itself: a shingle has pairs with the regions of a round if they are at most ``_CROWD``.
+    (a, null, c): a is of the last round and in c shingles that are crowded in any.
+    """
+    most, last = _CROWD, len(rounds) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((4, 0), np.int64)
+        rest, open_ = np.zeros((4, 0), np.int64), -1
+
+        def told(ids: np.ndarray) -> pa.RecordBatch:
+            values, counts = np.unique(ids, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(values), pa.nulls(len(values), pa.int64()), pa.array(counts.astype(np.int32))], ["a", "b", "c"])
+
+        def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            t, y, m = rows[:3, rows[3] == last]
+            crowded = np.zeros(len(t), bool)
+            a, b = [], []
+            for k in range(last + 1):
+                s, x, n = rows[:3, rows[3] == k]
+                start = np.searchsorted(s, t)
+                count = np.searchsorted(s, t, "right") - start
+                crowded |= count > most
+                count[count > most] = 0
+                for step in range(count.max(initial=0)):
+                    at = np.flatnonzero(count > step)
+                    to = start[at] + step
+                    ok = _alike(n[to], m[at], least) & (x[to] < y[at] if k == last else x[to] != y[at])
+                    a.append(np.minimum(x[to], y[at])[ok])
+                    b.append(np.maximum(x[to], y[at])[ok])
+            if a:
+                yield _counted(a, b)
+            if crowded.any():
+                yield told(y[crowded])
+
         for batch in batches:
             rows = _once(np.concatenate((rest, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])), axis=1))
             if not rows.shape[1]:
                 continue
-            side = rows[3] == 0
-            (s, x, n, _), (t, y, m, _) = rows[:, side], rows[:, ~side]
-            start = np.searchsorted(s, t)
-            count = np.searchsorted(s, t, "right") - start
-            count[count > most] = 0
-            a, b = [], []
-            for step in range(count.max(initial=0)):
-                at = np.flatnonzero(count > step)
-                to = start[at] + step
-                ok = _alike(n[to], m[at], least) & (x[to] != y[at])
-                a.append(x[to][ok])
-                b.append(y[at][ok])
-            if a:
-                yield _counted(a, b)
-            rest = rows[:, side & (rows[0] == rows[0, -1])][:, : most + 1]
+            goes_on = np.searchsorted(rows[0], open_, "right")
+            if goes_on:  # only the last round's rows of this shingle are left
+                yield told(rows[1, :goes_on])
+                rows = rows[:, goes_on:]
+            cut = np.searchsorted(rows[0], rows[0, -1]) if rows.shape[1] else 0
+            yield from settle(rows[:, :cut])
+            rest = rows[:, cut:]
+            if (rest[3] == last).sum() > most:
+                yield from settle(rest)
+                rest, open_ = rest[:, :0], int(rest[0, 0])
+            else:  # rounds that are crowded already are not held whole
+                rest = np.concatenate([rest[:, rest[3] == k][:, : most + 1] for k in range(last + 1)], axis=1)
+        yield from settle(rest)
 
-    both = shown.withColumn("side", F.lit(0)).union(whole.withColumn("side", F.lit(1)))
-    return both.repartition("s").sortWithinPartitions("s", "side", "id").mapInArrow(run, "a long, b long, c int")
+    both = reduce(DataFrame.union, [rows.select("s", "id", "n", F.lit(k).alias("round")) for k, rows in enumerate(rounds)])
+    return both.repartition("s").sortWithinPartitions("s", "round", "id").mapInArrow(run, "a long, b long, c int")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -532,6 +600,12 @@ def _blocks(edge: DataFrame, sets: _Sets, percent: int, tally: bool) -> DataFram
     return dealt.mapInArrow(run, "id long, label long, links long")
 
 
+def _asked(windows: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The rows (s, id, n) of ``windows``, and the table of their slots."""
+    rows = _rows(windows)
+    return rows, _table(rows.select(F.shiftright("s", 63 - _CROWD_BITS).alias("slot")), _CROWD_BITS)
+
+
 def _none(spark: SparkSession, *columns: str) -> DataFrame:
     """No rows of long columns, or of other columns with an expression."""
     return spark.range(0).where("false").selectExpr(*[c if " " in c else f"id AS {c}" for c in columns])
@@ -675,6 +749,63 @@ class _Crowd:
         return self.joined(saved(edge, "region-boundaries"), level, pairs, tallies)
 
 
+def _near_centres(points: DataFrame, live: DataFrame, copies: DataFrame, placed: DataFrame, regions: DataFrame, by_region: Callable[[DataFrame, str], DataFrame], crowd_join: _Crowd, k: int) -> DataFrame:
+    """(a, b, common, na, nb): the centres of ``regions`` that are near enough for a link of two members, by meeting."""
+    sets, percent, often = crowd_join.sets, crowd_join.percent, crowd_join.often
+    copied = copies.select(F.col("id").alias("copy"), F.col("f1").alias("c1"), F.col("f2").alias("c2"))
+    # equal ids are the only join key, so that the buckets serve; equal fingerprints differ in no bit
+    same = F.col("f1").bitwiseXOR(F.col("c1")).bitwiseOR(F.col("f2").bitwiseXOR(F.col("c2"))) == 0
+    windows = live.join(copied, (F.col("id") == F.col("copy")) & same, "left_anti").select("id", "n", "window")
+    windows = by_region(windows, "window")
+    least = percent / 100
+    met = saved(_meet(_rows(windows), least), "meetings")
+    crowds = lambda met: met.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("told"))
+    regions = regions.join(crowds(met), "id", "left").withColumn("told", F.coalesce("told", F.lit(0).cast("long")))
+    regions = saved(regions.withColumn("dense", F.col("margin") <= F.col("told")), "told-regions")
+    crowd = saved(regions.where("dense").select("id"), "crowd")
+    met = met.where("b IS NOT NULL")
+    crowded = None
+    if not crowd.isEmpty():
+        # what they lack, at the rate at which their hashes were crowded, and as much again
+        rate = 1 - F.least(F.lit(0.8), F.col("told") / F.greatest("shown", F.lit(1)))
+        lack = regions.where("dense").select(F.col("id").alias("region"), (F.ceil(2 * (F.col("told") - F.col("margin") + 1) / rate) + 4).cast("int").alias("more"))
+        wanted = placed.join(lack, "region").select("id", F.lit(None).cast("int").alias("seen"), "more").distinct()
+        texts = points.select("id", "text")
+        second = saved(_further(texts, saved(wanted, "second-wanted"), k, percent, often, 1), "second-windows")
+        again, slots = _asked(by_region(second, "window"))
+        met_again = saved(_meet_more([_rows(windows, only=slots), again], least), "second-meetings")
+        shown = second.join(placed.select("id", "region").distinct(), "id").groupBy(F.col("region").alias("id")).agg(
+            F.max(F.col("n") - F.col("shown")).alias("tail2"), F.min(F.col("shown") - F.floor(F.col("n") * (100 - percent) / 100)).alias("margin2")
+        )
+        regions = regions.join(shown, "id", "left").join(crowds(met_again).withColumnRenamed("told", "told2"), "id", "left")
+        regions = regions.withColumn("told", F.col("told") + F.coalesce("told2", F.lit(0)))
+        regions = regions.withColumn("dense", F.col("dense") & (F.col("margin2") <= F.col("told"))).withColumn("tail", F.coalesce("tail2", "tail"))
+        regions = saved(regions.drop("tail2", "margin2", "told2"), "settled-regions")
+        met = met.union(met_again.where("b IS NOT NULL"))
+        crowd = saved(regions.where("dense").select("id"), "crowd-left")
+        if not crowd.isEmpty():
+            inside = saved(placed.join(crowd.withColumnRenamed("id", "region"), "region", "left_semi").select("id").distinct(), "crowd-members")
+            wanted = second.join(inside, "id", "left_semi").select("id", F.col("shown").alias("seen"), F.col("n").alias("more"))
+            third = saved(_further(texts, saved(wanted, "third-wanted"), k, percent, often, 2), "third-windows")
+            at_last, slots = _asked(by_region(third, "window"))
+            settled = [_rows(df.join(crowd, "id", "left_anti"), only=slots) for df in (windows, by_region(second, "window"))]
+            met = met.union(saved(_meet_more([*settled, at_last], least), "third-meetings").where("b IS NOT NULL"))
+            have = sets.of(crowd).beside(crowd, "n", "hot", "keys", "shingles")
+            crowded = saved(have.join(regions.select("id", "radius"), "id"), "crowd-centres")
+    # what the crowd has in common with a settled region was seen, or the settled one was told
+    known = F.when(F.col("dense"), F.lit(1 << 40)).otherwise(F.col("told"))
+    bounds = regions.select("id", "least", "radius", "tail", known.alias("told"), "dense")
+    a, b = (bounds.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in bounds.columns[1:]]) for side in ("a", "b"))
+    need = F.ceil((F.col("least_a") + F.col("least_b")) * percent / F.lit(100.0 + percent) - 1e-6)
+    counted = met.groupBy("a", "b").agg(F.sum("c").alias("c")).join(a, "a").join(b, "b")
+    # hashes up to the lesser end of two windows were seen, but for crowded ones; pairs within the crowd come later
+    unseen = F.least("told_a", "told_b") + F.greatest("tail_a", "tail_b")
+    pairs = counted.where((F.col("c") + unseen >= need) & ~(F.col("dense_a") & F.col("dense_b")))
+    pairs = pairs.select("a", "b", (F.col("radius_a") + F.col("radius_b")).alias("apart"))
+    near = crowd_join.within(saved(pairs.distinct(), "pairs"))
+    return near if crowded is None else near.union(crowd_join.near(crowded, 1)[0])
+
+
 def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mode: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(points (id, n), members (id, rep), links (a, b) between representatives, tallies (id, label, links)).
 
@@ -700,7 +831,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mod
     placed = reps.join(homes.withColumnRenamed("x", "id"), "id", "left").withColumn("region", F.coalesce("p", "id"))
     tail, margin = F.col("n") - F.col("shown"), F.col("shown") - F.floor(F.col("n") * (100 - percent) / 100)
     regions = placed.groupBy(F.col("region").alias("id")).agg(
-        F.count_distinct("id").alias("size"), F.coalesce(F.max("d"), F.lit(0.0)).alias("radius"), F.min("n").alias("least"), F.max(tail).alias("tail"), F.min(margin).alias("margin")
+        F.count_distinct("id").alias("size"), F.coalesce(F.max("d"), F.lit(0.0)).alias("radius"), F.min("n").alias("least"), F.max(tail).alias("tail"), F.min(margin).alias("margin"), F.max("shown").alias("shown")
     )
     regions = saved(regions.withColumn("many", F.col("size") > 1), "regions")
     moved = homes.select(F.col("x").alias("id"), F.col("p").alias("region")).union(homes.select(F.col("p").alias("id"), F.col("p").alias("region"))).distinct()
@@ -708,40 +839,13 @@ def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mod
     by_region = lambda df, hashes: df.join(moved, "id", "left").select(
         F.coalesce("region", "id").alias("id"), F.when(F.col("region").isNotNull(), -F.col("n")).otherwise(F.col("n")).alias("n"), hashes
     )
-    copied = copies.select(F.col("id").alias("copy"), F.col("f1").alias("c1"), F.col("f2").alias("c2"))
-    # equal ids are the only join key, so that the buckets serve; equal fingerprints differ in no bit
-    same = F.col("f1").bitwiseXOR(F.col("c1")).bitwiseOR(F.col("f2").bitwiseXOR(F.col("c2"))) == 0
-    windows = live.join(copied, (F.col("id") == F.col("copy")) & same, "left_anti").select("id", "n", "window")
-    windows = by_region(windows, "window")
-    least = percent / 100
-    met = saved(_meet(_rows(windows), least), "meetings")
-    told = met.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("told"))
-    regions = regions.join(told, "id", "left").withColumn("told", F.coalesce("told", F.lit(0)))
-    regions = saved(regions.withColumn("dense", F.col("margin") <= F.col("told")), "told-regions")
-    crowd = saved(regions.where("dense").select("id"), "crowd")
-    a, b = (regions.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in regions.columns[1:]]) for side in ("a", "b"))
-    need = F.ceil((F.col("least_a") + F.col("least_b")) * percent / F.lit(100.0 + percent) - 1e-6)
-
-    def likely(met: DataFrame, beyond: Column) -> DataFrame:
-        """Pairs of regions that can hold a link with c common shingles seen and at most ``beyond`` unseen."""
-        counted = met.groupBy("a", "b").agg(F.sum("c").alias("c")).join(a, "a").join(b, "b")
-        counted = counted.where((F.col("c") + beyond >= need) & ~(F.col("dense_a") & F.col("dense_b")))
-        return counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("radius_a") + F.col("radius_b")).alias("apart"))
-
-    # hashes up to the lesser end of two windows were seen, but for crowded ones; pairs within the crowd come later
-    pairs = likely(met.where("b IS NOT NULL"), F.least("told_a", "told_b") + F.greatest("tail_a", "tail_b"))
-    crowded = None
-    if not crowd.isEmpty():
-        inside = saved(placed.join(crowd.withColumnRenamed("id", "region"), "region", "left_semi").select("id").distinct(), "crowd-members")
-        have = sets.of(inside).beside(inside, "n", "hot", "keys", "shingles")
-        whole = _rows(by_region(have.select("id", "n", "shingles"), "shingles"), skip=often)
-        slots = _table(whole.select(F.shiftright("s", 63 - _CROWD_BITS).alias("slot")), _CROWD_BITS)
-        shown = _rows(windows.join(crowd, "id", "left_anti"), only=slots)
-        pairs = saved(pairs, "window-pairs").union(likely(_meet_two(shown, whole, least), F.col("told_a") + F.col("tail_a")))
-        crowded = saved(have.join(crowd, "id", "left_semi").join(regions.select("id", "radius"), "id"), "crowd-centres")
-    near = crowd_join.within(saved(pairs.distinct(), "pairs"))
-    if crowded is not None:
-        near = near.union(crowd_join.near(crowded, 1)[0])
+    count, shingles = regions.agg(F.count(F.lit(1)), F.sum(F.col("least").cast("long"))).first()
+    if 0 < count <= _LEAF and shingles <= _BLOCK_SHINGLES:
+        # the centres of few regions need not meet before they are compared
+        have = sets.of(regions.select("id")).beside(regions.select("id", "radius"), "n", "hot", "keys", "shingles")
+        near, _ = crowd_join.near(saved(have, "few-centres"), 1)
+    else:
+        near = _near_centres(points, live, copies, placed, regions, by_region, crowd_join, k)
     none = _none(docs.sparkSession, "a", "b", "common", "na", "nb"), _none(docs.sparkSession, "id", "label", "links")
     near, tallies = crowd_join.members(reps, homes, regions.select("id", "radius", "many"), near, 0, *none)
     links = near.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -88,6 +88,63 @@ def test_jaccard_join_recursion(spark, monkeypatch, crowd, leaf, block):
     assert got == {i: (label[r], sum(r in p for p in links)) for i, r in enumerate(rep)}
 
 
+def against_brute_force(spark, texts):
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    links = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    label = list(range(len(sets)))
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_join(docs).collect()}
+    assert got == {i: (label[i], sum(i in p for p in links)) for i in range(len(sets))}
+    return links
+
+
+def test_crowded_documents_show_more_hashes_and_not_whole_sets(spark, monkeypatch):
+    """Documents that share a passage with many, but have enough of their own, settle before the crowd's join."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(44)]
+    texts = []
+    for g in range(30):
+        own = [f"d{g}w{i}" for i in range(70)]
+        texts += [" ".join(passage + own), " ".join(passage + own[: rng.randrange(60, 69)] + [f"d{g}x"])]
+    crowds = []
+    near = jaccard_join._Crowd.near
+    monkeypatch.setattr(jaccard_join._Crowd, "near", lambda self, points, level=0: (crowds.append(points.count()), near(self, points, level))[1])
+    for name, value in (("_OFTEN", 1 << 30), ("_LEAF", 8), ("_BLOCK", 5)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    assert len(against_brute_force(spark, texts)) >= 30
+    assert sum(crowds) == 0
+
+
+def test_crowded_and_settled_documents(spark, monkeypatch):
+    """Links between documents that settle at once, after more hashes, and never."""
+    rng = random.Random(4)
+    passages = [[f"p{k}v{i}" for i in range(30)] for k in range(4)]
+    texts = []
+    for g in range(45):
+        words = [w for p in rng.sample(passages, g % 5 if g % 5 < 4 else 4) for w in p] + [f"d{g}w{i}" for i in range(rng.choice((4, 12, 40, 80)))]
+        texts.append(" ".join(words))
+        for n in range(g % 3):
+            words = list(words)
+            words[rng.randrange(len(words))] = f"d{g}x{n}"
+            texts.append(" ".join(words))
+    for name, value in (("_OFTEN", 1 << 30), ("_LEAF", 8), ("_BLOCK", 5), ("_CROWD", 4)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    assert against_brute_force(spark, texts)
+
+
+def test_few_regions_need_no_meeting(spark, monkeypatch):
+    def meet(*_):
+        raise AssertionError("the centres of few regions are compared at once")
+
+    monkeypatch.setattr(jaccard_join, "_meet", meet)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(150)]
+    assert against_brute_force(spark, list(dict.fromkeys(near_copies(rng, words, 2, 12, [rng.choice(words) for _ in range(20)]))))
+
+
 @pytest.mark.parametrize("words", [True, False])
 def test_ids_as_the_library_gives_them(words):
     """Special strings in a text are special tokens; the expected ids come from a plain tokenizer."""
