@@ -270,15 +270,15 @@ def _rows(points: DataFrame, skip: np.ndarray | None = None, only: np.ndarray |
     only = None if only is None else np.packbits(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if only is None else np.unpackbits(only).astype(bool)
         for batch in _small(batches, 200):
             sets = [np.frombuffer(w, np.uint64) for w in batch.column(2).to_pylist()]
             size = [len(h) for h in sets]
             s = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             ids, n = (np.repeat(batch.column(c).to_numpy(), size) for c in (0, 1))
             keep = np.ones(len(s), bool) if skip is None else ~skip[_slots(s, _SLOT_BITS)]
-            if wanted is not None:
-                keep &= wanted[_slots(s, _CROWD_BITS)]
+            if only is not None:  # the bits stay packed, as each worker holds them
+                at = _slots(s, _CROWD_BITS)
+                keep &= (only[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
             yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(ids[keep]), pa.array(n[keep])], ["s", "id", "n"])
 
     return points.mapInArrow(run, "s long, id long, n int")
