@@ -116,13 +116,16 @@ def _small(batches: Iterator[pa.RecordBatch], n: int = 500) -> Iterator[pa.Recor
 
 
 def _table(slots: DataFrame, bits: int) -> np.ndarray:
-    """Which of 2**bits slots occur in the column ``slot``; at most 2**bits / 32768 rows of 4 KB reach the driver."""
+    """A bit for each of 2**bits slots, the lowest first: whether it occurs in the column ``slot``.
+
+    At most 2**bits / 32768 rows of 4 KB reach the driver, and the bits stay packed there.
+    """
     one = F.col("slot") + 1  # Spark's positions begin at 1
     rows = slots.groupBy(F.bitmap_bucket_number(one).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("m"))
-    out = np.zeros(1 << bits, bool)
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows.toLocalIterator():
-        at = (r["b"] - 1) << 15
-        out[at : at + (1 << 15)] = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")[: len(out) - at]
+        at = (r["b"] - 1) << 12
+        out[at : at + (1 << 12)] = np.frombuffer(bytes(r["m"]), np.uint8)[: len(out) - at]
     return out
 
 
@@ -154,7 +157,8 @@ def frequent_slots(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
 
     counts = saved(docs.select(text_col).mapInArrow(run, "slot long").groupBy("slot").count(), "frequent-slots")
     stretches = counts.where("slot = -1").agg(F.sum("count")).first()[0] or 0
-    return _table(counts.where((F.col("slot") >= 0) & (F.col("count") * _PART >= stretches)), _SLOT_BITS)
+    often = _table(counts.where((F.col("slot") >= 0) & (F.col("count") * _PART >= stretches)), _SLOT_BITS)
+    return np.unpackbits(often, bitorder="little").astype(bool)
 
 
 def _points(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
@@ -266,8 +270,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _rows(points: DataFrame, skip: np.ndarray | None = None, only: np.ndarray | None = None) -> DataFrame:
-    """(s, id, n): a row for each hash in the binary column of ``points`` (id, n, hashes), but for slots in ``skip``."""
-    only = None if only is None else np.packbits(only)
+    """(s, id, n): a row for each hash in the binary column of ``points`` (id, n, hashes), but for slots in ``skip``;
+    with ``only``, of slots whose bit in it is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches, 200):
@@ -276,9 +280,9 @@ def _rows(points: DataFrame, skip: np.ndarray | None = None, only: np.ndarray |
             s = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             ids, n = (np.repeat(batch.column(c).to_numpy(), size) for c in (0, 1))
             keep = np.ones(len(s), bool) if skip is None else ~skip[_slots(s, _SLOT_BITS)]
-            if only is not None:  # the bits stay packed, as each worker holds them
+            if only is not None:  # the bits stay packed, as the driver and each worker hold them
                 at = _slots(s, _CROWD_BITS)
-                keep &= (only[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                keep &= (only[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(ids[keep]), pa.array(n[keep])], ["s", "id", "n"])
 
     return points.mapInArrow(run, "s long, id long, n int")
@@ -601,7 +605,7 @@ def _blocks(edge: DataFrame, sets: _Sets, percent: int, tally: bool) -> DataFram
 
 
 def _asked(windows: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """The rows (s, id, n) of ``windows``, and the table of their slots."""
+    """The rows (s, id, n) of ``windows``, and the packed table of their slots."""
     rows = _rows(windows)
     return rows, _table(rows.select(F.shiftright("s", 63 - _CROWD_BITS).alias("slot")), _CROWD_BITS)
 
