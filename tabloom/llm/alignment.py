@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm import tokens
-from tabloom.llm.common import saved, scratch
+from tabloom.llm.common import given_back, lean, saved, scratch
 
 #: Bytes of text that are encoded and aligned at once; longer texts are aligned in stretches that end where both end.
 BLOCK = 1_500_000
@@ -166,6 +166,8 @@ def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+given_back.extend(f.cache_clear for f in (_bytes, _pieces))
+
 _SQL = """
 CREATE OR REPLACE TEMP TABLE a AS SELECT * FROM a_in;
 CREATE OR REPLACE TEMP TABLE b AS SELECT * FROM b_in;
@@ -347,7 +349,7 @@ def align_tokens(
     run = _encode(byte_path or byte_vocabulary(), piece_path or piece_vocabulary(), text_col, with_groups)
     with scratch(spark):
         # written once, so that a row's number is the same for all that read it
-        rows = saved(docs.mapInArrow(run, T.StructType(kept + own)).withColumn("_row", F.monotonically_increasing_id()), "alignment-rows")
+        rows = saved(docs.mapInArrow(lean(run, keeps=True), T.StructType(kept + own)).withColumn("_row", F.monotonically_increasing_id()), "alignment-rows")
         exploded = F.explode("_totals").alias("t")
         counts = saved(rows.select(exploded).groupBy("t.p").agg(F.sum("t.n").alias("c")), "alignment-counts")
         piece = F.col("p").bitwiseAND(F.lit(0xFFFFFFFF))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import LOWER, UPPER
+from tabloom.llm.common import LOWER, UPPER, lean
 
 #: Words of items in one automaton (about 100 MB in a task).
 MAX_WORDS = 300_000
@@ -199,7 +199,7 @@ def find_contamination(
     for part in range(parts):
         these = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(parts)) == part)
         texts = [(r["k"], bytes(r["t"])) for r in these.toLocalIterator()]
-        found = found.mapInArrow(_pass(texts, window, text_col, part > 0, with_cleaned and part == parts - 1), T.StructType(base.fields + own.fields))
+        found = found.mapInArrow(lean(_pass(texts, window, text_col, part > 0, with_cleaned and part == parts - 1)), T.StructType(base.fields + own.fields))
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]))
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", F.size("hit_spans") > 0)
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import buckets, packed, saved, scratch
+from tabloom.llm.common import buckets, lean, packed, saved, scratch
 from tabloom.llm.components import components
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -155,7 +155,7 @@ def frequent_slots(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
         if held:
             yield out()
 
-    counts = saved(docs.select(text_col).mapInArrow(run, "slot long").groupBy("slot").count(), "frequent-slots")
+    counts = saved(docs.select(text_col).mapInArrow(lean(run), "slot long").groupBy("slot").count(), "frequent-slots")
     stretches = counts.where("slot = -1").agg(F.sum("count")).first()[0] or 0
     often = _table(counts.where((F.col("slot") >= 0) & (F.col("count") * _PART >= stretches)), _SLOT_BITS)
     return np.unpackbits(often, bitorder="little").astype(bool)
@@ -186,7 +186,7 @@ def _points(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFra
             columns = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in ((n, pa.int32()), (f1, pa.int64()), (f2, pa.int64()), (keys, pa.list_(pa.int64())), (shown, pa.int32()), (window, pa.binary())))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "text", "n", "f1", "f2", "keys", "shown", "window"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _first_shown(n: int, percent: int) -> int:
@@ -223,7 +223,7 @@ def _further(docs: DataFrame, wanted: DataFrame, k: int, percent: int, often: np
                 window.append(h[seen:].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(shown, pa.int32()), pa.array(window, pa.binary())], ["id", "n", "shown", "window"])
 
-    return docs.join(wanted, "id").select("id", "text", "seen", "more").mapInArrow(run, "id long, n int, shown int, window binary")
+    return docs.join(wanted, "id").select("id", "text", "seen", "more").mapInArrow(lean(run), "id long, n int, shown int, window binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, often: np.ndarray) -> DataFrame:
@@ -238,7 +238,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, often: np.ndarray) -> Data
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "hot", "keys", "shingles"])
 
     chosen = docs.join(wanted, "id", "left_semi").select("id", "text")
-    return chosen.mapInArrow(run, "id long, n int, hot int, keys array<long>, shingles binary").where("n > 0")
+    return chosen.mapInArrow(lean(run), "id long, n int, hot int, keys array<long>, shingles binary").where("n > 0")
 
 
 class _Sets:
@@ -285,7 +285,7 @@ def _rows(points: DataFrame, skip: np.ndarray | None = None, only: np.ndarray |
                 keep &= (only[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(ids[keep]), pa.array(n[keep])], ["s", "id", "n"])
 
-    return points.mapInArrow(run, "s long, id long, n int")
+    return points.mapInArrow(lean(run), "s long, id long, n int")
 
 
 def _counted(a: list[np.ndarray], b: list[np.ndarray], times: list[np.ndarray] | None = None) -> pa.RecordBatch:
@@ -400,11 +400,11 @@ def _meet(rows: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.bincount(at, weights=times).astype(np.int32))], ["a", "c"])
 
     dealt = rows.repartition("s").sortWithinPartitions("s", "id")
-    met = saved(dealt.mapInArrow(run, "a long, g binary, many boolean, c int"), "shared-shingles")
+    met = saved(dealt.mapInArrow(lean(run), "a long, g binary, many boolean, c int"), "shared-shingles")
     lists = met.where("g IS NOT NULL").groupBy("g", "many").agg(F.sum("c").alias("c"))
-    crowded = lists.where("many").select("g", "c").mapInArrow(regions, "a long, c int").union(met.where("g IS NULL").select("a", "c"))
+    crowded = lists.where("many").select("g", "c").mapInArrow(lean(regions), "a long, c int").union(met.where("g IS NULL").select("a", "c"))
     crowded = crowded.select("a", F.lit(None).cast("long").alias("b"), "c")
-    return lists.where("NOT many").select("g", "c").mapInArrow(pairs, "a long, b long, c int").union(crowded)
+    return lists.where("NOT many").select("g", "c").mapInArrow(lean(pairs), "a long, b long, c int").union(crowded)
 
 
 def _meet_more(rounds: list[DataFrame], least: float) -> DataFrame:
@@ -462,7 +462,7 @@ def _meet_more(rounds: list[DataFrame], least: float) -> DataFrame:
         yield from settle(rest)
 
     both = reduce(DataFrame.union, [rows.select("s", "id", "n", F.lit(k).alias("round")) for k, rows in enumerate(rounds)])
-    return both.repartition("s").sortWithinPartitions("s", "round", "id").mapInArrow(run, "a long, b long, c int")
+    return both.repartition("s").sortWithinPartitions("s", "round", "id").mapInArrow(lean(run), "a long, b long, c int")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -507,7 +507,7 @@ def _measured(pairs: DataFrame, sets: _Sets) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", "common", "na", "nb"])
 
     dealt = packed(rows.repartition("b", "salt"), 2 * n, 1000).sortWithinPartitions("b", "salt", "kind")
-    return dealt.mapInArrow(run, "a long, b long, common long, na long, nb long")
+    return dealt.mapInArrow(lean(run), "a long, b long, common long, na long, nb long")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -601,7 +601,7 @@ def _blocks(edge: DataFrame, sets: _Sets, percent: int, tally: bool) -> DataFram
             yield batch_of(list(compare(at, sides)))
 
     dealt = packed(rows.repartition(*keys), n, 1000).sortWithinPartitions(*keys, "side")
-    return dealt.mapInArrow(run, "id long, label long, links long")
+    return dealt.mapInArrow(lean(run), "id long, label long, links long")
 
 
 def _asked(windows: DataFrame) -> tuple[DataFrame, np.ndarray]:

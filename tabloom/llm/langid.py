@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
+from tabloom.llm.common import lean
 
 BITS, DIM = 14, 16
 #: Bound of the labelled sample: so many documents for each label value.
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "lang_pred", "score"])
 
     rejected = (F.col("lang_pred") == "und") | (F.col("score") < model.reject_below)
-    return docs.mapInArrow(run, schema).withColumn("rejected", rejected)
+    return docs.mapInArrow(lean(run), schema).withColumn("rejected", rejected)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tabloom.llm.common import saved
+from tabloom.llm.common import lean, saved
 from tabloom.llm.tokens import encoder
 
 SENTENCE_PENALTY, INSIDE_PENALTY = 8, 64
@@ -210,7 +210,7 @@ def pack(
             yield out(True)
 
     schema = T.StructType([*kept, *PIECES.fields, T.StructField("_part", T.IntegerType())])
-    pieces = saved(ordered.mapInArrow(run, schema), "pieces")
+    pieces = saved(ordered.mapInArrow(lean(run, keeps=True), schema), "pieces")
     # one row for each range: the sequences of the ranges before it
     counts = pieces.groupBy("_part").agg((F.max("sequence_id") + 1).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

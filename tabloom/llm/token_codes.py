@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tabloom.llm.common import shared_folder
+from tabloom.llm.common import lean, shared_folder
 from tabloom.llm.tokens import encoder
 
 _BLOCK = 512
@@ -145,7 +145,7 @@ def write_codes(
         if keys:
             yield out()
 
-    ordered.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(lean(run, keeps=True), schema).write.option("compression", "zstd").parquet(path)
 
 
 def read_codes(spark: SparkSession, path: str, key_name: str = "doc_id", with_ids: bool = True) -> DataFrame:

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tabloom.llm.common import given_back
+
 #: What keeps a text from being cut for a byte-level vocabulary, which joins white space to what follows: runs of
 #: white space, white space at an end, rarer white space, and the two bytes that mark chunks.
 _WHOLE = (
@@ -208,3 +210,6 @@ class Encoder:
 def encoder(path: str, words: bool) -> Encoder:
     """The worker's encoder, which lives as long as the worker does."""
     return Encoder(path, words)
+
+
+given_back.extend(f.cache_clear for f in (encoder, _load, _load_plain))
