@@ -25,8 +25,11 @@ _WHOLE = (
     r"[ \n][ \n]|^[ \n]|[ \n]$"
     r"|[\x00\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-#: Chunks that a worker remembers (about 80 MB); beyond it, those that were met only once are forgotten.
-_REMEMBERED = 400_000
+#: Letters after which a mark is cut off, in RE2 and Python: composed ones of Latin-1, which no normaliser changes once they are lower-case.
+_LOWER_LETTERS, _LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_WORD = re.compile(f"[{_LETTERS}]+")
+#: Chunks that a worker remembers (about 140 MB); beyond it, those that were met only once are forgotten.
+_REMEMBERED = 700_000
 #: Words joined to one string when they are learnt.
 _JOINED = 2000
 
@@ -49,7 +52,7 @@ def _special(path: str) -> str:
 def _load_plain(path: str, words: bool):
     """The same vocabulary for chunks of letters only, and which ids end (``words``) or begin such a chunk.
 
-    Lower-case ASCII words of a vocabulary of words need neither its normaliser nor its pattern.
+    Words of Latin-1 letters, made lower-case, of a vocabulary of words need neither its normaliser nor its pattern.
     """
     from tokenizers import Tokenizer, pre_tokenizers
 
@@ -103,6 +106,18 @@ class _Table:
         self.used += len(ids)
         self.code.update(zip(chunks, range(k, k + n), strict=True))
 
+    def of(self, code: np.ndarray, which: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks ``code[which]`` in a row, and where each ends; every id of ``code`` is looked up once."""
+        size = self.size[code]
+        end = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[code] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+        bounds = np.concatenate(([0], 4 * end))
+        kinds = (pa.binary(), np.int32) if 4 * int(size.max(initial=0)) * len(which) < 1 << 31 else (pa.large_binary(), np.int64)
+        spelt = pa.Array.from_buffers(kinds[0], len(code), [None, pa.py_buffer(bounds.astype(kinds[1])), pa.py_buffer(ids)])
+        taken = spelt.take(which)
+        ends = np.frombuffer(taken.buffers()[1], kinds[1])[1 : len(which) + 1].astype(np.int64) // 4
+        return np.frombuffer(taken.buffers()[2] or b"", np.uint32)[: ends[-1] if len(ends) else 0], ends
+
 
 class Encoder:
     """Encodes texts with a vocabulary, to the ids that the library gives each text by itself.
@@ -115,12 +130,12 @@ class Encoder:
         self.path, self.tokenizer, self.words, self.table = path, _load(path), words, _Table()
 
     def _chunks(self, texts: pa.Array) -> pa.ListArray:
-        # a mark that stands alone between an ASCII letter and white space is a piece of its own
+        # marks that stand between a letter and white space are a piece of their own
         if self.words:
-            low = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,!?])(\s|$)", r"\1 \2\3")
+            low = pc.replace_substring_regex(pc.ascii_lower(texts), rf"([{_LOWER_LETTERS}])([.,!?]+)(\s|$)", r"\1 \2\3")
             return pc.ascii_split_whitespace(low)
         raw = pc.replace_substring(texts, "\n", " \x01\n \x01")
-        raw = pc.replace_substring_regex(raw, r"([A-Za-z])([.,!?])( |$)", "\\1 \x01\\2\\3")
+        raw = pc.replace_substring_regex(raw, rf"([{_LETTERS}])([.,!?]+)( |$)", "\\1 \x01\\2\\3")
         return pc.split_pattern(pc.binary_join_element_wise("\x01", raw, ""), " ")
 
     def _learn(self, chunks: list[str]) -> None:
@@ -128,7 +143,7 @@ class Encoder:
         add, words = self.table.add, self.words
         plain, mixed, alone = [], [], []
         for c in chunks:
-            if c.isalpha() and (c.isascii() or not words):
+            if _WORD.fullmatch(c) if words else c.isalpha():
                 plain.append(c)
             elif not c or (not words and (c[0] == "\x01" or c[0].isspace() or c[-1].isspace())):
                 alone.append(c)
@@ -136,7 +151,7 @@ class Encoder:
                 mixed.append(c)
         tokenizer, edge = _load_plain(self.path, words)
         groups = [plain[at : at + _JOINED] for at in range(0, len(plain), _JOINED)]
-        joined = [("" if words else " ") + " ".join(g) for g in groups]
+        joined = [" ".join(g).lower() if words else " " + " ".join(g) for g in groups]
         for group, e in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
             at = np.flatnonzero(edge[ids])
@@ -178,7 +193,7 @@ class Encoder:
             texts = pc.if_else(mask, "", texts)
         chunks = self._chunks(texts)
         coded = chunks.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         table = self.table
         code = np.fromiter(map(table.code.get, names, repeat(-1)), np.int64, len(names))
         table.again[code[code >= 0]] = True
@@ -187,11 +202,8 @@ class Encoder:
             fresh = [names[k] for k in new.tolist()]
             self._learn(fresh)
             code[new] = np.fromiter(map(table.code.__getitem__, fresh), np.int64, len(fresh))
-        code = code[coded.indices.to_numpy()]
-        size = table.size[code]
-        end = np.cumsum(size)
-        ids = table.ids[np.repeat(table.start[code] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
-        stops = end[table.stop[code]]
+        ids, end = table.of(code, coded.indices)
+        stops = end[table.stop[code][coded.indices.to_numpy()]]
         last = chunks.offsets.to_numpy()[1:] - chunks.offsets[0].as_py()
         ends = np.concatenate(([0], end))[last]
         if whole:
