@@ -139,17 +139,14 @@ class Pieces:
             return out
         cut = pc.split_pattern(pc.replace_substring(texts.take(pa.array(rest)), "\n", " \n"), " ")
         coded = cut.flatten().dictionary_encode()
-        names, table = coded.dictionary.to_pylist(), self.table
+        names, table = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.table
         code = np.fromiter(map(table.code.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(code < 0)
         if len(new):
             fresh = [names[k] for k in new.tolist()]
             self._learn(fresh)
             code[new] = np.fromiter(map(table.code.__getitem__, fresh), np.int64, len(fresh))
-        code = code[coded.indices.to_numpy()]
-        size = table.size[code]
-        end = np.cumsum(size)
-        ids = table.ids[np.repeat(table.start[code] - end + size, size) + np.arange(end[-1])]
+        ids, end = table.of(code, coded.indices)
         last = cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()
         for k, own in zip(rest.tolist(), np.split(ids, end[last - 1][:-1]), strict=True):
             out[k] = own
