@@ -2,10 +2,10 @@
 
 Every text is encoded by a byte-level vocabulary (A, of space and text) and by a vocabulary of pieces (B, which adds the
 space itself), so that the tokens of both tile the same bytes.  In each Arrow partition DuckDB holds both as tables of
-byte intervals, a block of texts at a time: an ASOF join finds the B token in which each A token starts, a range join the
-B tokens that start inside an A token, and a window over the ends that both share numbers the groups.  Blocks send
-partial counts of their id pairs, which Spark adds up.  The documents' own pairs then meet the counts: those of the
-frequent pairs, at most ``FREQUENT`` of them by the choice of the threshold, by a broadcast, all others by a shuffle
+byte intervals, a stretch of a block of texts at a time: an ASOF join finds the B token in which each A token starts, a
+range join the B tokens that start inside an A token, and a window over the ends that both share numbers the groups.
+Blocks send partial counts of their id pairs, which Spark adds up.  The documents' own pairs then meet the counts: those
+of the frequent pairs, at most ``FREQUENT`` of them by the choice of the threshold, by a broadcast, all others by a shuffle
 in which no pair is frequent.
 """
 
@@ -26,8 +26,11 @@ from pyspark.sql import types as T
 from tabloom.llm import tokens
 from tabloom.llm.common import given_back, lean, saved, scratch
 
-#: Bytes of text that are encoded and aligned at once; longer texts are aligned in stretches that end where both end.
-BLOCK = 1_500_000
+#: Bytes of text that are encoded at once.  They are aligned in stretches of about a quarter of it, which end where tokens
+#: of both end: DuckDB takes up to 100 times the bytes of a stretch.
+BLOCK = 1_000_000
+#: Chunks of A, and parts of B, that a worker remembers: fewer than one vocabulary alone may, as it holds both and DuckDB.
+REMEMBERED = 150_000
 #: Pairs that are joined by broadcast.  A pair is frequent from the (total / FREQUENT)-th link on, so there are no more.
 FREQUENT = 100_000
 _OWN = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "n_best", "count_sum"]
@@ -75,7 +78,7 @@ class Bytes:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.chunked = _Spaced(path, False)
+        self.chunked = _Spaced(path, False, REMEMBERED)
         self.odd = f"{tokens._WHOLE}|(?i:{tokens._special(path)})"
         alphabet = _byte_alphabet()
         vocabulary = self.tokenizer.get_vocab()
@@ -117,8 +120,13 @@ class Pieces:
         self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) and self.model.encode(" \n a") == [
             *self.model.encode(""), *self.model.encode(" "), *self.model.encode("\n")[1:], *self.model.encode("a")
         ]
+        self.bytes = pa.array(self.spelt, pa.large_binary())
         self.table = tokens._Table()
 
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids in a row."""
+        return np.frombuffer(self.bytes.take(pa.array(ids)).buffers()[2] or b"", np.uint8)
+
     def _learn(self, parts: list[str]) -> None:
         found = self.model.encode(parts, num_threads=1)
         # a part that begins with a line end has no space of its own
@@ -126,7 +134,7 @@ class Pieces:
         self.table.add(parts, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        if len(self.table.code) > tokens._REMEMBERED:
+        if self.table.full(REMEMBERED):
             self.table = tokens._Table()
         odd = "  | \n|^[ \n]| $|^$|[\\x00▁]" if self.cuts else ""
         whole = pc.match_substring_regex(texts, odd).to_numpy(zero_copy_only=False)
@@ -165,23 +173,27 @@ def _pieces(path: str) -> Pieces:
 
 given_back.extend(f.cache_clear for f in (_bytes, _pieces))
 
-_SQL = """
-CREATE OR REPLACE TEMP TABLE a AS SELECT * FROM a_in;
-CREATE OR REPLACE TEMP TABLE b AS SELECT * FROM b_in;
+_HELD = """
 -- the B token in which each A token starts
 CREATE OR REPLACE TEMP TABLE held AS
-  SELECT a.doc, a.id AS a, a.s, a.e, b.id AS b, b.e AS b_e FROM a ASOF JOIN b ON a.s >= b.s;
+  SELECT a.doc, a.id AS a, a.s, a.e, b.id AS b, b.e AS b_e FROM a_in a ASOF JOIN b_in b ON a.s >= b.s;
 -- the B tokens that start inside an A token
-CREATE OR REPLACE TEMP TABLE inside AS SELECT * FROM b ANTI JOIN a USING (s);
-CREATE OR REPLACE TEMP TABLE pair AS
-  SELECT doc, (a::BIGINT << 32) + b AS p, count(*) AS n FROM (
-    SELECT doc, a, b FROM held
-    UNION ALL
-    SELECT h.doc, h.a, i.id FROM (SELECT * FROM held WHERE e > b_e) h JOIN inside i ON i.s > h.s AND i.s < h.e
-  ) GROUP BY ALL;
--- groups end where both end; the running sum is the group's number
-CREATE OR REPLACE TEMP TABLE cut AS
-  SELECT a.e, sum(1) OVER (ORDER BY a.e ROWS UNBOUNDED PRECEDING) AS g FROM a SEMI JOIN b USING (e);
+CREATE OR REPLACE TEMP TABLE inside AS
+  SELECT h.doc, h.a, h.e, i.id AS b, i.e AS b_e FROM (SELECT * FROM held WHERE e > b_e) h
+  JOIN (SELECT * FROM b_in ANTI JOIN a_in USING (s)) i ON i.s > h.s AND i.s < h.e;
+"""
+_PAIRS = """
+SELECT doc, (a::BIGINT << 32) + b AS p, count(*) AS n FROM (
+  SELECT doc, a, b FROM held UNION ALL SELECT doc, a, b FROM inside
+) GROUP BY ALL
+"""
+#: Groups end where both end, and an A token ends with one of its own B tokens; the running sum is the group's number.
+_CUTS = """
+SELECT e FROM (
+  SELECT e, sum(1) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) AS g FROM (
+    SELECT e FROM held WHERE e = b_e UNION ALL SELECT e FROM inside WHERE e = b_e
+  )
+) ORDER BY g
 """
 
 
@@ -202,10 +214,10 @@ class _Aligner:
         b_in = pa.table({"id": b[0].astype(np.int32), "s": starts[1], "e": ends[1]})
         self.con.register("a_in", a_in)
         self.con.register("b_in", b_in)
-        self.con.execute(_SQL)
-        pairs = self.con.sql("SELECT doc, p, n FROM pair").to_arrow_table().combine_chunks()
+        self.con.execute(_HELD)
+        pairs = self.con.sql(_PAIRS).to_arrow_table().combine_chunks()
         pairs = pairs.take(pa.array(np.argsort(pairs["doc"].to_numpy(), kind="stable")))
-        cuts = self.con.execute("SELECT e FROM cut ORDER BY g").fetchnumpy()["e"]
+        cuts = self.con.execute(_CUTS).fetchnumpy()["e"]
         self.con.unregister("a_in")
         self.con.unregister("b_in")
         return pairs, np.asarray(cuts, np.int64)
@@ -236,11 +248,12 @@ def _groups(cuts: np.ndarray, a: tuple, b: tuple, doc: np.ndarray, n_docs: int,
 
 
 def _stretches(total: int, ends_a: np.ndarray, ends_b: np.ndarray) -> list[int]:
-    """Ends of stretches of about ``BLOCK`` bytes, all of which are ends of tokens in both."""
-    if total <= 2 * BLOCK:
+    """Ends of stretches of about a quarter of ``BLOCK`` bytes, all of which are ends of tokens in both."""
+    step = max(1, BLOCK // 4)
+    if total <= 2 * step:
         return [total]
     both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    at = np.searchsorted(both, np.arange(BLOCK, total, BLOCK))
+    at = np.searchsorted(both, np.arange(step, total, step))
     return np.unique(both[np.minimum(at, len(both) - 1)].tolist() + [total]).tolist()
 
 
@@ -252,12 +265,12 @@ def _block(texts: pa.Array, coders: tuple[Bytes, Pieces], sizes: tuple[np.ndarra
     written: list[list[str]] = [[] for _ in range(n)]
     raw = pc.fill_null(texts, "")
     found = [c.encode(raw) for c in coders]
-    plain = raw.to_pylist()
-    rows = []
-    for k, text in enumerate(plain):
-        space = b" " + text.encode()
+    spelt = coders[1].spell(np.concatenate([*found[1], np.empty(0, np.uint32)]))
+    rows, to = [], 0
+    for k, space in enumerate(pc.binary_join_element_wise("", raw, " ").cast(pa.binary()).to_pylist()):
+        at, to = to, to + int(sizes[1][found[1][k]].sum())
         # ids of bytes spell what they encode, so their length tells; pieces may not
-        if text and sizes[0][found[0][k]].sum() == len(space) and b"".join(map(coders[1].spelt.__getitem__, found[1][k].tolist())) == space:
+        if len(space) > 1 and to - at == len(space) == sizes[0][found[0][k]].sum() and spelt[at:to].tobytes() == space:
             rows.append(k)
     parts = []
     if rows:
@@ -334,7 +347,7 @@ def align_tokens(
     ``n_best`` links whose pair is the most frequent of its B id (ties included), ``count_sum`` the counts of the
     links' pairs added up, and ``groups_sha256`` of the text of groups ``a1,a2|b1;a3|b2,b3``, which ``groups`` gives
     if wanted.  Texts that are null or empty, or that the tokens do not spell byte for byte, have zeros and empty
-    strings.  Texts of any length are read whole: those above ``BLOCK`` bytes are aligned in stretches.  Repeated rows
+    strings.  Texts of any length are read whole, and aligned in stretches.  Repeated rows
     and repeated ids count as often as they come; an empty table gives no rows.  Columns of ``docs`` with these names
     are replaced, others are kept whatever their names, except those that begin with an underscore and are used here.
     """

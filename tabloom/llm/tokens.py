@@ -30,6 +30,8 @@ _LOWER_LETTERS, _LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff", "A-Za-z\u00c0-\u00d6
 _WORD = re.compile(f"[{_LETTERS}]+")
 #: Chunks that a worker remembers (about 140 MB); beyond it, those that were met only once are forgotten.
 _REMEMBERED = 700_000
+#: Characters of a remembered chunk on average, at most.
+_LONG = 32
 #: Words joined to one string when they are learnt.
 _JOINED = 2000
 
@@ -84,6 +86,7 @@ class _Table:
 
     def __init__(self) -> None:
         self.code: dict[str, int] = {}
+        self.chars = 0
         self.ids = np.empty(1 << 20, np.uint32)
         self.start = np.zeros(1 << 18, np.int64)
         self.size = np.zeros(1 << 18, np.int64)
@@ -104,8 +107,12 @@ class _Table:
         self.start[k : k + n] = self.used + np.cumsum(sizes) - sizes
         self.stop[k : k + n] = [c.endswith((".", "!", "?")) for c in chunks]
         self.used += len(ids)
+        self.chars += sum(map(len, chunks))
         self.code.update(zip(chunks, range(k, k + n), strict=True))
 
+    def full(self, most: int) -> bool:
+        return len(self.code) > most or self.chars > _LONG * most
+
     def of(self, code: np.ndarray, which: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the chunks ``code[which]`` in a row, and where each ends; every id of ``code`` is looked up once."""
         size = self.size[code]
@@ -126,8 +133,8 @@ class Encoder:
     Of a byte-level vocabulary, chunks have lost their leading space, and those that had none begin with byte 1.
     """
 
-    def __init__(self, path: str, words: bool) -> None:
-        self.path, self.tokenizer, self.words, self.table = path, _load(path), words, _Table()
+    def __init__(self, path: str, words: bool, most: int | None = None) -> None:
+        self.path, self.tokenizer, self.words, self.most, self.table = path, _load(path), words, most, _Table()
 
     def _chunks(self, texts: pa.Array) -> pa.ListArray:
         # marks that stand between a letter and white space are a piece of their own
@@ -180,7 +187,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Encoded:
         """The ids of all texts (null: none)."""
-        if len(self.table.code) > _REMEMBERED:
+        if self.table.full(self.most or _REMEMBERED):
             self._forget()
         # a copy of its own: Arrow's ascii_lower goes wrong on slices
         texts = pc.fill_null(pa.concat_arrays([texts.cast(pa.string()), pa.array([], pa.string())]), "")
