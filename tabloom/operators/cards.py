@@ -28,6 +28,19 @@ GRID_STEP = 5.0
 EPIC, LOOSE_EPIC = "(?<![A-Z0-9])[A-Z]{3}[0-9]{7}(?![0-9])", "(?<![A-Z0-9])[A-Z]{3}[0-9OIlSBZG]{7}(?![A-Z0-9])"
 
 
+def _mean(value: Column, over=None) -> Column:
+    """The mean, whatever order the values come in: they are added as decimals of 12 places, the sum is taken to 9.
+
+    Sums of doubles differ by their order in the last place, which decides whether a card that ends with its page is one.
+    Values beyond 1e14 are added as they are.
+    """
+    exact = value.try_cast("decimal(26,12)")
+    total, n, n_exact, plain = F.sum(exact), F.count(value), F.count(exact), F.avg(value)
+    if over is not None:
+        total, n, n_exact, plain = (c.over(over) for c in (total, n, n_exact, plain))
+    return F.when(n == n_exact, F.round(total, 9).cast("double") / F.nullif(n, F.lit(0))).otherwise(plain)
+
+
 def _stacked(parts: Sequence[DataFrame]) -> DataFrame:
     """The rows of all parts.
 
@@ -73,7 +86,7 @@ def ruled_lines(pages: DataFrame, edges: DataFrame) -> DataFrame:
         pick("x0", "x1", F.greatest).alias("hi"),
     )
     lined = gap_clusters(e, [*PAGE, "axis"], "_at", LINE_STEP).withColumnRenamed("cluster", "line")
-    return lined.withColumn("pos", F.avg("_at").over(W.partitionBy(*PAGE, "axis", "line"))).drop("_at")
+    return lined.withColumn("pos", _mean(F.col("_at"), W.partitionBy(*PAGE, "axis", "line"))).drop("_at")
 
 
 def interval_union(intervals: DataFrame, keys: Sequence[str], slack: float = 0.0) -> DataFrame:
@@ -121,9 +134,9 @@ def learned_cards(pages: DataFrame, cards: DataFrame) -> DataFrame:
     by = W.partitionBy("doc_id")
     counted = cards.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*PAGE))).where("_n >= 3")
     first = counted.withColumn("_first", F.min("page").over(by)).where("page = _first")
-    height = first.groupBy("doc_id", F.col("page").alias("_learned")).agg(F.avg(F.col("bottom") - F.col("top")).alias("_h")).where("_h >= 10")
+    height = first.groupBy("doc_id", F.col("page").alias("_learned")).agg(_mean(F.col("bottom") - F.col("top")).alias("_h")).where("_h >= 10")
     xs = first.select("doc_id", F.explode(F.array("x0", "x1")).alias("_x")).distinct()
-    bounds = gap_clusters(xs, ["doc_id"], "_x", GRID_STEP).groupBy("doc_id", "cluster").agg(F.avg("_x").alias("x0"))
+    bounds = gap_clusters(xs, ["doc_id"], "_x", GRID_STEP).groupBy("doc_id", "cluster").agg(_mean(F.col("_x")).alias("x0"))
     spans = bounds.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("x1", F.lead("x0").over(by.orderBy("x0")))
     spans = spans.where("_n >= 4 AND x1 IS NOT NULL").select("doc_id", "x0", "x1")
     bare = pages.join(cards.select(*PAGE).distinct(), list(PAGE), "left_anti").join(height, "doc_id").where("page > _learned")

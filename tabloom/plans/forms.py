@@ -78,7 +78,7 @@ def _boxes(spark, d):
     """Pages, rectangles and edges: each event draws one rectangle, one edge across and one down on its user's page of the week."""
     k, value = F.col("event_id"), F.col("value")
     e = _t(spark, d, "events").withColumns(
-        {"doc_id": F.concat(F.lit("u"), F.col("user_id")), "page": F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 7).cast("int")}
+        {"doc_id": F.concat(F.lit("u"), F.col("user_id")), "page": (F.datediff("ts", F.lit("2024-01-01").cast("date")) / 7).cast("int")}
     )
     page = ["doc_id", "page"]
 
@@ -87,8 +87,8 @@ def _boxes(spark, d):
 
     left, top = k % 3 * 100.0, k % 9 * 40.0
     rects = box(left, top, left + value / 2, top + 5 + k % 30)
-    y, start = 20 + 60 * (k % 6) + k % 4 * 0.5, 100 * (F.floor(k / 6) % 3) + k % 5
-    x, above = 100 * (k % 4) + k % 3 * 0.5, 20 + 60 * (F.floor(k / 4) % 5)
+    y, start = 20 + 60 * (k % 6) + k % 4 * 0.5, 100 * ((k / 6).cast("long") % 3) + k % 5
+    x, above = 100 * (k % 4) + k % 3 * 0.5, 20 + 60 * ((k / 4).cast("long") % 5)
     edges = box(start, y, start + 96 + k % 9, y).union(box(x, above, x, above + 60))
     return e.select(*page).distinct().withColumns({"width": F.lit(300.0), "height": F.lit(400.0)}), rects, edges
 

@@ -105,3 +105,33 @@ def test_id_candidates_of_a_page(spark):
     assert {r["card_idx"]: (r["epic"], r["rung"]) for r in cards.id_ladder(found).collect()} == {
         0: ("ABC1234567", 0), 1: ("DEF1234567", 1), 2: ("QRS1234567", 2), 3: ("XYZ1204567", 4), 4: ("GHI1234567", 5), 5: ("JKL7654321", 5),
     }
+
+
+def test_last_learned_row_in_any_order_of_the_cards(spark):
+    """Heights of 100 in the mean, whose sum as doubles is above or below 900 by their order."""
+    heights = [(20.5, 81.5), (81.5, 260.8), (260.8, 320.5)]
+    boxed = [("d", 0, x, top, x + 100.0, bottom) for top, bottom in heights for x in (0.0, 100.0, 200.0)]
+    pages = spark.createDataFrame([("d", p, 300.0, 400.0) for p in range(2)], PAGES)
+    sums = set()
+    for i in range(12):
+        order = random.Random(i).sample(boxed, 9)
+        total = 0.0
+        for r in order:
+            total += r[5] - r[3]
+        sums.add(total / 9)
+        got = cards.learned_cards(pages, spark.createDataFrame(order, BOX).coalesce(1)).collect()
+        tops = sorted({(round(r["top"], 6), round(r["bottom"], 6)) for r in got})
+        assert tops == [(50.0, 150.0), (150.0, 250.0), (250.0, 350.0), (350.0, 400.0)], (i, tops)
+    assert len(sums) > 1 and max(sums) > 100
+
+
+def test_pages_before_the_first_week_are_those_of_sql(spark, tmp_path):
+    import duckdb
+
+    from tabloom.plans import queries
+
+    rows = [(i, f"2023-12-{28 + i % 4} 10:00:00", 1, 100.0 + i % 20) for i in range(80)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").selectExpr("event_id", "ts::timestamp_ntz AS ts", "user_id", "value").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(map(tuple, queries.QUERIES["card_boxes"](spark, str(tmp_path)).collect()), key=str)
+    assert got and got == sorted(duckdb.sql(queries.ORACLE_SQL["card_boxes"]).fetchall(), key=str)
