@@ -29,56 +29,93 @@ def _number(cell: Column) -> Column:
     return F.translate(cell, ",.", "").rlike("^[0-9]+$")
 
 
-def _tokens(cells: Column) -> Column:
-    """array<struct<pos, cell>> of the cells of text."""
-    placed = F.transform(_plain(cells), lambda c, i: F.struct(i.alias("pos"), c.alias("cell")))
-    return F.filter(placed, lambda t: (t["cell"] != "") & ~_number(t["cell"]))
+def _form(cells: Column) -> Column:
+    """Plain cells, with every number as ``0``: all that a comparison looks at."""
+    return F.transform(_plain(cells), lambda c: F.when(_number(c), F.lit("0")).otherwise(c))
+
+
+def _same_form(a: Column, b: Column) -> Column:
+    """``same_pattern`` of two forms, in one pass: a place counts 1, and an equal one 2^32 more."""
+    one = lambda x, y: F.when((x == "0") | (y == "0") | x.isNull() | y.isNull(), 0).when(x != y, 1).when(x == "", 0).otherwise((1 << 32) + 1)
+    both = F.aggregate(F.zip_with(a, b, one), F.lit(0).cast("long"), lambda s, x: s + x)
+    n, equal = both.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright(both, 32)
+    return (F.coalesce(F.get(a, F.lit(0)), F.lit("")) != "0") & (n >= LEAST_CELLS) & (equal >= n * LEAST_SHARE)
 
 
 def same_pattern(row: Column, pattern: Column) -> Column:
     """Whether a row is a pattern: of the places in both where neither holds a number and not both are empty, five or more,
     at least 0.8 are equal without regard to case.  A row that begins with a number never is."""
-    a, b = _plain(row), _plain(pattern)
-    pairs = F.filter(
-        F.arrays_zip(F.slice(a, 1, F.least(F.size(a), F.size(b))).alias("a"), F.slice(b, 1, F.least(F.size(a), F.size(b))).alias("b")),
-        lambda p: ((p["a"] != "") | (p["b"] != "")) & ~_number(p["a"]) & ~_number(p["b"]),
-    )
-    equal = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
-    return ~F.coalesce(_number(F.get(a, F.lit(0))), F.lit(False)) & (F.size(pairs) >= LEAST_CELLS) & (equal >= F.size(pairs) * LEAST_SHARE)
+    return _same_form(_form(row), _form(pattern))
 
 
-def pattern_matches(rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(table_id, page, row_idx, cells, pattern_id): rows with each pattern that they repeat.
+def _together(n: Column) -> Column:
+    """How many cells at a time are indexed where ``n`` cells might be equal: at most 84, 153 or n - 3 sets of them."""
+    return F.when(n <= 10, 3).when(n <= 20, 2).otherwise(1)
+
+
+def _sets(order: Column, k: int) -> Column:
+    """Hashes of all sets of ``k`` among all but the last ``OVERLAP - k`` of some hashes, which come in a fixed order."""
+    head = F.slice(order, 1, F.greatest(F.size(order) - OVERLAP + k, F.lit(0)))
+    after = lambda i: F.slice(head, i + 2, F.size(head))
+    if k == 1:
+        return head
+    if k == 2:
+        return F.flatten(F.transform(head, lambda a, i: F.transform(after(i), lambda b: F.xxhash64(a, b))))
+    return F.flatten(F.transform(head, lambda a, i: F.flatten(F.transform(after(i), lambda b, j: F.transform(after(i + j + 1), lambda c: F.xxhash64(a, b, c))))))
+
+
+def _matching_forms(forms: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_f, _p): each distinct form of a row (``_f``) with each distinct form of a pattern (``_p``) that it repeats.
 
-    Rows and patterns meet in an inverted index of (place, cell).  A match has at least four equal cells, so with the
-    cells in one order, the rarest among the rows first, it shows among all but the last three of each side: only those
-    are indexed, and a cell that nearly every row holds leads to no pairs.  Pairs that meet are compared whole.
-    Equal rows of one table and page are compared once.  Null cells are empty; rows with fewer than four cells of text match nothing.
+    They meet in an inverted index of sets of (place, cell).  A match has at least four equal cells, so with the cells in
+    one order, the rarest among the forms first, its k rarest equal cells are among all but the last 4 - k of each side: sets
+    of k of those are indexed, and a cell that nearly every form holds leads to no pairs.  k is 3 for forms of few cells
+    and less for wide ones, which would have too many sets; a pair meets by the smaller k of its two sides.  Pairs that meet are
+    compared whole.  Cells that the other side has nowhere can be equal in none and are left out of the order.
     """
-    distinct = patterns.select("pattern_id", F.col("cells").alias("_p")).distinct()
-    known = distinct.select("pattern_id", "_p", F.explode(_tokens(F.col("_p"))).alias("t")).select("pattern_id", "_p", "t.pos", "t.cell")
-    words = known.select("pos", "cell").distinct()
-    # equal contents are indexed once, however many rows have them
-    texts = rows.select(F.col("cells").alias("_c")).distinct().withColumn("_id", F.xxhash64("_c"))
-    told = texts.select("_id", F.explode(_tokens(F.col("_c"))).alias("t")).select("_id", "t.pos", "t.cell").join(words, ["pos", "cell"])
+    filled = lambda f: F.filter(F.transform(f, lambda c, i: F.struct(i.alias("pos"), c.alias("cell"))), lambda t: (t["cell"] != "") & (t["cell"] != "0"))
+    forms = forms.where(F.coalesce(F.get("_f", F.lit(0)), F.lit("")) != "0").withColumn("_i", F.xxhash64("_f"))
+    wanted = wanted.withColumn("_j", F.xxhash64("_p"))
+    known = wanted.select("_j", F.explode(filled(F.col("_p"))).alias("t")).select("_j", "t.pos", "t.cell")
+    told = forms.select("_i", F.explode(filled(F.col("_f"))).alias("t")).select("_i", "t.pos", "t.cell").join(known.select("pos", "cell").distinct(), ["pos", "cell"])
     counts = told.groupBy("pos", "cell").agg(F.count(F.lit(1)).alias("n"))
 
-    def rarest(df: DataFrame, key: str) -> DataFrame:
-        order = F.array_sort(F.collect_list(F.struct("n", "pos", "cell")))
-        shown = F.slice(order, 1, F.greatest(F.size(order) - OVERLAP + 1, F.lit(0)))
-        return df.join(counts, ["pos", "cell"]).groupBy(key).agg(shown.alias("_s")).select(key, F.explode("_s").alias("s")).select(key, "s.pos", "s.cell")
+    def rarest(df: DataFrame, key: str, width: str) -> DataFrame:
+        order = F.transform(F.array_sort(F.collect_list(F.struct("n", "pos", "cell"))), lambda t: F.xxhash64(t["pos"], t["cell"]))
+        ordered = df.join(counts, ["pos", "cell"]).groupBy(key).agg(order.alias("_o")).where(F.size("_o") >= OVERLAP)
+        return ordered.withColumn(width, _together(F.size("_o")))
 
-    # cells of patterns that no row has can be equal in none, so they are left out of the order on both sides
-    shown = rarest(known, "pattern_id")
-    met = rarest(told, "_id").join(shown, ["pos", "cell"]).select("_id", "pattern_id").distinct()
-    found = met.join(texts, "_id").join(distinct, "pattern_id").where(same_pattern(F.col("_c"), F.col("_p"))).select("_c", "pattern_id")
-    return rows.join(found, rows["cells"] == found["_c"]).select(*ROW, "cells", "pattern_id")
+    def indexed(df: DataFrame, key: str, width: str, also: Column) -> DataFrame:
+        none = F.array().cast("array<bigint>")
+        sets = [F.struct(F.lit(k).alias("_k"), F.when((F.col(width) >= k) & F.exists(also, lambda w: F.least(w, F.col(width)) == k), _sets(F.col("_o"), k)).otherwise(none).alias("_s")) for k in (1, 2, 3)]
+        sets = df.select(key, width, F.explode(F.array(*sets)).alias("_e")).select(key, width, "_e._k", F.explode("_e._s").alias("_s"))
+        return sets.distinct()
+
+    patterned, ordered = rarest(known, "_j", "_wj"), rarest(told, "_i", "_wi")
+    widths = patterned.agg(F.collect_set("_wj").alias("_all"))
+    shown = indexed(patterned, "_j", "_wj", F.array(F.lit(1), F.lit(2), F.lit(3)))
+    mine = indexed(ordered.crossJoin(F.broadcast(widths)), "_i", "_wi", F.col("_all"))
+    met = mine.join(shown, ["_k", "_s"]).where(F.col("_k") == F.least("_wi", "_wj")).select("_i", "_j").distinct()
+    return met.join(forms, "_i").join(wanted, "_j").where(_same_form(F.col("_f"), F.col("_p"))).select("_f", "_p")
+
+
+def pattern_matches(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(table_id, page, row_idx, cells, pattern_id): rows with each pattern that they repeat.
+
+    Rows and patterns that are alike but for case, white space at the ends and their numbers are compared once, however many
+    they are.  Null cells are empty; rows with fewer than four cells of text match nothing.
+    """
+    formed = rows.select(*ROW, "cells", _form(F.col("cells")).alias("_f"))
+    named = patterns.select("pattern_id", _form(F.col("cells")).alias("_p")).distinct()
+    found = _matching_forms(formed.select("_f").distinct(), named.select("_p").distinct())
+    return formed.join(found.join(named, "_p").select("_f", "pattern_id"), "_f").select(*ROW, "cells", "pattern_id")
 
 
 def drop_pattern_rows(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """The rows that repeat no pattern, with all their columns."""
-    found = pattern_matches(rows.select(*ROW, "cells"), patterns).select(F.col("cells").alias("_c")).distinct()
-    return rows.join(found, rows["cells"] == found["_c"], "left_anti")
+    found = _matching_forms(rows.select(_form(F.col("cells")).alias("_f")).distinct(), patterns.select(_form(F.col("cells")).alias("_p")).distinct())
+    found = found.select("_f").distinct()
+    return rows.join(found, _form(rows["cells"]) == found["_f"], "left_anti")
 
 
 def mostly_digits(value: Column) -> Column:

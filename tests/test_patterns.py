@@ -138,3 +138,38 @@ def test_lanes_keep_the_rate_together(spark):
     got = connect.ask(df, "t", lambda s: s.str.upper(), pause=0.2, lanes=4)
     assert got.rdd.getNumPartitions() == 4 and {r["answer"] for r in got.collect()} == {f"V{i}" for i in range(40)}
     assert time.time() - began >= 0.2 * 4
+
+
+def test_pattern_rows_of_wide_and_narrow_tables(spark):
+    """Forms of 4 to 30 cells meet by sets of one, two and three cells."""
+    rng = random.Random(3)
+    words = ["Party", "votes", "NOTA", "", None, "12", "Booth", "x", *(f"w{i}" for i in range(12))]
+    base = [[rng.choice(words) for _ in range(rng.choice([5, 8, 12, 16, 22, 30]))] for _ in range(40)]
+    near = [[c if rng.random() < 0.9 else rng.choice(words) for c in rng.choice(base)] + ["y"] * rng.choice([0, 0, 9]) for _ in range(500)]
+    near += [r[: rng.randrange(5, 31)] for r in near[:100]]
+    want = {(i, j) for i, r in enumerate(near) for j, p in enumerate(base) if repeats(r, p)}
+    pats = spark.createDataFrame(list(enumerate(base)), "pattern_id int, cells array<string>")
+    df = spark.createDataFrame([("t", 1, i, r) for i, r in enumerate(near)], ROWS)
+    got = [(r["row_idx"], r["pattern_id"]) for r in patterns.pattern_matches(df, pats).collect()]
+    assert set(got) == want and len(got) == len(want) > 200
+
+
+def _most_rows(node):
+    """The most rows that an operator of a finished plan gave."""
+    name = node.getClass().getSimpleName()
+    inner = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+    children = inner or [node.children().apply(i) for i in range(node.children().size())]
+    own = node.metrics().apply("numOutputRows").value() if node.metrics().contains("numOutputRows") else 0
+    return max([own, *(_most_rows(c) for c in children)])
+
+
+def test_like_patterns_and_few_words_lead_to_few_pairs(spark):
+    """Twenty times the same patterns, and rows that differ from them by their numbers; any two cells are much repeated."""
+    rng = random.Random(5)
+    text = lambda: [f"b{rng.randrange(12)}", *(f"{c}{rng.randrange(6)}" for c in "cdefg")]
+    kinds = [text() for _ in range(60)]
+    pats = spark.createDataFrame([(i, kinds[i % 60] + [str(i)]) for i in range(1200)], "pattern_id int, cells array<string>")
+    rows = [("t", 1, i, (kinds[i % 60] if i % 9 == 0 else text()) + [str(i)]) for i in range(900)]
+    left = patterns.drop_pattern_rows(spark.createDataFrame(rows, ROWS), pats)
+    assert {r["row_idx"] for r in left.collect()} == {r[2] for r in rows if not any(repeats(r[3], k) for k in kinds)}
+    assert _most_rows(left._jdf.queryExecution().executedPlan()) < 20_000
