@@ -29,6 +29,8 @@ COLUMNS, ROWS_RANGE = (8, 30), (30, 500)
 OCR_PATTERNS = ("[0-9][OoIl]", "[OoIl][0-9]", "[0-9][SBZ]|[SBZ][0-9]")
 MOST_DETAIL = {"INVALID_NUMERIC": 10, "NEGATIVE_NUMBER": 5, "LARGE_NUMBER": 3}
 LARGE, VERY_LARGE = 50_000, 100_000
+#: Row numbers of one block, within which a table's rows are put in order.
+BLOCK = 4096
 
 
 def _issue(df: DataFrame, severity: str, code: str, row: Column | None = None, col: Column | None = None, value: Column | None = None) -> DataFrame:
@@ -228,20 +230,148 @@ def grade(conf: Column, errors: Column) -> Column:
     )
 
 
+def _misread(v: Column) -> Column:
+    """Whether a cell has a letter beside a digit that it may stand for: any of ``OCR_PATTERNS``."""
+    return v.rlike("|".join(OCR_PATTERNS))
+
+
+def column_profile(rows: DataFrame) -> DataFrame:
+    """(table_id, col_idx, cells, blank, filled, numbers, misread, words, negative, plain_sum, plain_n): counts of each column.
+
+    Of the first column, which never counts, only ``cells`` and ``blank`` are told.  ``plain_sum`` and ``plain_n`` are of the
+    rows that state no total.  One pass, summed up before the shuffle, and no table is sorted.
+    """
+    cells = rows.select("table_id", _states_total().alias("_t"), F.posexplode("cells").alias("col_idx", "value"))
+    v = F.trim(F.coalesce("value", F.lit("")))
+    cells = cells.withColumn("_v", v).withColumn("_on", (F.col("_v") != "") & (F.col("col_idx") > 0))
+    cells = cells.withColumn("_x", F.when(F.col("_on"), numeric(F.col("_v"))))
+    number = F.col("_x").isNotNull()
+    # most cells of letters beside digits are no numbers, and numbers have no such letters but an exponent's
+    cells = cells.withColumn("_misread", F.col("_on") & F.when(F.col("_on"), _misread(F.col("_v"))))
+    misread = F.col("_misread")
+    text = F.col("_on") & ~number & ~misread
+    text = text & F.when(text, numeric(F.reverse("_v")).isNull())
+    return cells.groupBy("table_id", "col_idx").agg(
+        F.count(F.lit(1)).alias("cells"), F.count_if(F.col("_v") == "").alias("blank"), F.count_if("_on").alias("filled"), F.count_if(number).alias("numbers"),
+        F.count_if(misread).alias("misread"), F.count_if(text).alias("words"), F.count_if(~misread & (F.col("_x") < 0)).alias("negative"),
+        F.sum(F.when(~F.col("_t"), F.col("_x"))).alias("plain_sum"), F.count(F.when(~F.col("_t"), F.col("_x"))).alias("plain_n"),
+    )
+
+
+def _states_total() -> Column:
+    return F.upper(F.trim(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))).contains("TOTAL")
+
+
+def _wrong_totals(rows: DataFrame, headers: DataFrame, profile: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """(table_id, totals): how many columns ``column_total_check`` finds, by the sums of the profile and the rows of totals."""
+    stating = rows.where(_states_total())
+    last = F.row_number().over(W.partitionBy("table_id").orderBy(F.desc_nulls_last("page"), F.desc_nulls_last("row_idx"))) == 1
+    cells = stating.withColumn("_last", last).select("table_id", "_last", F.posexplode("cells").alias("col_idx", "value"))
+    x, is_total = numeric(F.trim("value")), F.col("_last")
+    own = cells.groupBy("table_id", "col_idx").agg(F.max(F.when(is_total, x)).alias("stated"), F.sum(F.when(~is_total, x)).alias("_sum"), F.count(F.when(~is_total, x)).alias("_n"))
+    both = own.join(profile.select("table_id", "col_idx", "plain_sum", "plain_n"), ["table_id", "col_idx"])
+    both = both.join(headers.select("table_id", F.size("headers").alias("_w")), "table_id").where("col_idx > 0 AND col_idx < _w")
+    computed = F.coalesce("plain_sum", F.lit(0.0)) + F.coalesce("_sum", F.lit(0.0))
+    wrong = both.where((F.col("plain_n") + F.col("_n") > 0) & (F.abs(F.col("stated") - computed) > tolerance))
+    return wrong.groupBy("table_id").agg(F.count(F.lit(1)).alias("totals"))
+
+
+def _steps(rows: DataFrame, over: int = 5) -> DataFrame:
+    """(table_id, rows, numbered, gaps): the length of each table, how many of its first ten rows have digits in the first cell,
+    and how many ``station_gaps`` it has.
+
+    Rows are ordered within blocks of ``BLOCK`` row numbers, so a long table is many groups; what goes on from block to
+    block (the last number, the count of rows) is told by one row a block.
+    """
+    first = F.get("cells", F.lit(0))
+    number = F.nullif(F.regexp_extract(first, "([0-9]+)", 1), F.lit("")).try_cast("long")
+    told = rows.select("table_id", "page", F.floor(F.col("row_idx") / BLOCK).alias("_block"), "row_idx", number.alias("_x"), F.coalesce(first.rlike("[0-9]"), F.lit(False)).alias("_d"))
+    within = W.partitionBy("table_id", "page", "_block").orderBy("row_idx")
+    before = F.last("_x", ignorenulls=True).over(within.rowsBetween(W.unboundedPreceding, -1))
+    told = told.withColumn("_i", F.row_number().over(within)).withColumn("_gap", F.col("_x") - before > over)
+    blocks = told.groupBy("table_id", "page", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("_gap").alias("_gaps"), F.min_by("_x", F.when(F.col("_x").isNotNull(), F.col("_i"))).alias("_first"),
+        F.max_by("_x", F.when(F.col("_x").isNotNull(), F.col("_i"))).alias("_last"), F.collect_list(F.when((F.col("_i") <= 10) & F.col("_d"), F.col("_i"))).alias("_ds"),
+    )
+    by = W.partitionBy("table_id").orderBy("page", "_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(by), F.lit(0))).withColumn("_up", F.last("_last", ignorenulls=True).over(by))
+    ten = F.size(F.filter("_ds", lambda i: i + F.col("_offset") <= 10))
+    return blocks.groupBy("table_id").agg(F.sum("_n").alias("rows"), F.sum(ten).alias("numbered"), (F.sum("_gaps") + F.count_if(F.col("_first") - F.col("_up") > over)).alias("gaps"))
+
+
+def _large_shown(rows: DataFrame, positions: DataFrame) -> DataFrame:
+    """(table_id, large): how many of the first three large numbers of a table, by column and row, are very large."""
+    x = numeric(F.trim(F.coalesce("value", F.lit(""))))
+    cells = rows.select("table_id", "page", "row_idx", F.posexplode("cells").alias("col_idx", "value")).where("col_idx > 0")
+    cells = cells.withColumn("_x", x).where((F.col("_x") > LARGE) & ~_misread(F.trim("value"))).drop("value")
+    most = MOST_DETAIL["LARGE_NUMBER"]
+    cells = cells.withColumn("_r", F.row_number().over(W.partitionBy("table_id", "col_idx").orderBy("page", "row_idx"))).where(F.col("_r") <= most)
+    cells = cells.join(positions, ["table_id", "col_idx"]).withColumn("_r", F.row_number().over(W.partitionBy("table_id").orderBy("col_idx", "_r")))
+    return cells.where((F.col("_r") <= most) & (F.col("_x") > VERY_LARGE)).groupBy("table_id").agg(F.count(F.lit(1)).alias("large"))
+
+
+def issue_counts(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """(table_id, empty_ratio, type_consistency, <check>_<severity>): how many issues each table with headers has.
+
+    These are the counts of the issues that ``validate`` lists, without the list: columns and widths are summed up before they are shuffled,
+    rows are shuffled twice, by block of their table and by first cell, and no table is one group.
+    """
+    profile, positions = column_profile(rows), numeric_positions(headers)
+    zero, whole = F.lit(0), lambda c: F.coalesce(c.cast("long"), F.lit(0))
+    blank = profile.groupBy("table_id").agg((F.sum("blank") / F.sum("cells")).alias("empty_ratio"))
+    counted = profile.join(positions, ["table_id", "col_idx"])
+    share = F.when(F.col("filled") > 0, (F.col("numbers") / F.col("filled") >= 0.8).cast("int"))
+    counted = counted.groupBy("table_id").agg(F.avg(share).alias("type_consistency"), *[F.sum(c).alias(c) for c in ("misread", "words", "negative")])
+    widths = rows.groupBy("table_id", F.size("cells").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    widths = widths.join(headers, "table_id").where(F.col("_c") != F.size("headers")).groupBy("table_id").agg(F.sum("_n").alias("widths"))
+    key = F.lower(F.trim(F.coalesce(F.get("cells", F.lit(0)), F.lit(""))))
+    again = rows.groupBy("table_id", key.alias("_v")).agg((F.count(F.lit(1)) - 1).alias("_n")).groupBy("table_id").agg(F.sum("_n").alias("again"))
+    t = headers.select("table_id", "headers").join(_steps(rows), "table_id", "left").fillna(0, ["rows", "numbered", "gaps"])
+    n = F.size("headers")
+    first_ok = _with_word(F.slice("headers", 1, 1), STATION_WORDS) | (F.col("numbered") >= 5)
+    has = F.coalesce(n > 0, F.lit(False))
+    t = t.withColumns(
+        {
+            "structure_critical": whole(~has),
+            "structure_warning": F.when(has, whole(~first_ok) + whole(n < COLUMNS[0]) + whole(~_with_word(F.col("headers"), NOTA_WORDS)) + whole(F.col("rows") < ROWS_RANGE[0])).otherwise(zero),
+            "structure_info": F.when(has, whole(n > COLUMNS[1]) + whole(F.col("rows") > ROWS_RANGE[1])).otherwise(zero),
+        }
+    )
+    t = t.join(positions.select("table_id").distinct().withColumn("_some", F.lit(True)), "table_id", "left").withColumn("_none", whole(has & F.col("_some").isNull()))
+    t = t.groupBy("table_id").agg(F.max("gaps").alias("gaps"), *[F.sum(c).alias(c) for c in ("structure_critical", "structure_warning", "structure_info", "_none")])
+    for part in (blank, counted, widths, again, _wrong_totals(rows, headers, profile), _large_shown(rows, positions)):
+        t = t.join(part, "table_id", "left")
+    t = t.fillna(0, ["misread", "words", "negative", "widths", "again", "totals", "large"])
+    c = {x: F.col(x) for x in ("misread", "words", "negative", "widths", "again", "totals", "large", "gaps", "_none")}
+    shown = lambda name, most: F.least(c[name], F.lit(most)) + whole(c[name] > most)
+    few = lambda name, most: F.when(c[name] <= most, c[name]).otherwise(zero)
+    return t.select(
+        "table_id", "empty_ratio", "type_consistency", "structure_critical", zero.cast("long").alias("structure_error"), "structure_warning", "structure_info",
+        zero.cast("long").alias("types_critical"), (shown("words", 10) + shown("negative", 5)).alias("types_error"), (c["misread"] + whole(c["misread"] > 10) + c["_none"]).alias("types_warning"), c["large"].alias("types_info"),
+        zero.cast("long").alias("consistency_critical"), (whole(c["widths"] > 5) + F.when(c["again"] <= 5, c["again"]).otherwise(F.lit(1))).alias("consistency_error"),
+        (few("widths", 5) + whole(c["gaps"] > 3) + c["totals"]).alias("consistency_warning"), few("gaps", 3).alias("consistency_info"),
+    )
+
+
 def validate(rows: DataFrame, headers: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(report, issues): one report row for each table with scores, counts, confidence, grade and ``passed``."""
-    tables = headers.select("table_id").distinct()
+    """(report, issues): one report row for each table with scores, counts, confidence, grade and ``passed``.
+
+    The report counts issues by ``issue_counts``; only ``issues`` lists them.
+    """
     parts = {
         "structure": structure_issues(rows, headers),
         "types": type_issues(rows, headers),
         "consistency": _union([width_issues(rows, headers), gap_issues(rows), duplicate_issues(rows), total_issues(rows, headers)]),
     }
-    report = tables.join(methods, "table_id", "left").join(empty_ratio(rows), "table_id", "left").join(type_consistency(rows, headers), "table_id", "left")
-    for kind, found in parts.items():
-        report = report.join(scores(found, tables, kind).withColumnRenamed("score", kind), "table_id")
     issues = _union([f.withColumn("check", F.lit(k)) for k, f in parts.items()])
-    counts = issues.groupBy("table_id").agg(*[F.count_if(F.col("severity") == s).alias(s + "s") for s in ("critical", "error", "warning", "info")])
-    report = report.join(counts, "table_id", "left").fillna(0, ["criticals", "errors", "warnings", "infos"]).fillna(0.0, ["empty_ratio"])
+    counts = issue_counts(rows, headers)
+    for kind, weights in PENALTIES.items():
+        lost = reduce(lambda a, b: a + b, [F.col(f"{kind}_{s}") * w for s, w in weights.items()])
+        counts = counts.withColumn(kind, F.greatest(F.lit(0.0), F.lit(1.0) - lost))
+    severities = ("critical", "error", "warning", "info")
+    counts = counts.withColumns({s + "s": reduce(lambda a, b: a + b, [F.col(f"{k}_{s}") for k in PENALTIES]) for s in severities})
+    counts = counts.select("table_id", "empty_ratio", "type_consistency", *PENALTIES, *[s + "s" for s in severities])
+    report = headers.select("table_id").distinct().join(methods, "table_id", "left").join(counts, "table_id").fillna(0.0, ["empty_ratio"])
     mean = (F.col("structure") + F.col("types") + F.col("consistency")) / 3
     conf = confidence(F.coalesce("method", F.lit("unknown")), mean, F.coalesce("type_consistency", F.lit(1.0)), F.col("empty_ratio"))
     report = report.withColumn("confidence", conf)
