@@ -1,13 +1,17 @@
 """Cards on pages: their boxes from drawn rectangles and lines, and one id for each card from several places.
 
 Everything is keyed by (doc_id, page).  Lines are chained clusters of edges, what a line really covers is the union of its
-edges, and a cell is closed only if all four sides are covered; no page is ever one group in Python.
+edges, and a cell is closed only if all four sides are covered; no page is ever one group in Python but for small ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -232,24 +236,90 @@ def id_candidates(cards: DataFrame, words: DataFrame, texts: DataFrame) -> DataF
     return _stacked([own, spaced, placed, glued])
 
 
-def id_ladder(candidates: DataFrame, rungs: int = 6) -> DataFrame:
+def _climb(page: np.ndarray, rung: np.ndarray, card: np.ndarray, epic: np.ndarray, rungs: int) -> np.ndarray:
+    """Places of the candidates that are taken, in whole pages sorted by page, rung, card, rank and id (cards and ids as codes)."""
+    cards = np.unique(page * (card.max() + 1) + card, return_inverse=True)[1]
+    ids = np.unique(page * (epic.max() + 1) + epic, return_inverse=True)[1]
+    served, used, out = np.zeros(len(cards), bool), np.zeros(len(ids), bool), []
+    for r in range(rungs):
+        at = np.flatnonzero(rung == r)
+        at = at[~served[cards[at]] & ~used[ids[at]]]
+        named = at[np.diff(cards[at], prepend=-1) != 0]
+        # of the cards that name one id, the first comes first
+        won = named[np.unique(ids[named], return_index=True)[1]]
+        served[cards[won]] = used[ids[won]] = True
+        out.append(won)
+    return np.sort(np.concatenate(out))
+
+
+class _LongPage:
+    """A page in parts: of what came before, only the cards that are served and the ids that are used are held."""
+
+    def __init__(self, key: tuple) -> None:
+        self.key, self.at, self.served, self.used, self.named = key, (None, None), set(), set(), set()
+
+    def climb(self, rows: pa.Table) -> np.ndarray:
+        out = []
+        for i, (rung, card, epic) in enumerate(zip(*(rows[c].to_pylist() for c in ("rung", "card_idx", "epic")), strict=True)):
+            if rung != self.at[0]:
+                self.used |= self.named
+                self.named, self.at = set(), (rung, None)
+            if card == self.at[1] or card in self.served or epic in self.used:
+                continue
+            self.at = (rung, card)
+            if epic not in self.named:
+                self.named.add(epic)
+                self.served.add(card)
+                out.append(i)
+        return np.array(out, "int64")
+
+
+def id_ladder(candidates: DataFrame, rungs: int = 6, most: int = 1 << 18) -> DataFrame:
     """(doc_id, page, card_idx, epic, rung): the id of each card that gets one; no id serves two cards of a page.
 
     ``candidates``: doc_id, page, card_idx, rung (from 0), rank, epic.  Rung by rung, each card without an id names the
     best (rank, then id) of its candidates that no card has yet, and an id named by several cards goes to the first of them;
     the others go on to the next rung.  Repeated candidates change nothing; null ids and cards are left out.
 
-    The rungs are windows over the candidates of a page, which are shuffled once, by page; nothing is joined.
+    Candidates are shuffled and sorted once, by page, rung, card, rank and id; in that order one pass is enough.  The whole
+    pages of a batch are worked out together; of a page with more than ``most`` candidates only what is settled is held,
+    so a page may have any number of candidates.
     """
-    taken, card, epic = F.col("_taken"), W.partitionBy(*PAGE, "card_idx"), W.partitionBy(*PAGE, "epic")
-    state = candidates.where("epic IS NOT NULL AND card_idx IS NOT NULL").select(*PAGE, "card_idx", "rung", "rank", "epic")
-    state = state.repartition(*PAGE).withColumn("_taken", F.lit(False))
-    for rung in range(rungs):
-        free = (F.col("rung") == rung) & ~F.max("_taken").over(card) & ~F.col("_used")
-        state = state.withColumn("_used", F.max("_taken").over(epic))
-        state = state.withColumn("_free", free).withColumn("_best", F.min(F.when(F.col("_free"), F.struct("rank", "epic"))).over(card))
-        state = state.withColumn("_named", F.col("_free") & (F.struct("rank", "epic") == F.col("_best")))
-        first = F.min(F.when(F.col("_named"), F.col("card_idx"))).over(epic)
-        state = state.withColumn("_taken", taken | (F.col("_named") & (F.col("card_idx") == first)))
-        state = state.select(*PAGE, "card_idx", "rung", "rank", "epic", F.coalesce("_taken", F.lit(False)).alias("_taken"))
-    return state.where("_taken").select(*PAGE, "card_idx", "epic", "rung").distinct()
+    order = [*PAGE, "rung", "card_idx", "rank", "epic"]
+    kept = candidates.select(*order).where((F.col("rung") >= 0) & (F.col("rung") < rungs) & F.col("epic").isNotNull() & F.col("card_idx").isNotNull())
+    dealt = kept.repartition(*PAGE).sortWithinPartitions(*[F.asc_nulls_first(c) for c in order])
+    columns = [*PAGE, "card_idx", "epic", "rung"]
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, long = None, None
+        for batch in chain(batches, [None]):
+            new = [] if batch is None else [pa.Table.from_batches([batch])]
+            parts = new if held is None else [held, *new]
+            rows = pa.concat_tables(parts).combine_chunks() if parts else None
+            if rows is None or not rows.num_rows:
+                continue
+            n = rows.num_rows
+            codes = {c: pc.dictionary_encode(rows[c].chunk(0), null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype("int64") for c in columns[:4]}
+            fresh = np.zeros(n, bool)
+            for c in PAGE:
+                fresh[1:] |= codes[c][1:] != codes[c][:-1]
+            starts, begin = np.flatnonzero(fresh), 0
+            if long is not None:
+                if long.key == tuple(rows[c][0].as_py() for c in PAGE):
+                    begin = int(starts[0]) if len(starts) else n
+                    yield from rows.take(long.climb(rows.slice(0, begin))).to_batches()
+                if begin < n:
+                    long = None
+            # the last page may go on in the next batch
+            end = n if batch is None else max(begin, int(starts[-1]) if len(starts) else 0)
+            if end > begin:
+                at = slice(begin, end)
+                taken = _climb(np.cumsum(fresh)[at], rows["rung"].to_numpy()[at], codes["card_idx"][at], codes["epic"][at], rungs)
+                yield from rows.take(taken + begin).to_batches()
+            held = rows.slice(end) if end < n else None
+            if held is not None and held.num_rows > most:
+                long = _LongPage(tuple(held[c][0].as_py() for c in PAGE))
+                yield from held.take(long.climb(held)).to_batches()
+                held = None
+
+    return dealt.select(*columns).mapInArrow(climb, kept.select(*columns).schema)

@@ -135,3 +135,21 @@ def test_pages_before_the_first_week_are_those_of_sql(spark, tmp_path):
     duckdb.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     got = sorted(map(tuple, queries.QUERIES["card_boxes"](spark, str(tmp_path)).collect()), key=str)
     assert got and got == sorted(duckdb.sql(queries.ORACLE_SQL["card_boxes"]).fetchall(), key=str)
+
+
+def test_id_ladder_of_pages_in_parts(spark):
+    """Pages that go on from batch to batch, held whole or in parts, are those of plain Python; candidates are sorted once."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["d", "e", None]), rng.choice([None, 1, 2, 3, 3, 3]), rng.randrange(40), rng.randrange(8), rng.choice([None, 0.0, 1.0]), f"E{rng.randrange(60)}") for _ in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id string, page int, card_idx int, rung int, rank double, epic string")
+    want = ladder([(*r[:4], -1.0 if r[4] is None else r[4], r[5]) for r in rows])
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size, most in (("7", 20), ("64", 300), ("10000", 1 << 18)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            out = cards.id_ladder(df, most=most)
+            got = out.collect()
+            assert {(r["doc_id"], r["page"], r["card_idx"]): (r["epic"], r["rung"]) for r in got} == want and len(got) == len(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") <= 2
