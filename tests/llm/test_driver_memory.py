@@ -42,3 +42,21 @@ def test_only_hashes_of_the_asked_slots_are_shown(spark):
     asked = set((few >> np.uint64(63 - jaccard_join._CROWD_BITS)).tolist())
     want = [x for x in h.tolist() if x >> (63 - jaccard_join._CROWD_BITS) in asked]
     assert sorted(r["s"] for r in jaccard_join._rows(df, only=slots).collect()) == want
+
+
+def test_garbage_is_looked_for_within_a_long_step(spark, monkeypatch):
+    def slow(batches):
+        import time
+
+        time.sleep(4)
+        yield from batches
+
+    calls = []
+    monkeypatch.setattr(common, "_EVERY", 0.2, raising=False)
+    monkeypatch.setattr(common, "_watching", {}, raising=False)
+    monkeypatch.setattr(common, "tidied", lambda session: calls.append(list(common._writing)))
+    with common.scratch(spark):
+        assert common.saved(spark.range(10).coalesce(1).mapInArrow(slow, "id long"), "slow").count() == 10
+    assert len(calls) > 5 and all(calls[:5])
+    monkeypatch.undo()
+    assert common._writing == []
